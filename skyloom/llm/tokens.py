@@ -32,36 +32,42 @@ from .common import shared_dir
 
 MAGIC, HEADER = b"TIDB", struct.Struct("<4s4II")
 SEGMENT, LANES, LANE_IDS, SLOTS = 1 << 20, 4096, 256, 1 << 18
-LEVELS, MIX_TOTAL = 4, 1 << 12
-COUNT_STEP, COUNT_LIMIT, REFRESH = 32, 1 << 22, 4
+LEVELS, MIX_TOTAL, MIX_BITS = 4, 1 << 12, np.uint64(12)
+COUNT_STEP, COUNT_LIMIT, REFRESH = 32, 1 << 22, 8
 U = np.uint64
 LEAST, HALF, LOW32 = U(1 << 32), U(16), U((1 << 32) - 1)
 
 
+#: The confidence after a miss, then after a hit, by the confidence before.
+LEVEL_AFTER = np.array([max(0, i - 1) for i in range(LEVELS)] + [min(LEVELS - 1, i + 1) for i in range(LEVELS)], np.int8)
+
+
 class Model:
     """Predictions of order 0 to 2 and their mix; the encoder and the decoder call the same methods in the same order."""
 
     def __init__(self, alphabet: int, lanes: int) -> None:
         self.none = alphabet
-        self.counts = np.ones(alphabet, np.int64)
-        self.cum = np.arange(alphabet + 1, dtype=np.int64)
-        self.one, self.two = np.full(alphabet, alphabet, np.int64), np.full(SLOTS, alphabet, np.int64)
-        self.sure1, self.sure2 = np.zeros(alphabet, np.int64), np.zeros(SLOTS, np.int64)
+        self.counts = np.ones(alphabet, np.int32)
+        self.cum = np.arange(alphabet + 1, dtype=np.int32)
+        self.one, self.two = np.full(alphabet, alphabet, np.int32), np.full(SLOTS, alphabet, np.int32)
+        self.sure1, self.sure2 = np.zeros(alphabet, np.int8), np.zeros(SLOTS, np.int8)
+        self.seen: list[np.ndarray] = []
         self.mix = np.ones((2 * LEVELS * LEVELS, 3), np.int64)
         self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.step = 0
 
     def predict(self):
-        """Order-2 and order-1 ids, and where the intervals of "order 2", "order 1" and "neither" begin."""
+        """Order-2 and order-1 ids, and where the intervals of "order 2", "order 1" and "neither" stand in ``begin`` and ``width``."""
         self.slot = (self.prev2 * 0x2545F491 + self.prev1 * 0x9E3779B1 >> 7) & (SLOTS - 1)
-        self.c2, self.c1 = self.two[self.slot], self.one[self.prev1]
-        self.s2, self.s1 = self.sure2[self.slot], self.sure1[self.prev1]
-        self.context = ((self.c2 == self.c1) * LEVELS + self.s2) * LEVELS + self.s1
+        self.c2, self.c1 = self.two.take(self.slot), self.one.take(self.prev1)
+        self.s2, self.s1 = self.sure2.take(self.slot), self.sure1.take(self.prev1)
+        self.context = (((self.c2 == self.c1).astype(np.int8) * LEVELS + self.s2) * LEVELS + self.s1).astype(np.int64)
         table = self.mix * (MIX_TOTAL - 3) // self.mix.sum(axis=1, keepdims=True) + 1
-        self.at = np.zeros((len(table), 4), np.int64)
-        np.cumsum(table, axis=1, out=self.at[:, 1:])
-        self.at[:, 3] = MIX_TOTAL
-        return self.c2, self.c1, self.at[self.context]
+        begin = np.zeros_like(table)
+        np.cumsum(table[:, :2], axis=1, out=begin[:, 1:])
+        table[:, 2] = MIX_TOTAL - begin[:, 2]
+        self.begin, self.width = begin.astype(U).reshape(-1), table.astype(U).reshape(-1)
+        return self.c2, self.c1, self.context * 3
 
     def update(self, ids: np.ndarray, outcome: np.ndarray) -> None:
         self.mix += np.bincount(self.context * 3 + outcome, minlength=self.mix.size).reshape(self.mix.shape)
@@ -69,12 +75,14 @@ class Model:
             self.mix = (self.mix >> 1) + 1
         for held, sure, slot, guess, level in ((self.two, self.sure2, self.slot, self.c2, self.s2), (self.one, self.sure1, self.prev1, self.c1, self.s1)):
             hit = guess == ids
-            fresh = ~hit & (level == 0)
-            sure[slot] = np.where(hit, np.minimum(level + 1, LEVELS - 1), np.maximum(level - 1, 0))
-            held[slot[fresh]] = ids[fresh]
-        self.counts += COUNT_STEP * np.bincount(ids, minlength=len(self.counts))
+            fresh = np.flatnonzero(~hit & (level == 0))
+            sure[slot] = LEVEL_AFTER.take(level + LEVELS * hit)
+            held[slot.take(fresh)] = ids.take(fresh)
+        self.seen.append(ids)
         self.step += 1
         if self.step % REFRESH == 0 or self.step < 8:
+            self.counts += (COUNT_STEP * np.bincount(np.concatenate(self.seen), minlength=len(self.counts))).astype(np.int32)
+            self.seen = []
             if self.counts.sum() > COUNT_LIMIT:
                 self.counts = (self.counts >> 1) + 1
             np.cumsum(self.counts, out=self.cum[1:])
@@ -92,35 +100,39 @@ def encode_segment(ids: np.ndarray) -> bytes:
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model, low, size = Model(alphabet, lanes), np.zeros(lanes, U), np.full(lanes, (1 << 48) - 1, U)
-    out_lane, out_word, every = [], [], np.arange(lanes)
+    out_lane, out_word = [], []
 
-    def put(at: np.ndarray, lo: np.ndarray, r: np.ndarray) -> None:
-        low[at], size[at] = lo, r
-        while len(at := at[size[at] < LEAST]):
+    def put(at: np.ndarray) -> None:
+        while len(at):
+            lo, r = low.take(at), size.take(at)
             out_lane.append(at.astype(np.uint16))
-            out_word.append((low[at] >> U(32)).astype(np.int64))
-            low[at] = (low[at] & LOW32) << HALF
-            size[at] <<= HALF
+            out_word.append((lo >> U(32)).astype(np.int32))
+            low[at] = (lo & LOW32) << HALF
+            size[at] = r = r << HALF
+            at = at[r < LEAST]
 
     for t in range(steps):
         x = grid[t]
         c2, c1, at = model.predict()
         outcome = np.where(x == c2, 0, np.where(x == c1, 1, 2))
-        start = at[every, outcome].astype(U)
-        width = at[every, outcome + 1].astype(U) - start
-        r = size // U(MIX_TOTAL)
-        put(every, low + r * start, r * width)
+        at += outcome
+        r = size >> MIX_BITS
+        low += r * model.begin.take(at)
+        size = r * model.width.take(at)
+        put(np.flatnonzero(size < LEAST))
         rest = np.flatnonzero(outcome == 2)
         if len(rest):
-            y = x[rest]
-            start = model.cum[y].astype(U)
-            r = size[rest] // U(model.cum[-1])
-            put(rest, low[rest] + r * start, r * (model.cum[y + 1].astype(U) - start))
+            y = x.take(rest)
+            start = model.cum.take(y)
+            r = size.take(rest) // U(model.cum[-1])
+            low[rest] += r * start.astype(U)
+            size[rest] = r = r * (model.cum.take(y + 1) - start).astype(U)
+            put(rest[r < LEAST])
         model.update(x, outcome)
     for shift in (32, 16, 0):
-        out_lane.append(every.astype(np.uint16))
+        out_lane.append(np.arange(lanes, dtype=np.uint16))
         out_word.append((low >> U(32)).astype(np.int64) if shift == 32 else ((low >> U(shift)) & U(0xFFFF)).astype(np.int64))
-    lane, word = np.concatenate(out_lane), np.concatenate(out_word)
+    lane, word = np.concatenate(out_lane), np.concatenate(out_word).astype(np.int64)
     word = word[np.argsort(lane, kind="stable")]
     while len(over := np.flatnonzero(word >> 16)):
         carry = word[over] >> 16
@@ -140,36 +152,53 @@ def decode_segment(data: bytes) -> np.ndarray:
     next_word = np.cumsum(counts) - counts
     code = (words[next_word] << U(32)) | (words[next_word + 1] << HALF) | words[next_word + 2]
     next_word += 3
-    model, size, grid, every = Model(alphabet, lanes), np.full(lanes, (1 << 48) - 1, U), np.zeros((steps, lanes), np.int64), np.arange(lanes)
+    model, size, grid = Model(alphabet, lanes), np.full(lanes, (1 << 48) - 1, U), np.zeros((steps, lanes), np.int64)
 
-    def take(at: np.ndarray, c: np.ndarray, r: np.ndarray) -> None:
-        code[at], size[at] = c, r
-        while len(at := at[size[at] < LEAST]):
-            code[at] = (code[at] << HALF) | words[next_word[at]]
-            next_word[at] += 1
-            size[at] <<= HALF
+    def take(at: np.ndarray) -> None:
+        while len(at):
+            place, r = next_word.take(at), size.take(at)
+            code[at] = (code.take(at) << HALF) | words.take(place)
+            next_word[at] = place + 1
+            size[at] = r = r << HALF
+            at = at[r < LEAST]
 
     for t in range(steps):
         c2, c1, at = model.predict()
-        r = size // U(MIX_TOTAL)
-        v = np.minimum(code // r, U(MIX_TOTAL - 1)).astype(np.int64)
-        outcome = (v >= at[:, 1]).astype(np.int64) + (v >= at[:, 2])
-        start = at[every, outcome].astype(U)
-        take(every, code - r * start, r * (at[every, outcome + 1].astype(U) - start))
-        x = np.where(outcome == 0, c2, c1)
+        r = size >> MIX_BITS
+        outcome = (code >= r * model.begin.take(at + 1)).astype(np.int64)
+        outcome += code >= r * model.begin.take(at + 2)
+        at += outcome
+        code -= r * model.begin.take(at)
+        size = r * model.width.take(at)
+        take(np.flatnonzero(size < LEAST))
+        x = np.where(outcome == 0, c2, c1).astype(np.int64)
         rest = np.flatnonzero(outcome == 2)
         if len(rest):
             total = U(model.cum[-1])
-            r = size[rest] // total
-            y = np.searchsorted(model.cum, np.minimum(code[rest] // r, total - U(1)).astype(np.int64), "right") - 1
-            start = model.cum[y].astype(U)
-            take(rest, code[rest] - r * start, r * (model.cum[y + 1].astype(U) - start))
+            r, c = size.take(rest) // total, code.take(rest)
+            y = np.searchsorted(model.cum, np.minimum(c // r, total - U(1)).astype(model.cum.dtype), "right") - 1
+            start = model.cum.take(y)
+            code[rest] = c - r * start.astype(U)
+            size[rest] = r = r * (model.cum.take(y + 1) - start).astype(U)
+            take(rest[r < LEAST])
             x[rest] = y
         grid[t] = x
         model.update(x, outcome)
     return grid.T.reshape(-1)[:n]
 
 
+class Places(dict):
+    """Words to places; a word that is asked for the first time gets the next place and is kept as new."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = len(self)
+        self.new.append(word)
+        return place
+
+
 class Encoder:
     """Whole texts to ids, word by word from a cache of bounded size. A space or line break between two other characters always
     begins a new piece of the tokenizer, so words can be encoded apart, each with what stands before it; texts with any other white
@@ -178,13 +207,15 @@ class Encoder:
     MOST = 400_000
 
     def __init__(self, path: str) -> None:
+        import os
         import re
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.odd = re.compile(r"\s\s|[^\S \n]|^\s|\s\Z|\0").search
+        self.other_space = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # a byte-level vocabulary writes each byte as one character
@@ -194,14 +225,32 @@ class Encoder:
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def odd(self, text: str) -> bool:
+        """Whether white space stands at an end, next to other white space, or is not a space or line break."""
+        return text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or self.other_space(text) is not None
+
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.starts, self.sizes, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self.known = Places()
+        self.ids, self.starts, self.sizes, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self.uses = np.zeros(1 << 14, np.int32)
+
+    def shrink(self) -> None:
+        """Forget words that were used once, and of the others the rarer ones beyond half the size."""
+        uses = self.uses[: len(self.known)]
+        keep = np.flatnonzero(uses >= 2)
+        keep = keep[np.argsort(-uses[keep], kind="stable")[: self.MOST // 2]]
+        words = list(self.known)
+        self.known = Places()
+        self.known.update(zip((words[i] for i in keep), range(len(keep))))
+        sizes, first = self.sizes[keep], self.starts[keep]
+        starts = np.cumsum(sizes) - sizes
+        self.used = int(sizes.sum())
+        self.ids = self.ids[np.repeat(first - starts, sizes) + np.arange(self.used)]
+        self.sizes, self.starts, self.uses = sizes, starts, np.zeros(len(keep), np.int32)
 
     def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after the other, and how many each has. Words are encoded many at a time, " a b c" or "a\nb\nc"; the bytes that
         each id stands for tell where words end."""
-        words.sort(key=lambda w: w[0] == "\n")
         n = sum(w[0] != "\n" for w in words)
         runs = ["".join(words[i : min(i + 2000, n)]) for i in range(0, n, 2000)] + ["".join(words[i : i + 2000]) for i in range(n, len(words), 2000)]
         ids = np.fromiter(chain.from_iterable(self.plain(runs)), np.int64)
@@ -209,18 +258,20 @@ class Encoder:
         ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(size)) + 1
         return ids, np.diff(ends, prepend=0)
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > self.MOST and self.known:
-            raise MemoryError
-        found, sizes = self.joined(words)
-        total, n = len(found), len(self.known)
-        grow = lambda a, need: a if need <= len(a) else np.concatenate([a, np.zeros(max(need, 2 * len(a)) - len(a), np.int64)])
-        self.ids, self.starts, self.sizes = grow(self.ids, self.used + total), grow(self.starts, n + len(words)), grow(self.sizes, n + len(words))
-        self.ids[self.used : self.used + total] = found
-        self.sizes[n : n + len(words)] = sizes
-        self.starts[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.used += total
-        self.known.update(zip(words, range(n, n + len(words))))
+    def learn(self) -> None:
+        """Encode the words that are new."""
+        words, self.known.new = self.known.new, []
+        for i in range(0, len(words), 20_000):
+            part = sorted(words[i : i + 20_000], key=lambda w: w[0] == "\n")
+            found, sizes = self.joined(part)
+            total, places = len(found), np.fromiter((self.known[w] for w in part), np.int64, len(part))
+            grow = lambda a, need: a if need <= len(a) else np.concatenate([a, np.zeros(max(need, 2 * len(a)) - len(a), a.dtype)])
+            self.ids, self.starts, self.sizes = grow(self.ids, self.used + total), grow(self.starts, len(self.known)), grow(self.sizes, len(self.known))
+            self.uses = grow(self.uses, len(self.known))
+            self.ids[self.used : self.used + total] = found
+            self.sizes[places] = sizes
+            self.starts[places] = self.used + np.cumsum(sizes) - sizes
+            self.used += total
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -241,15 +292,12 @@ class Encoder:
             for i, ids in zip(whole, self.plain([texts[i] for i in whole])):
                 out[i] = np.array(ids, np.int64)
         if words:
-            for attempt in (0, 1):
-                missing = list(set(words) - self.known.keys())
-                try:
-                    if missing:
-                        self.learn(missing)
-                    break
-                except MemoryError:
-                    self.clear()
+            if len(self.known) > self.MOST:
+                self.shrink()
             index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            if self.known.new:
+                self.learn()
+            self.uses[: len(self.known)] += np.bincount(index, minlength=len(self.known)).astype(np.int32)
             sizes, first = self.sizes[index], self.starts[index]
             offsets = np.cumsum(sizes) - sizes
             ids = self.ids[np.repeat(first - offsets, sizes) + np.arange(int(sizes.sum()))]
