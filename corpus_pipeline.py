@@ -4,8 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyloom.llm import mixing
+from skyloom.llm import decontaminate, mixing, neardup, quality, tokens
 from skyloom.llm.common import materialize
+from skyloom.llm.queries import tokenizer_path
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return neardup.keep_one(docs)
+
+
+def decontam(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +29,18 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.take_copies(docs, mixing.mix_sources(docs))
 
 
-STAGES = [("mixing sources to target weights", mix)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mixed documents, read back: doc_id, start, n_tokens, ids_crc32."""
+    return tokens.tokenize_and_read(docs, tokenizer_path(), 2)
+
+
+STAGES = [
+    ("quality classifier", classify),
+    ("MinHash near-dedup", dedup),
+    ("benchmark decontamination", decontam),
+    ("mixing sources to target weights", mix),
+    ("token-ID / binary output", encode),
+]
 ORACLE_SQL = None
 
 

@@ -115,7 +115,7 @@ def across(percent: int, best_only: bool):
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, set_id for every row."""
+    """doc_id, n_shingles, component_id, kept, set_id, th (text hash) for every row."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     rows = materialize(texts.mapInArrow(sketch(k), "doc_id long, th long, n long, set_id long, halves array<long>, sign binary"), "near-sketches")
     sets = materialize(rows.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("at"), F.first("n").alias("n"), F.first("halves").alias("halves"), F.first("sign").alias("sign")), "near-sets")
@@ -157,8 +157,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, *, id_col: s
     named = sets.select("set_id", "first_id").join(comps.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_set = named.join(least, "component").select("set_id", "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(by_set, "set_id", "left").withColumn("component_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "set_id")
+    out = rows.select("doc_id", "th", F.col("n").alias("n_shingles"), "set_id").join(by_set, "set_id", "left").withColumn("component_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "set_id", "th")
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 85, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: the one with the smallest id. Rows without words stay; equal rows of one id are one."""
+    kept = near_duplicates(docs, k, percent, id_col=id_col, text_col=text_col).filter("kept and set_id is not null").select(F.col("doc_id").alias("kept_id"), F.col("th").alias("kept_th")).distinct()
+    rows = docs.withColumn("near_th", F.xxhash64(text_col))
+    full = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    same = rows[id_col].cast("long").eqNullSafe(kept["kept_id"]) & (rows["near_th"] == kept["kept_th"])
+    out = rows.filter(full).join(kept, same, "left_semi").dropDuplicates([id_col, "near_th"])
+    return out.unionByName(rows.filter(~full)).select(*docs.columns)
 
 
 def alike(batches):
