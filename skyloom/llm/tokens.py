@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 
 MAGIC, HEADER = b"TIDB", struct.Struct("<4s4II")
-SEGMENT, LANES, LANE_IDS, SLOTS = 1 << 20, 4096, 256, 1 << 18
+SEGMENT, LANES, LANE_IDS, SLOTS = 1 << 21, 8192, 256, 1 << 18
 LEVELS, MIX_TOTAL, MIX_BITS = 4, 1 << 12, np.uint64(12)
 COUNT_STEP, COUNT_LIMIT, REFRESH = 32, 1 << 22, 8
 U = np.uint64
@@ -204,7 +204,7 @@ class Encoder:
     begins a new piece of the tokenizer, so words can be encoded apart, each with what stands before it; texts with any other white
     space are encoded whole."""
 
-    MOST = 400_000
+    MOST = 1_000_000
 
     def __init__(self, path: str) -> None:
         import os
