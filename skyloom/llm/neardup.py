@@ -2,12 +2,12 @@
 
 Two collections of HALVES short keys (ROWS minima each) are computed for every set; a table key joins one key of either
 collection, so HALVES * HALVES tables of 2 * ROWS minima take 2 * HALVES * ROWS minima in all. At the threshold of 0.85 a pair
-misses every table with a chance of 5e-7. Half keys that no other set holds are dropped before they are combined.
+misses every table with a chance of 8e-7. Half keys that no other set holds are dropped before they are combined.
 
-Equal sets are one node. Pairs come from tables in rounds, each linear in a table's size: first every member with the best of the
-table heads it meets; then, in tables that still span several components, every member with its most alike member of
-another component; last all pairs across components whose signatures are alike enough (96 minima; a pair at the threshold
-falls short with a chance below 1e-5). Tables are split by set-size bands first, which separates no pair that could be
+Equal sets are one node. Pairs come from tables in rounds: first every member with the best of the table heads it meets; then, in tables
+that still span several components, all pairs across components of small tables, and in large ones every member with its most
+alike member of another component; last all pairs across components whose signatures are alike enough (160 minima, 112 of them equal; a pair at
+the threshold falls short with a chance of 4e-7). Large tables are split by set-size bands first, which separates no pair that could be
 linked. Every pair is confirmed on the two full sets before it becomes a link.
 
 Defined results: a text without words (or null) has an empty set, is linked with nothing and kept; fewer words than a
@@ -20,7 +20,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +27,11 @@ from pyspark.sql import functions as F
 from .common import MASK, gram_hashes, materialize, mix64, text_chunks, word_hashes
 from .graph import components
 
-HALVES, ROWS = 16, 3
+HALVES, ROWS = 20, 4
 MINIMA = 2 * HALVES * ROWS
-ALIKE = 64
+#: Tables up to so many members are paired by a join, larger ones by size bands.
+SMALL = 24
+ALIKE = 112
 SEEDS = mix64(np.arange(1, 2 * MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
 XOR, ODD = SEEDS[:MINIMA], SEEDS[MINIMA:] | np.uint32(1)
 
@@ -94,22 +95,24 @@ def confirm(k: int, percent: int):
 
 
 def across(percent: int, best_only: bool):
-    """Within one table and size band: alike pairs of different components; for ``best_only`` each member's most alike one."""
+    """For each row, one large table's size band as a list of (set_id, component, n, sign): alike pairs of different components; for
+    ``best_only`` each member's most alike one."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("set_id")
-        ids, comp, n = (group[c].to_numpy() for c in ("set_id", "component", "n"))
-        sign = np.frombuffer(b"".join(group["sign"]), np.uint8).reshape(len(group), MINIMA)
-        main = pd.Series(comp).mode()[0]
-        out = []
-        for i in np.flatnonzero(comp != main):
-            same = (sign == sign[i]).sum(axis=1)
-            ok = (comp != comp[i]) & (same >= ALIKE) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-            found = np.flatnonzero(ok)
-            if best_only and len(found):
-                found = found[[np.lexsort((ids[found], -same[found]))[0]]]
-            out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in found]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"]).astype("int64")
+    def run(batches):
+        for batch in batches:
+            for held in batch.column(0):
+                rows = held.values
+                ids, comp, n = (rows.field(c).to_numpy() for c in ("set_id", "component", "n"))
+                sign = np.frombuffer(b"".join(rows.field("sign").to_pylist()), np.uint8).reshape(len(ids), MINIMA)
+                _, place, times = np.unique(comp, return_inverse=True, return_counts=True)
+                for i in np.flatnonzero(place != times.argmax()):
+                    near = np.flatnonzero((comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+                    same = (sign[near] == sign[i]).sum(axis=1)
+                    near, same = near[same >= ALIKE], same[same >= ALIKE]
+                    if best_only and len(near):
+                        near = near[[np.lexsort((ids[near], -same))[0]]]
+                    if len(near):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[near])), pa.array(np.maximum(ids[i], ids[near]))], names=["a", "b"])
 
     return run
 
@@ -124,14 +127,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, *, id_col: s
     own = halves.join(shared, "key").groupBy("set_id").agg(F.collect_list(F.when(F.col("half") < HALVES, F.col("key"))).alias("one"), F.collect_list(F.when(F.col("half") >= HALVES, F.col("key"))).alias("two"))
     tables = own.select("set_id", F.explode("one").alias("x"), "two").select("set_id", "x", F.explode("two").alias("y")).select("set_id", F.xxhash64("x", "y").alias("table"))
     tables = materialize(tables, "near-tables")
-    heads = tables.groupBy("table").agg(F.min("set_id").alias("head"), F.count("*").alias("c")).filter("c > 1").select("table", "head")
+    heads = tables.groupBy("table").agg(F.min("set_id").alias("head"), F.count("*").alias("c")).filter("c > 1")
     tables = materialize(tables.join(heads, "table"), "near-tables")
     marks = sets.select("set_id", "n", "sign")
     met = tables.select(F.col("set_id").alias("b"), F.col("head").alias("a")).filter("a <> b").distinct()
     side = lambda c: marks.select(F.col("set_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sign").alias(f"sign_{c}"))
-    sized = met.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    same = sized.mapInArrow(alike, "a long, b long, alike int").filter(F.col("alike") >= ALIKE)
-    pairs = same.groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a")).select("a", "b")
+    def alike_pairs(pairs: DataFrame) -> DataFrame:
+        sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        return sized.mapInArrow(alike, "a long, b long, alike int").filter(F.col("alike") >= ALIKE).select("a", "b", "alike")
+
+    pairs = alike_pairs(met).groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a")).select("a", "b")
     wanted = tables.select("set_id").distinct().join(sets.select("set_id", F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th")), "set_id")
     found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["th"] == wanted["th"])).select("set_id", "text")
     found = materialize(found.dropDuplicates(["set_id"]), "near-texts")
@@ -142,17 +147,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, *, id_col: s
 
     checked = linked(pairs)
     step = 1 / math.log(100 / percent)
+
     for best_only in (True, False):
         comps = components(checked.filter("linked"))
         named = tables.join(comps.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
         mixed = named.groupBy("table").agg((F.min("component") < F.max("component")).alias("open")).filter("open").select("table")
-        rest = named.join(mixed, "table").select("table", "set_id", "component").join(marks, "set_id")
+        rest = materialize(named.join(mixed, "table").select("table", "set_id", "component", "c"), "near-open")
         band = F.floor(F.log(F.col("n").cast("double")) * step)
-        rest = rest.withColumn("band", F.explode(F.array(band, band + 1)))
-        pairs = rest.groupBy("table", "band").applyInPandas(across(percent, best_only), "a long, b long").distinct()
-        pairs = materialize(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs")
+        large = rest.filter(F.col("c") > SMALL).join(marks, "set_id").withColumn("band", F.explode(F.array(band, band + 1)))
+        pairs = large.groupBy("table", "band").agg(F.collect_list(F.struct("set_id", "component", "n", "sign")).alias("held")).select("held").mapInArrow(across(percent, best_only), "a long, b long")
+        if best_only:
+            small = rest.filter(F.col("c") <= SMALL)
+            one, two = (small.select("table", F.col("set_id").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
+            met = one.join(two, "table").filter("a < b and c_a <> c_b").select("a", "b").distinct()
+            pairs = pairs.union(alike_pairs(met).select("a", "b"))
+        pairs = materialize(pairs.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs")
         if not pairs.isEmpty():
             checked = materialize(checked.union(linked(pairs)), "near-links")
+        if large.isEmpty():
+            break
     comps = components(checked.filter("linked"))
     named = sets.select("set_id", "first_id").join(comps.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
