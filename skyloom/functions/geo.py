@@ -325,11 +325,14 @@ def precess(ra, dec, t_us) -> tuple[Column, Column]:
     return F.atan2(a, b) + z, F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), k)))
 
 
-def sidereal_rates(raw0, raw1, o0, o1, roll, pitch, lat_deg) -> tuple[Column, Column]:
-    """Axis rates (rad/s) that follow the sky from where the mount points: the direction turns about the celestial pole for one second."""
-    d = mount_dir(raw0, raw1, o0, o1, roll, pitch)
+def with_sidereal_rates(df, raw0, raw1, o0, o1, roll, pitch, lat_deg):
+    """df with rate0, rate1 (rad/s) that follow the sky from where the mount points: the direction turns about the celestial pole for one
+    second. The direction is a column of its own in between, so that its expression is not repeated."""
     lat = F.radians(c(lat_deg))
     pole = (F.cos(lat), F.lit(0.0), F.sin(lat))
-    later = rodrigues(d, pole, F.lit(-2 * PI / 86164.0905))
-    now, then = mount_raw(d, o0, o1, roll, pitch), mount_raw(later, o0, o1, roll, pitch)
-    return wrap_pi(then[0] - now[0]), wrap_pi(then[1] - now[1])
+    pack = lambda v: F.struct(*[x.alias(n) for x, n in zip(v, "xyz")])
+    part = lambda n: tuple(F.col(f"{n}.{a}") for a in "xyz")
+    out = df.withColumn("sky_now", pack(mount_dir(raw0, raw1, o0, o1, roll, pitch)))
+    out = out.withColumn("sky_then", pack(rodrigues(part("sky_now"), pole, F.lit(-2 * PI / 86164.0905))))
+    now, then = mount_raw(part("sky_now"), o0, o1, roll, pitch), mount_raw(part("sky_then"), o0, o1, roll, pitch)
+    return out.withColumns({"rate0": wrap_pi(then[0] - now[0]), "rate1": wrap_pi(then[1] - now[1])}).drop("sky_now", "sky_then")

@@ -119,7 +119,12 @@ scalar("split_magnitude", "v_stars", "hip", lambda: {"each": g.split_magnitude("
 SPIRAL = "(sqrt(2/(2*pi())*0.3e0*k)*2*pi())"
 scalar("spiral_offset", "v_pose", "seq", lambda: named("dx dy", g.spiral_offset("k", 0.3, 2.0, 1.5)), {"dx": f"{SPIRAL}/(2*pi())*cos({SPIRAL})*2", "dy": f"{SPIRAL}/(2*pi())*sin({SPIRAL})*1.5e0"})
 #: With the mount level and at the pole both axes are those of the sky: the first turns at the sidereal rate.
-scalar("sidereal_rates", "v_pose", "seq", lambda: named("r0 r1", [x * 1e4 for x in g.sidereal_rates("az", A("alt") * 0.9, 0.0, 0.0, 0.0, 0.0, 90.0)]), {"r0": "-2*pi()/86164.0905e0*1e4", "r1": "0e0"})
+@query("sidereal_rates", "v_pose", sql="SELECT seq, (round(-2*pi()/86164.0905e0*1e4, 6) + 0e0) AS r0, 0e0 AS r1 FROM v_pose")
+def sidereal_rates(pose):
+    out = g.with_sidereal_rates(pose.withColumn("alt", A("alt") * 0.9), "az", "alt", 0.0, 0.0, 0.0, 0.0, 90.0)
+    return out.select("seq", (F.round(A("rate0") * 1e4, 6) + 0.0).alias("r0"), (F.round(A("rate1") * 1e4, 6) + 0.0).alias("r1"))
+
+
 scalar("srgb_encode", "v_pixels", "role, idx, y, x", lambda: {"s": g.srgb_encode(A("v") / 65535)}, {"s": "CASE WHEN v/65535e0 <= 0.04045e0/12.92e0 THEN 12.92e0*(v/65535e0) ELSE 1.055e0*pow(v/65535e0, 1/2.4e0)-0.055e0 END"})
 scalar("gamma_encode", "v_pixels", "role, idx, y, x", lambda: {"s": g.gamma_encode("v", 65535.0, 4.0, 2.2)}, {"s": "pow(greatest(0, least(1, v*4/65535e0)), 1/2.2e0)"})
 scalar("full_scale", "v_stars", "hip", lambda: {"fs": g.full_scale(A("hip") % 16 + 1, A("hip") % 12).cast("double")}, {"fs": "CAST(CASE WHEN hip % 16 + 1 <= 8 THEN 255 ELSE 65535 END * CASE WHEN hip % 12 BETWEEN 8 AND 11 THEN 4 ELSE 1 END AS DOUBLE)"})

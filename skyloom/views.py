@@ -42,4 +42,5 @@ def with_views(sql: str) -> str:
     """DuckDB SQL with the views it names put before it."""
     used = [v for v in TABLES if v in sql]
     head = ", ".join(f"{v} AS ({text(v, 'duckdb')})" for v in used)
-    return (f"WITH {head}{', ' if sql.lstrip().startswith('WITH ') else ' '}{sql.lstrip().removeprefix('WITH ')}" if used else sql)
+    sql, start = sql.lstrip(), "WITH RECURSIVE " if sql.lstrip().startswith("WITH RECURSIVE ") else "WITH "
+    return f"{start}{head}{', ' if sql.startswith(start) else ' '}{sql.removeprefix(start)}" if used else sql
