@@ -227,6 +227,8 @@ def mount_dir(raw0, raw1, o0, o1, roll, pitch, nonperp=0.0, collimation=0.0, ref
     v = turn_z((F.lit(1.0), F.lit(0.0), F.lit(0.0)), collimation)
     v = turn_y(v, -(c(raw1) - c(o1)))
     v = turn_z(turn_x(v, nonperp), c(raw0) - c(o0))
+    if refraction is None:  # neither tilt nor refraction
+        return v
     v = turn_y(turn_x(v, roll), pitch)
     az, alt = dir_to_azalt(v)
     return azalt_to_dir(az, refract_true(alt, refraction))
@@ -325,14 +327,29 @@ def precess(ra, dec, t_us) -> tuple[Column, Column]:
     return F.atan2(a, b) + z, F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), k)))
 
 
+def pack(v: V3) -> Column:
+    return F.struct(*[x.alias(n) for x, n in zip(v, "xyz")])
+
+
+def unpack(name: str) -> V3:
+    return tuple(F.col(f"{name}.{a}") for a in "xyz")
+
+
+def with_mount_dir(df, into: str, raw0, raw1, o0, o1, roll, pitch, nonperp=0.0, collimation=0.0, refraction=0.0):
+    """df with ``mount_dir`` as a struct column, built in steps that are columns of their own, so that no expression is repeated."""
+    out = df.withColumn("mount_v", pack(mount_dir(raw0, raw1, o0, o1, 0.0, 0.0, nonperp, collimation, None)))
+    out = out.withColumn("mount_v", pack(turn_y(turn_x(unpack("mount_v"), roll), pitch)))
+    out = out.withColumn("mount_a", F.struct(*[x.alias(n) for x, n in zip(dir_to_azalt(unpack("mount_v")), ("az", "alt"))]))
+    out = out.withColumn("mount_a", F.struct("mount_a.az", refract_true(F.col("mount_a.alt"), refraction).alias("alt")))
+    return out.withColumn(into, pack(azalt_to_dir("mount_a.az", "mount_a.alt"))).drop("mount_v", "mount_a")
+
+
 def with_sidereal_rates(df, raw0, raw1, o0, o1, roll, pitch, lat_deg):
     """df with rate0, rate1 (rad/s) that follow the sky from where the mount points: the direction turns about the celestial pole for one
     second. The direction is a column of its own in between, so that its expression is not repeated."""
     lat = F.radians(c(lat_deg))
     pole = (F.cos(lat), F.lit(0.0), F.sin(lat))
-    pack = lambda v: F.struct(*[x.alias(n) for x, n in zip(v, "xyz")])
-    part = lambda n: tuple(F.col(f"{n}.{a}") for a in "xyz")
-    out = df.withColumn("sky_now", pack(mount_dir(raw0, raw1, o0, o1, roll, pitch)))
-    out = out.withColumn("sky_then", pack(rodrigues(part("sky_now"), pole, F.lit(-2 * PI / 86164.0905))))
-    now, then = mount_raw(part("sky_now"), o0, o1, roll, pitch), mount_raw(part("sky_then"), o0, o1, roll, pitch)
+    out = with_mount_dir(df, "sky_now", raw0, raw1, o0, o1, roll, pitch)
+    out = out.withColumn("sky_then", pack(rodrigues(unpack("sky_now"), pole, F.lit(-2 * PI / 86164.0905))))
+    now, then = mount_raw(unpack("sky_now"), o0, o1, roll, pitch), mount_raw(unpack("sky_then"), o0, o1, roll, pitch)
     return out.withColumns({"rate0": wrap_pi(then[0] - now[0]), "rate1": wrap_pi(then[1] - now[1])}).drop("sky_now", "sky_then")

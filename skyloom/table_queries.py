@@ -142,7 +142,7 @@ def peak_ema(pixels):
 
 
 @query("ema_background_diff", "v_pixels", sql=f"""WITH RECURSIVE b AS (SELECT role, y, x, idx, v, CAST(v AS DOUBLE) AS bg, 0e0 AS d FROM v_pixels WHERE idx = 0
-UNION ALL SELECT p.role, p.y, p.x, p.idx, p.v, b.bg + 0.1e0*(p.v - b.bg), abs(p.v - b.bg) FROM b JOIN v_pixels p ON p.role = b.role AND p.y = b.y AND p.x = b.x AND p.idx = b.idx + 1 WHERE p.idx < 12)
+UNION ALL SELECT p.role, p.y, p.x, p.idx, p.v, b.bg + 0.125e0*(p.v - b.bg), abs(p.v - b.bg) FROM b JOIN v_pixels p ON p.role = b.role AND p.y = b.y AND p.x = b.x AND p.idx = b.idx + 1 WHERE p.idx < 12)
 SELECT role, y, x, idx, {s6('d')} AS d FROM b""")
 def ema_background_diff(pixels):
     """Difference from an exponentially averaged background, over the first frames of each role."""
@@ -153,7 +153,7 @@ def ema_background_diff(pixels):
     def step(s, r):
         v = r["v"].cast("double")
         bg = F.coalesce(s["bg"], v)
-        return F.struct((bg + 0.1 * (v - bg)).alias("bg"), F.concat(s["out"], F.array(F.struct(r["idx"].cast("bigint").alias("idx"), F.abs(v - bg).alias("d")))).alias("out")).cast(kind)
+        return F.struct((bg + 0.125 * (v - bg)).alias("bg"), F.concat(s["out"], F.array(F.struct(r["idx"].cast("bigint").alias("idx"), F.abs(v - bg).alias("d")))).alias("out")).cast(kind)
 
     out = rows.select("role", "y", "x", F.explode(F.aggregate("rows", init, step)["out"]).alias("o"))
     return out.select("role", "y", "x", "o.idx", r6("o.d").alias("d"))
