@@ -4,8 +4,8 @@ Two collections of HALVES short keys (ROWS minima each) are computed for every s
 collection, so HALVES * HALVES tables of 2 * ROWS minima take 2 * HALVES * ROWS minima in all. At the threshold of 0.85 a pair
 misses every table with a chance of 8e-7. Half keys that no other set holds are dropped before they are combined.
 
-Equal sets are one node. Pairs come from tables in rounds: first every member with the best of the table heads it meets; then, in tables
-that still span several components, all pairs across components of small tables, and in large ones every member with its most
+Equal sets are one node. Pairs come in rounds: first every set with the most alike of the heads of its half keys, which links most copies
+at a cost linear in their number; only half keys that still span several components go into tables; then, in tables that span several, all pairs across components of small tables, and in large ones every member with its most
 alike member of another component; last all pairs across components whose signatures are alike enough (160 minima, 112 of them equal; a pair at
 the threshold falls short with a chance of 4e-7). Large tables are split by set-size bands first, which separates no pair that could be
 linked. Every pair is confirmed on the two full sets before it becomes a link.
@@ -51,30 +51,24 @@ def shingle_sets(column, k: int):
 
 
 def sketch(k: int):
-    """id, text hash, n_shingles, set_id, half keys, signature."""
+    """id, text hash, n_shingles, set_id and half keys: each packs ROWS minima of 16 bits, so together they are the signature."""
 
     def run(batches):
-        scale = np.array([pow(0xC2B2AE3D27D4EB4F, r, 1 << 64) & MASK for r in range(1, ROWS + 1)], np.uint64)
-        names = mix64(np.arange(1, 2 * HALVES + 1, dtype=np.uint64))
         for batch in batches:
             for i, sets in shingle_sets(batch.column(2), k):
                 sizes = np.array([len(s) for s in sets])
                 full = np.flatnonzero(sizes)
                 set_ids = np.zeros(len(sets), np.int64)
-                halves = np.zeros((len(sets), 2 * HALVES), np.int64)
-                signs = np.zeros((len(sets), MINIMA), np.uint8)
+                minima = np.zeros((len(sets), MINIMA), np.uint16)
                 if len(full):
                     h = np.concatenate([sets[r] for r in full])
                     starts = np.cumsum(sizes[full]) - sizes[full]
                     set_ids[full] = mix64(np.add.reduceat(mix64(h.copy()), starts) + sizes[full].astype(np.uint64)).view(np.int64)
                     low = (h >> np.uint64(32)).astype(np.uint32)
-                    minima = np.stack([np.minimum.reduceat((low ^ x) * a, starts) for x, a in zip(XOR, ODD)], axis=1)
-                    signs[full] = (minima >> np.uint32(11)).astype(np.uint8)
-                    keys = (minima.reshape(len(full), 2 * HALVES, ROWS).astype(np.uint64) * scale).sum(axis=2, dtype=np.uint64) + names
-                    halves[full] = mix64(keys).view(np.int64)
-                empty = sizes == 0
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * 2 * HALVES, pa.int32()), pa.array(halves.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), batch.column(1).slice(i, len(sets)), pa.array(sizes.astype(np.int64)), pa.array(set_ids, mask=empty), lists, pa.array([s.tobytes() for s in signs], pa.binary())], names=["doc_id", "th", "n", "set_id", "halves", "sign"])
+                    least = np.stack([np.minimum.reduceat((low ^ x) * a, starts) for x, a in zip(XOR, ODD)], axis=1)
+                    minima[full] = (least * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * 2 * HALVES, pa.int32()), pa.array(minima.view(np.int64).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), batch.column(1).slice(i, len(sets)), pa.array(sizes.astype(np.int64)), pa.array(set_ids, mask=sizes == 0), lists], names=["doc_id", "th", "n", "set_id", "halves"])
 
     return run
 
@@ -95,19 +89,22 @@ def confirm(k: int, percent: int):
 
 
 def across(percent: int, best_only: bool):
-    """For each row, one large table's size band as a list of (set_id, component, n, sign): alike pairs of different components; for
+    """For each row, one large table's size band: alike pairs of different components, each pair only in the first table that holds both; for
     ``best_only`` each member's most alike one."""
 
     def run(batches):
         for batch in batches:
-            for held in batch.column(0):
+            for one, two, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 rows = held.values
                 ids, comp, n = (rows.field(c).to_numpy() for c in ("set_id", "component", "n"))
-                sign = np.frombuffer(b"".join(rows.field("sign").to_pylist()), np.uint8).reshape(len(ids), MINIMA)
+                keys = rows.field("halves").flatten().to_numpy().reshape(len(ids), 2 * HALVES)
+                minima = np.ascontiguousarray(keys).view(np.uint16)
                 _, place, times = np.unique(comp, return_inverse=True, return_counts=True)
                 for i in np.flatnonzero(place != times.argmax()):
                     near = np.flatnonzero((comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-                    same = (sign[near] == sign[i]).sum(axis=1)
+                    equal = keys[near] == keys[i]
+                    near = near[(equal[:, :HALVES].argmax(axis=1) == one) & (equal[:, HALVES:].argmax(axis=1) == two - HALVES)]
+                    same = (minima[near] == minima[i]).sum(axis=1)
                     near, same = near[same >= ALIKE], same[same >= ALIKE]
                     if best_only and len(near):
                         near = near[[np.lexsort((ids[near], -same))[0]]]
@@ -120,56 +117,64 @@ def across(percent: int, best_only: bool):
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept, set_id, th (text hash) for every row."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    rows = materialize(texts.mapInArrow(sketch(k), "doc_id long, th long, n long, set_id long, halves array<long>, sign binary"), "near-sketches")
-    sets = materialize(rows.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("at"), F.first("n").alias("n"), F.first("halves").alias("halves"), F.first("sign").alias("sign")), "near-sets")
+    rows = materialize(texts.mapInArrow(sketch(k), "doc_id long, th long, n long, set_id long, halves array<long>"), "near-sketches")
+    sets = materialize(rows.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("at"), F.first("n").alias("n"), F.first("halves").alias("halves")), "near-sets")
     halves = sets.select("set_id", F.posexplode("halves").alias("half", "key"))
-    shared = halves.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    own = halves.join(shared, "key").groupBy("set_id").agg(F.collect_list(F.when(F.col("half") < HALVES, F.col("key"))).alias("one"), F.collect_list(F.when(F.col("half") >= HALVES, F.col("key"))).alias("two"))
-    tables = own.select("set_id", F.explode("one").alias("x"), "two").select("set_id", "x", F.explode("two").alias("y")).select("set_id", F.xxhash64("x", "y").alias("table"))
-    tables = materialize(tables, "near-tables")
-    heads = tables.groupBy("table").agg(F.min("set_id").alias("head"), F.count("*").alias("c")).filter("c > 1")
-    tables = materialize(tables.join(heads, "table"), "near-tables")
-    marks = sets.select("set_id", "n", "sign")
-    met = tables.select(F.col("set_id").alias("b"), F.col("head").alias("a")).filter("a <> b").distinct()
-    side = lambda c: marks.select(F.col("set_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sign").alias(f"sign_{c}"))
+    heads = halves.groupBy("half", "key").agg(F.count("*").alias("c"), F.min("set_id").alias("head")).filter("c > 1").select("half", "key", "head")
+    shared = materialize(halves.join(heads, ["half", "key"]), "near-halves")
+    marks = sets.select("set_id", "n", "halves")
+    side = lambda c: marks.select(F.col("set_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("halves").alias(f"halves_{c}"))
+
     def alike_pairs(pairs: DataFrame) -> DataFrame:
         sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        return sized.mapInArrow(alike, "a long, b long, alike int").filter(F.col("alike") >= ALIKE).select("a", "b", "alike")
+        return sized.mapInArrow(alike, "a long, b long, alike int").filter(F.col("alike") >= ALIKE)
 
-    pairs = alike_pairs(met).groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a")).select("a", "b")
-    wanted = tables.select("set_id").distinct().join(sets.select("set_id", F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th")), "set_id")
-    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["th"] == wanted["th"])).select("set_id", "text")
-    found = materialize(found.dropDuplicates(["set_id"]), "near-texts")
+    met = shared.filter("set_id <> head").select(F.col("head").alias("a"), F.col("set_id").alias("b")).distinct()
+    pairs = materialize(alike_pairs(met).groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a")).select("a", "b"), "near-pairs")
 
     def linked(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().join(sets.select("set_id", F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th")), "set_id")
+        found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["th"] == wanted["th"])).select("set_id", "text")
+        found = materialize(found.dropDuplicates(["set_id"]), "near-texts")
         left, right = found.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), found.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
         return materialize(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(confirm(k, percent), "a long, b long, linked boolean"), "near-links")
 
+    def named(df: DataFrame) -> DataFrame:
+        comps = components(checked.filter("linked")).withColumnRenamed("node", "set_id")
+        return df.join(comps, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+
+    def spanning(df: DataFrame, *keys: str) -> DataFrame:
+        """Rows of the groups that hold several components, with the group's size."""
+        mixed = df.groupBy(*keys).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).filter("lo < hi").select(*keys, "c")
+        return df.join(mixed, list(keys))
+
     checked = linked(pairs)
+    still = spanning(named(shared.select("set_id", "half", "key")), "half", "key")
+    of = lambda first: F.collect_list(F.when((F.col("half") < HALVES) if first else (F.col("half") >= HALVES), F.struct("half", "key")))
+    own = still.groupBy("set_id").agg(of(True).alias("one"), of(False).alias("two"))
+    tables = own.select("set_id", F.explode("one").alias("x"), "two").select("set_id", "x", F.explode("two").alias("y"))
+    tables = tables.select("set_id", F.col("x.half").alias("one"), F.col("y.half").alias("two"), F.xxhash64("x", "y").alias("table"))
+    tables = materialize(spanning(named(tables), "table"), "near-tables").drop("component", "c")
     step = 1 / math.log(100 / percent)
-
     for best_only in (True, False):
-        comps = components(checked.filter("linked"))
-        named = tables.join(comps.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-        mixed = named.groupBy("table").agg((F.min("component") < F.max("component")).alias("open")).filter("open").select("table")
-        rest = materialize(named.join(mixed, "table").select("table", "set_id", "component", "c"), "near-open")
+        rest = materialize(spanning(named(tables), "table"), "near-open")
         band = F.floor(F.log(F.col("n").cast("double")) * step)
         large = rest.filter(F.col("c") > SMALL).join(marks, "set_id").withColumn("band", F.explode(F.array(band, band + 1)))
-        pairs = large.groupBy("table", "band").agg(F.collect_list(F.struct("set_id", "component", "n", "sign")).alias("held")).select("held").mapInArrow(across(percent, best_only), "a long, b long")
+        pairs = large.groupBy("table", "one", "two", "band").agg(F.collect_list(F.struct("set_id", "component", "n", "halves")).alias("held")).select("one", "two", "held").mapInArrow(across(percent, best_only), "a long, b long")
         if best_only:
             small = rest.filter(F.col("c") <= SMALL)
-            one, two = (small.select("table", F.col("set_id").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
-            met = one.join(two, "table").filter("a < b and c_a <> c_b").select("a", "b").distinct()
-            pairs = pairs.union(alike_pairs(met).select("a", "b"))
-        pairs = materialize(pairs.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs")
+            x, y = (small.select("table", F.col("set_id").alias(q), F.col("component").alias(f"c_{q}")) for q in "ab")
+            both = x.join(y, "table").filter("a < b and c_a <> c_b").select("a", "b").distinct()
+            pairs = pairs.union(alike_pairs(both).select("a", "b"))
+        pairs = materialize(pairs.distinct().join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "near-pairs")
         if not pairs.isEmpty():
             checked = materialize(checked.union(linked(pairs)), "near-links")
         if large.isEmpty():
             break
     comps = components(checked.filter("linked"))
-    named = sets.select("set_id", "first_id").join(comps.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_set = named.join(least, "component").select("set_id", "component_id")
+    by_comp = sets.select("set_id", "first_id").join(comps.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    least = by_comp.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    by_set = by_comp.join(least, "component").select("set_id", "component_id")
     out = rows.select("doc_id", "th", F.col("n").alias("n_shingles"), "set_id").join(by_set, "set_id", "left").withColumn("component_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "set_id", "th")
 
@@ -188,5 +193,5 @@ def alike(batches):
     """a, b and the number of equal minima of two signatures."""
     for batch in batches:
         c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        x, y = (np.frombuffer(b"".join(c[s].to_pylist()), np.uint8).reshape(-1, MINIMA) for s in ("sign_a", "sign_b"))
+        x, y = (np.ascontiguousarray(c[s].flatten().to_numpy()).view(np.uint16).reshape(-1, MINIMA) for s in ("halves_a", "halves_b"))
         yield pa.RecordBatch.from_arrays([c["a"], c["b"], pa.array((x == y).sum(axis=1).astype(np.int32))], names=["a", "b", "alike"])
