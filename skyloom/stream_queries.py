@@ -58,7 +58,7 @@ def stream_lock_sessions(spark, sf_dir):
 def stream_aircraft(spark, sf_dir):
     fixes = stream_view(spark, sf_dir, "v_fixes").select("url", "seq", "t_us", A("lat_deg").alias("x"), A("lon_deg").alias("y"), A("h_m").alias("z"))
     out = jobs.run_to_end(jobs.stream_kinematics(fixes), "aircraft")
-    return out.select("url", "seq", *[r6(A(f"v{a}") * 1e6).alias(f"v{a}") for a in "xyz"], *[r6(A(f"a{a}") * 1e9).alias(f"a{a}") for a in "xyz"])
+    return out.select("url", "seq", *[r6(A(f"v{a}")).alias(f"v{a}") for a in "xyz"], *[r6(A(f"a{a}") * 1e3).alias(f"a{a}") for a in "xyz"])
 
 
 @register("stream_track", ORACLES["lock_status"])

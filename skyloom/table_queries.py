@@ -84,10 +84,10 @@ def axis_rates(pose):
 
 
 @query("target_kinematics", "v_fixes", sql=f"""WITH a AS (SELECT *, {DT} AS dt, (lat_deg - lag(lat_deg) OVER w)/{DT} AS vx, (lon_deg - lag(lon_deg) OVER w)/{DT} AS vy, (h_m - lag(h_m) OVER w)/{DT} AS vz FROM v_fixes WINDOW w AS (PARTITION BY url ORDER BY t_us, seq))
-SELECT url, seq, {', '.join(s6(f'1e6*v{a}') + f' AS v{a}' for a in 'xyz')}, {', '.join(s6(f'1e9*(v{a} - lag(v{a}) OVER w)/dt') + f' AS a{a}' for a in 'xyz')} FROM a WINDOW w AS (PARTITION BY url ORDER BY t_us, seq)""")
+SELECT url, seq, {', '.join(s6(f'v{a}') + f' AS v{a}' for a in 'xyz')}, {', '.join(s6(f'1e3*(v{a} - lag(v{a}) OVER w)/dt') + f' AS a{a}' for a in 'xyz')} FROM a WINDOW w AS (PARTITION BY url ORDER BY t_us, seq)""")
 def target_kinematics(fixes):
     out = ts.kinematics(fixes.select("url", "seq", "t_us", A("lat_deg").alias("x"), A("lon_deg").alias("y"), A("h_m").alias("z")))
-    return out.select("url", "seq", *[r6(A(f"v{a}") * 1e6).alias(f"v{a}") for a in "xyz"], *[r6(A(f"a{a}") * 1e9).alias(f"a{a}") for a in "xyz"])
+    return out.select("url", "seq", *[r6(A(f"v{a}")).alias(f"v{a}") for a in "xyz"], *[r6(A(f"a{a}") * 1e3).alias(f"a{a}") for a in "xyz"])
 
 
 @query("path_gradient", "v_fixes", sql=f"""WITH a AS (SELECT *, lag(h_m) OVER w AS b, lead(h_m) OVER w AS n, first_value(t_us) OVER w AS t0, nth_value(t_us, 2) OVER (PARTITION BY url ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS t1 FROM v_fixes WINDOW w AS (PARTITION BY url ORDER BY seq))
