@@ -108,7 +108,7 @@ def take_copies(docs: DataFrame, plan: DataFrame, *, id_col: str = "doc_id", sou
     alike = Window.partitionBy(*keys)
     rows = docs.withColumns({"mix_id": F.col(id_col), "mix_sk": source_key(F.col(source_col)), "mix_size": word_count(F.col(text_col))})
     rows = rows.withColumn("mix_rank", F.row_number().over(alike.orderBy(F.col(text_col))))
-    counts = plan.select(F.col("doc_id").alias("mix_id"), F.col("sk").alias("mix_sk"), F.col("size").alias("mix_size"), "copies").withColumn("mix_rank", F.row_number().over(alike.orderBy(F.desc("copies"))))
+    counts = plan.select(F.col("doc_id").alias("mix_id"), F.col("sk").alias("mix_sk"), F.col("size").alias("mix_size"), F.col("copies").alias("mix_copies")).withColumn("mix_rank", F.row_number().over(alike.orderBy(F.desc("mix_copies"))))
     same = (rows["mix_id"].eqNullSafe(counts["mix_id"])) & (rows["mix_sk"] == counts["mix_sk"]) & (rows["mix_size"] == counts["mix_size"]) & (rows["mix_rank"] == counts["mix_rank"])
-    out = rows.join(counts, same).filter("copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    out = rows.join(counts, same).filter("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
     return out.select(*[rows[c] for c in docs.columns])
