@@ -4,10 +4,11 @@ Two collections of HALVES short keys (ROWS minima each) are computed for every s
 collection, so HALVES * HALVES tables of 2 * ROWS minima take 2 * HALVES * ROWS minima in all. At the threshold of 0.85 a pair
 misses every table with a chance of 8e-7. Half keys that no other set holds are dropped before they are combined.
 
-Equal sets are one node. Pairs come in rounds: first every set with the most alike of the heads of its half keys, which links most copies
-at a cost linear in their number; only half keys that still span several components go into tables; then, in tables that span several, all pairs across components of small tables, and in large ones every member with its most
-alike member of another component; last all pairs across components whose signatures are alike enough (160 minima, 112 of them equal; a pair at
-the threshold falls short with a chance of 4e-7). Large tables are split by set-size bands first, which separates no pair that could be
+Equal sets are one node. Pairs come in rounds: first every set with the head that shares most of its half keys,
+which links most copies with one pair a set; only half keys that still span several components go into tables; then, in tables that
+span several, all pairs across components of small tables, and in large ones every member with its most alike member of another
+component; last all pairs across components whose signatures are alike enough (160 minima, 112 of them equal; a pair at the
+threshold falls short with a chance of 4e-7). Large tables are split by set-size bands first, which separates no pair that could be
 linked. Every pair is confirmed on the two full sets before it becomes a link.
 
 Defined results: a text without words (or null) has an empty set, is linked with nothing and kept; fewer words than a
@@ -129,8 +130,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, *, id_col: s
         sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
         return sized.mapInArrow(alike, "a long, b long, alike int").filter(F.col("alike") >= ALIKE)
 
-    met = shared.filter("set_id <> head").select(F.col("head").alias("a"), F.col("set_id").alias("b")).distinct()
-    pairs = materialize(alike_pairs(met).groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a")).select("a", "b"), "near-pairs")
+    met = shared.filter("set_id <> head").groupBy(F.col("head").alias("a"), F.col("set_id").alias("b")).agg(F.count("*").alias("keys"))
+    best = met.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a")).select("a", "b")
+    pairs = materialize(alike_pairs(best).select("a", "b"), "near-pairs")
 
     def linked(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().join(sets.select("set_id", F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th")), "set_id")
