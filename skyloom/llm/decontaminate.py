@@ -1,28 +1,29 @@
-"""Benchmark decontamination: rare n-gram seeds bring passages and test items together, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds bring passages and test items together, Smith-Waterman alignment scores them.
 
 Items are normalised to lower-case words without punctuation and cut into word n-grams. One pass over the corpus finds where
-any of these stands, takes the passage around each cluster of hits (as word hashes; a passage reaches as far as the item can), and counts
-how many documents hold each n-gram. The counts tell which are rare: in every run of WINDOW neighbouring n-grams of an item the
-rarest is a seed, so no part of an item is without one, however common it is. Passages that hold a seed are aligned with the item, word
-by word, with linear gap costs. The score is the alignment's share of the best that the item could reach.
+any of these stands and takes the passage around each cluster of hits (as word hashes; a passage reaches as far as the item can). Every
+n-gram that a document kept is a seed, common or rare: an edited copy may keep only n-grams that are not the rarest. Passages are aligned
+with the item, word by word, with linear gap costs; only those are passed over that hold too few of the item's words for any alignment to
+reach the limit. The score is the alignment's share of the best that the item could reach. A copy that keeps no n-gram whole (an edit in
+every GRAM words) has no seed and is not found.
 
 Items go through in chunks of a bounded number of n-grams, each a broadcast table of checked size; more items mean more
 passes, not larger broadcasts. Items shorter than an n-gram are one n-gram of all their words.
 
-Defined results: null or empty texts hold nothing; a null or empty item matches nothing; repeated rows are one document for the
-counts and give equal rows of hits once; empty tables give an empty result.
+Defined results: null or empty texts hold nothing; a null or empty item matches nothing; repeated rows give equal rows of hits
+once; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import FOLD, gram_hashes, materialize, text_chunks, word_hashes
 
-GRAM, WINDOW, MARGIN = 3, 4, 8
+GRAM, MARGIN = 3, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: n-grams that one pass broadcasts.
 CHUNK_GRAMS = 500_000
@@ -30,7 +31,7 @@ SEPARATOR = np.array([not (0x30 <= FOLD[b] <= 0x39 or 0x61 <= FOLD[b] <= 0x7A or
 
 
 def item_grams(batches):
-    """item_id, place, gram, words of every n-gram of every item; words is given with the first n-gram only."""
+    """item_id, gram, words of every n-gram of every item; words is given with the first n-gram only."""
     for batch in batches:
         for i, offsets, data in text_chunks(batch.column(1)):
             words, first = word_hashes(data, offsets, SEPARATOR)
@@ -41,12 +42,12 @@ def item_grams(batches):
                 grams = gram_hashes(own, min(GRAM, len(own))).view(np.int64)
                 k = len(grams)
                 rest = [own.view(np.int64).tolist()] + [None] * (k - 1)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i + r].as_py()] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(grams), pa.array(rest, pa.list_(pa.int64()))], names=["item_id", "place", "gram", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i + r].as_py()] * k, pa.int64()), pa.array(grams), pa.array(rest, pa.list_(pa.int64()))], names=["item_id", "gram", "words"])
 
 
 def find_passages(table):
-    """Passages of documents around clusters of item n-grams: doc_id, item_id, start, words, grams held."""
-    grams, owner, place, lengths, short = table.value
+    """Passages of documents around clusters of item n-grams: doc_id, item_id, start, words."""
+    grams, owner, lengths, short = table.value
 
     def run(batches):
         low = np.zeros(1 << 16, bool)
@@ -80,8 +81,8 @@ def find_passages(table):
                 for c, e in zip(cluster, ends):
                     reach = int(n[c]) + MARGIN
                     lo, hi = max(first[row[c]], at[c] - reach), min(first[row[c] + 1], at[e - 1] + reach)
-                    out.append((batch.column(0)[i + row[c]].as_py(), int(item[c]), int(lo - first[row[c]]), words[lo:hi].view(np.int64), np.unique(place[g[c:e]])))
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([table_ids[o[1]] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.list_(pa.int64())), pa.array([o[4] for o in out], pa.list_(pa.int32()))], names=["doc_id", "item_id", "start", "passage", "places"])
+                    out.append((batch.column(0)[i + row[c]].as_py(), int(item[c]), int(lo - first[row[c]]), words[lo:hi].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([table_ids[o[1]] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.list_(pa.int64()))], names=["doc_id", "item_id", "start", "passage"])
 
     table_ids = table.ids
     return run
@@ -96,7 +97,7 @@ class Items:
         number = {x: i for i, x in enumerate(self.ids)}
         sizes = {r["item_id"]: len(r["words"]) for r in rows if r["words"] is not None}
         short = sorted({n for n in sizes.values() if n < GRAM})
-        self.value = (np.array([r["gram"] for r in rows], np.int64), np.array([number[r["item_id"]] for r in rows], np.int64), np.array([r["place"] for r in rows], np.int32), np.array([sizes[x] for x in self.ids], np.int64), short)
+        self.value = (np.array([r["gram"] for r in rows], np.int64), np.array([number[r["item_id"]] for r in rows], np.int64), np.array([sizes[x] for x in self.ids], np.int64), short)
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -123,40 +124,41 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best, since, at
 
 
-def score_passages(batches):
-    for batch in batches:
-        out = []
-        for doc_id, item_id, start, passage, item in zip(*(batch.column(k) for k in range(5))):
-            a, b = item.values.to_numpy(), passage.values.to_numpy()
-            s, lo, hi = align(a, b)
-            out.append((doc_id.as_py(), item_id.as_py(), s / (MATCH * len(a)), start.as_py() + lo, start.as_py() + hi))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "score", "first_word", "end_word"])
+def score_passages(least: float):
+    """Alignments of passages that hold enough of the item's words to reach ``least``: no word of the item is matched twice."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc_id, item_id, start, passage, item in zip(*(batch.column(k) for k in range(5))):
+                a, b = item.values.to_numpy(), passage.values.to_numpy()
+                if MATCH * int(np.isin(a, b).sum()) / (MATCH * len(a)) < least:
+                    continue
+                s, lo, hi = align(a, b)
+                out.append((doc_id.as_py(), item_id.as_py(), s / (MATCH * len(a)), start.as_py() + lo, start.as_py() + hi))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "score", "first_word", "end_word"])
+
+    return run
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.5, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, score, first_word, end_word: the best alignment of each document with each item that reaches ``least``."""
     spark = docs.sparkSession
-    grams = materialize(items.filter(F.col(item_text).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), item_text).dropDuplicates(["item_id"]).mapInArrow(item_grams, "item_id long, place int, gram long, words array<long>"), "leak-items")
-    sizes = grams.groupBy("item_id").agg(F.count("*").alias("n"))
+    grams = materialize(items.filter(F.col(item_text).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), item_text).dropDuplicates(["item_id"]).mapInArrow(item_grams, "item_id long, gram long, words array<long>"), "leak-items")
     chunks = -(-(grams.count()) // CHUNK_GRAMS) or 1
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).filter(F.col(text_col).isNotNull())
     passages = None
     for chunk in range(chunks):
         rows = grams.filter(F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == chunk).collect()
         if rows:
-            found = texts.mapInArrow(find_passages(Items(spark, rows)), "doc_id long, item_id long, start long, passage array<long>, places array<int>")
+            found = texts.mapInArrow(find_passages(Items(spark, rows)), "doc_id long, item_id long, start long, passage array<long>")
             passages = found if passages is None else passages.union(found)
     if passages is None:
         return spark.createDataFrame([], "doc_id long, item_id long, score double, first_word long, end_word long")
     passages = materialize(passages.distinct(), "leak-passages")
-    held = passages.select("doc_id", "item_id", F.explode("places").alias("place")).distinct().groupBy("item_id", "place").agg(F.count("*").alias("documents"))
-    around = Window.partitionBy("item_id").orderBy("place").rowsBetween(0, WINDOW - 1)
-    rarest = F.min(F.struct(F.coalesce("documents", F.lit(0)).alias("d"), "place")).over(around)["place"]
-    full = F.count("*").over(around) == F.least(F.lit(WINDOW), F.col("n"))
-    seeds = grams.join(held, ["item_id", "place"], "left").join(sizes, "item_id").withColumn("seed", rarest).withColumn("full", full).filter("full").groupBy("item_id").agg(F.collect_set("seed").alias("seeds"))
-    words = grams.filter("place = 0").select("item_id", F.col("words").alias("item"))
-    seeded = passages.join(seeds, "item_id").filter(F.arrays_overlap("places", "seeds")).join(words, "item_id")
-    scored = seeded.select("doc_id", "item_id", "start", "passage", "item").repartition("doc_id", "item_id").mapInArrow(score_passages, "doc_id long, item_id long, score double, first_word long, end_word long")
+    words = grams.filter("words is not null").select("item_id", F.col("words").alias("item"))
+    both = passages.join(words, "item_id").select("doc_id", "item_id", "start", "passage", "item")
+    scored = both.repartition("doc_id", "item_id").mapInArrow(score_passages(least), "doc_id long, item_id long, score double, first_word long, end_word long")
     best = scored.filter(F.col("score") >= least).groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("first_word")).alias("early"), "end_word")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.score").alias("score"), (-F.col("b.early")).alias("first_word"), F.col("b.end_word").alias("end_word"))
 

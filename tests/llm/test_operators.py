@@ -93,6 +93,18 @@ def test_leaks(spark, docs, none):
     assert decontaminate.find_leaks(none, items).count() == 0 and decontaminate.find_leaks(docs, items.limit(0)).count() == 0
 
 
+def test_leaks_with_an_edit_every_few_words(spark):
+    """Copies that keep one to three n-grams between edits, beside exact copies that make the kept ones no rarer than the broken ones."""
+    words = [f"w{j}" for j in range(60)]
+    copies = [(d, " ".join(f"edit{j}" if j % d == d - 1 else w for j, w in enumerate(words))) for d in (4, 5, 6)]
+    exact = [(10, " ".join(words)), (11, "some words before " + " ".join(words)), (12, " ".join(words[:20]) + " " + prose(60, 5))]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    for held in (*([c] for c in copies), copies[:1] + exact):
+        got = {r.doc_id: r.score for r in decontaminate.find_leaks(spark.createDataFrame(held, "doc_id long, text string"), items).collect()}
+        want = {i: sw(words, t.split()) / 120 for i, t in held}
+        assert got == {i: s for i, s in want.items() if s >= 0.5} and held[0][0] in got
+
+
 def sw(a, b):
     h, best = np.zeros((len(a) + 1, len(b) + 1), int), 0
     for i in range(1, len(a) + 1):
