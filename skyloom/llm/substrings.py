@@ -52,20 +52,22 @@ MASK_HIGH = ((1 << 64) - 1) ^ LOW_BITS
 
 
 def pieces(column):
-    """(row, first byte, bytes with offsets of whole short texts) for runs of texts, and overlapping segments of texts beyond SEGMENT."""
+    """(row, first byte, bytes with offsets of whole short texts, first and end of the anchors that are its own) for runs of texts, and
+    for overlapping segments of texts beyond SEGMENT. A segment reaches as far as any window of its anchors, so no run of one is split."""
     for i, offsets, data in text_chunks(column, SEGMENT):
         if len(data) <= SEGMENT + LENGTH:
-            yield i, 0, offsets, data
+            yield i, 0, offsets, data, 0, len(data)
         else:
-            for s in range(0, max(1, len(data) - LENGTH + 1), SEGMENT):
-                part = data[s : s + SEGMENT + LENGTH - 1]
-                yield i, s, np.array([0, len(part)]), part
+            for s in range(0, len(data) - GRAM + 1, SEGMENT):
+                base = max(0, s - (LENGTH - GRAM))
+                part = data[base : s + SEGMENT + LENGTH - 1]
+                yield i, base, np.array([0, len(part)]), part, s - base, s - base + SEGMENT
 
 
 def anchors(batches):
     """doc_id, th, p (anchor), lo and hi (first and last window start of its run), ah (anchor hash), ch (hash of all the run covers)."""
     for batch in batches:
-        for i, base, offsets, data in pieces(batch.column(2)):
+        for i, base, offsets, data, least, end in pieces(batch.column(2)):
             if len(data) < LENGTH:
                 continue
             row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -79,6 +81,8 @@ def anchors(batches):
             last = ok.copy()
             last[:-1] &= (anchor[1:] != anchor[:-1]) | ~ok[1:] | (row[1 : len(ok)] != row[: len(ok) - 1])
             lo, hi = np.flatnonzero(new), np.flatnonzero(last)
+            own = (anchor[lo] >= least) & (anchor[lo] < end)
+            lo, hi = lo[own], hi[own]
             p = anchor[lo]
             ah = sub_hash(c, p, p + GRAM)
             ch = mix64(sub_hash(c, lo, hi + LENGTH) + (p - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))

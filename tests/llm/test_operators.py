@@ -4,10 +4,12 @@ import hashlib
 import json
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from skyloom.llm import decontaminate, licenses, mixing, neardup, quality, secrets, substrings, tokens, topk, urls
@@ -157,6 +159,29 @@ def test_repeats_across_segments(docs, monkeypatch):
         assert covered == list(range(len(rows[d][0]) - 399))
 
 
+def test_repeats_do_not_depend_on_segments(spark):
+    """Unique and repeated text across many segment borders. The workers get the small SEGMENT with the function."""
+    rows = [(0, prose(2500, 31), ""), (1, prose(1200, 32) + prose(300, 33), ""), (2, prose(300, 33) + prose(900, 34), ""), (3, "y" * 2600, "")]
+    held = substrings.anchors
+
+    def anchors(batches):
+        substrings.SEGMENT, whole = 1000, substrings.SEGMENT
+        try:
+            yield from held(batches)
+        finally:
+            substrings.SEGMENT = whole
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    try:
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(substrings, "anchors", anchors)
+            got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect())
+    finally:
+        cloudpickle.unregister_pickle_by_value(sys.modules[__name__])
+    want = brute_repeats(rows)
+    assert got == want and want[0][2] == 0 and want[1][2] > 400
+
+
 def test_coder_round_trip():
     r = np.random.default_rng(1)
     for n, top in ((1, 1), (1, 50000), (7, 3), (700, 2), (5000, 50257), (60000, 300)):
