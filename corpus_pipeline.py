@@ -15,8 +15,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return neardup.keep_one(docs)
+    """One document of each group of near-duplicates, at a Jaccard similarity of 0.8 or more."""
+    return neardup.keep_one(docs, percent=80)
 
 
 def decontam(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,13 +2,13 @@
 
 Two collections of HALVES short keys (ROWS minima each) are computed for every set; a table key joins one key of either
 collection, so HALVES * HALVES tables of 2 * ROWS minima take 2 * HALVES * ROWS minima in all. At the threshold of 0.85 a pair
-misses every table with a chance of 8e-7. Half keys that no other set holds are dropped before they are combined.
+misses every table with a chance of 8e-7, at 0.80 with one of 5e-5. Half keys that no other set holds are dropped before they are combined.
 
 Equal sets are one node. Pairs come in rounds: first every set with the head that shares most of its half keys,
 which links most copies with one pair a set; only half keys that still span several components go into tables; then, in tables that
 span several, all pairs across components of small tables, and in large ones every member with its most alike member of another
-component; last all pairs across components whose signatures are alike enough (160 minima, 112 of them equal; a pair at the
-threshold falls short with a chance of 4e-7). Large tables are split by set-size bands first, which separates no pair that could be
+component; last all pairs across components whose signatures are alike enough (of 160 minima as many as
+least_alike() says, 112 at a threshold of 0.85; a pair at the threshold falls short with a chance below 2e-6). Large tables are split by set-size bands first, which separates no pair that could be
 linked. Every pair is confirmed on the two full sets before it becomes a link.
 
 Defined results: a text without words (or null) has an empty set, is linked with nothing and kept; fewer words than a
@@ -32,11 +32,18 @@ HALVES, ROWS = 20, 4
 MINIMA = 2 * HALVES * ROWS
 #: Tables up to so many members are paired by a join, larger ones by size bands.
 SMALL = 24
-ALIKE = 112
+#: Signatures are alike that are within so many standard deviations of a pair at the threshold.
+DEVIATIONS = 5.3
 SEEDS = mix64(np.arange(1, 2 * MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
 XOR, ODD = SEEDS[:MINIMA], SEEDS[MINIMA:] | np.uint32(1)
 
 
+def least_alike(percent: int) -> int:
+    """Equal minima, of MINIMA, that a pair at the threshold has almost surely."""
+    p = percent / 100
+    return max(0, math.floor(MINIMA * p - DEVIATIONS * math.sqrt(MINIMA * p * (1 - p))))
+
+
 def shingle_sets(column, k: int):
     """(first row, list of sorted distinct shingle hashes of each row) chunk by chunk."""
     for i, offsets, data in text_chunks(column):
@@ -92,6 +99,7 @@ def confirm(k: int, percent: int):
 def across(percent: int, best_only: bool):
     """For each row, one large table's size band: alike pairs of different components, each pair only in the first table that holds both; for
     ``best_only`` each member's most alike one."""
+    enough = least_alike(percent)
 
     def run(batches):
         for batch in batches:
@@ -106,7 +114,7 @@ def across(percent: int, best_only: bool):
                     equal = keys[near] == keys[i]
                     near = near[(equal[:, :HALVES].argmax(axis=1) == one) & (equal[:, HALVES:].argmax(axis=1) == two - HALVES)]
                     same = (minima[near] == minima[i]).sum(axis=1)
-                    near, same = near[same >= ALIKE], same[same >= ALIKE]
+                    near, same = near[same >= enough], same[same >= enough]
                     if best_only and len(near):
                         near = near[[np.lexsort((ids[near], -same))[0]]]
                     if len(near):
@@ -128,7 +136,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, *, id_col: s
 
     def alike_pairs(pairs: DataFrame) -> DataFrame:
         sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        return sized.mapInArrow(alike, "a long, b long, alike int").filter(F.col("alike") >= ALIKE)
+        return sized.mapInArrow(alike, "a long, b long, alike int").filter(F.col("alike") >= least_alike(percent))
 
     met = shared.filter("set_id <> head").groupBy(F.col("head").alias("a"), F.col("set_id").alias("b")).agg(F.count("*").alias("keys"))
     best = met.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a")).select("a", "b")
