@@ -1,7 +1,7 @@
 """Secret scan: named patterns, and a battery of randomness tests over long tokens with length-aware false-discovery control.
 
-A candidate is a run of 20 or more encoding characters. Its encoding (hexadecimal, base32, base64) is inferred from the
-characters it holds. Chi-squared uniformity over that alphabet and the serial correlation of symbol indices must not reject
+A candidate is a run of 20 or more encoding characters, however long. Its encoding is the smallest of ALPHABETS that has all
+characters it holds, else base64: random tokens of a larger alphabet that happen to fit a smaller one are uniform over that too. Chi-squared uniformity over that alphabet and the serial correlation of symbol indices must not reject
 randomness; the number of runs of character classes gives the p-value against ordinary, rarely changing tokens.
 Benjamini-Hochberg, weighted by length (longer tokens carry more evidence) with the mean weight 1, decides over all
 candidates of the table: counts of p-values in fine logarithmic bins, rounded towards no discovery, set one threshold.
@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import string
 from collections import Counter
 
 import pyarrow as pa
@@ -33,6 +34,9 @@ CHANGE_RATE = 0.15
 #: Randomness is rejected beyond so many standard deviations.
 LIMIT = 3.3
 BINS_A_DECADE, MOST_BIN = 20, 6000
+LETTERS = string.ascii_lowercase
+#: Decimal, hexadecimal, base32, base36, base58 and base62.
+ALPHABETS = [frozenset(a) for a in ("0123456789", "0123456789abcdef", "0123456789ABCDEF", LETTERS + "234567", LETTERS.upper() + "234567", LETTERS + string.digits, LETTERS.upper() + string.digits, "".join(c for c in string.ascii_letters + string.digits if c not in "0OIl"), string.ascii_letters + string.digits)]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -45,13 +49,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found + [(m.start(), 2, m.end()) for m in HEX.finditer(text)])
 
 
+def log_tail(n: int, least: int, rate: float) -> float:
+    """Natural logarithm of the chance of at least ``least`` hits in n draws. Terms are summed away from the mean, relative to the first."""
+    if least <= 0:
+        return 0.0
+    if least > n:
+        return -math.inf
+    odds, upper = rate / (1 - rate), least > n * rate
+    k = first = least if upper else least - 1
+    term = total = 1.0
+    while term > 1e-17 * total and (k < n if upper else k > 0):
+        term *= (n - k) / (k + 1) * odds if upper else k / ((n - k + 1) * odds)
+        total += term
+        k += 1 if upper else -1
+    log = math.lgamma(n + 1) - math.lgamma(first + 1) - math.lgamma(n - first + 1) + first * math.log(rate) + (n - first) * math.log1p(-rate) + math.log(total)
+    return min(log, 0.0) if upper else math.log1p(-min(math.exp(log), 1 - 1e-16))
+
+
 def battery(token: str) -> float | None:
     """-log10 of the p-value that an ordinary token changes class so often, or None where uniformity or serial correlation rejects randomness."""
     body = token.rstrip("=")
     n, symbols = len(body), set(body)
     if n < 16:
         return None
-    size = next((size for alphabet, size in ((set("0123456789abcdef"), 16), (set("0123456789ABCDEF"), 16), (set("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 32)) if symbols <= alphabet), 64)
+    size = next((len(alphabet) for alphabet in ALPHABETS if symbols <= alphabet), 64)
     expected = n / size
     chi = sum((k - expected) ** 2 for k in Counter(body).values()) / expected + (size - len(symbols)) * expected
     if abs(chi - (size - 1)) > LIMIT * math.sqrt(2 * (size - 1) * (n - 1) / n) + 1:
@@ -63,8 +84,7 @@ def battery(token: str) -> float | None:
         return None
     classes = [0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in body]
     runs = sum(a != b for a, b in zip(classes, classes[1:]))
-    tail = sum(math.comb(n - 1, k) * CHANGE_RATE**k * (1 - CHANGE_RATE) ** (n - 1 - k) for k in range(runs, n))
-    return -math.log10(max(min(tail, 1.0), 1e-300))
+    return min(-log_tail(n - 1, runs, CHANGE_RATE) / math.log(10), 300.0)
 
 
 def scan(batches):
@@ -73,7 +93,7 @@ def scan(batches):
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             text = text or ""
             base = base_spans(text)
-            tokens = [(m.start(), m.end(), p) for m in TOKEN.finditer(text) if m.end() - m.start() <= 512 and (p := battery(m.group())) is not None]
+            tokens = [(m.start(), m.end(), p) for m in TOKEN.finditer(text) if (p := battery(m.group())) is not None]
             out.append((doc_id, *(sum(k == kind for _, k, _ in base) for kind in range(3)), hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base).encode()).hexdigest(), [{"start": s, "kind": k, "end": e} for s, k, e in base], [{"start": s, "end": e, "p": p} for s, e, p in tokens]))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, ARROW)], names=NAMES)
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import sys
@@ -309,6 +310,27 @@ def test_secrets(spark, docs, none):
     assert secrets.scan_secrets(docs).count() == docs.count() and secrets.scan_secrets(none).count() == 0
 
 
+def test_secrets_of_any_length_and_alphabet(spark):
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    base58 = "".join(c for c in low + up + digits if c not in "0OIl")
+    r, rows = random.Random(3), []
+    for alphabet in (digits, digits + "abcdef", low + "234567", up + "234567", low + digits, base58, low + up + digits, low + up + digits + "+/"):
+        for n in (64, 80, 512, 513, 2000, 5000):
+            made = ["".join(r.choices(alphabet, k=n)) for _ in range(40)]
+            assert sum(secrets.battery(t) is not None for t in made) >= 36, (alphabet, n)
+            if n >= 2000 and len(alphabet) > 16:
+                rows.append((len(rows), f"key {made[next(i for i, t in enumerate(made) if secrets.battery(t) is not None)]} end"))
+    got = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(f"random:4:{len(rows[g.doc_id][1]) - 4}" in g.spans.split(",") for g in got) and len(got) == 12
+
+
+def test_tail_is_binomial():
+    for n in (19, 63, 400):
+        for least in (0, 1, 2, n // 10, n // 6, n // 4, n // 2, n):
+            want = sum(math.comb(n, k) * 0.15**k * 0.85 ** (n - k) for k in range(least, n + 1))
+            assert math.isclose(math.exp(secrets.log_tail(n, least, 0.15)), want, rel_tol=1e-9)
+
+
 def test_licenses(spark, docs, none):
     texts = ["Under the MIT License, or the mit\nlicense.", "x General Public LICENSE", None, "", "mit", "Permission is hereby granted, free of charge, to any person who obtains a copy of this software and associated documentation files, to deal in the Software without restriction", "MIT-License café apache  license"]
     got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")).collect()}
