@@ -221,13 +221,21 @@ def read_optics_db(spark, sf_dir):
     return sidecars.read_optics(spark, path)[0].select("name", "res_x", r6("pixel_um").alias("pixel_um"), "is_color")
 
 
-def ser_frames(spark, sf_dir: str, color_id: int = 0):
-    """8x8 frames of 16 bits from the pixel view, one file a role."""
-    p = view(spark, sf_dir, "v_pixels").filter("idx < 20")
+#: Frames of a rolled file, at most.
+ROLL = 100
+
+
+def ser_frames(spark, sf_dir: str, color_id: int = 0, rolled: bool = False):
+    """8x8 frames of 16 bits from the pixel view: one file a role with the first 20 frames, as the SQL has them, or all frames in rolled files."""
+    p = view(spark, sf_dir, "v_pixels")
+    p = p if rolled else p.filter("idx < 20")
     two = F.concat(F.format_string("%02X", (A("v") % 256).cast("int")), F.format_string("%02X", F.floor(A("v") / 256).cast("int")))
     held = p.withColumn("h", two).groupBy("role", "idx").agg(F.array_sort(F.collect_list(F.struct("y", "x", "h"))).alias("l"))
     lit = lambda v: F.lit(v).cast("int")
-    return held.select(F.concat(F.lit("role"), A("role").cast("string")).alias("file"), A("idx").cast("long").alias("index"), lit(8).alias("width"), lit(8).alias("height"), lit(1).alias("channels"), lit(16).alias("depth"), lit(color_id).alias("color_id"), (A("idx") * 200000).cast("long").alias("t_us"), F.unhex(F.array_join("l.h", "")).alias("pixels"))
+    name, index = F.concat(F.lit("role"), A("role").cast("string")), A("idx")
+    if rolled:
+        name, index = F.concat(name, F.lit("-"), F.floor(index / ROLL).cast("string")), index % ROLL
+    return held.select(name.alias("file"), index.cast("long").alias("index"), lit(8).alias("width"), lit(8).alias("height"), lit(1).alias("channels"), lit(16).alias("depth"), lit(color_id).alias("color_id"), (A("idx") * 200000).cast("long").alias("t_us"), F.unhex(F.array_join("l.h", "")).alias("pixels"))
 
 
 def written_ser(spark, sf_dir: str, color_id: int = 0) -> str:
