@@ -4,16 +4,17 @@ Two collections of HALVES short keys (ROWS minima each) are computed for every s
 collection, so HALVES * HALVES tables of 2 * ROWS minima take 2 * HALVES * ROWS minima in all. At the threshold of 0.85 a pair
 misses every table with a chance of 8e-7, at 0.80 with one of 5e-5. Half keys that no other set holds are dropped before they are combined.
 
-Equal sets are one node. Pairs come in rounds: first every set with the head that shares most of its half keys,
-which links most copies with one pair a set; only half keys that still span several components go into tables; then, in tables that
-span several, all pairs across components of small tables, and in large ones every member with its most alike member of another
-component; last all pairs across components whose signatures are alike enough (of 160 minima as many as
-least_alike() says, 112 at a threshold of 0.85; a pair at the threshold falls short with a chance below 2e-6). Large tables are split by set-size bands first, which separates no pair that could be
-linked. Every pair is confirmed on the two full sets before it becomes a link.
+Equal sets (128 bits of hash) are one node. Links come in two rounds, both confirmed on full sets:
+  1. every set with the head that shares most of its half keys, which links most copies with one comparison a set;
+  2. half keys that still span several components are combined into tables; sets that meet in tables are a family, and every member
+     outside its family's largest component is compared with all members. Families beyond FAMILY members are taken table by table.
+Comparisons are made in blocks, each a bounded number of sets and shingles on either side: a hot head, family or table is many
+blocks. A block counts common shingles for all its pairs at once and gives back only links that join components, so neither pairs
+nor texts of pairs are ever rows.
 
 Defined results: a text without words (or null) has an empty set, is linked with nothing and kept; fewer words than a
 shingle are one shingle; repeated rows are equal sets, so one component; a null id is never a component's name unless
-nothing else is; an empty table gives an empty result.
+nothing else is; ids are cast to long; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,17 +23,21 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK, gram_hashes, materialize, mix64, text_chunks, word_hashes
+from .common import gram_hashes, materialize, mix64, text_chunks, word_hashes
 from .graph import components
 
 HALVES, ROWS = 20, 4
 MINIMA = 2 * HALVES * ROWS
-#: Tables up to so many members are paired by a join, larger ones by size bands.
-SMALL = 24
-#: Signatures are alike that are within so many standard deviations of a pair at the threshold.
+#: Families up to so many sets are compared whole, larger ones table by table. Either way every pair that meets in a table is compared.
+FAMILY = 20_000
+#: Sets and shingles on one side of a block.
+BLOCK_SETS, BLOCK_SHINGLES = 1000, 1 << 20
+#: Sets whose texts are fetched by a broadcast, beyond by a shuffle.
+BROADCAST_SETS = 200_000
+#: Signatures are alike that are within so many standard deviations of a pair at the threshold; others wait for the second round.
 DEVIATIONS = 5.3
 SEEDS = mix64(np.arange(1, 2 * MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
 XOR, ODD = SEEDS[:MINIMA], SEEDS[MINIMA:] | np.uint32(1)
@@ -58,67 +63,129 @@ def shingle_sets(column, k: int):
         yield i, out
 
 
+def as_lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of 64-bit hashes as one Arrow column of lists."""
+    ends = np.cumsum([0, *(len(a) for a in arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *arrays]).view(np.int64)))
+
+
 def sketch(k: int):
-    """id, text hash, n_shingles, set_id and half keys: each packs ROWS minima of 16 bits, so together they are the signature."""
+    """id, text hash, n_shingles, set_id and check (together the set's 128-bit hash) and half keys: each packs ROWS minima of 16 bits, so
+    together they are the signature."""
 
     def run(batches):
         for batch in batches:
             for i, sets in shingle_sets(batch.column(2), k):
                 sizes = np.array([len(s) for s in sets])
                 full = np.flatnonzero(sizes)
-                set_ids = np.zeros(len(sets), np.int64)
+                set_ids, checks = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
                 minima = np.zeros((len(sets), MINIMA), np.uint16)
                 if len(full):
                     h = np.concatenate([sets[r] for r in full])
                     starts = np.cumsum(sizes[full]) - sizes[full]
                     set_ids[full] = mix64(np.add.reduceat(mix64(h.copy()), starts) + sizes[full].astype(np.uint64)).view(np.int64)
+                    checks[full] = np.add.reduceat(mix64(h ^ np.uint64(0xD6E8FEB86659FD93)), starts).view(np.int64)
                     low = (h >> np.uint64(32)).astype(np.uint32)
                     least = np.stack([np.minimum.reduceat((low ^ x) * a, starts) for x, a in zip(XOR, ODD)], axis=1)
                     minima[full] = (least * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * 2 * HALVES, pa.int32()), pa.array(minima.view(np.int64).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), batch.column(1).slice(i, len(sets)), pa.array(sizes.astype(np.int64)), pa.array(set_ids, mask=sizes == 0), lists], names=["doc_id", "th", "n", "set_id", "halves"])
+                empty = sizes == 0
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), batch.column(1).slice(i, len(sets)), pa.array(sizes.astype(np.int64)), pa.array(set_ids, mask=empty), pa.array(checks, mask=empty), lists], names=["doc_id", "th", "n", "set_id", "check", "halves"])
 
     return run
 
 
-def confirm(k: int, percent: int):
-    """Pairs (a, b, text_a, text_b) whose full sets have 100 * intersection >= percent * union."""
+def shingles(k: int):
+    """(node, text) to (node, set)."""
 
     def run(batches):
         for batch in batches:
-            left = [s for _, sets in shingle_sets(batch.column(2), k) for s in sets]
-            right = [s for _, sets in shingle_sets(batch.column(3), k) for s in sets]
-            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)], np.int64)
-            union = np.array([len(x) + len(y) for x, y in zip(left, right)], np.int64) - both
-            ok = pa.array((100 * both >= percent * union) & (union > 0), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ok], names=["a", "b", "linked"])
+            for i, sets in shingle_sets(batch.column(1), k):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), as_lists(sets)], names=["node", "set"])
 
     return run
 
 
-def across(percent: int, best_only: bool):
-    """For each row, one large table's size band: alike pairs of different components, each pair only in the first table that holds both; for
-    ``best_only`` each member's most alike one."""
-    enough = least_alike(percent)
-
-    def run(batches):
-        for batch in batches:
-            for one, two, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                rows = held.values
-                ids, comp, n = (rows.field(c).to_numpy() for c in ("set_id", "component", "n"))
-                keys = rows.field("halves").flatten().to_numpy().reshape(len(ids), 2 * HALVES)
-                minima = np.ascontiguousarray(keys).view(np.uint16)
-                _, place, times = np.unique(comp, return_inverse=True, return_counts=True)
-                for i in np.flatnonzero(place != times.argmax()):
-                    near = np.flatnonzero((comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-                    equal = keys[near] == keys[i]
-                    near = near[(equal[:, :HALVES].argmax(axis=1) == one) & (equal[:, HALVES:].argmax(axis=1) == two - HALVES)]
-                    same = (minima[near] == minima[i]).sum(axis=1)
-                    near, same = near[same >= enough], same[same >= enough]
-                    if best_only and len(near):
-                        near = near[[np.lexsort((ids[near], -same))[0]]]
-                    if len(near):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[near])), pa.array(np.maximum(ids[i], ids[near]))], names=["a", "b"])
+def alike(batches):
+    """a, b, n_b and the number of equal minima of two signatures."""
+    for batch in batches:
+        c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+        x, y = (np.ascontiguousarray(c[s].flatten().to_numpy()).view(np.uint16).reshape(-1, MINIMA) for s in ("halves_a", "halves_b"))
+        yield pa.RecordBatch.from_arrays([c["a"], c["b"], c["n_b"], pa.array((x == y).sum(axis=1).astype(np.int32))], names=["a", "b", "n_b", "alike"])
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of sorted sets. Shingles held by many sets on both sides go through a matrix product, the others are paired one by one."""
+    out = np.zeros(len(left) * len(right), np.float32)
+    sides = []
+    vocabulary = np.intersect1d(*(np.unique(np.concatenate(s)) for s in (left, right)), assume_unique=True)
+    for side in (left, right):
+        values, owner = np.concatenate(side), np.repeat(np.arange(len(side)), [len(s) for s in side])
+        at = np.searchsorted(vocabulary, values)
+        held = np.flatnonzero(np.append(vocabulary, 0)[at] == values) if len(vocabulary) else np.zeros(0, np.int64)
+        order = np.argsort(at[held], kind="stable")
+        sides.append((at[held][order], owner[held][order], np.bincount(at[held], minlength=len(vocabulary))))
+    (token, one, n_one), (token2, two, n_two) = sides
+    dense = n_one * n_two > max(64, len(out) // 64)
+    columns = np.flatnonzero(dense)
+    place = np.cumsum(dense) - 1
+    for c in range(0, len(columns), 2048):
+        part = []
+        for t, owner, rows in ((token, one, len(left)), (token2, two, len(right))):
+            m = np.zeros((rows, min(2048, len(columns) - c)), np.float32)
+            mine = np.flatnonzero(dense[t] & (place[t] >= c) & (place[t] < c + 2048))
+            m[owner[mine], place[t[mine]] - c] = 1
+            part.append(m)
+        out += (part[0] @ part[1].T).reshape(-1)
+    mine = np.flatnonzero(~dense[token])
+    begins, times = (np.cumsum(n_two) - n_two)[token[mine]], n_two[token[mine]]
+    upto = np.cumsum(times)
+    for lo, hi in chunks_of(upto, 1 << 22):
+        t, n = mine[lo:hi], times[lo:hi]
+        at = np.repeat(begins[lo:hi], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out += np.bincount(np.repeat(one[t], n) * len(right) + two[at], minlength=len(out)).astype(np.float32)
+    return out.reshape(len(left), len(right)).astype(np.int64)
+
+
+def chunks_of(upto: np.ndarray, most: int):
+    """Ranges of positions with a sum of at most ``most`` (one position at least), from running sums."""
+    lo, before = 0, 0
+    while lo < len(upto):
+        hi = max(lo + 1, int(np.searchsorted(upto, before + most, "right")))
+        yield lo, hi
+        lo, before = hi, int(upto[hi - 1])
+
+
+def joined(percent: int):
+    """One block: of the pairs of its two sides with 100 * intersection >= percent * union, those that join components, as (a, b)."""
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        side, node, comp = (block[c].to_numpy() for c in ("side", "node", "comp"))
+        sets = [s.values.to_numpy().view(np.uint64) for s in block["set"]]
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        a, b = [], []
+        if len(one) and len(two):
+            n = np.array([len(s) for s in sets])
+            both = common_counts([sets[i] for i in one], [sets[i] for i in two])
+            linked = (100 * both >= percent * (n[one][:, None] + n[two][None, :] - both)) & (comp[one][:, None] != comp[two][None, :])
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (up := parent.get(x, x)) != x:
+                    parent[x] = parent.get(up, up)
+                    x = up
+                return x
+
+            for r in np.flatnonzero(linked.any(axis=1)):
+                met = two[linked[r]]
+                for at in np.unique(comp[met], return_index=True)[1]:
+                    x, y = root(int(comp[one[r]])), root(int(comp[met[at]]))
+                    if x != y:
+                        parent[x] = y
+                        a.append(node[one[r]])
+                        b.append(node[met[at]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -126,66 +193,72 @@ def across(percent: int, best_only: bool):
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept, set_id, th (text hash) for every row."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    rows = materialize(texts.mapInArrow(sketch(k), "doc_id long, th long, n long, set_id long, halves array<long>"), "near-sketches")
-    sets = materialize(rows.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("at"), F.first("n").alias("n"), F.first("halves").alias("halves")), "near-sets")
-    halves = sets.select("set_id", F.posexplode("halves").alias("half", "key"))
-    heads = halves.groupBy("half", "key").agg(F.count("*").alias("c"), F.min("set_id").alias("head")).filter("c > 1").select("half", "key", "head")
+    rows = materialize(texts.mapInArrow(sketch(k), "doc_id long, th long, n long, set_id long, check long, halves array<long>"), "near-sketches")
+    sets = rows.filter("set_id is not null").groupBy("set_id", "check").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("at"), F.first("n").alias("n"), F.first("halves").alias("halves"))
+    sets = materialize(sets.withColumn("node", F.monotonically_increasing_id()), "near-sets")
+    halves = sets.select("node", F.posexplode("halves").alias("half", "key"))
+    heads = halves.groupBy("half", "key").agg(F.count("*").alias("c"), F.min("node").alias("head")).filter("c > 1").select("half", "key", "head")
     shared = materialize(halves.join(heads, ["half", "key"]), "near-halves")
-    marks = sets.select("set_id", "n", "halves")
-    side = lambda c: marks.select(F.col("set_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("halves").alias(f"halves_{c}"))
-
-    def alike_pairs(pairs: DataFrame) -> DataFrame:
-        sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        return sized.mapInArrow(alike, "a long, b long, alike int").filter(F.col("alike") >= least_alike(percent))
-
-    met = shared.filter("set_id <> head").groupBy(F.col("head").alias("a"), F.col("set_id").alias("b")).agg(F.count("*").alias("keys"))
-    best = met.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a")).select("a", "b")
-    pairs = materialize(alike_pairs(best).select("a", "b"), "near-pairs")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().join(sets.select("set_id", F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th")), "set_id")
-        found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["th"] == wanted["th"])).select("set_id", "text")
-        found = materialize(found.dropDuplicates(["set_id"]), "near-texts")
-        left, right = found.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), found.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
-        return materialize(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(confirm(k, percent), "a long, b long, linked boolean"), "near-links")
-
-    def named(df: DataFrame) -> DataFrame:
-        comps = components(checked.filter("linked")).withColumnRenamed("node", "set_id")
-        return df.join(comps, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-
-    def spanning(df: DataFrame, *keys: str) -> DataFrame:
-        """Rows of the groups that hold several components, with the group's size."""
-        mixed = df.groupBy(*keys).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).filter("lo < hi").select(*keys, "c")
-        return df.join(mixed, list(keys))
-
-    checked = linked(pairs)
-    still = spanning(named(shared.select("set_id", "half", "key")), "half", "key")
+
+    def linked(places: DataFrame) -> DataFrame:
+        """Links found in blocks, from (kind, g, i, j, side, node, comp)."""
+        nodes = materialize(places.select("node").distinct(), "near-nodes")
+        wanted = nodes.join(sets.select("node", "at.*"), "node").withColumnRenamed("doc_id", "at_id").withColumnRenamed("th", "at_th")
+        wanted = F.broadcast(wanted) if nodes.count() <= BROADCAST_SETS else wanted
+        fetched = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["at_id"]) & (texts["th"] == wanted["at_th"])).select("node", "text")
+        fetched = materialize(fetched.mapInArrow(shingles(k), "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set")), "near-shingles")
+        return materialize(places.join(fetched, "node").groupBy("kind", "g", "i", "j").applyInArrow(joined(percent), "a long, b long"), "near-links")
+
+    def dealt(node: str, blocks: str) -> Column:
+        return F.pmod(F.xxhash64(node), F.col(blocks)).cast("int")
+
+    def blocks_for(sets: Column, shingles: Column) -> Column:
+        return F.greatest(F.ceil(sets / BLOCK_SETS), F.ceil(shingles / BLOCK_SHINGLES)).alias("blocks")
+
+    def all_of(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int")))
+
+    # first round: each set with one head
+    met = shared.filter("node <> head").groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("keys"))
+    best = met.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a"))
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("halves").alias(f"halves_{c}"))
+    sized = best.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    pairs = materialize(sized.mapInArrow(alike, "a long, b long, n_b long, alike int").filter(F.col("alike") >= least_alike(percent)).select("a", "b", "n_b"), "near-pairs")
+    loads = pairs.groupBy("a").agg(blocks_for(F.count("*"), F.sum("n_b")))
+    place = lambda df, side, node, comp, *keys: df.select(*keys, F.lit(side).alias("side"), F.col(node).alias("node"), F.col(comp).alias("comp"))
+    keys = (F.lit(0).alias("kind"), F.col("a").alias("g"), F.col("i"), F.lit(0).alias("j"))
+    members = pairs.join(loads, "a").withColumn("i", dealt("b", "blocks"))
+    checked = linked(place(loads.withColumn("i", all_of("blocks")), 0, "a", "a", *keys).union(place(members, 1, "b", "b", *keys)))
+
+    # second round: families of tables that span components
+    comps = components(checked)
+    named = shared.select("node", "half", "key").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = lambda df, *keys: df.groupBy(*keys).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("head")).filter("lo < hi").select(*keys, "head")
+    still = named.join(mixed(named, "half", "key"), ["half", "key"])
     of = lambda first: F.collect_list(F.when((F.col("half") < HALVES) if first else (F.col("half") >= HALVES), F.struct("half", "key")))
-    own = still.groupBy("set_id").agg(of(True).alias("one"), of(False).alias("two"))
-    tables = own.select("set_id", F.explode("one").alias("x"), "two").select("set_id", "x", F.explode("two").alias("y"))
-    tables = tables.select("set_id", F.col("x.half").alias("one"), F.col("y.half").alias("two"), F.xxhash64("x", "y").alias("table"))
-    tables = materialize(spanning(named(tables), "table"), "near-tables").drop("component", "c")
-    step = 1 / math.log(100 / percent)
-    for best_only in (True, False):
-        rest = materialize(spanning(named(tables), "table"), "near-open")
-        band = F.floor(F.log(F.col("n").cast("double")) * step)
-        large = rest.filter(F.col("c") > SMALL).join(marks, "set_id").withColumn("band", F.explode(F.array(band, band + 1)))
-        pairs = large.groupBy("table", "one", "two", "band").agg(F.collect_list(F.struct("set_id", "component", "n", "halves")).alias("held")).select("one", "two", "held").mapInArrow(across(percent, best_only), "a long, b long")
-        if best_only:
-            small = rest.filter(F.col("c") <= SMALL)
-            x, y = (small.select("table", F.col("set_id").alias(q), F.col("component").alias(f"c_{q}")) for q in "ab")
-            both = x.join(y, "table").filter("a < b and c_a <> c_b").select("a", "b").distinct()
-            pairs = pairs.union(alike_pairs(both).select("a", "b"))
-        pairs = materialize(pairs.distinct().join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "near-pairs")
-        if not pairs.isEmpty():
-            checked = materialize(checked.union(linked(pairs)), "near-links")
-        if large.isEmpty():
-            break
-    comps = components(checked.filter("linked"))
-    by_comp = sets.select("set_id", "first_id").join(comps.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    own = still.groupBy("node", "component").agg(of(True).alias("one"), of(False).alias("two"))
+    tables = own.select("node", "component", F.explode("one").alias("x"), "two").select("node", "component", "x", F.explode("two").alias("y"))
+    tables = materialize(tables.select("node", "component", F.xxhash64("x", "y").alias("table")), "near-tables")
+    tables = materialize(tables.join(mixed(tables, "table"), "table"), "near-open")
+    families = components(tables.select(F.col("head").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()).withColumnRenamed("component", "family")
+    sizes = families.groupBy("family").agg((F.count("*") > FAMILY).cast("int").alias("kind"))
+    placed = families.join(sizes, "family")
+    whole = placed.filter("kind = 0").join(tables.select("node", "component").distinct(), "node").select("kind", F.col("family").alias("g"), "node", "component")
+    by_table = placed.filter("kind = 1").join(tables, "node").select("kind", F.col("table").alias("g"), "node", "component")
+    held = materialize(whole.union(by_table).join(sets.select("node", "n"), "node"), "near-families")
+    parts = held.groupBy("kind", "g", "component").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    groups = parts.groupBy("kind", "g").agg(F.max_by("component", F.struct("c", "component")).alias("main"), blocks_for(F.sum("c"), F.sum("w")))
+    held = held.join(groups, ["kind", "g"]).withColumn("at", dealt("node", "blocks")).withColumn("each", all_of("blocks"))
+    keys = (F.col("kind"), F.col("g"))
+    asked = place(held.filter("component <> main"), 0, "node", "component", *keys, F.col("at").alias("i"), F.col("each").alias("j"))
+    among = place(held, 1, "node", "component", *keys, F.col("each").alias("i"), F.col("at").alias("j"))
+    more = linked(materialize(asked.union(among), "near-places"))
+
+    comps = components(checked.union(more))
+    by_comp = sets.select("node", "set_id", "check", "first_id").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = by_comp.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_set = by_comp.join(least, "component").select("set_id", "component_id")
-    out = rows.select("doc_id", "th", F.col("n").alias("n_shingles"), "set_id").join(by_set, "set_id", "left").withColumn("component_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    by_set = by_comp.join(least, "component").select("set_id", "check", "component_id")
+    out = rows.select("doc_id", "th", F.col("n").alias("n_shingles"), "set_id", "check").join(by_set, ["set_id", "check"], "left").withColumn("component_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "set_id", "th")
 
 
@@ -197,11 +270,3 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 85, *, id_col: str = "d
     same = rows[id_col].cast("long").eqNullSafe(kept["kept_id"]) & (rows["near_th"] == kept["kept_th"])
     out = rows.filter(full).join(kept, same, "left_semi").dropDuplicates([id_col, "near_th"])
     return out.unionByName(rows.filter(~full)).select(*docs.columns)
-
-
-def alike(batches):
-    """a, b and the number of equal minima of two signatures."""
-    for batch in batches:
-        c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        x, y = (np.ascontiguousarray(c[s].flatten().to_numpy()).view(np.uint16).reshape(-1, MINIMA) for s in ("halves_a", "halves_b"))
-        yield pa.RecordBatch.from_arrays([c["a"], c["b"], pa.array((x == y).sum(axis=1).astype(np.int32))], names=["a", "b", "alike"])

@@ -7,6 +7,7 @@ import random
 import re
 import sys
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from skyloom.llm import decontaminate, licenses, mixing, neardup, quality, secrets, substrings, tokens, topk, urls
+from skyloom.llm.graph import components
 
 RNG = random.Random(5)
 VOCABULARY = ["".join(RNG.choice("abcdefghijklmnop") for _ in range(RNG.randint(2, 8))) for _ in range(400)]
@@ -212,14 +214,14 @@ def test_tokens(docs, none):
     assert tokens.tokenize_and_read(none, tokenizer_path()).count() == 0
 
 
-def shingles(text):
+def shingles_of(text):
     w = WS.findall((text or "").translate(LOW))
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
 def test_near_duplicates(docs, none):
     rows = corpus()
-    sets = [shingles(t) for _, t, _ in rows]
+    sets = [shingles_of(t) for _, t, _ in rows]
     comp = list(range(len(rows)))
     for _ in rows:
         for a in range(len(rows)):
@@ -238,21 +240,70 @@ def test_near_duplicates(docs, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
-def test_near_duplicates_in_large_tables(spark, monkeypatch):
-    """A large group of near copies goes through the path of large tables."""
-    monkeypatch.setattr(neardup, "SMALL", 3)
+def closure(sets, percent=85):
+    """id -> smallest id reachable over links between sets, from all pairs; sets are compared as bit masks of the shingles that two sets hold at least."""
+    times = Counter(x for s in sets.values() for x in s)
+    bit = {x: 1 << i for i, x in enumerate(x for x, n in times.items() if n > 1)}
+    masks = [(i, len(s), sum(bit[x] for x in s if x in bit)) for i, s in sets.items()]
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for j, (b, n_b, m_b) in enumerate(masks):
+        for a, n_a, m_a in masks[:j]:
+            both = (m_a & m_b).bit_count()
+            if both and 100 * both >= percent * (n_a + n_b - both):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: root(i) for i in sets}
+
+
+@pytest.mark.parametrize("family, sets, shingles", [(neardup.FAMILY, neardup.BLOCK_SETS, neardup.BLOCK_SHINGLES), (3, 4, 1000)])
+def test_near_duplicates_in_families(spark, monkeypatch, family, sets, shingles):
+    """A group of near copies and one that stays below the threshold, as whole families and table by table, in one block and in many."""
+    monkeypatch.setattr(neardup, "FAMILY", family)
+    monkeypatch.setattr(neardup, "BLOCK_SETS", sets)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", shingles)
     words = prose(200, 50).split()
     rows = [(i, " ".join(words[:k] + [f"edit{i}"] + words[k + 1 :])) for i, k in ((i, 5 + (i * 17) % 190) for i in range(40))]
     rows += [(100 + i, " ".join(words[:100] + prose(100, 60 + i).split())) for i in range(10)]
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    sets = {i: shingles(t) for i, t in rows}
-    parent = {i: i for i in sets}
-    for _ in range(5):
-        for a in sets:
-            for b in sets:
-                if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
-                    parent[a] = parent[b] = min(parent[a], parent[b])
-    assert got == parent
+    assert got == closure({i: shingles_of(t) for i, t in rows})
+
+
+def test_near_duplicates_of_thousands(spark):
+    """3,000 copies of one text with one to six edits each: the links are many, most pairs lie near the threshold, none may be lost."""
+    words, r, rows = prose(160, 51).split(), random.Random(6), []
+    for i in range(3000):
+        w = list(words)
+        for j in r.sample(range(len(w)), r.randint(1, 6)):
+            w[j] = f"edit{i}x{j}"
+        rows.append((i, " ".join(w)))
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = closure({i: shingles_of(t) for i, t in rows})
+    assert got == want and 100 < len(set(want.values())) < 2500
+
+
+def test_intersections():
+    r = np.random.default_rng(3)
+    for top, sizes in ((30, (7, 9)), (400, (40, 25)), (10**6, (5, 5))):
+        left, right = ([np.unique(r.integers(0, top, r.integers(1, 60))).astype(np.uint64) for _ in range(n)] for n in sizes)
+        assert (neardup.common_counts(left, right) == [[len(np.intersect1d(x, y)) for y in right] for x in left]).all()
+
+
+def test_components(spark):
+    r = random.Random(2)
+    links = [(i, i + 1) for i in range(100, 140)] + [(7, x) for x in range(200, 300)] + [(300, 300), (5, 5), (5, 6), (6, 5)] + [(r.randint(400, 500), r.randint(400, 500)) for _ in range(60)]
+    got = {x.node: x.component for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = {i: i for ab in links if ab[0] != ab[1] for i in ab}
+    for _ in want:
+        for a, b in links:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    assert got == want and components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_urls(spark):
