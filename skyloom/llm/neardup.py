@@ -233,18 +233,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, *, id_col: s
     # second round: families of tables that span components
     comps = components(checked)
     named = shared.select("node", "half", "key").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = lambda df, *keys: df.groupBy(*keys).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("head")).filter("lo < hi").select(*keys, "head")
+    mixed = lambda df, *keys: df.groupBy(*keys).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select(*keys, "lo")
     still = named.join(mixed(named, "half", "key"), ["half", "key"])
     of = lambda first: F.collect_list(F.when((F.col("half") < HALVES) if first else (F.col("half") >= HALVES), F.struct("half", "key")))
     own = still.groupBy("node", "component").agg(of(True).alias("one"), of(False).alias("two"))
     tables = own.select("node", "component", F.explode("one").alias("x"), "two").select("node", "component", "x", F.explode("two").alias("y"))
     tables = materialize(tables.select("node", "component", F.xxhash64("x", "y").alias("table")), "near-tables")
     tables = materialize(tables.join(mixed(tables, "table"), "table"), "near-open")
-    families = components(tables.select(F.col("head").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()).withColumnRenamed("component", "family")
-    sizes = families.groupBy("family").agg((F.count("*") > FAMILY).cast("int").alias("kind"))
-    placed = families.join(sizes, "family")
-    whole = placed.filter("kind = 0").join(tables.select("node", "component").distinct(), "node").select("kind", F.col("family").alias("g"), "node", "component")
-    by_table = placed.filter("kind = 1").join(tables, "node").select("kind", F.col("table").alias("g"), "node", "component")
+    held = tables.select("node", "component").distinct()
+    families = components(tables.select(F.col("lo").alias("a"), F.col("component").alias("b")).filter("a <> b").distinct()).select(F.col("node").alias("component"), F.col("component").alias("family"))
+    placed = held.join(families, "component")
+    placed = placed.join(placed.groupBy("family").agg((F.count("*") > FAMILY).cast("int").alias("kind")), "family")
+    whole = placed.filter("kind = 0").select("kind", F.col("family").alias("g"), "node", "component")
+    by_table = placed.filter("kind = 1").join(tables.select("node", "table"), "node").select("kind", F.col("table").alias("g"), "node", "component")
     held = materialize(whole.union(by_table).join(sets.select("node", "n"), "node"), "near-families")
     parts = held.groupBy("kind", "g", "component").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
     groups = parts.groupBy("kind", "g").agg(F.max_by("component", F.struct("c", "component")).alias("main"), blocks_for(F.sum("c"), F.sum("w")))
