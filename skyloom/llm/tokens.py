@@ -24,60 +24,61 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, text_chunks
 
 MAGIC, HEADER = b"TIDB", struct.Struct("<4s4II")
 SEGMENT, LANES, LANE_IDS, SLOTS = 1 << 21, 8192, 256, 1 << 18
 LEVELS, MIX_TOTAL, MIX_BITS = 4, 1 << 12, np.uint64(12)
 COUNT_STEP, COUNT_LIMIT, REFRESH = 32, 1 << 22, 8
+#: Bytes of text that are split into words at once.
+CHUNK = 1 << 24
+#: White space but the space and line break, and places where these do not begin a word.
+OTHER_SPACE = r"[\x00\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+OTHER_PLACES = ("  ", " \n", "\n ", "\n\n")
+NEW_LINE, NOTHING = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())
+HASH2, HASH1, SLOT_SHIFT = np.uint32(0x2545F491), np.uint32(0x9E3779B1), np.uint32(32 - 18)
 U = np.uint64
 LEAST, HALF, LOW32 = U(1 << 32), U(16), U((1 << 32) - 1)
 
 
-#: The confidence after a miss, then after a hit, by the confidence before.
-LEVEL_AFTER = np.array([max(0, i - 1) for i in range(LEVELS)] + [min(LEVELS - 1, i + 1) for i in range(LEVELS)], np.int8)
-
-
 class Model:
-    """Predictions of order 0 to 2 and their mix; the encoder and the decoder call the same methods in the same order."""
+    """Predictions of order 0 to 2 and their mix; the encoder and the decoder call the same methods in the same order. The tables of order 1
+    and 2 hold an id and, in the lowest bits, its confidence."""
 
     def __init__(self, alphabet: int, lanes: int) -> None:
-        self.none = alphabet
         self.counts = np.ones(alphabet, np.int32)
         self.cum = np.arange(alphabet + 1, dtype=np.int32)
-        self.one, self.two = np.full(alphabet, alphabet, np.int32), np.full(SLOTS, alphabet, np.int32)
-        self.sure1, self.sure2 = np.zeros(alphabet, np.int8), np.zeros(SLOTS, np.int8)
+        self.one, self.two = np.full(alphabet, alphabet * LEVELS, np.int32), np.full(SLOTS, alphabet * LEVELS, np.int32)
         self.seen: list[np.ndarray] = []
         self.mix = np.ones((2 * LEVELS * LEVELS, 3), np.int64)
-        self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.prev1, self.prev2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
         self.step = 0
 
     def predict(self):
         """Order-2 and order-1 ids, and where the intervals of "order 2", "order 1" and "neither" stand in ``begin`` and ``width``."""
-        self.slot = (self.prev2 * 0x2545F491 + self.prev1 * 0x9E3779B1 >> 7) & (SLOTS - 1)
-        self.c2, self.c1 = self.two.take(self.slot), self.one.take(self.prev1)
-        self.s2, self.s1 = self.sure2.take(self.slot), self.sure1.take(self.prev1)
-        self.context = (((self.c2 == self.c1).astype(np.int8) * LEVELS + self.s2) * LEVELS + self.s1).astype(np.int64)
+        self.slot = (self.prev2.view(np.uint32) * HASH2 + self.prev1.view(np.uint32) * HASH1) >> SLOT_SHIFT
+        self.h2, self.h1 = self.two.take(self.slot), self.one.take(self.prev1)
+        self.c2, self.c1, self.s2, self.s1 = self.h2 // LEVELS, self.h1 // LEVELS, self.h2 % LEVELS, self.h1 % LEVELS
+        self.context = (((self.c2 == self.c1) * np.int32(LEVELS) + self.s2) * LEVELS + self.s1) * 3
         table = self.mix * (MIX_TOTAL - 3) // self.mix.sum(axis=1, keepdims=True) + 1
         begin = np.zeros_like(table)
         np.cumsum(table[:, :2], axis=1, out=begin[:, 1:])
         table[:, 2] = MIX_TOTAL - begin[:, 2]
         self.begin, self.width = begin.astype(U).reshape(-1), table.astype(U).reshape(-1)
-        return self.c2, self.c1, self.context * 3
+        return self.c2, self.c1, self.context
 
-    def update(self, ids: np.ndarray, outcome: np.ndarray) -> None:
-        self.mix += np.bincount(self.context * 3 + outcome, minlength=self.mix.size).reshape(self.mix.shape)
+    def update(self, ids: np.ndarray, at: np.ndarray) -> None:
+        self.mix += np.bincount(at, minlength=self.mix.size).reshape(self.mix.shape)
         if self.mix.max() > 1 << 20:
             self.mix = (self.mix >> 1) + 1
-        for held, sure, slot, guess, level in ((self.two, self.sure2, self.slot, self.c2, self.s2), (self.one, self.sure1, self.prev1, self.c1, self.s1)):
-            hit = guess == ids
-            fresh = np.flatnonzero(~hit & (level == 0))
-            sure[slot] = LEVEL_AFTER.take(level + LEVELS * hit)
-            held[slot.take(fresh)] = ids.take(fresh)
+        fresh = ids * np.int32(LEVELS)
+        for held, place, was, guess, level in ((self.two, self.slot, self.h2, self.c2, self.s2), (self.one, self.prev1, self.h1, self.c1, self.s1)):
+            held[place] = np.where(guess == ids, was + (level < LEVELS - 1), np.where(level == 0, fresh, was - 1))
         self.seen.append(ids)
         self.step += 1
         if self.step % REFRESH == 0 or self.step < 8:
@@ -88,6 +89,13 @@ class Model:
             np.cumsum(self.counts, out=self.cum[1:])
         self.prev2, self.prev1 = self.prev1, ids
 
+    def find(self, at: np.ndarray) -> np.ndarray:
+        """The ids whose order-0 intervals hold the given places; searched in ascending order, which keeps to the cache."""
+        keyed = np.sort(at.astype(np.int64) * len(at) + np.arange(len(at)))
+        y = np.empty(len(at), np.int32)
+        y[keyed % len(at)] = np.searchsorted(self.cum, (keyed // len(at)).astype(np.int32), "right") - 1
+        return y
+
 
 def encode_segment(ids: np.ndarray) -> bytes:
     n = len(ids)
@@ -96,7 +104,7 @@ def encode_segment(ids: np.ndarray) -> bytes:
     alphabet = int(ids.max(initial=0)) + 1
     if alphabet >= COUNT_LIMIT:
         raise ValueError(f"ids must be below {COUNT_LIMIT}")
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model, low, size = Model(alphabet, lanes), np.zeros(lanes, U), np.full(lanes, (1 << 48) - 1, U)
@@ -114,13 +122,14 @@ def encode_segment(ids: np.ndarray) -> bytes:
     for t in range(steps):
         x = grid[t]
         c2, c1, at = model.predict()
-        outcome = np.where(x == c2, 0, np.where(x == c1, 1, 2))
-        at += outcome
+        other = x != c2
+        neither = other & (x != c1)
+        at = at + other + neither
         r = size >> MIX_BITS
         low += r * model.begin.take(at)
         size = r * model.width.take(at)
         put(np.flatnonzero(size < LEAST))
-        rest = np.flatnonzero(outcome == 2)
+        rest = np.flatnonzero(neither)
         if len(rest):
             y = x.take(rest)
             start = model.cum.take(y)
@@ -128,7 +137,7 @@ def encode_segment(ids: np.ndarray) -> bytes:
             low[rest] += r * start.astype(U)
             size[rest] = r = r * (model.cum.take(y + 1) - start).astype(U)
             put(rest[r < LEAST])
-        model.update(x, outcome)
+        model.update(x, at)
     for shift in (32, 16, 0):
         out_lane.append(np.arange(lanes, dtype=np.uint16))
         out_word.append((low >> U(32)).astype(np.int64) if shift == 32 else ((low >> U(shift)) & U(0xFFFF)).astype(np.int64))
@@ -152,7 +161,7 @@ def decode_segment(data: bytes) -> np.ndarray:
     next_word = np.cumsum(counts) - counts
     code = (words[next_word] << U(32)) | (words[next_word + 1] << HALF) | words[next_word + 2]
     next_word += 3
-    model, size, grid = Model(alphabet, lanes), np.full(lanes, (1 << 48) - 1, U), np.zeros((steps, lanes), np.int64)
+    model, size, grid = Model(alphabet, lanes), np.full(lanes, (1 << 48) - 1, U), np.zeros((steps, lanes), np.int32)
 
     def take(at: np.ndarray) -> None:
         while len(at):
@@ -165,57 +174,44 @@ def decode_segment(data: bytes) -> np.ndarray:
     for t in range(steps):
         c2, c1, at = model.predict()
         r = size >> MIX_BITS
-        outcome = (code >= r * model.begin.take(at + 1)).astype(np.int64)
-        outcome += code >= r * model.begin.take(at + 2)
-        at += outcome
+        other, neither = code >= r * model.begin.take(at + 1), code >= r * model.begin.take(at + 2)
+        at = at + other + neither
         code -= r * model.begin.take(at)
         size = r * model.width.take(at)
         take(np.flatnonzero(size < LEAST))
-        x = np.where(outcome == 0, c2, c1).astype(np.int64)
-        rest = np.flatnonzero(outcome == 2)
+        x = np.where(other, c1, c2)
+        rest = np.flatnonzero(neither)
         if len(rest):
             total = U(model.cum[-1])
             r, c = size.take(rest) // total, code.take(rest)
-            y = np.searchsorted(model.cum, np.minimum(c // r, total - U(1)).astype(model.cum.dtype), "right") - 1
+            y = model.find(np.minimum(c // r, total - U(1)).astype(model.cum.dtype))
             start = model.cum.take(y)
             code[rest] = c - r * start.astype(U)
             size[rest] = r = r * (model.cum.take(y + 1) - start).astype(U)
             take(rest[r < LEAST])
             x[rest] = y
         grid[t] = x
-        model.update(x, outcome)
+        model.update(x, at)
     return grid.T.reshape(-1)[:n]
 
 
-class Places(dict):
-    """Words to places; a word that is asked for the first time gets the next place and is kept as new."""
-
-    def __init__(self) -> None:
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = place = len(self)
-        self.new.append(word)
-        return place
-
-
 class Encoder:
-    """Whole texts to ids, word by word from a cache of bounded size. A space or line break between two other characters always
-    begins a new piece of the tokenizer, so words can be encoded apart, each with what stands before it; texts with any other white
-    space are encoded whole."""
+    """Whole texts to ids, word by word from a cache of bounded size; Arrow splits texts and numbers their distinct words, Python sees each of
+    these once a chunk. A space or line break between two other characters always begins a new piece of the tokenizer, so words can be
+    encoded apart, each with what stands before it; texts with any other white space, or with a token that was added to
+    the vocabulary (such as one for a text's end), are encoded whole."""
 
-    MOST = 1_000_000
+    MOST = 2_000_000
 
     def __init__(self, path: str) -> None:
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.other_space = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+        self.tokenizer, self.of_words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.of_words.encode_special_tokens = True  # words are joined for encoding; what arises where they meet is no special token
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # a byte-level vocabulary writes each byte as one character
@@ -225,83 +221,77 @@ class Encoder:
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def odd(self, text: str) -> bool:
-        """Whether white space stands at an end, next to other white space, or is not a space or line break."""
-        return text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or self.other_space(text) is not None
+    def odd(self, texts: pa.Array) -> np.ndarray:
+        """Whether white space stands at an end, next to other white space, or is not a space or line break, or an added token occurs."""
+        found = pc.match_substring_regex(texts, OTHER_SPACE)
+        for part in (*OTHER_PLACES, *self.added):
+            found = pc.or_(found, pc.match_substring(texts, part))
+        for part in (" ", "\n"):
+            found = pc.or_(found, pc.or_(pc.starts_with(texts, part), pc.ends_with(texts, part)))
+        if any(" " in t or "\n" in t for t in self.added):
+            found = pc.or_(found, pa.scalar(True))
+        return found.to_numpy(zero_copy_only=False)
 
     def clear(self) -> None:
-        self.known = Places()
-        self.ids, self.starts, self.sizes, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
-        self.uses = np.zeros(1 << 14, np.int32)
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.starts, self.sizes, self.uses = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def shrink(self) -> None:
         """Forget words that were used once, and of the others the rarer ones beyond half the size."""
-        uses = self.uses[: len(self.known)]
-        keep = np.flatnonzero(uses >= 2)
-        keep = keep[np.argsort(-uses[keep], kind="stable")[: self.MOST // 2]]
-        words = list(self.known)
-        self.known = Places()
-        self.known.update(zip((words[i] for i in keep), range(len(keep))))
-        sizes, first = self.sizes[keep], self.starts[keep]
-        starts = np.cumsum(sizes) - sizes
-        self.used = int(sizes.sum())
-        self.ids = self.ids[np.repeat(first - starts, sizes) + np.arange(self.used)]
-        self.sizes, self.starts, self.uses = sizes, starts, np.zeros(len(keep), np.int32)
-
-    def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words one after the other, and how many each has. Words are encoded many at a time, " a b c" or "a\nb\nc"; the bytes that
-        each id stands for tell where words end."""
-        n = sum(w[0] != "\n" for w in words)
-        runs = ["".join(words[i : min(i + 2000, n)]) for i in range(0, n, 2000)] + ["".join(words[i : i + 2000]) for i in range(n, len(words), 2000)]
-        ids = np.fromiter(chain.from_iterable(self.plain(runs)), np.int64)
-        size = np.fromiter((len(w.encode()) for w in words), np.int64, len(words))
+        keep = np.flatnonzero(self.uses >= 2)
+        keep = keep[np.argsort(-self.uses[keep], kind="stable")[: self.MOST // 2]]
+        self.known = self.known.take(pa.array(keep))
+        self.sizes, first = self.sizes[keep], self.starts[keep]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.ids = self.ids[np.repeat(first - self.starts, self.sizes) + np.arange(int(self.sizes.sum()))]
+        self.uses = np.zeros(len(keep), np.int32)
+
+    def joined(self, words: pa.Array, separator: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, each with the separator before it, and how many each has. Words are encoded many at a time; the
+        bytes that each id stands for tell where words end."""
+        runs = pa.ListArray.from_arrays(pa.array(np.append(np.arange(0, len(words), 2000), len(words)), pa.int32()), words)
+        texts = [separator + t for t in pc.binary_join(runs, pa.scalar(separator, pa.large_string())).to_pylist()]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.of_words.encode_batch_fast(texts, add_special_tokens=False)), np.int64)
+        size = pc.binary_length(words).to_numpy() + len(separator)
         ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(size)) + 1
         return ids, np.diff(ends, prepend=0)
 
-    def learn(self) -> None:
-        """Encode the words that are new."""
-        words, self.known.new = self.known.new, []
-        for i in range(0, len(words), 20_000):
-            part = sorted(words[i : i + 20_000], key=lambda w: w[0] == "\n")
-            found, sizes = self.joined(part)
-            total, places = len(found), np.fromiter((self.known[w] for w in part), np.int64, len(part))
-            grow = lambda a, need: a if need <= len(a) else np.concatenate([a, np.zeros(max(need, 2 * len(a)) - len(a), a.dtype)])
-            self.ids, self.starts, self.sizes = grow(self.ids, self.used + total), grow(self.starts, len(self.known)), grow(self.sizes, len(self.known))
-            self.uses = grow(self.uses, len(self.known))
-            self.ids[self.used : self.used + total] = found
-            self.sizes[places] = sizes
-            self.starts[places] = self.used + np.cumsum(sizes) - sizes
-            self.used += total
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def learn(self, words: pa.Array) -> None:
+        """Encode words that are not known yet: after a space, or with the line break they begin with."""
+        lines = pc.starts_with(words, "\n")
+        for part, separator in ((words.filter(pc.invert(lines)), " "), (words.filter(lines), "")):
+            if len(part):
+                found, sizes = self.joined(part, separator)
+                self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+                self.ids, self.sizes = np.concatenate([self.ids, found.astype(np.int32)]), np.concatenate([self.sizes, sizes])
+                self.known, self.uses = pa.concat_arrays([self.known, part]), np.concatenate([self.uses, np.zeros(len(part), np.int32)])
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
-        words: list[str] = []
-        at, ends = [], []
-        whole = []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if self.odd(text):
-                whole.append(i)
-                continue
-            words += ("\n" + text).replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[1:]
-            at.append(i)
-            ends.append(len(words))
-        if whole:
-            for i, ids in zip(whole, self.plain([texts[i] for i in whole])):
+        full = pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        odd = self.odd(texts)
+        whole = np.flatnonzero(full & odd)
+        if len(whole):
+            for i, ids in zip(whole, self.plain(texts.take(pa.array(whole)).to_pylist())):
                 out[i] = np.array(ids, np.int64)
-        if words:
+        at = np.flatnonzero(full & ~odd)
+        if len(at):
             if len(self.known) > self.MOST:
                 self.shrink()
-            index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            if self.known.new:
-                self.learn()
-            self.uses[: len(self.known)] += np.bincount(index, minlength=len(self.known)).astype(np.int32)
+            lines = pc.replace_substring(texts.take(pa.array(at)), "\n", " \n")
+            split = pc.split_pattern(pc.binary_join_element_wise(NEW_LINE, lines, NOTHING), " ")  # words after a space, and line breaks with their words
+            words = split.flatten().dictionary_encode()
+            place = pc.index_in(words.dictionary, value_set=self.known)
+            if place.null_count:
+                self.learn(words.dictionary.filter(pc.is_null(place)))
+                place = pc.index_in(words.dictionary, value_set=self.known)
+            index = place.to_numpy()[words.indices.to_numpy()]
+            self.uses += np.bincount(index, minlength=len(self.known)).astype(np.int32)
             sizes, first = self.sizes[index], self.starts[index]
-            offsets = np.cumsum(sizes) - sizes
-            ids = self.ids[np.repeat(first - offsets, sizes) + np.arange(int(sizes.sum()))]
-            upto = np.concatenate([[0], np.cumsum(sizes)])[np.array([0, *ends])]
+            ends = np.cumsum(sizes)
+            ids = self.ids[np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1])]
+            upto = np.append(0, ends)[np.append(0, np.cumsum(pc.list_value_length(split).to_numpy()))]
             for k, i in enumerate(at):
                 out[i] = ids[upto[k] + 1 : upto[k + 1]]  # without the line break that was put before the first word
         return out
@@ -324,9 +314,9 @@ def encode_blocks(path: str, end_id: int, block_ids: int):
 
         for batch in batches:
             doc_ids = batch.column(0)
-            for i in range(0, batch.num_rows, 256):
-                texts = batch.column(1).slice(i, 256).to_pylist()
-                for doc_id, x in zip(doc_ids.slice(i, 256).to_pylist(), coder.encode([t or "" for t in texts])):
+            for i, offsets, _ in text_chunks(batch.column(1), CHUNK):
+                texts = pc.fill_null(batch.column(1).slice(i, len(offsets) - 1).cast(pa.large_string()), "")
+                for doc_id, x in zip(doc_ids.slice(i, len(offsets) - 1).to_pylist(), coder.encode(texts)):
                     ids.append(doc_id)
                     held.append(np.append(x, end_id))
                     size += len(held[-1])

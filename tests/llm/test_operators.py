@@ -203,9 +203,10 @@ def test_tokens(docs, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    want, start = [], 0
-    for i, text, _ in sorted(corpus(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    added = [(300 + j, x, "src0") for j, x in enumerate(("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y\nz", "<|endof", "text|> <|", "a\nb c\nd e", " lead", "trail\n", "a\u2003b"))]
+    assert 50256 in t.encode(added[0][1], add_special_tokens=False).ids
+    docs, want, start = docs.select("doc_id", "text", "source").union(docs.sparkSession.createDataFrame(added, SCHEMA)).withColumn("start", F.lit("clash")), [], 0
+    for i, text, _ in sorted(corpus() + added, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = t.encode(text or "", add_special_tokens=False).ids + [2]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
