@@ -2,16 +2,17 @@
 
 Items are normalised to lower-case words without punctuation and cut into word n-grams. One pass over the corpus finds where
 any of these stands and takes the passage around each cluster of hits (as word hashes; a passage reaches as far as the item can). Every
-n-gram that a document kept is a seed, common or rare: an edited copy may keep only n-grams that are not the rarest. Passages are aligned
-with the item, word by word, with linear gap costs; only those are passed over that hold too few of the item's words for any alignment to
-reach the limit. The score is the alignment's share of the best that the item could reach. A copy that keeps no n-gram whole (an edit in
-every GRAM words) has no seed and is not found.
+n-gram that a document kept is a seed, common or rare: an edited copy may keep only n-grams that are not the rarest (a choice of the rarest
+lost such copies). Clusters that hold too few of the item's words for any alignment to reach the limit are dropped where they are found,
+so what common n-grams hit is not written. Passages are aligned with the item, word by word, with linear gap costs. The score is the
+alignment's share of the best that the item could reach. A copy that keeps no n-gram whole (an edit in every GRAM words) has no seed and is not found.
 
-Items go through in chunks of a bounded number of n-grams, each a broadcast table of checked size; more items mean more
-passes, not larger broadcasts. Items shorter than an n-gram are one n-gram of all their words.
+Items go through in chunks of about CHUNK_GRAMS n-grams, each sent to the tasks; more items mean more passes, not larger
+chunks (one longer item is a chunk of its own). Items shorter than an n-gram are one n-gram of all their words.
 
-Defined results: null or empty texts hold nothing; a null or empty item matches nothing; repeated rows give equal rows of hits
-once; empty tables give an empty result.
+Defined results: null or empty texts hold nothing; a null or empty item text matches nothing; items that share an id, or have none, are
+all looked for, and the best alignment of each id (null is one) with a document counts; repeated rows give equal rows of hits
+once; ids are cast to long; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ SEPARATOR = np.array([not (0x30 <= FOLD[b] <= 0x39 or 0x61 <= FOLD[b] <= 0x7A or
 
 
 def item_grams(batches):
-    """item_id, gram, words of every n-gram of every item; words is given with the first n-gram only."""
+    """item, item_id, gram, words of every n-gram of every item (a distinct id and text); words is given with the first n-gram only."""
     for batch in batches:
-        for i, offsets, data in text_chunks(batch.column(1)):
+        for i, offsets, data in text_chunks(batch.column(2)):
             words, first = word_hashes(data, offsets, SEPARATOR)
             for r in range(len(offsets) - 1):
                 own = words[first[r] : first[r + 1]]
@@ -42,12 +43,28 @@ def item_grams(batches):
                 grams = gram_hashes(own, min(GRAM, len(own))).view(np.int64)
                 k = len(grams)
                 rest = [own.view(np.int64).tolist()] + [None] * (k - 1)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i + r].as_py()] * k, pa.int64()), pa.array(grams), pa.array(rest, pa.list_(pa.int64()))], names=["item_id", "gram", "words"])
+                item, item_id = (pa.array([batch.column(c)[i + r].as_py()] * k, pa.int64()) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([item, item_id, pa.array(grams), pa.array(rest, pa.list_(pa.int64()))], names=["item", "item_id", "gram", "words"])
 
 
-def find_passages(table):
-    """Passages of documents around clusters of item n-grams: doc_id, item_id, start, words."""
-    grams, owner, lengths, short = table.value
+class Items:
+    """A chunk's n-grams, sorted, with the items that hold them."""
+
+    def __init__(self, rows) -> None:
+        rows.sort(key=lambda r: r["gram"])
+        words = {r["item"]: np.array(r["words"], np.int64) for r in rows if r["words"] is not None}
+        self.ids = sorted(words)
+        self.words = [words[x] for x in self.ids]
+        number = {x: i for i, x in enumerate(self.ids)}
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        self.short = sorted({len(w) for w in self.words if len(w) < GRAM})
+        self.grams, self.owner = np.array([r["gram"] for r in rows], np.int64), np.array([number[r["item"]] for r in rows], np.int64)
+
+
+def find_passages(items: Items, least: float):
+    """Passages of documents around clusters of item n-grams that hold enough of the item's words to reach ``least`` (no word of the item is
+    matched twice): doc_id, item, start, words."""
+    grams, owner, lengths, short, ids, item_words = items.grams, items.owner, items.lengths, items.short, items.ids, items.words
 
     def run(batches):
         low = np.zeros(1 << 16, bool)
@@ -81,25 +98,14 @@ def find_passages(table):
                 for c, e in zip(cluster, ends):
                     reach = int(n[c]) + MARGIN
                     lo, hi = max(first[row[c]], at[c] - reach), min(first[row[c] + 1], at[e - 1] + reach)
-                    out.append((batch.column(0)[i + row[c]].as_py(), int(item[c]), int(lo - first[row[c]]), words[lo:hi].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([table_ids[o[1]] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.list_(pa.int64()))], names=["doc_id", "item_id", "start", "passage"])
+                    passage = words[lo:hi].view(np.int64)
+                    if np.isin(item_words[item[c]], passage).sum() >= least * n[c]:
+                        out.append((batch.column(0)[i + row[c]].as_py(), ids[item[c]], int(lo - first[row[c]]), passage))
+                yield pa.RecordBatch.from_arrays([*(pa.array([o[k] for o in out], pa.int64()) for k in range(3)), pa.array([o[3] for o in out], pa.list_(pa.int64()))], names=["doc_id", "item", "start", "passage"])
 
-    table_ids = table.ids
     return run
 
 
-class Items:
-    """A chunk's n-grams, sorted, as a broadcast value."""
-
-    def __init__(self, spark, rows) -> None:
-        rows.sort(key=lambda r: r["gram"])
-        self.ids = sorted({r["item_id"] for r in rows})
-        number = {x: i for i, x in enumerate(self.ids)}
-        sizes = {r["item_id"]: len(r["words"]) for r in rows if r["words"] is not None}
-        short = sorted({n for n in sizes.values() if n < GRAM})
-        self.value = (np.array([r["gram"] for r in rows], np.int64), np.array([number[r["item_id"]] for r in rows], np.int64), np.array([sizes[x] for x in self.ids], np.int64), short)
-
-
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """Smith-Waterman by rows of the item: best score, and start and end of the passage's part in it."""
     m = len(passage)
@@ -124,41 +130,34 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best, since, at
 
 
-def score_passages(least: float):
-    """Alignments of passages that hold enough of the item's words to reach ``least``: no word of the item is matched twice."""
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for doc_id, item_id, start, passage, item in zip(*(batch.column(k) for k in range(5))):
-                a, b = item.values.to_numpy(), passage.values.to_numpy()
-                if MATCH * int(np.isin(a, b).sum()) / (MATCH * len(a)) < least:
-                    continue
-                s, lo, hi = align(a, b)
-                out.append((doc_id.as_py(), item_id.as_py(), s / (MATCH * len(a)), start.as_py() + lo, start.as_py() + hi))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "score", "first_word", "end_word"])
-
-    return run
+def score_passages(batches):
+    for batch in batches:
+        out = []
+        for doc_id, item_id, start, passage, item in zip(*(batch.column(k) for k in range(5))):
+            s, lo, hi = align(item.values.to_numpy(), passage.values.to_numpy())
+            out.append((doc_id.as_py(), item_id.as_py(), s / (MATCH * len(item)), start.as_py() + lo, start.as_py() + hi))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "score", "first_word", "end_word"])
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.5, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, score, first_word, end_word: the best alignment of each document with each item that reaches ``least``."""
+    """doc_id, item_id, score, first_word, end_word: the best alignment of each document with each item id that reaches ``least``."""
     spark = docs.sparkSession
-    grams = materialize(items.filter(F.col(item_text).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), item_text).dropDuplicates(["item_id"]).mapInArrow(item_grams, "item_id long, gram long, words array<long>"), "leak-items")
+    distinct = items.filter(F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).distinct()
+    grams = materialize(distinct.select(F.monotonically_increasing_id().alias("item"), "item_id", "text").mapInArrow(item_grams, "item long, item_id long, gram long, words array<long>"), "leak-items")
     chunks = -(-(grams.count()) // CHUNK_GRAMS) or 1
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).filter(F.col(text_col).isNotNull())
     passages = None
     for chunk in range(chunks):
-        rows = grams.filter(F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == chunk).collect()
+        rows = grams.filter(F.pmod(F.xxhash64("item"), F.lit(chunks)) == chunk).select("item", "gram", "words").collect()
         if rows:
-            found = texts.mapInArrow(find_passages(Items(spark, rows)), "doc_id long, item_id long, start long, passage array<long>")
+            found = texts.mapInArrow(find_passages(Items(rows), least), "doc_id long, item long, start long, passage array<long>")
             passages = found if passages is None else passages.union(found)
     if passages is None:
         return spark.createDataFrame([], "doc_id long, item_id long, score double, first_word long, end_word long")
     passages = materialize(passages.distinct(), "leak-passages")
-    words = grams.filter("words is not null").select("item_id", F.col("words").alias("item"))
-    both = passages.join(words, "item_id").select("doc_id", "item_id", "start", "passage", "item")
-    scored = both.repartition("doc_id", "item_id").mapInArrow(score_passages(least), "doc_id long, item_id long, score double, first_word long, end_word long")
+    words = grams.filter("words is not null").select("item", "item_id", "words")
+    both = passages.join(words, "item").select("doc_id", "item_id", "start", "passage", "words")
+    scored = both.repartition("doc_id", "item_id").mapInArrow(score_passages, "doc_id long, item_id long, score double, first_word long, end_word long")
     best = scored.filter(F.col("score") >= least).groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("first_word")).alias("early"), "end_word")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.score").alias("score"), (-F.col("b.early")).alias("first_word"), F.col("b.end_word").alias("end_word"))
 
