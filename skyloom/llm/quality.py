@@ -1,20 +1,21 @@
 """Quality classifier by co-training of two views: the text's content and the page's metadata.
 
-Content: shares of character classes, word lengths, repetition of words and word pairs. Metadata: source, language and recorded length.
+Content: shares of character classes, word lengths, repetition of words and word pairs, and signed hashes of words and word pairs. Metadata:
+recorded length, and the log-odds of good among the labelled training documents of the same source and of the same language. Every
+value of these is a category of its own, null too; their table is computed by Spark and joined, so their number has no bound.
 Each view is a regularised logistic model. Round 0 fits both on labelled documents; in later rounds each view also learns from
 unlabelled documents, by the confident labels of the other view's model of the round before. Every Newton step is one pass over the
 feature table: partitions send partial gradients and Hessians, Spark sums them, and the driver solves a system whose size is
-fixed by the number of features. All labelled and all confident rows take part. A held-out fold calibrates and combines the views; a
-second one measures accuracy. All documents are scored.
+fixed by the number of features. All labelled and all confident rows take part, but for two folds of ten that train nothing: fold 0
+calibrates and combines the views, fold 1 measures accuracy (``held_out``). All documents are scored.
 
-Defined results: a null text is empty; null metadata is a category of its own; a document with several labels takes their
-mean, at least half counting as good; repeated rows are scored alike; with no labels every score is the prior of 0.5 (kept); empty
-tables give an empty result.
+Defined results: a null text is empty; a document with several labels takes their mean, at least half counting as good; a score of
+exactly ``least`` is kept; repeated rows are scored alike; ids are cast to long; a category without labelled documents says nothing; with no labels
+every score is the prior of 0.5 (kept); empty tables give an empty result.
 """
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,14 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, materialize, text_chunks, word_hashes
+from .common import IS_SPACE, materialize, mix64, source_key, text_chunks, word_hashes
 
 ROUNDS, STEPS, CONFIDENT, PSEUDO_WEIGHT, RIDGE = 3, 4, 0.97, 0.3, 1.0
 CLASSES = np.zeros((256, 8), np.float64)
 for _b in range(256):
     CLASSES[_b] = [0x41 <= _b <= 0x5A, 0x61 <= _b <= 0x7A, 0x30 <= _b <= 0x39, IS_SPACE[_b], _b >= 0x80, _b in b".,;:'\"-()?", _b in b"#$%&*|!@^~<>={}[]\\/+_", _b in b"\n"]
-CONTENT, LANGS, SOURCES = 1 + 8 + 7, 8, 24
-METADATA = 1 + 2 + LANGS + SOURCES
+SHAPE, HASHED = 1 + 8 + 7, 64
+CONTENT, METADATA = SHAPE + HASHED, 10
+#: Labelled documents' worth of the overall share that each category's share is mixed with.
+SMOOTH = 4.0
+BROADCAST_CATEGORIES = 100_000
 SIZES = (CONTENT, METADATA, 3)
 
 
@@ -45,29 +49,34 @@ def content_features(column) -> np.ndarray:
             _, counts = np.unique(own, return_counts=True)
             pairs = len(np.unique(own[:-1] * np.uint64(3) + own[1:])) if n > 1 else 1
             extra = [np.log1p(n) / 5, np.log(max(1, size) / max(1, n)) - 1.7, len(counts) / max(1, n), counts.max(initial=0) / max(1, n), pairs / max(1, n - 1), float(n < 8), np.sqrt(share[6])]
-            out.append([1.0, *np.sqrt(share), *extra])
+            tokens = mix64(np.concatenate([own, own[:-1] * np.uint64(3) + own[1:]]))
+            signs = np.where(tokens >> np.uint64(63), 1.0, -1.0)
+            hashed = np.bincount((tokens & np.uint64(HASHED - 1)).astype(np.int64), signs, HASHED)
+            out.append([1.0, *np.sqrt(share), *extra, *(hashed / np.sqrt(max(1, len(tokens))))])
     return np.array(out, np.float32).reshape(-1, CONTENT)
 
 
-def metadata_features(source: list, lang: list, n_chars: list) -> np.ndarray:
-    out = np.zeros((len(source), METADATA), np.float32)
-    for i, (s, g, n) in enumerate(zip(source, lang, n_chars)):
-        out[i, 0] = 1
-        out[i, 1] = 0 if n is None or n < 0 else np.log1p(n) / 8 - 1
-        out[i, 2] = n is None
-        out[i, 3 + zlib.crc32(repr(g).encode()) % LANGS] = 1
-        out[i, 3 + LANGS + zlib.crc32(repr(s).encode()) % SOURCES] = 1
+def metadata_features(source_odds, lang_odds, n_chars) -> np.ndarray:
+    """From Arrow columns: log-odds of source and language (null: unknown) and the recorded length."""
+    out = np.zeros((len(n_chars), METADATA), np.float32)
+    out[:, 0] = 1
+    n = n_chars.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    log = np.where(n >= 0, np.log1p(np.where(n >= 0, n, 0)), 0)
+    out[:, 1], out[:, 2] = np.where(n >= 0, log / 8 - 1, 0), np.isnan(n)
+    for j, bend in enumerate((4, 6, 8)):
+        out[:, 3 + j] = np.maximum(0, log - bend) / 4
+    for j, odds in enumerate((source_odds, lang_odds)):
+        x = odds.to_numpy(zero_copy_only=False)
+        out[:, 6 + 2 * j], out[:, 7 + 2 * j] = np.nan_to_num(x), np.isnan(x)
     return out
 
 
 def features(batches):
-    """doc_id, fold and both views' features, from (doc_id, text, source, lang, n_chars)."""
+    """doc_id, fold and both views' features, from (doc_id, fold, text, source odds, lang odds, n_chars)."""
     for batch in batches:
-        ids = batch.column(0).to_pylist()
-        a, b = content_features(batch.column(1)), metadata_features(*(batch.column(k).to_pylist() for k in (2, 3, 4)))
+        a, b = content_features(batch.column(2)), metadata_features(*(batch.column(k) for k in (3, 4, 5)))
         lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.reshape(-1)))
-        fold = pa.array([zlib.crc32(repr(x).encode()) % 10 for x in ids], pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column(0), fold, lists(a), lists(b)], names=["doc_id", "fold", "content", "metadata"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(a), lists(b)], names=["doc_id", "fold", "content", "metadata"])
 
 
 @dataclass
@@ -164,33 +173,80 @@ def scores(model: Model):
     return run
 
 
-def keep_rows(model: Model, least: float, names: list[str]):
-    """Whole rows whose score reaches ``least``."""
+def keep_rows(model: Model, least: float):
+    """Whole rows (a struct) whose score reaches ``least``."""
 
     def run(batches):
         for batch in batches:
-            text, source, lang, n_chars = (batch.column(batch.schema.get_field_index(n)) for n in names)
-            _, _, both = model.logits(content_features(text).astype(np.float64), metadata_features(source.to_pylist(), lang.to_pylist(), n_chars.to_pylist()).astype(np.float64))
-            yield batch.filter(pa.array(sigmoid(both @ model.both) >= least))
+            text, *metadata = (batch.column(k) for k in range(1, 5))
+            _, _, both = model.logits(content_features(text).astype(np.float64), metadata_features(*metadata).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(sigmoid(both @ model.both) >= least))], names=["quality_row"])
 
     return run
 
 
-def feature_table(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", length_col: str = "n_chars", label_col: str = "quality") -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col, F.col(source_col).cast("string"), F.col(lang_col).cast("string"), F.col(length_col).cast("long"))
-    made = rows.mapInArrow(features, "doc_id long, fold int, content array<float>, metadata array<float>")
-    known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("double").alias("good"))
+def good_labels(labels: DataFrame, label_col: str = "quality") -> DataFrame:
+    return labels.filter(F.col(label_col).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("double").alias("good"))
+
+
+def category_odds(docs: DataFrame, known: DataFrame, id_col: str, columns: dict[str, str]) -> dict[str, DataFrame]:
+    """For each column name a table (key, odds): the smoothed log-odds of good among labelled documents of the training folds."""
+    keys = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[source_key(F.col(c).cast("string")).alias(n) for n, c in columns.items()])
+    rows = keys.join(known, "doc_id").filter(fold_of("doc_id") > 1)
+    kinds = F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), F.col(n).alias("key")) for n in columns]))
+    table = materialize(rows.select("good", kinds.alias("k")).groupBy("k.kind", "k.key").agg(F.sum("good").alias("good"), F.count("*").alias("n")), "quality-categories")
+    good, n = table.groupBy("kind").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).select("good", "n").first() or (0.0, 0)
+    prior = (good + 1) / (n + 2)
+    odds = F.log((F.col("good") + SMOOTH * prior) / (F.col("n") - F.col("good") + SMOOTH * (1 - prior)))
+    out = {}
+    for name in columns:
+        part = table.filter(F.col("kind") == name).select(F.col("key").alias(f"quality_{name}"), odds.alias(f"quality_{name}_odds"))
+        out[name] = F.broadcast(part) if part.count() <= BROADCAST_CATEGORIES else part
+    return out
+
+
+def fold_of(c: str):
+    return F.pmod(F.xxhash64(c), F.lit(10)).cast("int")
+
+
+def with_odds(rows: DataFrame, odds: dict[str, DataFrame]) -> DataFrame:
+    for name, part in odds.items():
+        rows = rows.join(part, f"quality_{name}", "left")
+    return rows
+
+
+def prepared(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", length_col: str = "n_chars", label_col: str = "quality"):
+    """(rows with the inputs of both views beside the whole row, labels)."""
+    known = materialize(good_labels(labels, label_col), "quality-labels")
+    columns = {"source": source_col, "lang": lang_col}
+    odds = category_odds(docs, known, id_col, columns)
+    rows = docs.select(F.struct("*").alias("quality_row"), F.col(id_col).cast("long").alias("quality_id"), F.col(text_col).alias("quality_text"), F.col(length_col).cast("long").alias("quality_length"), *[source_key(F.col(c).cast("string")).alias(f"quality_{n}") for n, c in columns.items()])
+    return with_odds(rows, odds), known
+
+
+INPUTS = ("quality_text", "quality_source_odds", "quality_lang_odds", "quality_length")
+
+
+def feature_table(rows: DataFrame, known: DataFrame) -> DataFrame:
+    made = rows.select(F.col("quality_id").alias("doc_id"), fold_of("quality_id"), *INPUTS).mapInArrow(features, "doc_id long, fold int, content array<float>, metadata array<float>")
     return materialize(made.join(known, "doc_id", "left"), "quality-features")
 
 
 def classify(docs: DataFrame, labels: DataFrame, least: float = 0.5, **columns: str) -> DataFrame:
     """doc_id, p_content, p_metadata, score, kept, fold, good for every row."""
-    table = feature_table(docs, labels, **columns)
+    table = feature_table(*prepared(docs, labels, **columns))
     scored = table.mapInArrow(scores(train(table)), "doc_id long, p_content double, p_metadata double, score double, fold int, good double")
     return scored.withColumn("kept", F.col("score") >= least)
 
 
+def held_out(classified: DataFrame) -> DataFrame:
+    """One row: n labelled documents of fold 1, which neither trained nor calibrated, and the accuracy of the views and of both together on them."""
+    right = lambda c: F.avg(((F.col(c) >= 0.5) == (F.col("good") >= 0.5)).cast("double"))
+    return classified.filter("fold = 1 and good is not null").agg(F.count("*").alias("n"), right("p_content").alias("content"), right("p_metadata").alias("metadata"), right("score").alias("both"))
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs without the rows that the classifier rejects."""
-    model = train(feature_table(docs, labels))
-    return docs.mapInArrow(keep_rows(model, least, ["text", "source", "lang", "n_chars"]), docs.schema)
+    """docs without the rows that the classifier rejects. Features are computed again for the decision: that costs less than a shuffle of all texts."""
+    rows, known = prepared(docs, labels)
+    model = train(feature_table(rows, known))
+    return rows.select("quality_row", *INPUTS).mapInArrow(keep_rows(model, least), rows.select("quality_row").schema).select("quality_row.*")

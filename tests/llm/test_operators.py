@@ -110,6 +110,38 @@ def test_leaks_with_an_edit_every_few_words(spark):
         assert got == {i: s for i, s in want.items() if s >= 0.5} and held[0][0] in got
 
 
+def test_leaks_of_repeated_and_missing_item_ids(spark):
+    """Items of one id are all looked for; columns that clash, repeated rows and null ids do no harm."""
+    texts = [prose(40, 700 + i) for i in range(4)]
+    items = spark.createDataFrame([(1, texts[0], 5), (1, texts[1], 6), (1, texts[1], 6), (None, texts[2], 7), (2, None, 8), (2, texts[3][:20], 9)], "item_id long, text string, item long").withColumns({c: F.lit("clash") for c in ("gram", "words", "doc_id", "start")})
+    docs = spark.createDataFrame([(10, prose(30, 1) + " " + texts[1]), (10, prose(30, 1) + " " + texts[1]), (11, texts[2] + " " + texts[0]), (None, texts[2]), (12, prose(50, 4))], "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("item_id", "passage", "score", "leak_id")})
+    got = sorted((str(r.doc_id), str(r.item_id), r.score) for r in decontaminate.find_leaks(docs, items).collect())
+    assert got == sorted([("10", "1", 1.0), ("11", "1", 1.0), ("11", "None", 1.0), ("None", "None", 1.0)])
+    left = decontaminate.drop_leaks(docs, items)
+    assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [12]
+
+
+def test_leaks_are_all_alignments_that_reach_the_limit(spark):
+    """Against brute force: every document and item that share a 3-gram and align well enough, edited copies among them, are found, no others."""
+    r = random.Random(8)
+    items = [(i, prose(r.randint(2, 30), 800 + i)) for i in range(25)]
+    docs = []
+    for d in range(60):
+        w = r.choice(items)[1].split()
+        for _ in range(r.randint(0, len(w) // 2)):
+            w[r.randrange(len(w))] = r.choice(VOCABULARY)
+        docs.append((d, " ".join([prose(r.randint(0, 40), 900 + d), *w, prose(r.randint(0, 40), 1900 + d)])))
+    grams = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    want = {}
+    for d, text in docs:
+        for i, item in items:
+            a, b = item.split(), text.split()
+            if grams(a, min(3, len(a))) & grams(b, min(3, len(a))) and (s := sw(a, b) / (2 * len(a))) >= 0.5:
+                want[d, i] = s
+    got = {(x.doc_id, x.item_id): x.score for x in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and 20 < len(want) < 200
+
+
 def sw(a, b):
     h, best = np.zeros((len(a) + 1, len(b) + 1), int), 0
     for i in range(1, len(a) + 1):
@@ -321,7 +353,9 @@ def test_quality(spark, none):
     extra = [(5000, None, None, None, None), (5001, "", "en", "a", 0), (0, prose(60, 0), "en", "a", 400)]
     df = spark.createDataFrame(good + junk + extra, "doc_id long, text string, lang string, source string, n_chars long").withColumn("good", F.lit("clash"))
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 300, 2)] + [(1000 + i, 0, 0) for i in range(0, 100, 2)] + [(0, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
-    out = {r.doc_id: r.kept for r in quality.classify(df, labels).collect()}
+    classified = quality.classify(df, labels)
+    assert min(quality.held_out(classified).first()[1:]) > 0.8 and quality.held_out(classified).first().both > 0.97
+    out = {r.doc_id: r.kept for r in classified.collect()}
     held_out = [out[i] for i in range(1, 300, 2)], [not out[1000 + i] for i in range(1, 100, 2)]
     assert np.mean(held_out[0]) > 0.98 and np.mean(held_out[1]) > 0.98
     kept = quality.keep_good(df, labels)
@@ -329,6 +363,25 @@ def test_quality(spark, none):
     assert quality.classify(df.limit(0), labels).count() == 0 and quality.classify(df, labels.limit(0)).filter("kept").count() == df.count()
 
 
+def test_quality_tells_categories_apart(spark):
+    """Every language and source has odds of its own, null too, however many there are."""
+    rows = [(i, None if i % 41 == 0 else f"src{i % 41}", ("en", "fr", "es", "de", None)[i % 5]) for i in range(2000)]
+    df = spark.createDataFrame([(i, prose(20, i % 7), s, g, 100) for i, s, g in rows], "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, int(g in ("fr", None))) for i, _, g in rows if i % 2], "doc_id long, quality int")
+    out = quality.classify(df, labels)
+    wrong = [r for r in out.join(df.select("doc_id", "lang"), "doc_id").collect() if (r.p_metadata >= 0.5) != (r.lang in ("fr", None))]
+    assert not wrong
+    tables = quality.category_odds(df, quality.good_labels(labels), "doc_id", {"source": "source", "lang": "lang"})
+    known = {i: int(g in ("fr", None)) for i, _, g in rows if i % 2}
+    train = {r.doc_id for r in df.filter(quality.fold_of("doc_id") > 1).collect()} & set(known)
+    prior = (sum(known[i] for i in train) + 1) / (len(train) + 2)
+    for name, at in (("source", 1), ("lang", 2)):
+        got = {r[0]: r[1] for r in tables[name].collect()}
+        for key in {r[at] for r in rows}:
+            mine = [known[r[0]] for r in rows if r[0] in train and r[at] == key]
+            assert math.isclose(got["0" if key is None else "1" + key], math.log((sum(mine) + 4 * prior) / (len(mine) - sum(mine) + 4 * (1 - prior))), rel_tol=1e-9)
+
+
 def test_top_k(spark):
     r = np.random.default_rng(0)
     v = r.normal(size=(300, 8)).astype(np.float32)
