@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FOLD, gram_hashes, text_chunks, word_hashes
+from .common import FOLD, bound_batches, gram_hashes, text_chunks, word_hashes
 
 GRAM = 4
 #: Template positions are broadcast up to so many rows, and joined by a shuffle beyond.
@@ -100,6 +100,7 @@ def base(phrases):
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, share: float = 0.6, near: int = 3, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_spans. A template of g grams is found where a span holds ``share`` of them."""
     spark = docs.sparkSession
+    bound_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     facts = texts.mapInArrow(base(phrases), "doc_id long, th long, n_words long, n_base long, first_word long, last_word long, found array<string>")
     known = template_grams(templates)

@@ -36,7 +36,7 @@ SEGMENT, LANES, LANE_IDS, SLOTS = 1 << 21, 8192, 256, 1 << 18
 LEVELS, MIX_TOTAL, MIX_BITS = 4, 1 << 12, np.uint64(12)
 COUNT_STEP, COUNT_LIMIT, REFRESH = 32, 1 << 22, 8
 #: Bytes of text that are split into words at once.
-CHUNK = 1 << 24
+CHUNK = 1 << 22
 #: White space but the space and line break, and places where these do not begin a word.
 OTHER_SPACE = r"[\x00\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 OTHER_PLACES = ("  ", " \n", "\n ", "\n\n")
@@ -201,7 +201,7 @@ class Encoder:
     encoded apart, each with what stands before it; texts with any other white space, or with a token that was added to
     the vocabulary (such as one for a text's end), are encoded whole."""
 
-    MOST = 2_000_000
+    MOST = 1_000_000
 
     def __init__(self, path: str) -> None:
         import os
@@ -234,7 +234,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.known = pa.array([], pa.large_string())
-        self.ids, self.starts, self.sizes, self.uses = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids, self.starts, self.sizes, self.uses = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def shrink(self) -> None:
         """Forget words that were used once, and of the others the rarer ones beyond half the size."""
@@ -242,7 +242,7 @@ class Encoder:
         keep = keep[np.argsort(-self.uses[keep], kind="stable")[: self.MOST // 2]]
         self.known = self.known.take(pa.array(keep))
         self.sizes, first = self.sizes[keep], self.starts[keep]
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.starts = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
         self.ids = self.ids[np.repeat(first - self.starts, self.sizes) + np.arange(int(self.sizes.sum()))]
         self.uses = np.zeros(len(keep), np.int32)
 
@@ -262,8 +262,8 @@ class Encoder:
         for part, separator in ((words.filter(pc.invert(lines)), " "), (words.filter(lines), "")):
             if len(part):
                 found, sizes = self.joined(part, separator)
-                self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-                self.ids, self.sizes = np.concatenate([self.ids, found.astype(np.int32)]), np.concatenate([self.sizes, sizes])
+                self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)])
+                self.ids, self.sizes = np.concatenate([self.ids, found.astype(np.int32)]), np.concatenate([self.sizes, sizes.astype(np.int32)])
                 self.known, self.uses = pa.concat_arrays([self.known, part]), np.concatenate([self.uses, np.zeros(len(part), np.int32)])
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
@@ -289,8 +289,8 @@ class Encoder:
             index = place.to_numpy()[words.indices.to_numpy()]
             self.uses += np.bincount(index, minlength=len(self.known)).astype(np.int32)
             sizes, first = self.sizes[index], self.starts[index]
-            ends = np.cumsum(sizes)
-            ids = self.ids[np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1])]
+            ends = np.cumsum(sizes, dtype=np.int64)
+            ids = self.ids[np.repeat((first - ends + sizes).astype(np.int32), sizes) + np.arange(ends[-1], dtype=np.int32)]
             upto = np.append(0, ends)[np.append(0, np.cumsum(pc.list_value_length(split).to_numpy()))]
             for k, i in enumerate(at):
                 out[i] = ids[upto[k] + 1 : upto[k + 1]]  # without the line break that was put before the first word
