@@ -1,18 +1,20 @@
 """Exact top-k inner-product search by distributed histogram selection.
 
-Vectors are packed into blocks by a hash of their id, and every query block meets every candidate block once a pass. Each
-pass scores everything and narrows, for every query, the interval of scores that holds its k-th best value: a block reports
-the counts of its highest histogram bins only, as far down as its own k-th score, since the global one is never lower.
-When intervals are one score wide, a last pass keeps the scores from the k-th value up; of those that tie with it each block
-keeps its k smallest ids, and a rank by (score descending, id) decides.
-
-Defined results: vectors that are null or hold a null or non-finite component take no part; only vectors of equal dimension
-are compared; candidates with a query's own id are left out; fewer than k candidates are all returned; empty tables
-give an empty result.
+Queries go through in chunks of QUERY_CHUNK vectors, each sent to the tasks that read the candidates; candidates are never moved. Each
+pass scores everything and narrows, for every query, the interval of scores that holds its k-th best value: a task adds up its
+histogram and reports the highest bins only, as far down as its own k-th score, since the global one is never lower.
+When intervals are one score wide, a last pass keeps the scores from the k-th value up; of those that tie with it each task
+keeps its k smallest ids, and a rank by (score descending, id) decides. What is shuffled is a few rows a query and task.
+
+Defined results: vectors that are null or hold a null or non-finite component take no part, nor do those without an id; only vectors of
+equal dimension are compared; components saturate where scores of their dimension would leave 64 bits (beyond sqrt(2^61 / dimension)); every row
+of a repeated query id is a query of its own, so its ranks appear once for each; candidates with a query's own id are left out; a candidate id that
+is repeated counts as often; ids are cast to long; fewer than k candidates are all returned; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -22,21 +24,17 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-QUERY_BLOCK, CANDIDATE_BLOCK, BINS = 512, 4096, 256
+#: Queries that are sent at once, and candidates that a task scores at once.
+QUERY_CHUNK, CANDIDATES, BINS = 4096, 512, 256
 
 
 def quantized(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
     """vec_id, v (integers floor(scale * x)), dim, of the vectors that take part."""
     finite = F.col(vector_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    v = F.transform(vector_col, lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
-    return vectors.filter(finite).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.size(vector_col).alias("dim")).filter("vec_id is not null")
-
-
-def packed(rows: DataFrame, block: str, n: int, extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row a block: ids, all components in a row, and the extra columns as arrays."""
-    number = F.pmod(F.xxhash64("vec_id"), F.lit(n))
-    held = rows.withColumn(block, number).groupBy("dim", block).agg(F.collect_list(F.struct("vec_id", "v", *extra)).alias("rows"))
-    return held.select("dim", block, F.col("rows.vec_id").alias(f"{block}_ids"), F.flatten("rows.v").alias(f"{block}_v"), *[F.col(f"rows.{c}").alias(c) for c in extra])
+    most = F.floor(F.sqrt(F.lit(2.0**61) / F.size(vector_col))).cast("double")
+    v = F.transform(vector_col, lambda x: F.floor(F.least(most, F.greatest(-most, x.cast("double") * F.lit(float(scale))))))
+    rows = vectors.filter(finite).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.size(vector_col).alias("dim"))
+    return rows.filter("vec_id is not null and dim > 0")
 
 
 def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -47,76 +45,101 @@ def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def pairs(batches):
-    """(dim, query ids, scores, candidate ids, row) for every pair of blocks."""
-    for batch in batches:
-        names = batch.schema.names
-        for i in range(batch.num_rows):
-            row = {n: batch.column(k)[i] for k, n in enumerate(names)}
-            arrays = {n: row[n].values.to_numpy(zero_copy_only=False) for n in names if n != "dim"}
-            dim = row["dim"].as_py()
-            q, c = arrays["qb_ids"], arrays["cb_ids"]
-            s = scores(arrays["qb_v"].reshape(len(q), dim), arrays["cb_v"].reshape(len(c), dim))
-            yield q, s, c, q[:, None] != c[None, :], arrays
+class Chunk:
+    """Some queries of one dimension and the interval of scores that is known to hold each one's k-th best."""
+
+    def __init__(self, rows, dim: int, k: int, most: int) -> None:
+        self.dim, self.ids = dim, np.array([r["vec_id"] for r in rows], np.int64)
+        self.v = np.array([r["v"] for r in rows], np.int64).reshape(len(rows), dim)
+        self.width = max(1, math.ceil((2 * most + 1) / BINS))
+        self.lo, self.need = np.full(len(rows), -most, np.int64), np.full(len(rows), k, np.int64)
+        self.span = np.full(len(rows), float(BINS) * self.width)
+        self.bin_width = np.full(len(rows), self.width, np.int64)
+
+    def met(self, batches):
+        """(scores of all queries, ids of some candidates) again and again."""
+        for batch in batches:
+            mine = batch.filter(pa.array(batch.column(2).to_numpy() == self.dim))
+            ids, v = mine.column(0).to_numpy(), mine.column(1).flatten().to_numpy().reshape(-1, self.dim)
+            for i in range(0, len(ids), CANDIDATES):
+                yield scores(self.v, v[i : i + CANDIDATES]), ids[i : i + CANDIDATES]
+
+    def narrow(self, found: dict[int, tuple[int, int]]) -> None:
+        """Go on within the bins that hold the k-th best; a query with fewer candidates than k keeps its interval."""
+        narrower = max(1, math.ceil(self.width / BINS))
+        for q, (at, left) in found.items():
+            self.lo[q] += at * self.bin_width[q]
+            self.need[q], self.span[q], self.bin_width[q] = left, float(self.width), narrower
+        self.width = narrower
 
 
-def histograms(batches):
-    for q, s, _, other, a in pairs(batches):
-        lo, width, need = a["lo"][:, None], a["width"][:, None], a["need"]
-        bins = (s - lo) // width
-        inside = other & (s >= lo) & (s < lo + a["span"][:, None])
-        counts = np.bincount((np.arange(len(q))[:, None] * BINS + bins)[inside], minlength=len(q) * BINS).reshape(len(q), BINS)
-        above = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts
-        r, b = np.nonzero((counts > 0) & (above < need[:, None]))
-        yield pa.RecordBatch.from_arrays([pa.array(q[r]), pa.array(b), pa.array(counts[r, b])], names=["query_id", "bin", "n"])
+def histograms(chunk: Chunk):
+    def run(batches):
+        n = len(chunk.ids)
+        counts = np.zeros(n * BINS, np.int64)
+        for s, c in chunk.met(batches):
+            above = s.astype(np.float64) - chunk.lo[:, None]
+            inside = (chunk.ids[:, None] != c[None, :]) & (s >= chunk.lo[:, None]) & (above < chunk.span[:, None])
+            q, j = np.nonzero(inside)
+            counts += np.bincount(q * BINS + (s[q, j] - chunk.lo[q]) // chunk.bin_width[q], minlength=n * BINS)
+        counts = counts.reshape(n, BINS)
+        higher = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts
+        q, b = np.nonzero((counts > 0) & (higher < chunk.need[:, None]))
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(b, pa.int64()), pa.array(counts[q, b]), pa.array(chunk.need[q])], names=["q", "bin", "n", "need"])
+
+    return run
+
 
+def winners(chunk: Chunk, k: int):
+    """Of every task: the scores above each query's k-th best, and of those equal to it the k smallest ids."""
 
-def winners(k: int):
     def run(batches):
-        for q, s, c, other, a in pairs(batches):
-            least = a["lo"][:, None]
-            keep = other & (s > least)
-            for i, j in ((i, np.flatnonzero(other[i] & (s[i] == least[i]))) for i in np.flatnonzero((other & (s == least)).any(axis=1))):
-                keep[i, j[np.argsort(c[j], kind="stable")[:k]]] = True
-            r, j = np.nonzero(keep)
-            yield pa.RecordBatch.from_arrays([pa.array(q[r]), pa.array(c[j]), pa.array(s[r, j])], names=["query_id", "vec_id", "score"])
+        ties: dict[int, list[int]] = {}
+        for s, c in chunk.met(batches):
+            other = chunk.ids[:, None] != c[None, :]
+            q, j = np.nonzero(other & (s > chunk.lo[:, None]))
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(chunk.ids[q]), pa.array(c[j]), pa.array(s[q, j])], names=["q", "query_id", "vec_id", "score"])
+            for q, j in zip(*np.nonzero(other & (s == chunk.lo[:, None]))):
+                held = ties.setdefault(int(q), [])
+                held.append(int(c[j]))
+                if len(held) >= 4 * k:
+                    ties[int(q)] = sorted(held)[:k]
+        q = np.array([x for x, held in ties.items() for _ in sorted(held)[:k]], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(chunk.ids[q]), pa.array([x for held in ties.values() for x in sorted(held)[:k]], pa.int64()), pa.array(chunk.lo[q])], names=["q", "query_id", "vec_id", "score"])
 
     return run
 
 
+def best_of(rows: DataFrame, chunk: Chunk, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score of one chunk of queries. The driver gets one small row a query and pass."""
+    down = Window.partitionBy("q").orderBy(F.desc("bin"))
+    while True:
+        counts = rows.mapInArrow(histograms(chunk), "q long, bin long, n long, need long").groupBy("q", "bin", "need").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(down))
+        found = counts.filter("upto >= need and upto - n < need").collect()
+        last = chunk.width == 1
+        chunk.narrow({r["q"]: (r["bin"], r["need"] - r["upto"] + r["n"]) for r in found})
+        if last:
+            break
+    best = rows.mapInArrow(winners(chunk, k), "q long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of every vector whose id is divisible by ``every``."""
     rows = materialize(quantized(vectors, scale, id_col, vector_col), "topk-vectors")
-    queries = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    queries = materialize(rows.filter(F.col("vec_id") % every == 0).withColumn("row", F.monotonically_increasing_id()), "topk-queries")
     squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
-    n, n_queries, norm = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.max(squares)).first()
-    n_cb, n_qb = max(1, math.ceil(n / CANDIDATE_BLOCK)), max(1, math.ceil(n_queries / QUERY_BLOCK))
-    most = int(norm or 0) + 1
-    width = max(1, math.ceil((2 * most + 1) / BINS))
-    candidates = materialize(packed(rows, "cb", n_cb), "topk-blocks").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1))))
-    long = lambda x: F.lit(x).cast("long")
-
-    def met(state: DataFrame) -> DataFrame:
-        blocks = packed(queries.join(state, "vec_id"), "qb", n_qb, ("lo", "width", "span", "need"))
-        blocks = blocks.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_cb - 1))))
-        cast = lambda df: df.withColumns({"qb": F.col("qb").cast("long"), "cb": F.col("cb").cast("long")})
-        return cast(candidates).join(cast(blocks), ["dim", "qb", "cb"]).drop("qb", "cb")
-
-    state = queries.select("vec_id", long(-most).alias("lo"), long(width).alias("width"), long(BINS * width).alias("span"), long(k).alias("need"))
-    while True:
-        counts = met(state).mapInArrow(histograms, "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-        down = Window.partitionBy("query_id").orderBy(F.desc("bin"))
-        upto = counts.join(state.withColumnRenamed("vec_id", "query_id"), "query_id").withColumn("upto", F.sum("n").over(down))
-        found = upto.filter((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need"))).select("query_id", (F.col("lo") + F.col("bin") * F.col("width")).alias("at"), (F.col("need") - F.col("upto") + F.col("n")).alias("left"))
-        narrower = max(1, math.ceil(width / BINS))
-        state = state.join(found, state["vec_id"] == found["query_id"], "left").select("vec_id", F.coalesce("at", "lo").alias("lo"), F.when(F.col("at").isNull(), F.col("width")).otherwise(long(narrower)).alias("width"), F.when(F.col("at").isNull(), F.col("span")).otherwise(long(width)).alias("span"), F.coalesce("left", "need").alias("need"))
-        state = materialize(state, "topk-state")
-        if width == 1:
-            break
-        width = narrower
-    best = met(state).mapInArrow(winners(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    parts = []
+    for dim, n in queries.groupBy("dim").count().orderBy("dim").collect():
+        most = min(2**61, int((rows.filter(F.col("dim") == dim).agg(F.max(squares)).first()[0] or 0) * (1 + 1e-9)) + 1)
+        chunks = math.ceil(n / QUERY_CHUNK)
+        for chunk in range(chunks):
+            held = queries.filter((F.col("dim") == dim) & (F.pmod(F.xxhash64("row"), F.lit(chunks)) == chunk)).select("vec_id", "v").collect()
+            if held:
+                parts.append(best_of(rows, Chunk(held, dim, k, most), k))
+                parts[-1] = materialize(parts[-1], "topk-best") if chunks > 1 else parts[-1]
+    return functools.reduce(DataFrame.union, parts) if parts else vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
 
 def oracle(k: int = 10, every: int = 100, scale: int = 1024) -> str:

@@ -400,6 +400,25 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_ids_and_huge_components(spark, monkeypatch):
+    """Queries of one id are apart, ties go to smaller ids, saturated components and many chunks of queries."""
+    monkeypatch.setattr(topk, "QUERY_CHUNK", 3)
+    r = np.random.default_rng(4)
+    v = r.normal(size=(120, 4))
+    v[3], v[20:40] = [1e30, -1e30, 0, 5], [0.5, 0.5, 0.5, 0.5]
+    ids = [int(i) // 2 * 10 for i in range(120)]
+    rows = list(zip(ids, v.tolist()))
+    most = math.floor(math.sqrt(2.0**61 / 4))
+    q = np.floor(np.clip(v * 1024, -most, most)).astype(np.int64)
+    want = []
+    for a in range(120):
+        if ids[a] % 100 == 0:
+            best = sorted((-sum(int(x) * int(y) for x, y in zip(q[a], q[b])), ids[b]) for b in range(120) if ids[b] != ids[a])[:10]
+            want += [(ids[a], k + 1, b, -x) for k, (x, b) in enumerate(best)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_secrets(spark, docs, none):
     hexes, key = "0123456789abcdef0123456789abcdef", "AKIA" + "Z9Y8X7W6V5U4T3S2"
     texts = [f'é "PassWord" : "{"x" * 6}" and token=ab secret: token: abcdef99', f"{key} {key}A AKIAB {hexes} api_key='zzzzzzz'", None, "", "ſecret=abcdefg toKen=abcdef1", "a9Xk2Lq8Zr4Vt7Wn3Bm6Yp1Sd5 thiswordisquitelongbutordinary"]
