@@ -1,20 +1,22 @@
 """Removal of repeated byte strings: every byte covered by a LENGTH-byte string that starts at two or more places of the corpus.
 
-The result is what neighbours of a suffix array with a common prefix of LENGTH bytes would show; the README says why it is not
-reached by column-wise construction (one pass over external files for each byte of the longest text).
-
-Winnowing assigns each LENGTH-byte window the rightmost least of its GRAM-byte hashes, its anchor. The anchor follows from the
-window's content, so equal windows have it at the same offset, and a run of neighbouring windows shares one. Hashes of 64 bits are
-compared in three levels, each a Spark aggregation that combines before the shuffle, so that no group of equal strings meets in
-one task:
-  0. anchor runs whose whole surroundings occur twice are repeated, and those whose anchor occurs once are not;
-  1. of the others, classes of CLASS neighbouring windows: not repeated where the part common to all of them is unique, repeated
-     where all they cover occurs twice;
-  2. of the classes left, every single window.
-Texts that hold a repeated anchor are written apart once, so later levels shuffle those only.
+The sorted suffixes and their common prefixes come from column-wise construction over many documents at once: in each round one symbol of
+every document is put before what was inserted, and one sequential pass updates the collection's Burrows-Wheeler order and the common
+prefixes of neighbours. A LENGTH-byte window is repeated where a neighbour shares LENGTH bytes.
+
+So that this is a bounded job for a task, the documents of a construction are pieces of texts. Winnowing assigns each window the rightmost
+least of its GRAM-byte hashes, its anchor. The anchor follows from the window's content, so equal windows have it at the same offset, and
+a run of neighbouring windows shares one. The bytes that a run covers, at most WIDEST, are its piece. Pieces are aligned at their
+anchors, so equal windows stand in one column, and a round orders the suffixes of its column alone.
+  1. Runs that agree in all their bytes are one piece, whose windows are repeated; runs whose anchor hash occurs once are unique. These
+     are aggregations that combine before the shuffle.
+  2. The other pieces are dealt by anchor hash to buckets of about BUCKET pieces, each constructed in WIDEST rounds.
+  3. An anchor with more than HOT different pieces is not one bucket: its windows go in classes of CLASS neighbours (not repeated where what all of
+     them share is unique, repeated where all they cover occurs twice), and those left open one by one, by aggregations of hashes.
+Texts that hold a repeated anchor are written apart once, so later steps read those only.
 
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing; repeated rows are separate occurrences, each of them
-loses what repeats; equal ids with different texts are separate; an empty table gives an empty result.
+loses what repeats; equal ids with different texts are separate; ids are cast to long; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +31,11 @@ from pyspark.sql import functions as F
 from .common import materialize, mix64, prefix_hash, sub_hash, text_chunks
 
 LENGTH, GRAM, CLASS = 400, 64, 16
+#: Columns of a piece: as far as windows reach before their anchor, and as far as they reach from it.
+BEFORE = LENGTH - GRAM
+WIDEST = BEFORE + LENGTH
+BUCKET, HOT = 8192, 4096
+NO_BYTE = 256
 SEGMENT = 1 << 19
 
 
@@ -104,6 +111,71 @@ def repeat_rows(batch, rows: list[int], counts: list[int]):
     return batch.column(0).take(take), batch.column(1).take(take)
 
 
+def pieces_of(batches):
+    """doc_id, th, p, lo, hi, c, ah and the bytes of each run."""
+    for batch in batches:
+        for r, data, (p, lo, hi, c, ah) in spread(batch, 3, "p", "lo", "hi", "c", "ah"):
+            body = pa.array([data[s:e].tobytes() for s, e in zip(lo, hi + LENGTH)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*repeat_rows(batch, [r], [len(p)]), *(pa.array(x.astype(np.int32)) for x in (p, lo, hi)), pa.array(c), pa.array(ah), body], names=["doc_id", "th", "p", "lo", "hi", "c", "ah", "body"])
+
+
+def least_between(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Minima of values[first..last]."""
+    out = values[last]
+    wide = np.flatnonzero(last > first)
+    level, step = values, 1
+    while len(wide):
+        size = last[wide] - first[wide] + 1
+        now = wide[size < 2 * step]
+        out[now] = np.minimum(level[first[now]], level[last[now] - step + 1])
+        wide = wide[size >= 2 * step]
+        level = np.minimum(level[: len(level) - step], level[step:]) if len(wide) else level
+        step *= 2
+    return out
+
+
+def column_wise(group: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """For each window column and piece: whether another piece of the group has the same LENGTH bytes there.
+
+    columns[x] holds the symbols of column x, NO_BYTE where a piece has none. ``order`` is the order of the suffixes that begin in the
+    column inserted last, group by group, and ``common`` what each shares with the one before it."""
+    order = np.argsort(group, kind="stable")
+    common = np.zeros(len(order), np.int32)
+    repeated = np.zeros((BEFORE + 1, len(order)), bool)
+    for x in range(WIDEST - 1, -1, -1):
+        symbol = columns[x][order]
+        key = group[order] * 512 + symbol
+        move = np.argsort(key, kind="stable")
+        key = key[move]
+        equal = np.flatnonzero((key[1:] == key[:-1]) & (key[1:] % 512 != NO_BYTE)) + 1
+        new = np.zeros(len(order), np.int32)
+        new[equal] = least_between(common, move[equal - 1] + 1, move[equal]) + 1
+        order, common = order[move], new
+        if x <= BEFORE:
+            long = common >= LENGTH
+            long[:-1] |= common[1:] >= LENGTH
+            repeated[x, order[long]] = True
+    return repeated
+
+
+def repeated_windows(bucket: pa.Table) -> pa.Table:
+    """doc_id, th, lo, hi: ranges of repeated window starts of the pieces that stand for one place only; the others are repeated as a whole."""
+    bucket = bucket.combine_chunks()
+    p, lo, hi, c, ah = (bucket[n].to_numpy() for n in ("p", "lo", "hi", "c", "ah"))
+    rows = np.full((len(p), WIDEST), NO_BYTE, np.int16)
+    for r, (body, at) in enumerate(zip(bucket["body"], lo - p + BEFORE)):
+        body = np.frombuffer(body.as_buffer(), np.uint8)
+        rows[r, at : at + len(body)] = body
+    found = column_wise(np.unique(ah, return_inverse=True)[1].astype(np.int64), np.ascontiguousarray(rows.T)) & (c == 1)
+    edge = np.zeros((len(p), BEFORE + 3), np.int8)
+    edge[:, 1:-1] = found.T
+    edge = np.diff(edge, axis=1)
+    (row, first), (_, last) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    take = pa.array(row)
+    start = p[row] - BEFORE
+    return pa.table({"doc_id": bucket["doc_id"].take(take), "th": bucket["th"].take(take), "lo": pa.array((start + first).astype(np.int32)), "hi": pa.array((start + last - 1).astype(np.int32))})
+
+
 def classes(batches):
     """Level 1: doc_id, th, lo and hi of each class, c, and the hashes of what its windows share and of what they cover."""
     for batch in batches:
@@ -172,11 +244,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     totals = runs.groupBy("ah").agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).filter("total > 1")
     runs = materialize(runs.join(totals, "ah"), "repeat-runs")
     whole = found.join(runs.filter("c > 1").select("ah", "ch"), ["ah", "ch"], "left_semi").select("doc_id", "th", "lo", "hi")
-    open_runs = runs.filter("kinds > 1").select("at.*", "c")
+    open_runs = runs.filter("kinds > 1").select("at.*", "c", "ah", "kinds")
     wanted = whole.select("doc_id", "th").union(open_runs.select("doc_id", "th")).distinct()
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
     some = materialize(texts.join(wanted, same(texts, wanted), "left_semi").dropDuplicates(["doc_id", "th"]), "repeat-texts")
-    parts = materialize(by_text(open_runs, some, "p", "lo", "hi", "c").mapInArrow(classes, "doc_id long, th long, lo int, hi int, c long, core long, cover long"), "repeat-classes")
+    bounded, hot = open_runs.filter(F.col("kinds") <= HOT), open_runs.filter(F.col("kinds") > HOT)
+    pieces = by_text(bounded, some, "p", "lo", "hi", "c", "ah").mapInArrow(pieces_of, "doc_id long, th long, p int, lo int, hi int, c long, ah long, body binary")
+    buckets = -(-bounded.count() // BUCKET) or 1
+    level0 = materialize(pieces.withColumn("bucket", F.pmod(F.xxhash64("ah"), F.lit(buckets))).groupBy("bucket").applyInArrow(repeated_windows, "doc_id long, th long, lo int, hi int"), "repeat-columns")
+    parts = materialize(by_text(hot, some, "p", "lo", "hi", "c").mapInArrow(classes, "doc_id long, th long, lo int, hi int, c long, core long, cover long"), "repeat-classes")
     cores = parts.groupBy("core").agg(F.sum("c").alias("shared"), (F.count("*") == F.count("cover")).alias("covered"), F.min("cover").alias("least"), F.max("cover").alias("most")).filter("shared > 1")
     covers = parts.filter("cover is not null").groupBy("cover").agg(F.sum("c").alias("times")).filter("times > 1")
     parts = materialize(parts.join(cores, "core").join(covers, "cover", "left"), "repeat-shared")
@@ -185,7 +261,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     single = materialize(by_text(left, some, "lo", "hi", "c").mapInArrow(windows, "doc_id long, th long, start int, c long, h long"), "repeat-windows")
     twice = single.groupBy("h").agg(F.sum("c").alias("times")).filter("times > 1").select("h")
     level2 = single.filter("c = 1").join(twice, "h", "left_semi").select("doc_id", "th", F.col("start").alias("lo"), F.col("start").alias("hi"))
-    gone = whole.union(level1).union(level2)
+    gone = whole.union(level0).union(level1).union(level2)
     cut = by_text(gone, some, "lo", "hi").mapInArrow(digests, "doc_id long, th long, n_removed long, n_spans long, kept_sha256 string")
     facts = texts.select("doc_id", "th", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "utf-8"), 256).alias("sha"))
     zero = F.lit(0).cast("long")

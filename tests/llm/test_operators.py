@@ -182,6 +182,40 @@ def test_repeats(docs, none):
     assert substrings.remove_repeats(none).count() == 0
 
 
+def test_column_wise_construction():
+    """Orders and common prefixes against all pairs: which pieces of a group share LENGTH bytes in a column."""
+    r = np.random.default_rng(9)
+    base = [r.integers(0, 3, substrings.WIDEST) for _ in range(3)]
+    rows = np.full((60, substrings.WIDEST), substrings.NO_BYTE)
+    for i in range(60):
+        a, e = r.integers(0, 337), r.integers(400, 737)
+        rows[i, min(a, e - 400) : e] = base[i % 3][min(a, e - 400) : e]
+        for x in r.integers(0, substrings.WIDEST, r.integers(0, 4)):
+            rows[i, x] = 5 if rows[i, x] != substrings.NO_BYTE else rows[i, x]
+    group = np.arange(60) % 3 + 3 * (r.integers(0, 2, 60))
+    got = substrings.column_wise(group.astype(np.int64), np.ascontiguousarray(rows.T.astype(np.int16)))
+    want = np.zeros_like(got)
+    for x in range(substrings.BEFORE + 1):
+        for i in range(60):
+            w = rows[i, x : x + 400]
+            want[x, i] = (w != substrings.NO_BYTE).all() and any(j != i and group[j] == group[i] and (rows[j, x : x + 400] == w).all() for j in range(60))
+    assert (got == want).all() and 100 < want.sum() < want.size - 100
+    v, first = r.integers(0, 50, 300).astype(np.int32), r.integers(0, 250, 200)
+    last = first + r.integers(0, 50, 200)
+    assert (substrings.least_between(v, first, last) == [v[a : b + 1].min() for a, b in zip(first, last)]).all()
+
+
+@pytest.mark.parametrize("hot", [0, 3])
+def test_repeats_of_hot_anchors(docs, spark, monkeypatch, hot):
+    """Anchors with more pieces than a bucket takes, and passages in many surroundings: the same rows, whichever way they go."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "BUCKET", 5)
+    passage = prose(120, 71)
+    rows = corpus() + [(2000 + i, prose(30, 3000 + i) + " " + passage[i % 7 : 700 + i % 5] + " " + prose(30, 4000 + i), "src0") for i in range(25)]
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == brute_repeats(rows)
+
+
 def test_repeats_across_segments(docs, monkeypatch):
     """Long texts in overlapping segments: the pieces together see every window once."""
     monkeypatch.setattr(substrings, "SEGMENT", 1000)
