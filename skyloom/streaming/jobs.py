@@ -3,6 +3,7 @@ job sorts a micro-batch by event time within its key, drops what is older than i
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,31 +72,35 @@ def lock_sessions(hits: DataFrame, gap: str, delay: str = "10 seconds", key: str
 
 def bracket(rows: DataFrame, key: str, values: list[str]) -> DataFrame:
     """As-of join within one stream. rows: key, id, t_us, is_query and values. A query comes out when the first later sample of its key arrives,
-    with the samples around it (p_t, p_*, n_t, n_*). Kept for each key: its newest sample and the queries after it."""
+    with the samples around it (p_t, p_*, n_t, n_*). Kept for each key: its newest sample and the queries after it; of more than MOST_PENDING
+    queries the oldest come out at once, with the newest sample before them and null for n_t and n_*. None is dropped."""
     doubles = ", ".join(f"{side}_{v} double" for side in "pn" for v in values)
     schema = f"{key} long, id long, t_us long, p_t long, n_t long, {doubles}"
     names = [key, "id", "t_us", "p_t", "n_t", *[f"{side}_{v}" for side in "pn" for v in values]]
 
     def step(group, batches, state: GroupState):
         last_t, last, times, ids = state.get if state.exists else (None, None, [], [])
-        times, ids, out = list(times), list(ids), []
-        for r in pd.concat(list(batches)).sort_values(["t_us", "is_query", "id"]).itertuples(index=False):
-            if last_t is not None and r.t_us < last_t or (not r.is_query and last_t is not None and r.t_us == last_t):
-                continue  # late: older than the state
-            if r.is_query:
-                times.append(int(r.t_us))
-                ids.append(int(r.id))
-                times, ids = times[-MOST_PENDING:], ids[-MOST_PENDING:]
-                continue
-            now = [float(getattr(r, v)) for v in values]
-            before = list(last) if last is not None else [None] * len(values)
-            out += [(group[0], i, t, last_t, int(r.t_us), *before, *now) for t, i in zip(times, ids)]
-            last_t, last, times, ids = int(r.t_us), now, [], []
-        state.update((last_t, last, times, ids))
-        frame = pd.DataFrame(out, columns=names)
-        for c in ("p_t",):
-            frame[c] = frame[c].astype("Int64")
-        yield frame
+        new = pd.concat(list(batches)).sort_values(["t_us", "is_query", "id"])
+        new = new if last_t is None else new[new["t_us"] >= last_t]  # older than the state: late
+        samples = new[~new["is_query"].astype(bool)].drop_duplicates("t_us")
+        samples = samples if last_t is None else samples[samples["t_us"] != last_t]
+        asked = new[new["is_query"].astype(bool)]
+        times, ids = np.array([*times, *asked["t_us"]], np.int64), np.array([*ids, *asked["id"]], np.int64)
+        at, held = samples["t_us"].to_numpy(np.int64), samples[values].to_numpy(np.float64).reshape(-1, len(values))
+        if last_t is not None:
+            at, held = np.append(last_t, at), np.vstack([last, held])
+        later = np.searchsorted(at, times, "right")
+        waiting = np.flatnonzero(later == len(at))
+        over, waiting = np.split(waiting, [max(0, len(waiting) - MOST_PENDING)])  # ascending times: the oldest go without a later sample
+        out = np.sort(np.concatenate([np.flatnonzero(later < len(at)), over]))
+        frame = pd.DataFrame({key: group[0], "id": ids[out], "t_us": times[out]})
+        for side, place in (("p", later[out] - 1), ("n", later[out])):
+            ok = (place >= 0) & (place < len(at))
+            frame[f"{side}_t"] = pd.Series(np.where(ok, at[np.where(ok, place, 0)] if len(at) else 0, 0), dtype="Int64").where(ok)
+            for j, v in enumerate(values):
+                frame[f"{side}_{v}"] = np.where(ok, held[np.where(ok, place, 0), j] if len(at) else np.nan, np.nan)
+        state.update((int(at[-1]) if len(at) else None, held[-1].tolist() if len(at) else None, times[waiting].tolist(), ids[waiting].tolist()))
+        yield frame[names]
 
     return rows.groupBy(key).applyInPandasWithState(step, schema, "last_t long, last array<double>, times array<long>, ids array<long>", "append", GroupStateTimeout.NoTimeout)
 
@@ -104,15 +109,15 @@ def stream_pose(rows: DataFrame, key: str = "session") -> DataFrame:
     """Frames with the pose between the mount samples around them; before the first sample its pose holds."""
     j = bracket(rows, key, ["az", "alt"])
     part = (F.col("t_us") - F.col("p_t")) / (F.col("n_t") - F.col("p_t"))
-    value = lambda a: F.when(F.col("p_t").isNull(), F.col(f"n_{a}")).otherwise(F.col(f"p_{a}") + geo.wrap_pi(F.col(f"n_{a}") - F.col(f"p_{a}")) * part)
+    value = lambda a: F.when(F.col("p_t").isNull(), F.col(f"n_{a}")).when(F.col("n_t").isNull(), F.col(f"p_{a}")).otherwise(F.col(f"p_{a}") + geo.wrap_pi(F.col(f"n_{a}") - F.col(f"p_{a}")) * part)
     return j.select(key, F.col("id").alias("seq"), value("az").alias("az"), value("alt").alias("alt"))
 
 
 def stream_dirs(rows: DataFrame, key: str) -> DataFrame:
     """Directions between almanac fixes."""
     j = bracket(rows, key, ["x", "y", "z"])
-    part = F.when(F.col("p_t").isNull(), 1.0).otherwise((F.col("t_us") - F.col("p_t")) / (F.col("n_t") - F.col("p_t")))
-    d = geo.normalize(tuple(geo.lerp(F.coalesce(f"p_{a}", f"n_{a}"), F.col(f"n_{a}"), part) for a in "xyz"), 1e-9)
+    part = F.when(F.col("p_t").isNull(), 1.0).when(F.col("n_t").isNull(), 0.0).otherwise((F.col("t_us") - F.col("p_t")) / (F.col("n_t") - F.col("p_t")))
+    d = geo.normalize(tuple(geo.lerp(F.coalesce(f"p_{a}", f"n_{a}"), F.coalesce(f"n_{a}", f"p_{a}"), part) for a in "xyz"), 1e-9)
     return j.select(key, "id", "t_us", *[c.alias(a) for c, a in zip(d, "xyz")])
 
 
