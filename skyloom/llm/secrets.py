@@ -1,12 +1,15 @@
 """Secret scan: named patterns, and a battery of randomness tests over long tokens with length-aware false-discovery control.
 
 A candidate is a run of 20 or more encoding characters, however long. Its encoding is the smallest of ALPHABETS that has all
-characters it holds, else base64: random tokens of a larger alphabet that happen to fit a smaller one are uniform over that too. Chi-squared uniformity over that alphabet and the serial correlation of symbol indices must not reject
-randomness; the number of runs of character classes gives the p-value against ordinary, rarely changing tokens.
+characters it holds, else base64: random tokens of a larger alphabet that happen to fit a smaller one are uniform over that too. Three tests
+ask how likely an ordinary token would look as random as this one: chi-squared distance from uniformity over the encoding (ordinary
+tokens lie EXCESS a character away), correlation of neighbouring symbols (ordinary tokens have SERIAL at least), and the number of
+runs of character classes (ordinary tokens change class at CHANGE_RATE at most; not asked of an encoding with one class). Stouffer's method makes
+one p-value of the three, so that what looks ordinary to one test outweighs what looks random to another (paths of words change class often).
 Benjamini-Hochberg, weighted by length (longer tokens carry more evidence) with the mean weight 1, decides over all
 candidates of the table: counts of p-values in fine logarithmic bins, rounded towards no discovery, set one threshold.
 
-Defined results: a null text is empty; repeated rows stay; an empty table gives an empty result. Offsets are code
+Defined results: a null text is empty; repeated rows stay; ids are cast to long; an empty table gives an empty result. Offsets are code
 points, ends exclusive.
 """
 
@@ -17,6 +20,7 @@ import math
 import re
 import string
 from collections import Counter
+from statistics import NormalDist
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,8 +35,8 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 KINDS = ("assign", "access", "hex", "random")
 #: Character classes change this often within ordinary tokens (identifiers, paths, long words), at most.
 CHANGE_RATE = 0.15
-#: Randomness is rejected beyond so many standard deviations.
-LIMIT = 3.3
+#: How far ordinary tokens lie from uniformity (chi-squared a character) and from independent neighbours (correlation), at least.
+EXCESS, SERIAL = 0.7, 0.3
 BINS_A_DECADE, MOST_BIN = 20, 6000
 LETTERS = string.ascii_lowercase
 #: Decimal, hexadecimal, base32, base36, base58 and base62.
@@ -66,8 +70,22 @@ def log_tail(n: int, least: int, rate: float) -> float:
     return min(log, 0.0) if upper else math.log1p(-min(math.exp(log), 1 - 1e-16))
 
 
+def log_normal_tail(z: float) -> float:
+    """Natural logarithm of the chance of a standard normal value below z."""
+    if z > -30:
+        return math.log(math.erfc(-z / math.sqrt(2)) / 2)
+    return -z * z / 2 - math.log(-z * math.sqrt(2 * math.pi))
+
+
+def normal_quantile(log_p: float) -> float:
+    """The value below which a standard normal one lies with the given logarithm of a chance."""
+    if log_p > -600:
+        return NormalDist().inv_cdf(min(math.exp(log_p), 1 - 1e-16))
+    return -math.sqrt(-2 * log_p - math.log(-2 * log_p) - math.log(2 * math.pi))
+
+
 def battery(token: str) -> float | None:
-    """-log10 of the p-value that an ordinary token changes class so often, or None where uniformity or serial correlation rejects randomness."""
+    """-log10 of the p-value that an ordinary token looks as random as this one; None for tokens of less than 16 characters without padding."""
     body = token.rstrip("=")
     n, symbols = len(body), set(body)
     if n < 16:
@@ -75,16 +93,16 @@ def battery(token: str) -> float | None:
     size = next((len(alphabet) for alphabet in ALPHABETS if symbols <= alphabet), 64)
     expected = n / size
     chi = sum((k - expected) ** 2 for k in Counter(body).values()) / expected + (size - len(symbols)) * expected
-    if abs(chi - (size - 1)) > LIMIT * math.sqrt(2 * (size - 1) * (n - 1) / n) + 1:
-        return None
+    z = [(abs(chi - (size - 1)) - EXCESS * n) / math.sqrt(2 * (size - 1) + 4 * EXCESS * n)]
     codes = [ord(c) for c in body]
     mean = sum(codes) / n
     spread = sum((c - mean) ** 2 for c in codes)
-    if not spread or abs(sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:])) / spread * math.sqrt(n)) > LIMIT:
-        return None
-    classes = [0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in body]
-    runs = sum(a != b for a, b in zip(classes, classes[1:]))
-    return min(-log_tail(n - 1, runs, CHANGE_RATE) / math.log(10), 300.0)
+    correlation = abs(sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:])) / spread) if spread else 1.0
+    z.append((correlation - SERIAL) * math.sqrt(n))
+    if size > 10:
+        classes = [0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in body]
+        z.append(normal_quantile(log_tail(n - 1, sum(a != b for a, b in zip(classes, classes[1:])), CHANGE_RATE)))
+    return min(-log_normal_tail(sum(z) / math.sqrt(len(z))) / math.log(10), 300.0)
 
 
 def scan(batches):
