@@ -47,12 +47,12 @@ def capture_health(frames: DataFrame, seconds: int = 1, peak: str = "alt", key:
     return frames.groupBy(key, w.alias("w")).agg(F.count("*").alias("frames"), F.max(peak).alias("peak")).select(key, F.unix_micros("w.start").alias("start_us"), "frames", (F.col("frames") / seconds).alias("fps"), "peak")
 
 
-def configurations(sensors: DataFrame, optics: DataFrame, reducers: DataFrame, most_rows: int = 100_000) -> DataFrame:
-    """Every sensor with every optic and reducer. The product is asked for; both small sides are broadcast, and their size is checked."""
-    if reducers.limit(most_rows + 1).count() > most_rows or optics.limit(most_rows + 1).count() > most_rows:
-        raise ValueError(f"optics and reducers are limited to {most_rows} rows")
+def configurations(sensors: DataFrame, optics: DataFrame, reducers: DataFrame, keys: list[str] = [], most_rows: int = 100_000) -> DataFrame:
+    """Every sensor with every optic of its keys (such as a rig) and every reducer. Without keys the product of all is asked for; small sides are broadcast, and their size is checked."""
+    if reducers.limit(most_rows + 1).count() > most_rows or (not keys and optics.limit(most_rows + 1).count() > most_rows):
+        raise ValueError(f"optics without keys and reducers are limited to {most_rows} rows")
     focal = F.col("focal_mm") * F.col("multiplier")
-    out = sensors.crossJoin(F.broadcast(optics)).crossJoin(F.broadcast(reducers))
+    out = (sensors.join(optics, keys) if keys else sensors.crossJoin(F.broadcast(optics))).crossJoin(F.broadcast(reducers))
     return out.withColumns({"focal": focal, "fov_x": geo.fov_deg("res_x", "pixel_um", focal), "fov_y": geo.fov_deg("res_y", "pixel_um", focal), "plate_scale": geo.arcsec_per_px("pixel_um", focal)})
 
 

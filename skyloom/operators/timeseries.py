@@ -6,6 +6,8 @@ buckets, so one long session is spread over many tasks.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,6 +126,48 @@ def schedule(frames: DataFrame, speed: float, keys: list[str] = ["session"], t:
     return frames.withColumn("offset_s", (F.col(t) - first) / 1e6 / max(1e-6, speed))
 
 
+def ema_last(rows: DataFrame, keys: list[str], order: list[str], value: str, keep: float, seeded: bool = True) -> DataFrame:
+    """keys and ``state``: the last value of s = keep * s + (1 - keep) * value over each key's rows in order, as a weighted sum (no row holds a series). s starts
+    with the first value, or with 0 if not ``seeded``. Rows without a value take no part; a key without any has no row."""
+    age = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])) - 1
+    aged = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("ema_v"), age.alias("ema_age"))
+    state = F.sum((1 - keep) * F.pow(F.lit(keep), "ema_age") * F.col("ema_v"))
+    if seeded:
+        state = state + F.pow(F.lit(keep), F.max("ema_age") + 1) * F.max_by("ema_v", "ema_age")
+    return aged.groupBy(*keys).agg(state.alias("state"))
+
+
+def background_diff(pixels: DataFrame, keys: list[str], pixel: str, order: str, value: str, rate: float) -> DataFrame:
+    """pixels (keys, order, pixel, value) with ``diff``: the distance of each value from the pixel's exponentially averaged background, which then moves towards
+    it by ``rate``; 0 for a pixel's first one. keys name a camera and a strip of its image, ``pixel`` counts from 0 within the strip. A task reads its strips frame by
+    frame and holds one background a pixel, never a series."""
+    schema = pixels.select(*keys, order, pixel, value).schema.add("diff", "double")
+
+    def run(batches):
+        at, ground = None, np.zeros(0)
+        for batch in batches:
+            held = [c.to_pylist() for c in batch.columns[: len(keys)]]
+            frame, x, v = (batch.column(len(keys) + i).to_numpy() for i in range(3))
+            strip = list(zip(*held))
+            ends = np.flatnonzero([a != b for a, b in zip(strip[1:], strip)] | (np.diff(frame) != 0)) + 1
+            diff = np.zeros(len(v))
+            for i, j in zip([0, *ends], [*ends, len(v)]):
+                if i == j:
+                    continue
+                if strip[i] != at:
+                    at, ground = strip[i], np.zeros(0)
+                k = x[i:j]
+                if k.max() >= len(ground):
+                    ground = np.append(ground, np.full(k.max() + 1 - len(ground), np.nan))
+                seen = v[i:j].astype(float)
+                before = np.where(np.isnan(ground[k]), seen, ground[k])
+                diff[i:j] = np.abs(seen - before)
+                ground[k] = before + rate * (seen - before)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(diff)], names=[*batch.schema.names, "diff"])
+
+    return pixels.select(*keys, order, pixel, value).repartition(*keys).sortWithinPartitions(*keys, order, pixel).mapInArrow(run, schema)
+
+
 def fold(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], init: Column, step) -> DataFrame:
     """keys and ``state``: step(state, row) over each key's rows in order, in JVM higher-order functions. For series that fit a row; longer ones are cut by a key of time."""
     held = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *columns))).alias("rows"))

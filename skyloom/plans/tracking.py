@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -28,14 +28,11 @@ def track_model(dirs: DataFrame, tau: float, keys: list[str], t: str = "t_s") ->
     sine = geo.norm(turn)
     rate = F.when(sine > 1e-9, F.atan2(sine, geo.dot(geo.v3("p"), geo.v3())) / sine / F.col("dt")).otherwise(0.0)
     rows = rows.filter("dt > 0").select(*keys, t, "dt", *[(x * rate).alias(f"w{k}") for x, k in zip(turn, "xyz")])
-    kind = "struct<x: double, y: double, z: double>"
-
-    def step(s, r):
-        k = 1 - F.exp(-r["dt"] / tau)
-        return F.struct(*[F.when(s.isNull(), r[f"w{a}"]).otherwise(s[a] + k * (r[f"w{a}"] - s[a])).alias(a) for a in "xyz"]).cast(kind)
-
-    out = fold(rows, keys, [t], ["dt", "wx", "wy", "wz"], F.lit(None).cast(kind), step)
-    return out.select(*keys, *[F.col(f"state.{a}").alias(f"w{a}") for a in "xyz"])
+    rows = rows.withColumn("age", F.max(t).over(Window.partitionBy(*keys)) - F.col(t))
+    first = F.min_by(F.struct("age", "dt", "wx", "wy", "wz"), t)
+    weight = (1 - F.exp(-F.col("dt") / tau)) * F.exp(-F.col("age") / tau)  # what is left of a step's weight at the end; the first step has the whole weight
+    out = rows.groupBy(*keys).agg(first.alias("f"), *[F.sum(weight * F.col(f"w{a}")).alias(f"w{a}") for a in "xyz"])
+    return out.select(*keys, *[(F.col(f"w{a}") + F.exp(-(F.col("f.dt") + F.col("f.age")) / tau) * F.col(f"f.w{a}")).alias(f"w{a}") for a in "xyz"])
 
 
 def intercept(ticks: DataFrame, keys: list[str], most_rate: float, least_s: float = 0.5, step_s: float = 0.1, steps: int = 80) -> DataFrame:

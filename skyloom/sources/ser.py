@@ -9,6 +9,7 @@ from __future__ import annotations
 import glob
 import os
 import struct
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,18 +75,20 @@ class Reader(DataSourceReader):
 
 
 class Done(WriterCommitMessage):
-    pass
+    def __init__(self, files: list[tuple[str, str]]) -> None:
+        self.files = files
 
 
 class Writer(DataSourceWriter):
-    """Rows of one file must meet in one task, in order: ``write_ser`` sees to that. A file appears when it is whole."""
+    """Rows of one file must meet in one task, in order: ``write_ser`` sees to that. The path is on a file system mounted everywhere. Each attempt writes
+    hidden files of its own; only those of the attempts that Spark commits get their names, at the end of the job."""
 
     def __init__(self, options) -> None:
         self.path = local(options["path"])
 
     def write(self, rows):
         os.makedirs(self.path, exist_ok=True)
-        out, name, ticks, first = None, None, [], None
+        out, name, ticks, first, done = None, None, [], None, []
 
         def close():
             if out:
@@ -93,18 +96,27 @@ class Writer(DataSourceWriter):
                 out.seek(0)
                 out.write(header(first, len(ticks)))
                 out.close()
-                os.replace(out.name, f"{self.path}/{name}.ser")
+                done.append((out.name, f"{self.path}/{name}.ser"))
 
         for r in rows:
             if r["file"] != name:
                 close()
                 name, ticks, first = r["file"], [], r
-                out = open(f"{self.path}/.{name}.{os.getpid()}", "wb")  # noqa: SIM115
+                out = open(f"{self.path}/.{name}.{uuid.uuid4().hex}", "wb")  # noqa: SIM115
                 out.write(header(r, OPEN))
             out.write(r["pixels"])
             ticks.append(None if r["t_us"] is None else (r["t_us"] + EPOCH_US) * 10)
         close()
-        return Done()
+        return Done(done)
+
+    def commit(self, messages):
+        for made, final in (f for m in messages if m for f in m.files):
+            os.replace(made, final)
+
+    def abort(self, messages):
+        for made, _ in (f for m in messages if m for f in m.files):
+            if os.path.exists(made):
+                os.remove(made)
 
 
 def header(r, count: int) -> bytes:

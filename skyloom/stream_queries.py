@@ -102,18 +102,18 @@ def stream_late_data(spark, sf_dir):
 # ---- files that Spark derives from the tables, read back by the readers
 
 
-@register("read_sidecar", "SELECT seq * 1000 AS t_mono_ns, k % 7 = 0 AS important, k AS roi0 FROM v_pose WHERE kind = 'view'")
+@register("read_sidecar", "SELECT seq * 1000 AS t_mono_ns, k % 7 = 0 AS important, k AS roi0 FROM v_pose")
 def read_sidecar(spark, sf_dir):
     path = fresh_path(spark, "sidecar")
-    rows = view(spark, sf_dir, "v_pose").filter("kind = 'view'").select((A("seq") * 1000).alias("t_mono_ns"), (A("k") % 7 == 0).alias("important"), F.array("k", "k").alias("roi"), F.lit("x").alias("unknown_field"))
+    rows = view(spark, sf_dir, "v_pose").select((A("seq") * 1000).alias("t_mono_ns"), (A("k") % 7 == 0).alias("important"), F.array("k", "k").alias("roi"), F.lit("x").alias("unknown_field"))
     rows.write.json(path)
     return sidecars.read_sidecar(spark, path, "frames").select("t_mono_ns", "important", A("roi")[0].alias("roi0"))
 
 
-@register("stream_tail", "SELECT seq * 1000 AS t_mono_ns, k % 7 = 0 AS important, k AS roi0 FROM v_pose WHERE kind = 'click'")
+@register("stream_tail", "SELECT seq * 1000 AS t_mono_ns, k % 7 = 0 AS important, k AS roi0 FROM v_pose")
 def stream_tail(spark, sf_dir):
     path = fresh_path(spark, "tail")
-    rows = view(spark, sf_dir, "v_pose").filter("kind = 'click'").select((A("seq") * 1000).alias("t_mono_ns"), (A("k") % 7 == 0).alias("important"), F.array("k", "k").alias("roi"))
+    rows = view(spark, sf_dir, "v_pose").select((A("seq") * 1000).alias("t_mono_ns"), (A("k") % 7 == 0).alias("important"), F.array("k", "k").alias("roi"))
     rows.write.json(path)
     out = jobs.run_to_end(jobs.stream_sidecar(spark, path, "frames").drop("file"), "tail-out")
     return out.select("t_mono_ns", "important", A("roi")[0].alias("roi0"))
@@ -216,8 +216,8 @@ def read_optics_db(spark, sf_dir):
     path = fresh_path(spark, "optics")
     s = view(spark, sf_dir, "v_sensors")
     sensor = F.struct(F.concat(F.lit("S"), A("sensor").cast("string")).alias("name"), "res_x", "res_y", "pixel_um", F.when(A("sensor") % 3 == 0, "RGGB").alias("bayer"), F.when(A("sensor") % 3 == 1, True).alias("mono"))
-    doc = s.agg(F.collect_list(sensor).alias("sensors")).select("sensors", F.array(F.struct(F.lit("O").alias("name"), F.lit(500.0).alias("focal_length_mm"), F.lit(80.0).alias("aperture_mm"))).alias("optics"), F.array(F.struct(F.lit("R").alias("name"), F.lit(0.63).alias("multiplier"))).alias("reducers"))
-    doc.write.json(path)
+    doc = s.groupBy(F.floor(A("sensor") / 100)).agg(F.collect_list(sensor).alias("sensors")).select("sensors", F.array(F.struct(F.lit("O").alias("name"), F.lit(500.0).alias("focal_length_mm"), F.lit(80.0).alias("aperture_mm"))).alias("optics"), F.array(F.struct(F.lit("R").alias("name"), F.lit(0.63).alias("multiplier"))).alias("reducers"))
+    doc.write.option("maxRecordsPerFile", 1).json(path)
     return sidecars.read_optics(spark, path)[0].select("name", "res_x", r6("pixel_um").alias("pixel_um"), "is_color")
 
 
@@ -225,16 +225,13 @@ def read_optics_db(spark, sf_dir):
 ROLL = 100
 
 
-def ser_frames(spark, sf_dir: str, color_id: int = 0, rolled: bool = False):
-    """8x8 frames of 16 bits from the pixel view: one file a role with the first 20 frames, as the SQL has them, or all frames in rolled files."""
+def ser_frames(spark, sf_dir: str, color_id: int = 0):
+    """8x8 frames of 16 bits from the pixel view, in files of at most ROLL frames of a role."""
     p = view(spark, sf_dir, "v_pixels")
-    p = p if rolled else p.filter("idx < 20")
     two = F.concat(F.format_string("%02X", (A("v") % 256).cast("int")), F.format_string("%02X", F.floor(A("v") / 256).cast("int")))
     held = p.withColumn("h", two).groupBy("role", "idx").agg(F.array_sort(F.collect_list(F.struct("y", "x", "h"))).alias("l"))
     lit = lambda v: F.lit(v).cast("int")
-    name, index = F.concat(F.lit("role"), A("role").cast("string")), A("idx")
-    if rolled:
-        name, index = F.concat(name, F.lit("-"), F.floor(index / ROLL).cast("string")), index % ROLL
+    name, index = F.concat(F.lit("role"), A("role").cast("string"), F.lit("-"), F.floor(A("idx") / ROLL).cast("string")), A("idx") % ROLL
     return held.select(name.alias("file"), index.cast("long").alias("index"), lit(8).alias("width"), lit(8).alias("height"), lit(1).alias("channels"), lit(16).alias("depth"), lit(color_id).alias("color_id"), (A("idx") * 200000).cast("long").alias("t_us"), F.unhex(F.array_join("l.h", "")).alias("pixels"))
 
 
@@ -244,7 +241,8 @@ def written_ser(spark, sf_dir: str, color_id: int = 0) -> str:
     return path
 
 
-PIXEL_SUM = "SELECT 'role' || role AS file, idx AS index, CAST(sum(v) AS BIGINT) AS total, idx * 200000 AS t_us FROM v_pixels WHERE idx < 20 GROUP BY role, idx"
+ROLLED = f"'role' || role || '-' || idx // {ROLL} AS file"
+PIXEL_SUM = f"SELECT {ROLLED}, idx % {ROLL} AS index, CAST(sum(v) AS BIGINT) AS total, idx * 200000 AS t_us FROM v_pixels GROUP BY role, idx"
 
 
 @register("write_ser", PIXEL_SUM)
@@ -260,13 +258,13 @@ def write_ser(spark, sf_dir):
 QUERIES["read_ser_frames"], ORACLES["read_ser_frames"] = QUERIES["write_ser"], ORACLES["write_ser"]
 
 
-@register("ser_timestamps", "SELECT DISTINCT 'role' || role AS file, idx AS index, make_timestamp(idx * 200000) AS t FROM v_pixels WHERE idx < 20")
+@register("ser_timestamps", f"SELECT DISTINCT {ROLLED}, idx % {ROLL} AS index, make_timestamp(idx * 200000) AS t FROM v_pixels")
 def ser_timestamps(spark, sf_dir):
     f = ser.read_ser(spark, written_ser(spark, sf_dir))
     return f.select(F.regexp_extract("file", r"([^/]+)\.ser$", 1).alias("file"), "index", F.timestamp_micros("t_us").cast("timestamp_ntz").alias("t"))
 
 
-@register("read_ser_headers", "SELECT 'role' || role AS file, 8 AS width, 8 AS height, 16 AS depth, count(DISTINCT idx) AS frames, false AS recording FROM v_pixels WHERE idx < 20 GROUP BY role")
+@register("read_ser_headers", f"SELECT {ROLLED}, 8 AS width, 8 AS height, 16 AS depth, count(DISTINCT idx) AS frames, false AS recording FROM v_pixels GROUP BY 1")
 def read_ser_headers(spark, sf_dir):
     s = ser.ser_segments(spark, written_ser(spark, sf_dir))
     return s.select(F.regexp_extract("file", r"([^/]+)\.ser$", 1).alias("file"), "width", "height", "depth", "frames", "recording")

@@ -123,9 +123,7 @@ def ema(name: str, column: str, keep: float):
     """Smoothed value of a column per session, seeded with its first value: keep * old + (1 - keep) * new."""
 
     def run(pose):
-        start = F.lit(None).cast("double")
-        step = lambda s, r: F.when(s.isNull(), r[column].cast("double")).otherwise(keep * s + (1 - keep) * r[column])
-        return rounded(ts.fold(pose, ["session"], ["t_us", "seq"], [column], start, step), "state", keep="session")
+        return rounded(ts.ema_last(pose, ["session"], ["t_us", "seq"], column, keep), "state", keep="session")
 
     sql = f"WITH q AS (SELECT session, list(CAST({column} AS DOUBLE) ORDER BY t_us, seq) AS l FROM v_pose GROUP BY session) SELECT session, {s6(f'list_reduce(l, lambda a, x: {keep}e0*a + {1 - keep:.6g}e0*x)')} AS state FROM q"
     query(name, "v_pose", sql=sql)(run)
@@ -138,25 +136,15 @@ ema("loop_time_ema", "alt", 0.9)
 def peak_ema(pixels):
     """EMA of each frame's maximum, from 0."""
     peaks = pixels.groupBy("role", "idx").agg(F.max("v").alias("peak"))
-    return ts.fold(peaks, ["role"], ["idx"], ["peak"], F.lit(0.0), lambda s, r: 0.97 * s + 0.03 * r["peak"]).select("role", r6("state").alias("ema"))
+    return ts.ema_last(peaks, ["role"], ["idx"], "peak", 0.97, False).select("role", r6("state").alias("ema"))
 
 
 @query("ema_background_diff", "v_pixels", sql=f"""WITH RECURSIVE b AS (SELECT role, y, x, idx, v, CAST(v AS DOUBLE) AS bg, 0e0 AS d FROM v_pixels WHERE idx = 0
-UNION ALL SELECT p.role, p.y, p.x, p.idx, p.v, b.bg + 0.125e0*(p.v - b.bg), abs(p.v - b.bg) FROM b JOIN v_pixels p ON p.role = b.role AND p.y = b.y AND p.x = b.x AND p.idx = b.idx + 1 WHERE p.idx < 12)
+UNION ALL SELECT p.role, p.y, p.x, p.idx, p.v, b.bg + 0.125e0*(p.v - b.bg), abs(p.v - b.bg) FROM b JOIN v_pixels p ON p.role = b.role AND p.y = b.y AND p.x = b.x AND p.idx = b.idx + 1)
 SELECT role, y, x, idx, {s6('d')} AS d FROM b""")
 def ema_background_diff(pixels):
-    """Difference from an exponentially averaged background, over the first frames of each role."""
-    rows = pixels.filter("idx < 12").groupBy("role", "y", "x").agg(F.array_sort(F.collect_list(F.struct("idx", "v"))).alias("rows"))
-    kind = "struct<bg: double, out: array<struct<idx: bigint, d: double>>>"
-    init = F.struct(F.lit(None).cast("double").alias("bg"), F.array().cast("array<struct<idx: bigint, d: double>>").alias("out")).cast(kind)
-
-    def step(s, r):
-        v = r["v"].cast("double")
-        bg = F.coalesce(s["bg"], v)
-        return F.struct((bg + 0.125 * (v - bg)).alias("bg"), F.concat(s["out"], F.array(F.struct(r["idx"].cast("bigint").alias("idx"), F.abs(v - bg).alias("d")))).alias("out")).cast(kind)
-
-    out = rows.select("role", "y", "x", F.explode(F.aggregate("rows", init, step)["out"]).alias("o"))
-    return out.select("role", "y", "x", "o.idx", r6("o.d").alias("d"))
+    """Difference from an exponentially averaged background, row by row of each role's frames."""
+    return ts.background_diff(pixels, ["role", "y"], "x", "idx", "v", 0.125).select("role", "y", "x", "idx", r6("diff").alias("d"))
 
 
 # ---- fleet
@@ -198,10 +186,10 @@ def capture_health(pose):
     return fl.capture_health(pose, 3600).select("kind", "start_us", "frames", r6("fps").alias("fps"), r6("peak").alias("peak"))
 
 
-@query("optics_cross", "v_sensors", "v_optics", sql=f"""WITH r(reducer, multiplier) AS (VALUES (1, 1e0), (2, 0.63e0), (3, 2e0)) SELECT sensor, optic, reducer, {s6('focal_mm*multiplier')} AS focal, {s6('degrees(2*atan(res_x*pixel_um/1000/(2*focal_mm*multiplier)))')} AS fov_x, {s6('degrees(2*atan(res_y*pixel_um/1000/(2*focal_mm*multiplier)))')} AS fov_y, {s6('206264.8e0*pixel_um/1000/(focal_mm*multiplier)')} AS plate_scale FROM v_sensors, v_optics, r""")
+@query("optics_cross", "v_sensors", "v_optics", sql=f"""WITH r(reducer, multiplier) AS (VALUES (1, 1e0), (2, 0.63e0), (3, 2e0)) SELECT sensor, optic, reducer, {s6('focal_mm*multiplier')} AS focal, {s6('degrees(2*atan(res_x*pixel_um/1000/(2*focal_mm*multiplier)))')} AS fov_x, {s6('degrees(2*atan(res_y*pixel_um/1000/(2*focal_mm*multiplier)))')} AS fov_y, {s6('206264.8e0*pixel_um/1000/(focal_mm*multiplier)')} AS plate_scale FROM v_sensors JOIN v_optics USING (rig), r""")
 def optics_cross(sensors, optics):
     reducers = sensors.sparkSession.createDataFrame([(1, 1.0), (2, 0.63), (3, 2.0)], "reducer int, multiplier double")
-    return rounded(fl.configurations(sensors, optics, reducers), "focal", "fov_x", "fov_y", "plate_scale", keep="sensor, optic, reducer")
+    return rounded(fl.configurations(sensors, optics, reducers, ["rig"]), "focal", "fov_x", "fov_y", "plate_scale", keep="sensor, optic, reducer")
 
 
 CAMERAS = "c AS (SELECT session, role, max(n_lines) + 1e0 AS fov_x, max(n_disk) + 1e0 AS fov_y FROM v_segments GROUP BY session, role)"

@@ -24,9 +24,9 @@ def bbox_filter(fixes):
     return tg.within_bbox(fixes, 40.0, 170.0, 5000.0).select("url", "seq", "lat_deg", "lon_deg")
 
 
-@query("horizon_filter", "v_dirs", sql="WITH s AS (SELECT cls, id % 10 AS target, max(z) AS top, min(z) AS bottom FROM v_dirs WHERE id % 3 = 0 GROUP BY ALL) SELECT d.id FROM v_dirs d JOIN s ON d.cls = s.cls AND d.id % 10 = s.target WHERE d.id % 3 = 0 AND top >= sin(radians(10e0)) AND bottom <= sin(radians(20e0))")
+@query("horizon_filter", "v_dirs", sql="WITH s AS (SELECT cls, id % 10 AS target, max(z) AS top, min(z) AS bottom FROM v_dirs GROUP BY ALL) SELECT d.id FROM v_dirs d JOIN s ON d.cls = s.cls AND d.id % 10 = s.target WHERE top >= sin(radians(10e0)) AND bottom <= sin(radians(20e0))")
 def horizon_filter(dirs):
-    rows = dirs.filter("id % 3 = 0").withColumn("target", A("id") % 10)
+    rows = dirs.withColumn("target", A("id") % 10)
     return tg.visible_targets(rows, ["cls", "target"], "z", 10.0, 20.0).select("id")
 
 
@@ -198,23 +198,26 @@ def clock_fit(pose):
     return tr.fit_clock(reads, ["session"], ["t_us", "seq"]).select("session", (F.round("state", 3) + 0.0).alias("phase"))
 
 
-@query("hypothesis_grid", "v_dirs", sql="SELECT cls AS set_id, count(*) AS n FROM (SELECT o.cls FROM v_dirs o JOIN v_dirs t ON o.cls = t.cls, range(0, 2) s WHERE o.id % 20 = 0 AND t.id % 2 = 1) q GROUP BY cls")
+@query("hypothesis_grid", "v_dirs", sql=f"""WITH d AS (SELECT *, cls * 1000000 + id // 100 AS set_id FROM v_dirs), h AS (SELECT o.set_id, {WR('o.x - atan2(t.y, t.x)')} AS o0, {WR('o.y - asin(greatest(-1, least(1, t.z)))')} AS o1 FROM d o JOIN d t ON o.set_id = t.set_id WHERE o.id % 2 = 0 AND t.id % 2 = 1)
+SELECT set_id, count(*) * 2 AS n, {s6('min(o0)')} AS least0, {s6('max(o0)')} AS most0, {s6('2 * sum(o0)')} AS sum0, {s6('min(o1)')} AS least1, {s6('max(o1)')} AS most1, {s6('2 * sum(o1)')} AS sum1 FROM h GROUP BY set_id""")
 def hypothesis_grid(dirs):
-    """Counts of the hypotheses of each set, two samples for each target and observation."""
-    obs = dirs.filter("id % 20 = 0").select(A("cls").cast("long").alias("set_id"), A("id").alias("obs_idx"), A("x").alias("raw0"), A("y").alias("raw1"), F.lit(3).alias("n_obs"))
-    targets = dirs.filter("id % 2 = 1").select(A("cls").cast("long").alias("set_id"), A("id").alias("target"), "x", "y", "z")
-    return al.hypotheses(obs, targets, 2).groupBy("set_id").agg(F.count("*").alias("n"))
+    """The hypotheses of each set, two samples for each target and observation, by number and offsets; without tilt and fuzz, so that SQL can say them."""
+    dirs = dirs.withColumn("set_id", A("cls").cast("long") * 1000000 + F.floor(A("id") / 100))
+    obs = dirs.filter("id % 2 = 0").select("set_id", A("id").alias("obs_idx"), A("x").alias("raw0"), A("y").alias("raw1"), F.lit(3).alias("n_obs"))
+    targets = dirs.filter("id % 2 = 1").select("set_id", A("id").alias("target"), "x", "y", "z")
+    h = al.hypotheses(obs, targets, 2, 0.0, 0.0).groupBy("set_id")
+    return h.agg(F.count("*").alias("n"), *[r6(f(f"o{i}")).alias(f"{n}{i}") for i in (0, 1) for n, f in (("least", F.min), ("most", F.max), ("sum", F.sum))])
 
 
 def sets_of(dirs):
-    """Observation sets made from the directions: three observations of known targets by a level mount with offsets."""
-    targets = dirs.filter("z > 0.1").select(A("cls").cast("long").alias("set_id"), A("id").cast("long").alias("target"), "x", "y", "z")
-    near = F.row_number().over(Window.partitionBy("set_id").orderBy("target"))
-    ranked = targets.withColumn("n", near)
-    targets = ranked.filter("n <= 12").drop("n")
+    """Observation sets made from all directions above the horizon, a dozen targets of a class each: three observations of known targets by a level mount with offsets."""
+    targets = dirs.filter("z > 0.1").select("cls", A("id").cast("long").alias("target"), "x", "y", "z")
+    place = F.row_number().over(Window.partitionBy("cls").orderBy("target")) - 1
+    ranked = targets.withColumn("n", place).withColumn("set_id", A("cls").cast("long") * 1000000 + F.floor(A("n") / 12)).withColumn("n", A("n") % 12)
     az, alt = g.dir_to_azalt(g.v3())
-    obs = ranked.filter("n <= 3").select("set_id", (A("n") - 1).alias("obs_idx"), (az + 0.3).alias("raw0"), (alt + 0.1).alias("raw1"), A("target").alias("truth"))
-    return obs, targets
+    obs = ranked.filter("n < 3").select("set_id", A("n").alias("obs_idx"), (az + 0.3).alias("raw0"), (alt + 0.1).alias("raw1"), A("target").alias("truth"))
+    whole = obs.groupBy("set_id").agg(F.count("*").alias("k")).filter("k = 3").select("set_id")  # the last set of a class can be smaller
+    return obs.join(whole, "set_id"), ranked.select("set_id", "target", "x", "y", "z")
 
 
 @query("refine_models", "v_dirs")

@@ -24,8 +24,8 @@ def text(view: str, engine: str) -> str:
         "v_sites": "SELECT s_suppkey AS site, ((CAST(s_suppkey AS BIGINT)*7919) % 13001)/1e2-65 AS lat_deg, ((CAST(s_suppkey AS BIGINT)*104729) % 36000)/1e2-180 AS lon_deg, abs(s_acctbal)/10 AS h_m FROM supplier",
         "v_fixes": f"SELECT user_id AS url, event_id AS seq, {us('ts')} AS t_us, ({k}-50)*13e-1 AS lat_deg, (CAST(round(value*100) AS BIGINT) % 36000)/1e2-180 AS lon_deg, value*20 AS h_m FROM events",
         "v_segments": f"SELECT o_custkey AS session, 'r' || CAST(o_orderkey % 3 AS STRING) AS role, o_orderkey AS segment, {us('o_orderdate')} AS t_us, o_orderstatus = 'F' AS important, CAST(floor(o_totalprice) AS BIGINT) % 50 AS n_lines, CAST(floor(o_totalprice / 7) AS BIGINT) % 50 AS n_disk FROM orders",
-        "v_sensors": "SELECT s_suppkey AS sensor, 1000 + s_suppkey % 7 * 400 AS res_x, 800 + s_suppkey % 5 * 300 AS res_y, 2 + s_suppkey % 9 / 2e0 AS pixel_um FROM supplier WHERE s_suppkey <= 20",
-        "v_optics": "SELECT p_partkey AS optic, 8 + p_size * 50e0 AS focal_mm, 10 + p_size * 5e0 AS aperture_mm FROM part WHERE p_partkey <= 25",
+        "v_sensors": f"SELECT s_suppkey AS sensor, s_suppkey {d['div']} 2 AS rig, 1000 + s_suppkey % 7 * 400 AS res_x, 800 + s_suppkey % 5 * 300 AS res_y, 2 + s_suppkey % 9 / 2e0 AS pixel_um FROM supplier",
+        "v_optics": f"SELECT p_partkey AS optic, p_partkey {d['div']} 40 AS rig, 8 + p_size * 50e0 AS focal_mm, 10 + p_size * 5e0 AS aperture_mm FROM part",
     }[view]
 
 
