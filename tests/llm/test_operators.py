@@ -523,3 +523,44 @@ def test_licenses(spark, docs, none):
         assert set(filter(None, got[i].base_labels.split(","))) <= set(got[i].labels.split(",")) and 0 <= got[i].score <= 1
     assert got[5].labels == "mit" and got[5].base_labels == "" and got[5].score >= 0.6
     assert licenses.scan_licenses(docs).count() == docs.count() and licenses.scan_licenses(none).count() == 0
+
+
+def license_labels(text, share=0.6, near=3):
+    """What diagonal voting gives, by brute force: the labels of templates that some span of neighbouring diagonals holds ``share`` of."""
+    words = lambda v: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in v))
+    d, found, best = words(text), set(), 0.0
+    grams = lambda w: [tuple(w[i : i + licenses.GRAM]) for i in range(len(w) - licenses.GRAM + 1)]
+    for label, template in licenses.TEMPLATES:
+        t = grams(words(template))
+        votes = {}
+        for i, a in enumerate(grams(d)):
+            for j, b in enumerate(t):
+                if a == b:
+                    votes.setdefault(i - j, set()).add(j)
+        span, last = set(), None
+        for k in sorted(votes):
+            span = votes[k] if last is None or k - last > near else span | votes[k]
+            last = k
+            if len(span) >= share * len(t):
+                found.add(label)
+                best = max(best, len(span) / len(t))
+    return found, best
+
+
+def test_license_spans_equal_brute_force(spark):
+    rng, whole = random.Random(5), [t for _, t in licenses.TEMPLATES]
+    texts = list(whole)
+    for t in whole:
+        w = t.split()
+        edited = [x if rng.random() > 0.06 else "changed" for x in w]
+        longer = [y for x in w for y in ([x, "between"] if rng.random() < 0.04 else [x])]
+        texts += [" ".join(edited), "Some words before. " + " ".join(longer) + " And more after it.", " ".join(w[: len(w) // 2]), " ".join(rng.sample(w, len(w))), t + " " + t]
+    texts += ["", "no license here", " ".join(whole)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        labels, score = license_labels(text)
+        base = set(filter(None, got[i].base_labels.split(",")))
+        assert set(filter(None, got[i].labels.split(","))) == labels | base, (i, text)
+        assert got[i].score == pytest.approx(1.0 if base else score)
+    for i, (label, _) in enumerate(licenses.TEMPLATES):
+        assert label in got[i].labels.split(",") and got[i].score == 1.0
