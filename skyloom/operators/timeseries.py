@@ -149,7 +149,7 @@ def background_diff(pixels: DataFrame, keys: list[str], pixel: str, order: str,
             held = [c.to_pylist() for c in batch.columns[: len(keys)]]
             frame, x, v = (batch.column(len(keys) + i).to_numpy() for i in range(3))
             strip = list(zip(*held))
-            ends = np.flatnonzero([a != b for a, b in zip(strip[1:], strip)] | (np.diff(frame) != 0)) + 1
+            ends = np.flatnonzero(np.array([a != b for a, b in zip(strip[1:], strip)], bool) | (np.diff(frame) != 0)) + 1
             diff = np.zeros(len(v))
             for i, j in zip([0, *ends], [*ends, len(v)]):
                 if i == j:
