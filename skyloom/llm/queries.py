@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing, neardup, quality, secrets, substrings, tokens, topk, urls
+from . import counts, decontaminate, licenses, manifest, mixing, neardup, quality, secrets, substrings, tokens, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +62,17 @@ def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op12_sibling_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verify(table(spark, sf_dir, "documents"), manifest.one_more_char())
+
+
+def op13_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_rules": urls.oracle(), "op8_histogram_topk": topk.oracle()}
+    return {"op6_url_rules": urls.oracle(), "op8_histogram_topk": topk.oracle(), "op12_sibling_manifest": manifest.oracle()}
