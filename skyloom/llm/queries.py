@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import counts, decontaminate, licenses, manifest, mixing, neardup, quality, secrets, substrings, tokens, topk, urls
+from . import counts, decontaminate, licenses, manifest, mixing, neardup, quality, ranked, secrets, substrings, tokens, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_geometric_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_sibling_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verify(table(spark, sf_dir, "documents"), manifest.one_more_char())
 
@@ -75,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_rules": urls.oracle(), "op8_histogram_topk": topk.oracle(), "op12_sibling_manifest": manifest.oracle()}
+    return {"op6_url_rules": urls.oracle(), "op8_histogram_topk": topk.oracle(), "op11_geometric_blocks": ranked.oracle(), "op12_sibling_manifest": manifest.oracle()}
