@@ -2,13 +2,21 @@
 
 All rolling word 4-gram hashes of all texts are joined in Spark to the positions of the license templates. A hit votes
 for its diagonal (word position in the text less position in the template). Diagonals that neighbour each other (insertions
-and deletions shift them) are merged into a span, and a span is verified by the share of the template's positions it holds.
+and deletions shift them) are merged into a span. A span is verified by the share of the template's positions it holds and, since
+licenses quote each other, by those grams that no template of another label has: it must hold half of them. Spans of
+different labels that overlap then compete on the words of the text that both reach over: the one that holds more of these words wins, then the more
+complete template, then the one with more words of the text, then the longer template.
 
-Defined results: a null text is empty; repeated rows stay, each with the same result; an empty table gives an empty result.
+Templates are short notices and whole licenses (files in ``texts``, named label.license.txt). ``labels`` has the labels of the phrases and those of the method, which
+``method_labels`` has alone: a notice of the LGPL holds the phrase "general public license", and only its method label tells it apart.
+
+Defined results: a null text is empty; repeated rows stay, each with the same result; an empty table gives an empty result. A text must fit a task's memory.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -52,13 +60,25 @@ TEMPLATES = (
 )
 
 
-def template_grams(templates=TEMPLATES) -> list[tuple[int, int, int, int, str]]:
-    """(gram, template, position, grams of the template, label)."""
-    out = []
-    for i, (label, text) in enumerate(templates):
+def whole_licenses() -> list[tuple[str, str]]:
+    """(label, text) of the whole licenses beside this module."""
+    return [(f.name.split(".")[0], f.read_text()) for f in sorted(Path(__file__).with_name("texts").glob("*.txt"))]
+
+
+def template_grams(templates) -> list[tuple[int, int, int, int, str, bool, int]]:
+    """(gram, template, position, grams of the template, label, whether no other label has the gram, how many such grams the template has)."""
+    made = []
+    for label, text in templates:
         data = np.frombuffer(text.encode(), np.uint8)
-        grams = gram_hashes(word_hashes(data, np.array([0, len(data)]), SEPARATOR)[0], GRAM).view(np.int64)
-        out += [(int(g), i, p, len(grams), label) for p, g in enumerate(grams)]
+        made.append((label, gram_hashes(word_hashes(data, np.array([0, len(data)]), SEPARATOR)[0], GRAM).view(np.int64).tolist()))
+    labels: dict[int, set[str]] = {}
+    for label, grams in made:
+        for g in grams:
+            labels.setdefault(g, set()).add(label)
+    out = []
+    for i, (label, grams) in enumerate(made):
+        own = [len(labels[g]) == 1 for g in grams]
+        out += [(g, i, p, len(grams), label, o, sum(own)) for p, (g, o) in enumerate(zip(grams, own))]
     return out
 
 
@@ -113,25 +133,67 @@ def base(phrases):
     return run
 
 
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, share: float = 0.6, near: int = 3, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_spans. A template of g grams is found where a span holds ``share`` of them."""
+def license_spans(docs: DataFrame, templates, share: float = 0.6, near: int = 3, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Verified spans: doc_id, th (hash of the text), template, label, t_grams, share, words (the places in the text whose words the span holds, ascending)."""
     spark = docs.sparkSession
-    bound_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    facts = texts.mapInArrow(base(phrases), "doc_id long, th long, n_words long, n_base long, first_word long, last_word long, found array<string>")
     known = template_grams(templates)
-    positions = spark.createDataFrame(known, "gram long, template int, t_pos int, t_grams int, label string")
+    positions = spark.createDataFrame(known, "gram long, template int, t_pos int, t_grams int, label string, own boolean, t_own int")
     positions = F.broadcast(positions) if len(known) <= BROADCAST_ROWS else positions
     hits = texts.mapInArrow(grams, "doc_id long, th long, grams array<long>").select("doc_id", "th", F.posexplode("grams").alias("d_pos", "gram")).join(positions, "gram")
     key = ["doc_id", "th", "template"]
-    votes = hits.groupBy(*key, "t_grams", "label", (F.col("d_pos") - F.col("t_pos")).alias("diagonal")).agg(F.collect_set("t_pos").alias("held"))
+    fixed = ["t_grams", "label", "t_own"]
+    votes = hits.groupBy(*key, *fixed, (F.col("d_pos") - F.col("t_pos")).alias("diagonal")).agg(F.collect_set("t_pos").alias("held"), F.collect_set(F.when(F.col("own"), F.col("t_pos"))).alias("own"))
     order = Window.partitionBy(*key).orderBy("diagonal")
     far = (F.col("diagonal") - F.lag("diagonal").over(order) > near).cast("int")
-    spans = votes.withColumn("span", F.sum(F.coalesce(far, F.lit(0))).over(order)).groupBy(*key, "t_grams", "label", "span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("n_held"))
-    verified = spans.withColumn("score", F.col("n_held") / F.col("t_grams")).filter(F.col("score") >= share)
-    by_text = verified.groupBy("doc_id", "th").agg(F.collect_set("label").alias("more"), F.max("score").alias("score"), F.count("*").alias("n_spans"))
+    together = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    places = F.flatten(F.transform("held", lambda p: F.sequence(p + F.col("diagonal"), p + F.col("diagonal") + GRAM - 1)))
+    spans = votes.withColumn("span", F.sum(F.coalesce(far, F.lit(0))).over(order)).withColumn("places", places).groupBy(*key, *fixed, "span").agg(together("held").alias("held"), together("own").alias("own"), F.array_sort(together("places")).alias("words"))
+    found = spans.withColumn("share", F.size("held") / F.col("t_grams")).filter((F.col("share") >= share) & (2 * F.size("own") >= F.col("t_own")))
+    return found.select(*key, "label", "t_grams", "share", "words")
+
+
+def beats(a: dict, b: dict) -> bool:
+    """Whether span ``a`` wins where it overlaps ``b``."""
+    lo, hi = max(a["words"][0], b["words"][0]), min(a["words"][-1], b["words"][-1])
+    strength = lambda s: (sum(lo <= w <= hi for w in s["words"]), s["share"], len(s["words"]), s["t_grams"], -s["template"])
+    return lo <= hi and strength(a) > strength(b)
+
+
+def winners(spans: list[dict]) -> list[dict]:
+    """The spans of a text that no overlapping span of another label beats."""
+    spans = sorted(spans, key=lambda s: (s["words"][0], s["words"][-1], s["template"]))
+    lost, open_ = set(), []
+    for i, s in enumerate(spans):
+        open_ = [j for j in open_ if spans[j]["words"][-1] >= s["words"][0]]
+        for j in open_:
+            if spans[j]["label"] != s["label"]:
+                lost.add(i if beats(spans[j], s) else j)
+        open_.append(i)
+    return [s for i, s in enumerate(spans) if i not in lost]
+
+
+def decided(batches):
+    """doc_id, text hash, labels, best share and number of the spans that win."""
+    for batch in batches:
+        rows = []
+        for doc_id, th, spans in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+            left = winners(spans)
+            rows.append((doc_id, th, sorted({s["label"] for s in left}), max((s["share"] for s in left), default=0.0), len(left)))
+        types = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.float64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(list(zip(*rows)) or [()] * 5, types)], names=["doc_id", "th", "more", "score", "n_spans"])
+
+
+def scan_licenses(docs: DataFrame, templates=None, phrases=PHRASES, share: float = 0.6, near: int = 3, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, method_labels, score, n_spans. A template of g grams is found where a span holds ``share`` of them."""
+    bound_batches(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    facts = texts.mapInArrow(base(phrases), "doc_id long, th long, n_words long, n_base long, first_word long, last_word long, found array<string>")
+    templates = [*TEMPLATES, *whole_licenses()] if templates is None else templates
+    spans = license_spans(docs, templates, share, near, id_col=id_col, text_col=text_col)
+    by_text = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("template", "label", "t_grams", "share", "words")).alias("spans")).mapInArrow(decided, "doc_id long, th long, more array<string>, score double, n_spans long")
     same = facts["doc_id"].eqNullSafe(by_text["doc_id"]) & facts["th"].eqNullSafe(by_text["th"])
-    none = F.array().cast("array<string>")
-    labels = F.array_sort(F.array_union("found", F.coalesce("more", none)))
+    more = F.coalesce("more", F.array().cast("array<string>"))
+    labels = F.array_sort(F.array_union("found", more))
     score = F.greatest(F.coalesce("score", F.lit(0.0)), F.when(F.col("n_base") > 0, 1.0).otherwise(0.0))
-    return facts.join(by_text, same, "left").select(facts["doc_id"], "n_words", "n_base", "first_word", "last_word", F.array_join("found", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"))
+    return facts.join(by_text, same, "left").select(facts["doc_id"], "n_words", "n_base", "first_word", "last_word", F.array_join("found", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), F.array_join(more, ",").alias("method_labels"), score.alias("score"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"))

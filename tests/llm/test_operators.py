@@ -525,26 +525,28 @@ def test_licenses(spark, docs, none):
     assert licenses.scan_licenses(docs).count() == docs.count() and licenses.scan_licenses(none).count() == 0
 
 
-def license_labels(text, share=0.6, near=3):
-    """What diagonal voting gives, by brute force: the labels of templates that some span of neighbouring diagonals holds ``share`` of."""
-    words = lambda v: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in v))
-    d, found, best = words(text), set(), 0.0
+def brute_spans(text, templates, share=0.6, near=3):
+    """(template, share) of every verified span, by comparing all grams of the text with all grams of the templates."""
+    words = lambda v: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", v.translate(LOW))
     grams = lambda w: [tuple(w[i : i + licenses.GRAM]) for i in range(len(w) - licenses.GRAM + 1)]
-    for label, template in licenses.TEMPLATES:
-        t = grams(words(template))
+    held = [(label, grams(words(t))) for label, t in templates]
+    d, out = grams(words(text)), []
+    for n, (label, t) in enumerate(held):
+        others = {g for other, grams_ in held if other != label for g in grams_}
+        own = {j for j, g in enumerate(t) if g not in others}
         votes = {}
-        for i, a in enumerate(grams(d)):
+        for i, a in enumerate(d):
             for j, b in enumerate(t):
                 if a == b:
                     votes.setdefault(i - j, set()).add(j)
-        span, last = set(), None
+        spans, last = [], None
         for k in sorted(votes):
-            span = votes[k] if last is None or k - last > near else span | votes[k]
+            if last is None or k - last > near:
+                spans.append(set())
+            spans[-1] |= votes[k]
             last = k
-            if len(span) >= share * len(t):
-                found.add(label)
-                best = max(best, len(span) / len(t))
-    return found, best
+        out += [(n, len(s) / len(t)) for s in spans if len(s) >= share * len(t) and 2 * len(s & own) >= len(own)]
+    return sorted(out)
 
 
 def test_license_spans_equal_brute_force(spark):
@@ -556,11 +558,36 @@ def test_license_spans_equal_brute_force(spark):
         longer = [y for x in w for y in ([x, "between"] if rng.random() < 0.04 else [x])]
         texts += [" ".join(edited), "Some words before. " + " ".join(longer) + " And more after it.", " ".join(w[: len(w) // 2]), " ".join(rng.sample(w, len(w))), t + " " + t]
     texts += ["", "no license here", " ".join(whole)]
-    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    rows = licenses.license_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), licenses.TEMPLATES).collect()
     for i, text in enumerate(texts):
-        labels, score = license_labels(text)
-        base = set(filter(None, got[i].base_labels.split(",")))
-        assert set(filter(None, got[i].labels.split(","))) == labels | base, (i, text)
-        assert got[i].score == pytest.approx(1.0 if base else score)
-    for i, (label, _) in enumerate(licenses.TEMPLATES):
-        assert label in got[i].labels.split(",") and got[i].score == 1.0
+        assert sorted((r.template, r.share) for r in rows if r.doc_id == i) == brute_spans(text, licenses.TEMPLATES), (i, text)
+
+
+#: Notices and the one label that a reader would give; written by hand.
+NOTICES = (
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("apache", "Copyright 2020 somebody. Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("mit", "Released under the MIT License."),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+    ("boost", "Distributed under the Boost Software License, Version 1.0."),
+    ("", "The general terms of this public license are free software of the foundation."),
+)
+
+
+def test_one_label_a_notice_and_a_template(spark):
+    """Every notice and every template's text has its own label alone, also between other prose and with a few words changed in a long one."""
+    known = [*licenses.TEMPLATES, *licenses.whole_licenses()]
+    assert {label for label, _ in licenses.whole_licenses()} == {"apache", "gpl", "lgpl", "mpl", "cc0"}
+    cases = [*NOTICES, *known, *[(label, f"{prose(30, 41)} {t} {prose(30, 42)}") for label, t in (*NOTICES, *known)]]
+    cases += [(label, " ".join("changed" if k % 40 == 39 else w for k, w in enumerate(t.split()))) for label, t in known if len(t.split()) > 60]
+    cases += [("agpl,mit", f"{NOTICES[1][1]} {prose(9, 43)} {NOTICES[7][1]}")]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")).collect()}
+    wrong = [(label, got[i].method_labels, text[:80]) for i, (label, text) in enumerate(cases) if got[i].method_labels != label]
+    assert not wrong, wrong
+    for r in got.values():
+        assert set(r.labels.split(",")) == set(r.method_labels.split(",")) | set(r.base_labels.split(",")) - ({""} if r.method_labels else set()) or r.labels == ""
