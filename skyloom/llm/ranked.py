@@ -6,7 +6,7 @@ list that some item needs is clustered: evenly spread members are pivots, member
 are cut into blocks. A block stores its members and its summary, the coordinatewise maximum of their impacts over all terms of the items that use
 the list. The index is a Parquet table, a row a group.
 
-Search. An item has a threshold: the k-th best exact score among the documents that hold one of its weightiest terms. It needs
+Search. An item has a threshold: the k-th best exact score among the documents that hold one of its weightiest terms (terms enough for 100 k documents). It needs
 only the lists of its essential terms: what the others can give together stays below the threshold. A block whose summary cannot reach the
 threshold is skipped; the members of all other blocks are scored in full. Both bounds are exact (a block or list is left out only where it stays
 strictly below), so results are those of scoring everything, ties included.
@@ -34,9 +34,9 @@ from .common import bound_batches, materialize, mix64, text_chunks, word_hashes
 from .licenses import SEPARATOR
 
 #: Items that are searched in one pass, documents of a group, members of a block, pivots of a list, cells of a clustering at once.
-MOST_ITEMS, GROUP, BLOCK, PIVOTS, CELLS = 2048, 4096, 16, 64, 1 << 21
-#: Weightiest terms whose documents give the first thresholds, and bits of the similarity code.
-SEEDS, BITS = 4, 16
+MOST_ITEMS, GROUP, BLOCK, PIVOTS, CELLS = 2048, 1024, 16, 64, 1 << 20
+#: An item's threshold comes from the documents of its weightiest terms: as many terms as have this many times k documents. Bits of the similarity code.
+SEEDS, BITS = 100, 16
 VECTORS = "doc_id long, n long, terms array<int>, tfs array<int>"
 INDEX = "doc_ids array<long>, sizes array<int>, terms array<int>, impacts array<int>, block_terms array<int>, block_sizes array<int>, members array<int>, summary_sizes array<int>, summary_terms array<int>, summary_maxima array<int>"
 OUT = "item_id long, rank int, doc_id long, score long"
@@ -62,13 +62,16 @@ class Items:
     terms: list[np.ndarray]
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     most: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    df: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     documents: int = 0
     words: int = 0
     least: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     essential: list[np.ndarray] = field(default_factory=list)
 
-    def heaviest(self, most: int) -> list[np.ndarray]:
-        return [t[np.argsort(-self.weights[t], kind="stable")[:most]] for t in self.terms]
+    def heaviest(self, documents: int) -> list[np.ndarray]:
+        """Each item's weightiest terms, as many as have ``documents`` documents together."""
+        order = [t[np.argsort(-self.weights[t], kind="stable")] for t in self.terms]
+        return [np.sort(t[: np.searchsorted(np.cumsum(self.df[t]), documents) + 1]) for t in order]
 
     def dense(self, i: int) -> np.ndarray:
         """An item's weights over all terms."""
@@ -131,7 +134,7 @@ def seeds(items: Items, k: int):
     """(query, score): for each item, the k best of a batch's documents that hold one of its weightiest terms."""
 
     def run(batches):
-        heavy = items.heaviest(SEEDS)
+        heavy = items.heaviest(SEEDS * k)
         for batch in batches:
             sizes, terms, impacts = of_vectors(items, batch)
             order = np.argsort(terms, kind="stable")
@@ -308,8 +311,9 @@ def weighted(items: Items, found: DataFrame) -> None:
     m = f"(100 - 50 + (50 * n * {items.documents}L) div {max(items.words, 1)}L)"
     impact = F.expr(f"(1000000000L * tfs) div (1000 * tfs + 20 * {m})")
     held = found.select("n", F.inline(F.arrays_zip("terms", "tfs"))).groupBy("terms").agg(F.count("*").alias("df"), F.max(impact).alias("most")).collect()  # a row a term of the items
-    items.weights, items.most = np.zeros(len(items.hashes), np.int64), np.zeros(len(items.hashes), np.int64)
+    items.weights, items.most, items.df = (np.zeros(len(items.hashes), np.int64) for _ in range(3))
     for r in held:
+        items.df[r["terms"]] = r["df"]
         items.weights[r["terms"]] = math.floor(1000 * math.log((2 * items.documents + 2) / (2 * r["df"] + 1)))
         items.most[r["terms"]] = r["most"]
 
