@@ -8,7 +8,7 @@ from . import views
 from .registry import ORACLES, QUERIES, r6, s6
 from .shared import fresh_path
 from .sources import catalogs, ser, sidecars
-from .streaming import jobs
+from .streaming import jobs, track
 from .table_queries import HOUR, MOUNT, POSE, WRAP
 from .views import view, with_views
 
@@ -61,11 +61,59 @@ def stream_aircraft(spark, sf_dir):
     return out.select("url", "seq", *[r6(A(f"v{a}")).alias(f"v{a}") for a in "xyz"], *[r6(A(f"a{a}") * 1e3).alias(f"a{a}") for a in "xyz"])
 
 
-@register("stream_track", ORACLES["lock_status"])
+#: The tracker's rows from events: mount samples, seeds, and frames with two blobs or none.
+TRACK_ROWS = """SELECT session, seq, t_us, CASE WHEN kind IN ('click', 'error') THEN 'mount' WHEN kind = 'signup' AND k >= 60 THEN 'seed' ELSE 'frame' END AS kind,
+az * 2e-2 AS az, alt * 2e-2 AS alt, (k - 50) * 1e-8 AS rate_az, (50 - k) * 1e-8 AS rate_alt, kind <> 'signup' AND k % 9 = 0 AS none,
+1920e0 + (k - 50) * 1e1 AS px0, 1080e0 + (seq % 41 - 20) * 1e1 AS py0, 1500e0 + (seq % 97) * 7e0 AS px1, 900e0 + (seq % 89) * 5e0 AS py1 FROM v_pose"""
+OPTICS = track.Optics(1920.0, 1080.0, 1e-3, gate_px=300.0, smoothing_s=2e4, lost_us=12 * HOUR, lock_us=10 * HOUR, hold_us=6 * HOUR)
+DELAY_US = HOUR
+
+
+def track_sql() -> str:
+    """The tracker frame by frame in a recursive query; what the watermark has not passed at the end is left out."""
+    axes = lambda a, e: {"f": (f"cos({a})*cos({e})", f"sin({a})*cos({e})", f"sin({e})"), "s": (f"(-sin({a}))", f"cos({a})", "0e0"), "u": (f"(-cos({a})*sin({e}))", f"(-sin({a})*sin({e}))", f"cos({e})")}
+    m, o = axes("az", "alt"), OPTICS
+    row = lambda axis, x: "+".join(f"{m[axis][i]}*{x}{a}" for i, a in enumerate("xyz"))
+    unit = lambda p, q: ", ".join(f"{p}{a}/sqrt({p}x*{p}x+{p}y*{p}y+{p}z*{p}z) AS {q}{a}" for a in "xyz")
+    cross = lambda a, b: {"x": f"{a}y*{b}z-{a}z*{b}y", "y": f"{a}z*{b}x-{a}x*{b}z", "z": f"{a}x*{b}y-{a}y*{b}x"}
+    posed = lambda t: f"""(SELECT q.*, {', '.join(f"CASE WHEN t0 IS NULL AND t1 IS NULL THEN 0e0 WHEN t0 IS NULL THEN {a}1 WHEN t1 IS NULL THEN {a}0 + rate_{a}*(t_us-t0)/1e6 ELSE {a}0 + {WRAP(f'{a}1-{a}0')}*((t_us-t0)/CAST(t1-t0 AS DOUBLE)) END AS {a}" for a in ('az', 'alt'))} FROM
+  (SELECT p.*, CASE WHEN m.t_us <= p.t_us + {o.hold_us} THEN m.t_us END AS t1, m.az AS az1, m.alt AS alt1 FROM (SELECT f.*, m.t_us AS t0, m.az AS az0, m.alt AS alt0, m.rate_az, m.rate_alt FROM {t} f ASOF LEFT JOIN mount m ON f.session = m.session AND f.t_us >= m.t_us) p
+  ASOF LEFT JOIN mount m ON p.session = m.session AND p.t_us < m.t_us) q)"""
+    predicted = f"""SELECT *, CASE WHEN w < 1e-12 THEN dx ELSE ux END AS ex, CASE WHEN w < 1e-12 THEN dy ELSE uy END AS ey, CASE WHEN w < 1e-12 THEN dz ELSE uz END AS ez FROM (SELECT *, {unit('r', 'u')} FROM (
+  SELECT *, {', '.join(f"d{a}*cos(g) + ({c})*sin(g) + n{a}*(nx*dx+ny*dy+nz*dz)*(1-cos(g)) AS r{a}" for a, c in cross('n', 'd').items())} FROM (
+  SELECT *, w*(t_us-mt)/1e6 AS g, {', '.join(f'w{a}/greatest(w, 1e-300) AS n{a}' for a in 'xyz')} FROM (SELECT *, sqrt(wx*wx+wy*wy+wz*wz) AS w FROM {{}}) a1) a2) a3) a4"""
+    pixels = f"""SELECT *, {o.cx} + ({row('s', 'e')})*sc/{o.rad_per_px * o.sign_az} AS gx, {o.cy} + ({row('u', 'e')})*sc/({o.rad_per_px * o.sign_alt}) AS gy FROM (SELECT *, CASE WHEN {row('f', 'e')} > 1e-6 THEN 1/({row('f', 'e')}) ELSE 1e6 END AS sc FROM ({predicted}) b1) b2"""
+    step = f"""SELECT session, n, seq, t_us, az, alt, seed OR took AS sets, took, CASE WHEN seed OR took THEN t_us ELSE mt END AS mt, {', '.join(f'CASE WHEN seed OR took THEN h{a} ELSE d{a} END AS d{a}' for a in 'xyz')},
+  {', '.join(f'CASE WHEN (seed OR took) AND mt IS NOT NULL AND t_us > mt THEN w{a}*(1-wt) + i{a}*wt ELSE w{a} END AS w{a}' for a in 'xyz')},
+  CASE WHEN seed OR took THEN t_us ELSE good END AS good, CASE WHEN seed OR missed THEN NULL WHEN took THEN coalesce(since, t_us) ELSE since END AS since, CASE WHEN seed OR missed THEN false WHEN took THEN t_us - coalesce(since, t_us) >= {o.lock_us} ELSE settled END AS settled
+FROM (SELECT *, 1 - exp(-(t_us-mt)/1e6/{o.smoothing_s}) AS wt, {', '.join(f"CASE WHEN sn > 1e-9 THEN c{a}/sn*(atan2(sn, dx*hx+dy*hy+dz*hz)/((t_us-mt)/1e6)) ELSE 0 END AS i{a}" for a in 'xyz')} FROM (SELECT *, sqrt(cx*cx+cy*cy+cz*cz) AS sn FROM (
+SELECT *, {', '.join(f'{c} AS c{a}' for a, c in cross('d', 'h').items())} FROM (SELECT *, {unit('k', 'h')} FROM (SELECT *, {', '.join(f"{m['f'][i]} + ox*{m['s'][i]} + oy*{m['u'][i]} AS k{a}" for i, a in enumerate('xyz'))} FROM (
+SELECT *, (CASE WHEN seed OR far0 <= far1 THEN px0 ELSE px1 END - {o.cx})*{o.rad_per_px * o.sign_az} AS ox, (CASE WHEN seed OR far0 <= far1 THEN py0 ELSE py1 END - {o.cy})*({o.rad_per_px * o.sign_alt}) AS oy,
+  NOT seed AND NOT none AND mt IS NOT NULL AND least(far0, far1) <= {o.gate_px} AS took, NOT seed AND NOT none AND mt IS NOT NULL AND least(far0, far1) > {o.gate_px} AS missed FROM (
+SELECT *, sqrt((px0-gx)*(px0-gx) + (py0-gy)*(py0-gy)) AS far0, sqrt((px1-gx)*(px1-gx) + (py1-gy)*(py1-gy)) AS far1 FROM ({pixels}) c1) c2) c3) c4) c5) c6) c7) c8"""
+    joined = "(SELECT f.*, f.kind = 'seed' AS seed, s.mt, s.dx, s.dy, s.dz, s.wx, s.wy, s.wz, s.good, s.since, s.settled FROM walk s JOIN frames f ON f.session = s.session AND f.n = s.n + 1) a0"
+    out = "session, seq, t_us, CASE WHEN mt IS NULL THEN 'none' WHEN t_us - good <= {lost} THEN 'track' WHEN settled THEN 'coast' ELSE 'lost' END AS status, took AS gated".format(lost=o.lost_us)
+    final = f"SELECT {out}, mt, az, alt, dx, dy, dz, wx, wy, wz FROM states UNION ALL SELECT {out.replace('seq, ', 'NULL, ', 1)}, mt, az, alt, dx, dy, dz, wx, wy, wz FROM posed_timers"
+    return f"""WITH RECURSIVE ev AS ({TRACK_ROWS}), mark AS (SELECT max(t_us) // 1000 * 1000 - {DELAY_US} AS mark FROM ev), mount AS (SELECT * FROM ev, mark WHERE kind = 'mount' AND t_us <= mark),
+raw AS (SELECT * EXCLUDE (az, alt, rate_az, rate_alt, mark), row_number() OVER (PARTITION BY session ORDER BY t_us, seq) AS n FROM ev, mark WHERE kind <> 'mount' AND t_us + {o.hold_us} <= mark),
+frames AS (SELECT session, seq, t_us, kind, none, px0, py0, px1, py1, n, az, alt FROM {posed('raw')} z),
+walk AS (SELECT DISTINCT session, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS t_us, 0e0 AS az, 0e0 AS alt, false AS sets, false AS took, CAST(NULL AS BIGINT) AS mt, CAST(NULL AS DOUBLE) AS dx, CAST(NULL AS DOUBLE) AS dy, CAST(NULL AS DOUBLE) AS dz, 0e0 AS wx, 0e0 AS wy, 0e0 AS wz, CAST(NULL AS BIGINT) AS good, CAST(NULL AS BIGINT) AS since, false AS settled FROM frames
+UNION ALL {step.replace('{}', joined)}),
+states AS (SELECT * FROM walk WHERE n > 0),
+timers AS (SELECT session, good + {o.lost_us + 1} AS t_us, false AS took, mt, dx, dy, dz, wx, wy, wz, good, settled FROM (SELECT *, lead(t_us) OVER (PARTITION BY session ORDER BY n) AS next_t, lead(sets) OVER (PARTITION BY session ORDER BY n) AS next_sets,
+  row_number() OVER (PARTITION BY session, good ORDER BY n DESC) AS back FROM states WHERE good IS NOT NULL) l, mark WHERE (t_us <= good + {o.lost_us + 1} AND (next_t > good + {o.lost_us + 1} OR (next_t IS NULL AND good + {o.lost_us + 1 + o.hold_us} <= mark)))),
+posed_timers AS (SELECT * FROM {posed('timers')} z)
+SELECT session, coalesce(seq, -1) AS seq, t_us, status, gated, {', '.join(f"CASE WHEN abs(g{a}) < 1e5 THEN round(g{a}, 3) + 0e0 ELSE 1e5 END AS p{a}" for a in 'xy')}, {s6('dx')} AS x, {s6('dy')} AS y, {s6('dz')} AS z, {s6('wx*1e4')} AS wx, {s6('wy*1e4')} AS wy, {s6('wz*1e4')} AS wz FROM ({pixels.replace('{}', f'({final})')}) y"""
+
+
+@register("stream_track", track_sql())
 def stream_track(spark, sf_dir):
-    pose = stream_view(spark, sf_dir, "v_pose")
-    assoc = pose.select("session", "seq", "t_us", ((A("kind") == "purchase") & (A("k") >= 50)).alias("hit"), ((A("kind") == "view") & (A("k") < 20)).alias("miss"))
-    return jobs.run_to_end(jobs.stream_status(assoc, 2 * HOUR, 6 * HOUR), "track")
+    """Frames, and timer rows (seq -1), that the watermark has passed; pixels far outside the image are 1e5."""
+    rows = spark.sql(TRACK_ROWS.replace("v_pose", "{v}"), v=stream_view(spark, sf_dir, "v_pose"))
+    blobs = lambda c: F.when(A("none"), F.array().cast("array<double>")).otherwise(F.array(f"{c}0", f"{c}1"))
+    rows = rows.withColumns({"px": blobs("px"), "py": blobs("py")})
+    out = jobs.run_to_end(track.track(rows, OPTICS, f"{DELAY_US // 1_000_000} seconds", idle_us=60 * 24 * HOUR), "track")
+    return out.select("session", F.coalesce("seq", F.lit(-1)).alias("seq"), "t_us", "status", "gated", *[F.when(F.abs(c) < 1e5, F.round(c, 3) + 0.0).otherwise(1e5).alias(c) for c in ("px", "py")], *[r6(c).alias(c) for c in "xyz"], *[r6(A(f"w{a}") * 1e4).alias(f"w{a}") for a in "xyz"])
 
 
 BRACKET = f"""WITH {MOUNT}, p AS (SELECT f.*, m.t_us AS t0, m.az AS az0, m.alt AS alt0, m.rate FROM f ASOF LEFT JOIN m ON f.session = m.session AND f.t_us >= m.t_us),

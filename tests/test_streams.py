@@ -1,8 +1,11 @@
 """Streams in several micro-batches: state that is bounded loses no row."""
 
+import random
 import tempfile
 
-from skyloom.streaming import jobs
+import pytest
+
+from skyloom.streaming import jobs, track
 
 
 def fed(spark, batches, schema):
@@ -23,3 +26,65 @@ def test_queries_beyond_the_bound_come_out(spark, monkeypatch):
     answered = {i: v for i, v in got.items() if v[1] is not None}
     assert set(got) == set(range(7)) and all(v[0] == 10 for i, v in got.items() if i < 6)
     assert answered == {**{i: (10, 20) for i in (3, 4, 5)}, 6: (20, 30)}
+
+
+S = 1_000_000
+TRACKED = "session long, " + track.ROW
+OPTICS = track.Optics(100.0, 100.0, 1e-3)
+
+
+def at(t):
+    """Microseconds; the epoch itself is behind any watermark."""
+    return int((1000 + t) * S)
+
+
+def mount(t, az=0.0, session=1):
+    return (session, int(t * 1000), at(t), "mount", az, 0.1, 0.0, 0.0, [], [])
+
+
+def seen(t, *blobs, kind="frame", session=1):
+    return (session, int(t * 1000), at(t), kind, None, None, None, None, [float(x) for x, _ in blobs], [float(y) for _, y in blobs])
+
+
+def tracked(spark, batches, **kw):
+    return sorted(jobs.run_to_end(track.track(fed(spark, batches, TRACKED), OPTICS, "2 seconds", **kw), "track").collect(), key=lambda r: (r.session, r.t_us, r.seq or -1))
+
+
+def test_a_timer_alone_reports_the_loss(spark):
+    """Nothing of the session arrives after its second frame; another session's rows move the watermark on."""
+    batches = [[mount(0), seen(0.5, (100, 100), kind="seed"), seen(1, (102, 100))], [mount(2, session=2)], [mount(9, session=2)]]
+    rows = tracked(spark, batches)
+    assert [(r.seq, r.t_us, r.status) for r in rows] == [(500, at(0.5), "track"), (1000, at(1), "track"), (None, at(1) + OPTICS.lost_us + 1, "lost")]
+
+
+def test_a_settled_lock_coasts_and_comes_back(spark):
+    """Associations for a second settle the lock; without blobs it coasts by the model, and a blob in the gate makes it a track again."""
+    frames = [seen(t / 4, (100 + t, 100)) for t in range(2, 10)]
+    rows = tracked(spark, [[mount(0), seen(0.25, (101, 100), kind="seed"), *frames], [mount(3), seen(4.5), seen(4.75, (119, 100)), seen(5, (900, 900))], [mount(20)]])
+    by_time = {r.t_us: r for r in rows}
+    assert all(by_time[f[2]].status == "track" and by_time[f[2]].gated for f in frames)
+    assert [(r.t_us, r.status) for r in rows if r.seq is None] == [(at(2.25) + OPTICS.lost_us + 1, "coast"), (at(4.75) + OPTICS.lost_us + 1, "lost")]
+    assert by_time[at(4.5)].status == "coast" and not by_time[at(4.5)].gated and 110 < by_time[at(4.5)].px < 125
+    assert by_time[at(4.75)].gated and by_time[at(4.75)].status == "track"
+    assert not by_time[at(5)].gated  # outside the gate: the lock is no longer settled
+
+
+def test_results_do_not_depend_on_micro_batches(spark):
+    r = random.Random(6)
+    rows = [mount(t / 2, az=t / 2000, session=s) for t in range(40) for s in (1, 2)] + [seen(1.1, (100, 100), kind="seed", session=s) for s in (1, 2)]
+    rows += [seen(1.2 + t / 5, *[(100 + r.gauss(0, 40), 100 + r.gauss(0, 40)) for _ in range(r.randint(0, 3))], session=s) for t in range(70) for s in (1, 2)]
+    rows = sorted(rows, key=lambda x: x[2] + r.uniform(0, 0.9) * S)  # out of order, but not late
+    ahead = [[mount(60, session=3)]]
+    one = tracked(spark, [rows, *ahead])
+    assert one == tracked(spark, [rows[i : i + 45] for i in range(0, len(rows), 45)] + ahead)
+    assert len(one) >= 142 and {x.status for x in one} >= {"track", "lost"} and any(x.gated for x in one)
+
+
+def test_late_rows_are_dropped_and_idle_sessions_cleared(spark):
+    batches = [[mount(0), seen(0.5, (100, 100), kind="seed")], [mount(50, session=2)], [mount(60, session=2)], [seen(1, (100, 100)), mount(70, session=2)], [mount(400, session=3)]]
+    query = track.track(fed(spark, batches, TRACKED), OPTICS, "2 seconds", idle_us=30 * S).writeStream.format("noop").option("checkpointLocation", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    progress = [p for p in query.recentProgress if p["stateOperators"]]
+    assert sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in progress) == 1
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in progress]
+    assert max(held) > 3 and held[-1] <= 4  # what is left belongs to session 3
