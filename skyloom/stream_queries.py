@@ -9,7 +9,7 @@ from .registry import ORACLES, QUERIES, r6, s6
 from .shared import fresh_path
 from .sources import catalogs, ser, sidecars
 from .streaming import jobs, track
-from .table_queries import HOUR, MOUNT, POSE, WRAP
+from .table_queries import HOUR, MOUNT, WRAP
 from .views import view, with_views
 
 A = F.col
@@ -30,9 +30,14 @@ def stream_view(spark, sf_dir: str, name: str):
     return spark.sql(views.text(name, "spark").replace(f"FROM {table}", "FROM {t}"), t=jobs.stream_table(spark, f"{sf_dir}/{table}.parquet"))
 
 
-@register("stream_health", ORACLES["capture_health"])
+#: The watermark after the last row, in microseconds; Spark keeps whole milliseconds.
+MARK = "(SELECT max(t_us) // 1000 * 1000 - {delay} FROM {rows})".format
+
+
+@register("stream_health", f"SELECT kind, start_us, frames, fps, peak FROM ({ORACLES['capture_health']}) h WHERE start_us + {HOUR} <= {MARK(delay=HOUR, rows='events_us')}".replace("events_us", "(SELECT epoch_us(ts) AS t_us FROM events)"))
 def stream_health(spark, sf_dir):
-    out = jobs.run_to_end(jobs.stream_health(stream_view(spark, sf_dir, "v_pose"), 3600, "1 hour"), "health", "complete")
+    """Windows come out, and their state goes, when the watermark has passed them."""
+    out = jobs.run_to_end(jobs.stream_health(stream_view(spark, sf_dir, "v_pose"), 3600, "1 hour"), "health")
     return out.select("kind", "start_us", "frames", r6("fps").alias("fps"), r6("peak").alias("peak"))
 
 
@@ -48,16 +53,16 @@ def stream_latest_only(spark, sf_dir):
     return jobs.latest(jobs.run_to_end(jobs.latest(rows, "kind", "seq"), "newest", "update").drop("batch"), "kind", "seq")
 
 
-@register("stream_lock_sessions", f"WITH h AS (SELECT session, t_us, CASE WHEN t_us - lag(t_us) OVER w < {6 * HOUR} THEN 0 ELSE 1 END AS new FROM v_pose WHERE kind = 'purchase' WINDOW w AS (PARTITION BY session ORDER BY t_us)), i AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY t_us) AS n FROM h) SELECT session, min(t_us) AS start_us, max(t_us) AS last_us, count(*) AS hits FROM i GROUP BY session, n")
+@register("stream_lock_sessions", f"WITH h AS (SELECT session, t_us, CASE WHEN t_us - lag(t_us) OVER w < {6 * HOUR} THEN 0 ELSE 1 END AS new FROM v_pose WHERE kind = 'purchase' WINDOW w AS (PARTITION BY session ORDER BY t_us)), i AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY t_us) AS n FROM h) SELECT session, min(t_us) AS start_us, max(t_us) AS last_us, count(*) AS hits FROM i GROUP BY session, n HAVING max(t_us) + {6 * HOUR} <= {MARK(delay=HOUR, rows='h')}")
 def stream_lock_sessions(spark, sf_dir):
     hits = stream_view(spark, sf_dir, "v_pose").filter("kind = 'purchase'")
-    return jobs.run_to_end(jobs.lock_sessions(hits, "6 hours", "1 hour"), "locks", "complete")
+    return jobs.run_to_end(jobs.lock_sessions(hits, "6 hours", "1 hour"), "locks")
 
 
 @register("stream_aircraft", ORACLES["target_kinematics"])
 def stream_aircraft(spark, sf_dir):
     fixes = stream_view(spark, sf_dir, "v_fixes").select("url", "seq", "t_us", A("lat_deg").alias("x"), A("lon_deg").alias("y"), A("h_m").alias("z"))
-    out = jobs.run_to_end(jobs.stream_kinematics(fixes), "aircraft")
+    out = jobs.run_to_end(jobs.stream_kinematics(fixes, delay="1 hour", idle_ms=60 * 24 * HOUR // 1000), "aircraft")
     return out.select("url", "seq", *[r6(A(f"v{a}")).alias(f"v{a}") for a in "xyz"], *[r6(A(f"a{a}") * 1e3).alias(f"a{a}") for a in "xyz"])
 
 
@@ -116,35 +121,56 @@ def stream_track(spark, sf_dir):
     return out.select("session", F.coalesce("seq", F.lit(-1)).alias("seq"), "t_us", "status", "gated", *[F.when(F.abs(c) < 1e5, F.round(c, 3) + 0.0).otherwise(1e5).alias(c) for c in ("px", "py")], *[r6(c).alias(c) for c in "xyz"], *[r6(A(f"w{a}") * 1e4).alias(f"w{a}") for a in "xyz"])
 
 
-BRACKET = f"""WITH {MOUNT}, p AS (SELECT f.*, m.t_us AS t0, m.az AS az0, m.alt AS alt0, m.rate FROM f ASOF LEFT JOIN m ON f.session = m.session AND f.t_us >= m.t_us),
-n AS (SELECT p.*, m.t_us AS t1, m.az AS az1, m.alt AS alt1 FROM p ASOF JOIN m ON p.session = m.session AND p.t_us < m.t_us)
-SELECT session, seq, {s6(POSE.format(a='az', w=WRAP('az1-az0')))} AS az, {s6(POSE.format(a='alt', w=WRAP('alt1-alt0')))} AS alt FROM n"""
+#: How old the sample before and how late the one after a frame may be, the length of a bucket, and the watermark's delay.
+POSE_LIMITS = {"reach_us": 96 * HOUR, "hold_us": 48 * HOUR, "bucket_us": 48 * HOUR, "delay": "1 hour"}
+BRACKET = f"""WITH {MOUNT}, p AS (SELECT f.*, CASE WHEN f.t_us - m.t_us <= {POSE_LIMITS['reach_us']} THEN m.t_us END AS t0, m.az AS az0, m.alt AS alt0 FROM f ASOF LEFT JOIN m ON f.session = m.session AND f.t_us >= m.t_us WHERE f.t_us + {POSE_LIMITS['hold_us']} <= {MARK(delay=HOUR, rows='v_pose')}),
+n AS (SELECT p.*, CASE WHEN m.t_us - p.t_us <= {POSE_LIMITS['hold_us']} THEN m.t_us END AS t1, m.az AS az1, m.alt AS alt1 FROM p ASOF LEFT JOIN m ON p.session = m.session AND p.t_us < m.t_us)
+SELECT session, seq, {', '.join(s6(f"CASE WHEN t0 IS NULL AND t1 IS NULL THEN NULL WHEN t0 IS NULL THEN {a}1 WHEN t1 IS NULL THEN {a}0 ELSE {a}0 + {WRAP(f'{a}1-{a}0')}*((t_us-t0)/CAST(t1-t0 AS DOUBLE)) END") + f' AS {a}' for a in ('az', 'alt'))} FROM n"""
 
 
 @register("stream_pose_join", BRACKET)
 def stream_pose_join(spark, sf_dir):
-    """Frames come out once a later sample is there; those after the last sample wait in the state."""
+    """Frames come out when the watermark is two days past them, those after a session's last sample too."""
     pose = stream_view(spark, sf_dir, "v_pose")
     rows = pose.select("session", A("seq").alias("id"), "t_us", (A("kind") == "purchase").alias("is_query"), "az", "alt")
-    return jobs.run_to_end(jobs.stream_pose(rows), "pose").select("session", "seq", r6("az").alias("az"), r6("alt").alias("alt"))
+    return jobs.run_to_end(jobs.stream_pose(rows, **POSE_LIMITS), "pose").select("session", "seq", r6("az").alias("az"), r6("alt").alias("alt"))
 
 
-SEG = "lerp AS (SELECT cls, id, x, y, z, lag(x) OVER w AS x0, lag(y) OVER w AS y0, lag(z) OVER w AS z0, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(z) OVER w AS z1 FROM v_dirs WINDOW w AS (PARTITION BY cls ORDER BY id))"
+#: Ids count as seconds, the first of them one second after the epoch (which itself is behind any watermark).
+SECOND = 1_000_000
+DIR_LIMITS = {"reach_us": 60 * SECOND, "hold_us": 30 * SECOND, "bucket_us": 60 * SECOND, "delay": "10 seconds"}
+LENGTH = "greatest(1e-9, sqrt(x*x+y*y+z*z))"
 
 
-@register("stream_almanac", f"WITH d AS (SELECT *, id % 2 = 0 AS is_query FROM v_dirs), q AS (SELECT cls, id FROM d WHERE is_query), s AS (SELECT * FROM d WHERE NOT is_query), p AS (SELECT q.cls, q.id, s.id AS t0, s.x AS x0, s.y AS y0, s.z AS z0 FROM q ASOF LEFT JOIN s ON q.cls = s.cls AND q.id >= s.id), n AS (SELECT p.*, s.id AS t1, s.x AS x1, s.y AS y1, s.z AS z1 FROM p ASOF JOIN s ON p.cls = s.cls AND p.id < s.id), f AS (SELECT *, CASE WHEN t0 IS NULL THEN 1e0 ELSE (id-t0)/CAST(t1-t0 AS DOUBLE) END AS f FROM n), l AS (SELECT cls, id, " + ", ".join(f"coalesce({a}0, {a}1)*(1-f) + {a}1*f AS {a}" for a in "xyz") + f" FROM f) SELECT cls, id, {s6('x/greatest(1e-9, sqrt(x*x+y*y+z*z))')} AS x, {s6('y/greatest(1e-9, sqrt(x*x+y*y+z*z))')} AS y, {s6('z/greatest(1e-9, sqrt(x*x+y*y+z*z))')} AS z FROM l")
+@register("stream_almanac", f"""WITH d AS (SELECT *, id % 2 = 0 AS is_query FROM v_dirs), s AS (SELECT * FROM d WHERE NOT is_query), q AS (SELECT cls, id FROM d WHERE is_query AND id <= (SELECT max(id) FROM v_dirs) - 10 - 30),
+p AS (SELECT q.cls, q.id, CASE WHEN q.id - s.id <= 60 THEN s.id END AS t0, s.x AS x0, s.y AS y0, s.z AS z0 FROM q ASOF LEFT JOIN s ON q.cls = s.cls AND q.id >= s.id),
+n AS (SELECT p.*, CASE WHEN s.id - p.id <= 30 THEN s.id END AS t1, s.x AS x1, s.y AS y1, s.z AS z1 FROM p ASOF LEFT JOIN s ON p.cls = s.cls AND p.id < s.id),
+l AS (SELECT cls, id, {', '.join(f"CASE WHEN t0 IS NULL THEN CASE WHEN t1 IS NOT NULL THEN {a}1 END WHEN t1 IS NULL THEN {a}0 ELSE {a}0*(1-(id-t0)/CAST(t1-t0 AS DOUBLE)) + {a}1*((id-t0)/CAST(t1-t0 AS DOUBLE)) END AS {a}" for a in 'xyz')} FROM n)
+SELECT cls, id, {', '.join(s6(f'{a}/{LENGTH}') + f' AS {a}' for a in 'xyz')} FROM l""")
 def stream_almanac(spark, sf_dir):
-    rows = stream_view(spark, sf_dir, "v_dirs").select(A("cls").cast("long").alias("cls"), "id", A("id").alias("t_us"), (A("id") % 2 == 0).alias("is_query"), "x", "y", "z")
-    out = jobs.run_to_end(jobs.stream_dirs(rows, "cls"), "almanac")
+    rows = stream_view(spark, sf_dir, "v_dirs").select(A("cls").cast("long").alias("cls"), "id", ((A("id") + 1) * SECOND).alias("t_us"), (A("id") % 2 == 0).alias("is_query"), "x", "y", "z")
+    out = jobs.run_to_end(jobs.stream_dirs(rows, "cls", **DIR_LIMITS), "almanac")
     return out.select("cls", "id", *[r6(a).alias(a) for a in "xyz"])
 
 
-@register("stream_late_data", "SELECT session, seq FROM (SELECT *, max(k) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM v_pose) q WHERE false UNION ALL SELECT DISTINCT session, min(seq) OVER (PARTITION BY session, kind, k) FROM v_pose")
+#: Reports arrive in so many deliveries by time; those with k divisible by 7 arrive LATE_BY deliveries later, those with k divisible by 5 once more in the next one.
+DELIVERIES, LATE_BY, LATE_DELAY = 8, 4, 24 * HOUR
+ARRIVALS = f"""SELECT session, seq, t_us, p + CASE WHEN k % 7 = 0 THEN {LATE_BY} ELSE 0 END AS delivery, k % 5 = 0 AS again FROM
+(SELECT v.*, CAST(floor((t_us - a) * 1e0 / (b - a + 1) * {DELIVERIES}) AS BIGINT) AS p FROM v_pose v JOIN (SELECT min(t_us) AS a, max(t_us) AS b FROM v_pose) e ON true) q"""
+
+
+@register("stream_late_data", f"""WITH r AS ({ARRIVALS}), c AS (SELECT delivery, max(max(t_us)) OVER (ORDER BY delivery) // 1000 * 1000 - {LATE_DELAY} AS mark FROM r GROUP BY delivery)
+SELECT session, seq FROM r LEFT JOIN c ON c.delivery = r.delivery - 2 WHERE c.mark IS NULL OR r.t_us > c.mark + 999""")
 def stream_late_data(spark, sf_dir):
-    """Repeated reports are dropped within the watermark: the first of each session, kind and k stays."""
-    rows = stream_view(spark, sf_dir, "v_pose").withColumn("event_t", F.timestamp_micros("t_us")).withWatermark("event_t", "60 days")
-    first = rows.groupBy("session", "kind", "k").agg(F.min("seq").alias("seq"))
-    return jobs.run_to_end(first.select("session", "seq"), "late", "complete").distinct()
+    """Each delivery is a trigger: rows behind the watermark are dropped, repeated ones too. Spark drops by the watermark of the trigger before."""
+    path = fresh_path(spark, "deliveries")
+    rows = spark.sql(ARRIVALS.replace("v_pose", "{v}"), v=view(spark, sf_dir, "v_pose")).persist()
+    for d in range(DELIVERIES + LATE_BY):
+        both = rows.filter(A("delivery") == d).unionByName(rows.filter((A("delivery") == d - 1) & A("again")))
+        both.select("session", "seq", "t_us").coalesce(1).write.mode("append").parquet(path)
+    rows.unpersist()
+    stream = spark.readStream.schema("session long, seq long, t_us long").option("maxFilesPerTrigger", 1).parquet(path)
+    return jobs.run_to_end(jobs.first_reports(stream, ["session", "seq"], f"{LATE_DELAY // 1_000_000} seconds"), "late").select("session", "seq")
 
 
 # ---- files that Spark derives from the tables, read back by the readers

@@ -1,5 +1,5 @@
 """Structured Streaming versions of the table operators. Sources are rolled files; state is kept by session, target or device. Each stateful
-job sorts a micro-batch by event time within its key, drops what is older than its state, and bounds what it keeps."""
+job takes rows by event time, drops what is behind the watermark or its state, and lets go of state that the watermark has passed."""
 
 from __future__ import annotations
 
@@ -8,13 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import geo
 from ..operators import fleet
 from ..shared import fresh_path
 from ..sources.sidecars import read_sidecar
 
-MOST_PENDING = 100_000
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_sidecar(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -22,6 +23,11 @@ def stream_sidecar(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return read_sidecar(spark, path, kind, streaming=True)
 
 
+def timed(rows: DataFrame, delay: str) -> DataFrame:
+    """The event time from t_us, with its watermark."""
+    return rows.withColumn("event_t", F.timestamp_micros("t_us")).withWatermark("event_t", delay)
+
+
 def stream_table(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table, one file or a folder, as a stream. Written as a pattern, since a plain path would have to be a folder."""
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
@@ -51,9 +57,8 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 def stream_health(frames: DataFrame, seconds: int = 1, delay: str = "10 seconds") -> DataFrame:
     """Tumbling frames, rate and peak of each role; late rows beyond the watermark are dropped."""
-    timed = frames.withColumn("event_t", F.timestamp_micros("t_us")).withWatermark("event_t", delay)
     w = F.window("event_t", f"{seconds} seconds")
-    return timed.groupBy("kind", w.alias("w")).agg(F.count("*").alias("frames"), F.max("alt").alias("peak")).select("kind", F.unix_micros("w.start").alias("start_us"), "frames", (F.col("frames") / seconds).alias("fps"), "peak")
+    return timed(frames, delay).groupBy("kind", w.alias("w")).agg(F.count("*").alias("frames"), F.max("alt").alias("peak")).select("kind", F.unix_micros("w.start").alias("start_us"), "frames", (F.col("frames") / seconds).alias("fps"), "peak")
 
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -65,108 +70,128 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 def lock_sessions(hits: DataFrame, gap: str, delay: str = "10 seconds", key: str = "session") -> DataFrame:
     """Episodes of associations that no gap longer than ``gap`` parts."""
-    timed = hits.withColumn("event_t", F.timestamp_micros("t_us")).withWatermark("event_t", delay)
     w = F.session_window("event_t", gap)
-    return timed.groupBy(key, w.alias("w")).agg(F.count("*").alias("hits"), F.max("t_us").alias("last_us")).select(key, F.unix_micros("w.start").alias("start_us"), "last_us", "hits")
-
-
-def bracket(rows: DataFrame, key: str, values: list[str]) -> DataFrame:
-    """As-of join within one stream. rows: key, id, t_us, is_query and values. A query comes out when the first later sample of its key arrives,
-    with the samples around it (p_t, p_*, n_t, n_*). Kept for each key: its newest sample and the queries after it; of more than MOST_PENDING
-    queries the oldest come out at once, with the newest sample before them and null for n_t and n_*. None is dropped."""
-    doubles = ", ".join(f"{side}_{v} double" for side in "pn" for v in values)
-    schema = f"{key} long, id long, t_us long, p_t long, n_t long, {doubles}"
-    names = [key, "id", "t_us", "p_t", "n_t", *[f"{side}_{v}" for side in "pn" for v in values]]
-
-    def step(group, batches, state: GroupState):
-        last_t, last, times, ids = state.get if state.exists else (None, None, [], [])
-        new = pd.concat(list(batches)).sort_values(["t_us", "is_query", "id"])
-        new = new if last_t is None else new[new["t_us"] >= last_t]  # older than the state: late
-        samples = new[~new["is_query"].astype(bool)].drop_duplicates("t_us")
-        samples = samples if last_t is None else samples[samples["t_us"] != last_t]
-        asked = new[new["is_query"].astype(bool)]
-        times, ids = np.array([*times, *asked["t_us"]], np.int64), np.array([*ids, *asked["id"]], np.int64)
-        at, held = samples["t_us"].to_numpy(np.int64), samples[values].to_numpy(np.float64).reshape(-1, len(values))
-        if last_t is not None:
-            at, held = np.append(last_t, at), np.vstack([last, held])
-        later = np.searchsorted(at, times, "right")
-        waiting = np.flatnonzero(later == len(at))
-        over, waiting = np.split(waiting, [max(0, len(waiting) - MOST_PENDING)])  # ascending times: the oldest go without a later sample
-        out = np.sort(np.concatenate([np.flatnonzero(later < len(at)), over]))
-        frame = pd.DataFrame({key: group[0], "id": ids[out], "t_us": times[out]})
-        for side, place in (("p", later[out] - 1), ("n", later[out])):
+    return timed(hits, delay).groupBy(key, w.alias("w")).agg(F.count("*").alias("hits"), F.max("t_us").alias("last_us")).select(key, F.unix_micros("w.start").alias("start_us"), "last_us", "hits")
+
+
+class Bracket(StatefulProcessor):
+    """Rows of a key's time bucket wait until the watermark is ``hold_us`` past the queries; the whole bucket is forgotten after its last query's turn."""
+
+    def __init__(self, values: list[str], reach_us: int, hold_us: int, bucket_us: int) -> None:
+        self.values, self.reach_us, self.hold_us, self.bucket_us = values, reach_us, hold_us, bucket_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "id long, t_us long, is_query boolean, " + ", ".join(f"{v} double" for v in self.values))
+
+    def wake(self, times: list[int]) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(-(-min(times) // 1000))
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [r for batch in rows for r in batch[["id", "t_us", "is_query", *self.values]].itertuples(index=False, name=None)]
+        self.rows.appendList(new)
+        self.wake([*(t * 1000 for t in self.handle.listTimers()), *(r[1] + self.hold_us for r in new if r[2]), (int(key[1]) + 1) * self.bucket_us + self.hold_us])
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark, end = timerValues.getCurrentWatermarkInMs() * 1000, (int(key[1]) + 1) * self.bucket_us + self.hold_us
+        held = pd.DataFrame([tuple(r) for r in self.rows.get()] if self.rows.exists() else [], columns=["id", "t_us", "is_query", *self.values])
+        asked = held["is_query"].astype(bool)
+        ready = held[asked & (held["t_us"] + self.hold_us <= mark)].sort_values(["t_us", "id"])
+        waiting = held[asked & (held["t_us"] + self.hold_us > mark)]
+        samples = held[~asked].sort_values(["t_us", "id"], kind="stable").drop_duplicates("t_us")
+        yield self.answered(int(key[0]), ready, samples)
+        if mark >= end:
+            self.rows.clear()
+        else:
+            self.rows.put([*waiting.itertuples(index=False, name=None), *samples.itertuples(index=False, name=None)])
+            self.wake([*(waiting["t_us"] + self.hold_us).tolist(), end])
+
+    def answered(self, key: int, asked: pd.DataFrame, samples: pd.DataFrame) -> pd.DataFrame:
+        at, t = samples["t_us"].to_numpy(np.int64), asked["t_us"].to_numpy(np.int64)
+        later = np.searchsorted(at, t, "right")
+        out = pd.DataFrame({"owner": np.full(len(t), key), "id": asked["id"].to_numpy(np.int64), "t_us": t})
+        for side, place, most in (("p", later - 1, self.reach_us), ("n", later, self.hold_us)):
             ok = (place >= 0) & (place < len(at))
-            frame[f"{side}_t"] = pd.Series(np.where(ok, at[np.where(ok, place, 0)] if len(at) else 0, 0), dtype="Int64").where(ok)
-            for j, v in enumerate(values):
-                frame[f"{side}_{v}"] = np.where(ok, held[np.where(ok, place, 0), j] if len(at) else np.nan, np.nan)
-        state.update((int(at[-1]) if len(at) else None, held[-1].tolist() if len(at) else None, times[waiting].tolist(), ids[waiting].tolist()))
-        yield frame[names]
+            times = at[np.where(ok, place, 0)] if len(at) else t
+            ok &= np.abs(times - t) <= most
+            out[f"{side}_t"] = pd.Series(times, dtype="Int64").where(ok)
+            for v in self.values:
+                out[f"{side}_{v}"] = np.where(ok, samples[v].to_numpy(float)[np.where(ok, place, 0)] if len(at) else np.nan, np.nan)
+        return out[["owner", "id", "t_us", "p_t", "n_t", *[f"{side}_{v}" for side in "pn" for v in self.values]]]
 
-    return rows.groupBy(key).applyInPandasWithState(step, schema, "last_t long, last array<double>, times array<long>, ids array<long>", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
 
 
-def stream_pose(rows: DataFrame, key: str = "session") -> DataFrame:
-    """Frames with the pose between the mount samples around them; before the first sample its pose holds."""
-    j = bracket(rows, key, ["az", "alt"])
+def bracket(rows: DataFrame, key: str, values: list[str], reach_us: int, hold_us: int, bucket_us: int, delay: str = "10 seconds") -> DataFrame:
+    """As-of join within one stream. rows: key, id, t_us, is_query and values. A query comes out when the watermark is ``hold_us`` past it, with the samples
+    around it (p_t, p_*, n_t, n_*): the newest one at or before it, at most ``reach_us`` old, and the first one after it, at most ``hold_us`` later; null where there is none.
+    State is kept by key and time bucket, so a busy key is dealt out and nothing stays longer than its bucket; a sample goes to every bucket whose queries it can answer."""
+    doubles = ", ".join(f"{side}_{v} double" for side in "pn" for v in values)
+    schema = f"owner long, id long, t_us long, p_t long, n_t long, {doubles}"
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    place = lambda t: F.floor(t / bucket_us)
+    t = F.col("t_us")
+    buckets = F.when(F.col("is_query"), F.array(place(t))).otherwise(F.sequence(place(t - hold_us), place(t + reach_us)))
+    dealt = timed(rows.withColumnRenamed(key, "owner"), delay).withColumn("bucket", F.explode(buckets))
+    out = dealt.groupBy("owner", "bucket").transformWithStateInPandas(Bracket(values, reach_us, hold_us, bucket_us), schema, "append", "EventTime")
+    return out.withColumnRenamed("owner", key)
+
+
+def stream_pose(rows: DataFrame, key: str = "session", **limits) -> DataFrame:
+    """Frames with the pose between the mount samples around them; where there is only one of the two, its pose holds. ``limits`` are those of ``bracket``."""
+    j = bracket(rows, key, ["az", "alt"], **limits)
     part = (F.col("t_us") - F.col("p_t")) / (F.col("n_t") - F.col("p_t"))
     value = lambda a: F.when(F.col("p_t").isNull(), F.col(f"n_{a}")).when(F.col("n_t").isNull(), F.col(f"p_{a}")).otherwise(F.col(f"p_{a}") + geo.wrap_pi(F.col(f"n_{a}") - F.col(f"p_{a}")) * part)
     return j.select(key, F.col("id").alias("seq"), value("az").alias("az"), value("alt").alias("alt"))
 
 
-def stream_dirs(rows: DataFrame, key: str) -> DataFrame:
-    """Directions between almanac fixes."""
-    j = bracket(rows, key, ["x", "y", "z"])
+def stream_dirs(rows: DataFrame, key: str, **limits) -> DataFrame:
+    """Directions between almanac fixes, or of the only one. ``limits`` are those of ``bracket``."""
+    j = bracket(rows, key, ["x", "y", "z"], **limits)
     part = F.when(F.col("p_t").isNull(), 1.0).when(F.col("n_t").isNull(), 0.0).otherwise((F.col("t_us") - F.col("p_t")) / (F.col("n_t") - F.col("p_t")))
     d = geo.normalize(tuple(geo.lerp(F.coalesce(f"p_{a}", f"n_{a}"), F.coalesce(f"n_{a}", f"p_{a}"), part) for a in "xyz"), 1e-9)
     return j.select(key, "id", "t_us", *[c.alias(a) for c, a in zip(d, "xyz")])
 
 
-def stream_kinematics(fixes: DataFrame, key: str = "url") -> DataFrame:
-    """Velocity and acceleration of each position report (x, y, z); the state is the fix before and its velocity."""
-    schema = f"{key} long, seq long, " + ", ".join(f"{p}{a} double" for p in "va" for a in "xyz")
-
-    def step(group, batches, state: GroupState):
-        t, place, speed = state.get if state.exists else (None, None, None)
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["t_us", "seq"]).itertuples(index=False):
-            if t is not None and r.t_us <= t:
-                continue
-            now = [float(r.x), float(r.y), float(r.z)]
-            dt = None if t is None else (r.t_us - t) / 1e6
-            v = None if dt is None else [(b - a) / dt for a, b in zip(place, now)]
-            a = None if v is None or speed is None else [(y - x) / dt for x, y in zip(speed, v)]
-            out.append((group[0], int(r.seq), *(v or [None] * 3), *(a or [None] * 3)))
-            t, place, speed = int(r.t_us), now, v
-        state.update((t, place, speed))
-        yield pd.DataFrame(out, columns=[key, "seq", "vx", "vy", "vz", "ax", "ay", "az"])
-
-    return fixes.groupBy(key).applyInPandasWithState(step, schema, "t long, place array<double>, speed array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_status(assoc: DataFrame, lock_min_us: int, lost_us: int, key: str = "session") -> DataFrame:
-    """Lock status of each frame, as the batch operator gives it; the state is the last hit and the first one since a miss."""
-    schema = f"{key} long, seq long, good_t long, settled boolean, status string"
+def stream_kinematics(fixes: DataFrame, key: str = "url", delay: str = "10 seconds", idle_ms: int = 3_600_000) -> DataFrame:
+    """Velocity and acceleration of each position report (x, y, z); the state is the fix before and its velocity. A report that is not newer than its target's
+    last is left out. A target's state goes when the watermark is ``idle_ms`` past its last report."""
+    names = [key, "seq", *[f"{p}{a}" for p in "va" for a in "xyz"]]
+    schema = f"{key} long, seq long, " + ", ".join(f"{n} double" for n in names[2:])
 
     def step(group, batches, state: GroupState):
-        t, good, since = state.get if state.exists else (None, None, None)
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["t_us", "seq"]).itertuples(index=False):
-            if t is not None and r.t_us < t:
-                continue
-            t = int(r.t_us)
-            if r.miss:
-                since = None
-            if r.hit:
-                good, since = t, t if since is None else since
-            settled = good is not None and since is not None and good - since >= lock_min_us
-            status = "none" if good is None else ("coast" if settled else "lost") if t - good > lost_us else "track"
-            out.append((group[0], int(r.seq), good, settled, status))
-        state.update((t, good, since))
-        frame = pd.DataFrame(out, columns=[key, "seq", "good_t", "settled", "status"])
-        frame["good_t"] = frame["good_t"].astype("Int64")
+        if state.hasTimedOut:
+            state.remove()
+            return
+        t0, place, speed = state.get if state.exists else (None, None, None)
+        new = pd.concat(list(batches)).sort_values(["t_us", "seq"]).drop_duplicates("t_us")
+        new = new if t0 is None else new[new["t_us"] > t0]
+        if not len(new):
+            return
+        nan = [np.nan] * 3
+        t = new["t_us"].to_numpy(np.int64)
+        x = np.vstack([place or nan, new[["x", "y", "z"]].to_numpy(float)])
+        dt = np.append(np.nan if t0 is None else t[0] - t0, np.diff(t))[:, None] / 1e6
+        v = np.diff(x, axis=0) / dt
+        a = np.diff(np.vstack([speed or nan, v]), axis=0) / dt
+        frame = pd.DataFrame(np.hstack([v, a]), columns=names[2:])
+        frame.insert(0, "seq", new["seq"].to_numpy(np.int64))
+        frame.insert(0, key, group[0])
+        last = int(new["t_us"].iloc[-1])
+        state.update((last, x[-1].tolist(), None if np.isnan(v[-1]).any() else v[-1].tolist()))
+        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + idle_ms)
         yield frame
 
-    return assoc.groupBy(key).applyInPandasWithState(step, schema, "t long, good long, since long", "append", GroupStateTimeout.NoTimeout)
+    return timed(fixes, delay).groupBy(key).applyInPandasWithState(step, schema, "t long, place array<double>, speed array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def first_reports(rows: DataFrame, keys: list[str], delay: str) -> DataFrame:
+    """Reports that are not late, each once: what is behind the watermark is dropped, and so is a repeated key while the watermark has not passed the first one by ``delay``."""
+    return timed(rows, delay).dropDuplicatesWithinWatermark(keys).drop("event_t")
 
 
 def health_of(frames: DataFrame, seconds: int) -> DataFrame:

@@ -8,6 +8,14 @@ import pytest
 from skyloom.streaming import jobs, track
 
 
+S = 1_000_000
+
+
+def at(t):
+    """Microseconds; the epoch itself is behind any watermark."""
+    return int((1000 + t) * S)
+
+
 def fed(spark, batches, schema):
     """A stream that reads each batch as a trigger of its own."""
     at = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/in"
@@ -16,26 +24,52 @@ def fed(spark, batches, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(at)
 
 
-def test_queries_beyond_the_bound_come_out(spark, monkeypatch):
-    """Queries that wait for a later sample: answered when it comes, the oldest at once when more wait than are kept, none dropped."""
-    monkeypatch.setattr(jobs, "MOST_PENDING", 3)
+def asked(spark, batches):
+    """Answers of the as-of join: before and after each query, by id."""
     schema = "session long, id long, t_us long, is_query boolean, az double, alt double"
-    sample, query = (lambda t, v: (1, 0, t, False, float(v), 0.0)), (lambda t, i: (1, i, t, True, None, None))
-    batches = [[sample(0, 10), *(query(10 + i, i) for i in range(5))], [query(20, 5)], [sample(40, 20), query(50, 6)], [sample(5, 99), sample(60, 30)]]
-    got = {r.id: (r.p_az, r.n_az) for r in jobs.run_to_end(jobs.bracket(fed(spark, batches, schema), "session", ["az", "alt"]), "bracket").collect()}
-    answered = {i: v for i, v in got.items() if v[1] is not None}
-    assert set(got) == set(range(7)) and all(v[0] == 10 for i, v in got.items() if i < 6)
-    assert answered == {**{i: (10, 20) for i in (3, 4, 5)}, 6: (20, 30)}
+    rows = [[(1, i, at(t), v is None, v, 0.0) for t, i, v in b] for b in batches]
+    out = jobs.run_to_end(jobs.bracket(fed(spark, rows, schema), "session", ["az", "alt"], 40 * S, 20 * S, 10 * S, "5 seconds"), "bracket").collect()
+    assert len({r.id for r in out}) == len(out)
+    return {r.id: (r.p_az, r.n_az) for r in out}
 
 
-S = 1_000_000
-TRACKED = "session long, " + track.ROW
-OPTICS = track.Optics(100.0, 100.0, 1e-3)
+def test_queries_come_out_by_the_watermark(spark):
+    """A query waits for a later sample no longer than the hold; then it comes out with what there is, also after the last sample of its session."""
+    batches = [[(0, 0, 10.0), *((10 + i, 1 + i, None) for i in range(5))], [(20, 7, None)], [(30, 0, 20.0), (45, 8, None)], [(90, 0, 30.0), (60, 9, None)], [(120, 10, None)]]
+    want = {**{1 + i: (10, 20) for i in range(5)}, 7: (10, 20), 8: (20, None), 9: (20, None)}
+    assert asked(spark, batches) == want  # 90 is more than 20 after 45 and 60; the query at 120 still waits
+    assert asked(spark, [[r for b in batches[:4] for r in b], batches[4]]) == want
 
 
-def at(t):
-    """Microseconds; the epoch itself is behind any watermark."""
-    return int((1000 + t) * S)
+def test_samples_too_old_are_not_used(spark):
+    assert asked(spark, [[(0, 0, 1.0), (35, 1, None), (45, 2, None), (46, 0, 2.0), (47, 3, None)], [(200, 4, None)]]) == {1: (1, 2), 2: (None, 2), 3: (2, None)}
+
+
+def test_late_and_repeated_reports_are_dropped_and_counted(spark):
+    """Three triggers: the third brings a repeated report, a late one, and a new one; Spark drops by the watermark of the trigger before."""
+    schema = "session long, seq long, t_us long"
+    batches = [[(1, 1, at(0)), (1, 2, at(100))], [(1, 3, at(200))], [(1, 3, at(200)), (1, 4, at(50)), (1, 5, at(195))]]
+    query = jobs.first_reports(fed(spark, batches, schema), ["session", "seq"], "10 seconds").writeStream.format("memory").queryName("reports").option("checkpointLocation", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r.seq for r in spark.table("reports").collect()) == [1, 2, 3, 5]
+    held = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+    assert sum(p["numRowsDroppedByWatermark"] for p in held) == 1
+    assert sum(p["customMetrics"].get("numDroppedDuplicateRows", 0) for p in held) == 1
+    assert held[-1]["numRowsTotal"] <= 2  # reports that the watermark has passed are forgotten
+
+
+def test_kinematics_of_a_target_that_reports_in_several_triggers(spark):
+    """The same as in one trigger; a report that is not newer is left out; a target that falls silent is forgotten."""
+    schema = "url long, seq long, t_us long, x double, y double, z double"
+    rows = [(1, i, at(i * i), i**2 * 1.0, 2.0 * i, 5.0) for i in range(1, 8)]
+    ahead = [(2, 99, at(9000), 0.0, 0.0, 0.0)]
+    out = [sorted((r.seq, r.vx, r.vy, r.ax) for r in jobs.run_to_end(jobs.stream_kinematics(fed(spark, b, schema), idle_ms=60_000), "kin").collect()) for b in ([rows, ahead], [rows[:3], [*rows[3:5], (1, 50, rows[2][2], 9.0, 9.0, 9.0)], rows[5:], ahead])]
+    assert str(out[0]) == str(out[1]) and len(out[0]) == 8
+    assert [x[1] for x in out[0]][1:7] == pytest.approx([1.0] * 6)
+
+
+TRACKED = "session long, " + track.ROW
+OPTICS = track.Optics(100.0, 100.0, 1e-3)
 
 
 def mount(t, az=0.0, session=1):
