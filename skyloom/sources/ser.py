@@ -1,4 +1,4 @@
-"""The SER capture format as a data source: one row a frame, one partition a range of frames, positioned reads.
+"""The SER capture format as a data source: one row a frame, tasks take ranges of frames, positioned reads.
 
 Header of 178 bytes, frames, then optionally one 64-bit tick count (100 ns since 0001-01-01) a frame. A frame count of
 0x7FFFFFFF or less than one means that recording goes on: then complete frames on disk count.
@@ -11,6 +11,8 @@ import os
 import struct
 import uuid
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -56,22 +58,27 @@ class Reader(DataSourceReader):
         return [Range(h, i, min(h["frames"], i + FRAMES_A_PARTITION)) for h in headers for i in range(0, h["frames"], FRAMES_A_PARTITION)] or [Range({}, 0, 0)]
 
     def read(self, part: Range):
-        h, n = part.header, part.end - part.first
-        if not n:
-            return
-        with open(h["file"], "rb") as f:
-            ticks = [None] * n
-            if h["trailer"]:
-                f.seek(HEADER.size + h["frames"] * h["bytes_per_frame"] + 8 * part.first)
-                ticks = struct.unpack(f"<{n}q", f.read(8 * n))
-            f.seek(HEADER.size + part.first * h["bytes_per_frame"])
-            for i, t in enumerate(ticks):
-                body = f.read(h["bytes_per_frame"])
-                if h["depth"] > 8 and not h["little_endian"]:
-                    swapped = bytearray(body)
-                    swapped[0::2], swapped[1::2] = body[1::2], body[0::2]
-                    body = bytes(swapped)
-                yield (h["file"], part.first + i, h["width"], h["height"], h["channels"], h["depth"], h["color_id"], None if t is None else t // 10 - EPOCH_US, body)
+        yield from frames_of(part.header, part.first, part.end)
+
+
+def frames_of(h: dict, first: int, end: int):
+    """Rows of SCHEMA for some frames of a file, by positioned reads."""
+    n = end - first
+    if n <= 0:
+        return
+    with open(h["file"], "rb") as f:
+        ticks = [None] * n
+        if h["trailer"]:
+            f.seek(HEADER.size + h["frames"] * h["bytes_per_frame"] + 8 * first)
+            ticks = struct.unpack(f"<{n}q", f.read(8 * n))
+        f.seek(HEADER.size + first * h["bytes_per_frame"])
+        for i, t in enumerate(ticks):
+            body = f.read(h["bytes_per_frame"])
+            if h["depth"] > 8 and not h["little_endian"]:
+                swapped = bytearray(body)
+                swapped[0::2], swapped[1::2] = body[1::2], body[0::2]
+                body = bytes(swapped)
+            yield (h["file"], first + i, h["width"], h["height"], h["channels"], h["depth"], h["color_id"], None if t is None else t // 10 - EPOCH_US, body)
 
 
 class Done(WriterCommitMessage):
@@ -138,16 +145,43 @@ class Ser(DataSource):
         return Writer(self.options)
 
 
-def read_ser(spark: SparkSession, path: str) -> DataFrame:
-    spark.dataSource.register(Ser)
-    return spark.read.format("ser").load(path)
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """The SER files below a folder, or a file or pattern, one row a file, by Spark's own listing (contents are not read)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = files.option("pathGlobFilter", "*.ser") if os.path.isdir(local(path)) else files
+    return files.load(path).select(F.regexp_replace("path", "^file:(//)?", "").alias("file"))
+
+
+HEADERS = "file string, color_id int, little_endian boolean, width int, height int, depth int, channels int, bytes_per_frame long, frames long, recording boolean, trailer boolean"
 
 
 def ser_segments(spark: SparkSession, path: str) -> DataFrame:
-    """One row a file: the header's fields and its frames."""
-    schema = "file string, color_id int, little_endian boolean, width int, height int, depth int, channels int, bytes_per_frame long, frames long, recording boolean, trailer boolean"
-    files = spark.createDataFrame([(f,) for f in files_of(path)], "file string")
-    return files.mapInPandas(lambda it: (__import__("pandas").DataFrame([read_header(f) for f in p["file"]]) for p in it), schema)
+    """One row a file: the header's fields and its frames. Headers are read by tasks."""
+
+    def read(parts):
+        for p in parts:
+            yield pd.DataFrame([read_header(f) for f in p["file"]], columns=[c.split()[0] for c in HEADERS.split(", ")])
+
+    return listed(spark, path).repartition("file").mapInPandas(read, HEADERS)
+
+
+def read_ser(spark: SparkSession, path: str, halo: bool = False) -> DataFrame:
+    """One row a frame; a range of FRAMES_A_PARTITION frames is the unit that is dealt to tasks. With ``halo``, each range but a file's first begins with the frame
+    before it, marked in the column ``halo``: tasks that compare neighbours then need no others."""
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames") - 1, F.lit(FRAMES_A_PARTITION).cast("long")))
+    ranges = ser_segments(spark, path).filter("frames > 0").withColumn("first", first).repartition("file", "first").sortWithinPartitions("file", "first")
+    schema = SCHEMA + (", halo boolean" if halo else "")
+    kinds = pa.schema([("file", pa.string()), ("index", pa.int64()), *[(n, pa.int32()) for n in ("width", "height", "channels", "depth", "color_id")], ("t_us", pa.int64()), ("pixels", pa.binary()), *([("halo", pa.bool_())] if halo else [])])
+
+    def read(batches):
+        for batch in batches:
+            for h in batch.to_pylist():
+                begin = max(0, h["first"] - 1) if halo else h["first"]
+                for row in frames_of(h, begin, min(h["frames"], h["first"] + FRAMES_A_PARTITION)):
+                    row += (row[1] < h["first"],) if halo else ()
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k.type) for v, k in zip(row, kinds)], schema=kinds)
+
+    return ranges.mapInArrow(read, schema)
 
 
 def write_ser(frames: DataFrame, path: str) -> None:
