@@ -6,16 +6,21 @@ batches of hypotheses within tasks.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..shared import fresh_path
 
 MODEL = ["o0", "o1", "roll", "pitch", "nonperp", "coll", "refraction"]
+#: Models that are fitted together, so that their arrays stay in the cache.
+TOGETHER = 512
 TOP_K, MAX_LOSS, RATE, ADAGRAD_STEPS = 50, math.radians(3), 0.01, 1000
 
 
@@ -34,20 +39,62 @@ def seeded_normal(seed: int, *keys) -> Column:
     return F.sqrt(-2 * F.log(seeded_uniform(seed, *keys))) * F.cos(2 * math.pi * seeded_uniform(seed + 1, *keys))
 
 
-def losses(obs_dirs: DataFrame, targets: DataFrame, keys: list[str], most: float | None = None) -> DataFrame:
-    """Every observation direction (ox, oy, oz) with every target of its set, and the loss; ``most`` cuts before anything is ranked."""
-    j = obs_dirs.join(targets, keys).withColumn("loss", loss(geo.v3("o"), geo.v3()))
-    return j if most is None else j.filter(F.col("loss") <= most)
+#: Levels of the cells that directions are put into: 2**level cells along each axis of the cube about the sphere; level 0 is the whole of it.
+LEVELS = 14
+
+
+def cell(places: list[Column], level: Column) -> Column:
+    """The number of a cell from its places along the axes."""
+    return F.when(level == 0, F.lit(0).cast("long")).otherwise(((places[0] + 2) * (1 << 20) + places[1] + 2) * (1 << 20) + places[2] + 2)
+
+
+def places_of(v: geo.V3, level: Column) -> list[Column]:
+    return [F.floor((x + 1.0) * F.pow(F.lit(2.0), level - 1)) for x in v]
+
+
+def spread(rows: DataFrame, v: geo.V3, reach: Column, steps: int) -> DataFrame:
+    """Each row (with its ``level``) once for every cell within ``steps`` of its own that comes as near as ``reach`` to the direction, as ``cell``."""
+    n, level = 2 * steps + 1, F.col("level")
+    shifts = [F.floor(F.col("shift") / n ** (2 - i)) % n - steps for i in range(3)]
+    side = F.pow(F.lit(2.0), 1 - level)
+    gap = [F.when(s > 0, (p + s) * side - (x + 1.0)).when(s < 0, (x + 1.0) - (p + s + 1) * side).otherwise(0.0) for s, p, x in zip(shifts, places_of(v, level), v)]
+    near = F.when(level == 0, F.col("shift") == n**3 // 2).otherwise(sum((g * g for g in gap[1:]), gap[0] * gap[0]) <= (reach + 1e-9) * (reach + 1e-9))
+    moved = rows.withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(n**3 - 1)))).filter(near)
+    return moved.withColumn("cell", cell([p + s for p, s in zip(places_of(v, level), shifts)], level)).drop("shift")
+
+
+def within(obs_dirs: DataFrame, targets: DataFrame, keys: list[str], most: float) -> DataFrame:
+    """Observation directions (ox, oy, oz) with the targets of their set whose loss is at most ``most``: an equi-join on cells as wide as ``most``."""
+    level = F.lit(max(0, min(LEVELS, math.floor(math.log2(2 / (most * 1.001))))))  # a cell's side, 2 ** (1 - level), is more than ``most``
+    t = targets.withColumn("cell", cell(places_of(geo.v3(), level), level))
+    o = spread(obs_dirs.withColumn("level", level), geo.v3("o"), F.lit(most), 1)
+    return o.join(t, [*keys, "cell"]).drop("cell", "level").withColumn("loss", loss(geo.v3("o"), geo.v3())).filter(F.col("loss") <= most)
+
+
+def candidates(obs_dirs: DataFrame, targets: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """Observation directions with the targets among which their k nearest are, and the loss. For each direction cells grow until its own holds k targets of its set:
+    then the k-th lies no farther than the cell's diagonal, and the cells within that reach hold all that are as near. Cells stop at the smallest that
+    hold k targets, so pairs grow with the rows and not with the square of a set. Sets of fewer than k targets are taken whole."""
+    each = lambda rows, v: rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).withColumn("cell", cell(places_of(v, F.col("level")), F.col("level")))
+    held = each(targets, geo.v3())
+    full = held.groupBy(*keys, "level", "cell").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select(*keys, "level", "cell")
+    directions = [c for c in obs_dirs.columns]
+    finest = each(obs_dirs, geo.v3("o")).join(full, [*keys, "level", "cell"]).groupBy(*directions).agg(F.max("level").alias("level"))
+    known = obs_dirs.join(finest.select(*directions, "level"), directions, "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    reach = F.pow(F.lit(2.0), 1 - F.col("level")) * math.sqrt(3)
+    return spread(known, geo.v3("o"), reach, 2).join(held, [*keys, "level", "cell"]).drop("level", "cell").withColumn("loss", loss(geo.v3("o"), geo.v3()))
 
 
 def nearest_target(obs_dirs: DataFrame, targets: DataFrame, keys: list[str], obs: list[str]) -> DataFrame:
-    best = losses(obs_dirs, targets, keys).groupBy(*keys, *obs).agg(F.min(F.struct("loss", "target")).alias("b"))
+    best = candidates(obs_dirs, targets, 1, keys).groupBy(*keys, *obs).agg(F.min(F.struct("loss", "target")).alias("b"))
     return best.select(*keys, *obs, F.col("b.target").alias("target"), F.col("b.loss").alias("loss"))
 
 
 def topk_targets(obs_dirs: DataFrame, targets: DataFrame, k: int, keys: list[str], obs: list[str], most: float | None = None) -> DataFrame:
+    """The k nearest targets, ties to the smaller target; with ``most``, among those whose loss does not exceed it."""
+    pairs = candidates(obs_dirs, targets, k, keys) if most is None else within(obs_dirs, targets, keys, most)
     rank = F.row_number().over(Window.partitionBy(*keys, *obs).orderBy("loss", "target"))
-    return losses(obs_dirs, targets, keys, most).withColumn("rank", rank).filter(F.col("rank") <= k).select(*keys, *obs, "rank", "target", "loss")
+    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select(*keys, *obs, "rank", "target", "loss")
 
 
 def model_loss(matches: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,48 +144,84 @@ def residuals(matches: DataFrame) -> DataFrame:
     return matches.withColumn("error_deg", F.degrees(geo.residual_angle(geo.v3("o"), geo.v3())))
 
 
-def _rotate(axis: int, a: np.ndarray) -> np.ndarray:
-    s, k = np.sin(a), np.cos(a)
-    m = np.zeros(a.shape + (3, 3))
+def _turn(v: np.ndarray, axis: int, angle: np.ndarray, moves: int | None = None, sign: float = 1.0) -> None:
+    """Turn v (component, row, batch, observation) about an axis, in place. Row 0 is the direction and row 1 + m its derivative by parameter m; the angle's own
+    derivative, ``sign`` by parameter ``moves``, adds the axis crossed with the turned direction."""
     i, j = [(1, 2), (2, 0), (0, 1)][axis]
-    m[..., axis, axis] = 1
-    m[..., i, i] = m[..., j, j] = k
-    m[..., i, j], m[..., j, i] = -s, s
-    return m
+    s, c = np.sin(angle), np.cos(angle)
+    v[i], v[j] = c * v[i] - s * v[j], s * v[i] + c * v[j]
+    if moves is not None and v.shape[1] > 1:
+        v[i, 1 + moves] -= sign * v[j, 0]
+        v[j, 1 + moves] += sign * v[i, 0]
+
+
+def pointing(p: np.ndarray, raw: np.ndarray, slopes: bool = True) -> np.ndarray:
+    """Directions of models p (batch, 7) at raw angles (batch, observation, 2) and, after them, their derivatives by the seven parameters: (component, 1 or 8, batch, observation)."""
+    o0, o1, roll, pitch, nonperp, coll, bend = p.T[:, :, None]
+    v = np.zeros((3, 8 if slopes else 1, *raw.shape[:2]))
+    v[0, 0], v[1, 0] = np.cos(coll), np.sin(coll)
+    if slopes:
+        v[0, 6], v[1, 6] = -np.sin(coll), np.cos(coll)
+    _turn(v, 1, o1 - raw[..., 1], 1)
+    _turn(v, 0, nonperp, 4)
+    _turn(v, 2, raw[..., 0] - o0, 0, -1.0)
+    _turn(v, 0, roll, 2)
+    _turn(v, 1, pitch, 3)
+    flat = np.maximum(np.hypot(v[0, 0], v[1, 0]), 1e-12)
+    alt = np.degrees(np.arctan2(v[2, 0], flat))
+    bent = (alt > -1) & (alt <= 89.9) & (bend != 0) if not slopes else (alt > -1) & (alt <= 89.9)
+    if not bent.any():
+        return v
+    inner = np.radians(alt + 7.31 / (alt + 4.4))
+    lift = np.where(bent, np.radians(0.016667 / np.tan(inner)), 0.0)
+    slope = np.where(bent, -0.016667 / np.sin(inner) ** 2 * np.radians(1 - 7.31 / (alt + 4.4) ** 2), 0.0)  # of the lift by the altitude
+    low = np.radians(alt) - bend * lift
+    ca, sa, ce, se = v[0, 0] / flat, v[1, 0] / flat, np.cos(low), np.sin(low)
+    if slopes:
+        daz = (v[0, 0] * v[1, 1:] - v[1, 0] * v[0, 1:]) / flat**2
+        dalt = (v[2, 1:] * flat - v[2, 0] * (ca * v[0, 1:] + sa * v[1, 1:])) * (1 - bend * slope)
+        dalt[6] -= lift
+        v[0, 1:], v[1, 1:], v[2, 1:] = -sa * ce * daz - ca * se * dalt, ca * ce * daz - sa * se * dalt, ce * dalt
+    v[0, 0], v[1, 0], v[2, 0] = ca * ce, sa * ce, se
+    return v
 
 
 def point(p: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Directions (batch, observation, 3) of models p (batch, 7) at raw angles (batch, observation, 2)."""
-    v = np.zeros(raw.shape[:2] + (3,))
-    v[..., 0], v[..., 1] = np.cos(p[:, None, 5]), np.sin(p[:, None, 5])
-    turn = lambda m, x: np.einsum("...ij,...j->...i", m, x)
-    v = turn(_rotate(1, -(raw[..., 1] - p[:, None, 1])), v)
-    v = turn(_rotate(0, np.broadcast_to(p[:, None, 4], raw.shape[:2])), v)
-    v = turn(_rotate(2, raw[..., 0] - p[:, None, 0]), v)
-    v = turn(_rotate(0, np.broadcast_to(p[:, None, 2], raw.shape[:2])), v)
-    v = turn(_rotate(1, np.broadcast_to(p[:, None, 3], raw.shape[:2])), v)
-    az, alt = np.arctan2(v[..., 1], v[..., 0]), np.degrees(np.arctan2(v[..., 2], np.hypot(v[..., 0], v[..., 1])))
-    bent = np.where((alt > -1) & (alt <= 89.9), alt - p[:, None, 6] * 0.016667 / np.tan(np.radians(alt + 7.31 / (alt + 4.4))), alt)
-    alt = np.radians(bent)
-    return np.stack([np.cos(az) * np.cos(alt), np.sin(az) * np.cos(alt), np.sin(alt)], -1)
-
-
-def fit(p: np.ndarray, raw: np.ndarray, aim: np.ndarray, steps: int, errors: bool, refraction: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Adagrad on the mean squared loss, parameters freed by the number of observations; central differences over at most seven parameters."""
-    n = raw.shape[1]
-    free = [0, 1] + ([2, 3] if n >= 2 else []) + ([4, 5] if n >= 3 and errors else []) + ([6] if n >= 4 and refraction else [])
-    value = lambda q: (((point(q, raw) - aim) ** 2).sum(-1) + 1e-6).mean(-1)
-    p, seen, h = p.copy(), np.zeros_like(p), 1e-6
-    for _ in range(steps):
-        g = np.zeros_like(p)
-        for k in free:
-            up, down = p.copy(), p.copy()
-            up[:, k] += h
-            down[:, k] -= h
-            g[:, k] = (value(up) - value(down)) / (2 * h)
-        seen += g * g
-        p -= RATE * g / (np.sqrt(seen) + 1e-10)
-    return p, value(p)
+    """Directions (batch, observation, 3)."""
+    return np.moveaxis(pointing(p, raw, slopes=False)[:, 0], 0, -1)
+
+
+def freed(n: int, errors: bool, refraction: bool) -> list[int]:
+    """Parameters that n observations can tell: offsets always, tilt from two, errors of the mount from three, refraction from four."""
+    return [0, 1] + ([2, 3] if n >= 2 else []) + ([4, 5] if n >= 3 and errors else []) + ([6] if n >= 4 and refraction else [])
+
+
+def gradient(p: np.ndarray, raw: np.ndarray, aim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The mean squared loss of each model and its derivatives by the seven parameters."""
+    v = pointing(p, raw)
+    off = v[:, 0] - np.moveaxis(aim, -1, 0)
+    return ((off**2).sum(0) + 1e-6).mean(-1), 2 * np.einsum("cbn,cmbn->bm", off, v[:, 1:]) / raw.shape[1]
+
+
+def fit(p: np.ndarray, raw: np.ndarray, aim: np.ndarray, steps: int = ADAGRAD_STEPS, errors: bool = False, refraction: bool = False, still: float = 1e-13, every: int = 25) -> tuple[np.ndarray, np.ndarray]:
+    """Adagrad on the mean squared loss. A model whose loss fell by less than ``still`` over ``every`` steps is done and takes no further part."""
+    free = freed(raw.shape[1], errors, refraction)
+    out, seen, at = p.astype(float).copy(), np.zeros(p.shape), np.arange(len(p))
+    before = np.full(len(p), np.inf)
+    for step in range(steps):
+        value, g = gradient(out[at], raw[at], aim[at])
+        if step % every == 0 and step:
+            going = before[at] - value > still
+            before[at] = value
+            at, g = at[going], g[going]
+            if not len(at):
+                break
+        elif step == 0:
+            before[at] = value
+        g = g[:, free]
+        seen[np.ix_(at, free)] += g * g
+        out[np.ix_(at, free)] -= RATE * g / (np.sqrt(seen[np.ix_(at, free)]) + 1e-10)
+    return out, ((np.square(point(out, raw) - aim)).sum(-1) + 1e-6).mean(-1)
 
 
 def refine(tuples: DataFrame, steps: int = ADAGRAD_STEPS, errors: bool = False, refraction: bool = False) -> DataFrame:
@@ -147,14 +230,15 @@ def refine(tuples: DataFrame, steps: int = ADAGRAD_STEPS, errors: bool = False,
 
     def run(batches):
         for batch in batches:
-            rows = batch.to_pylist()
-            by_n: dict[int, list] = {}
-            for r in rows:
-                by_n.setdefault(len(r["raw"]), []).append(r)
-            for group in by_n.values():
-                p = np.array([[r[m] for m in MODEL] for r in group], float)
-                q, value = fit(p, np.array([r["raw"] for r in group], float), np.array([r["aim"] for r in group], float), steps, errors, refraction)
-                yield pa.RecordBatch.from_pylist([{"set_id": r["set_id"], "hypothesis": r["hypothesis"], **dict(zip(MODEL, map(float, x))), "targets": r["targets"], "loss": float(v)} for r, x, v in zip(group, q, value)], schema=pa.schema([("set_id", pa.int64()), ("hypothesis", pa.int64()), *((m, pa.float64()) for m in MODEL), ("targets", pa.list_(pa.int64())), ("loss", pa.float64())]))
+            sizes = pc.list_value_length(batch["raw"]).to_numpy()
+            for n in np.unique(sizes):
+                group = batch.filter(pa.array(sizes == n))
+                p = np.stack([group[m].to_numpy() for m in MODEL], 1)
+                flat = lambda c: group[c].flatten().flatten().to_numpy().reshape(len(p), n, -1)
+                raw, aim = flat("raw"), flat("aim")
+                parts = [fit(p[i : i + TOGETHER], raw[i : i + TOGETHER], aim[i : i + TOGETHER], steps, errors, refraction) for i in range(0, len(p), TOGETHER)]
+                q, value = (np.concatenate(x) for x in zip(*parts))
+                yield pa.RecordBatch.from_arrays([group["set_id"], group["hypothesis"], *[pa.array(c) for c in q.T], group["targets"], pa.array(value)], names=["set_id", "hypothesis", *MODEL, "targets", "loss"])
 
     return tuples.select("set_id", "hypothesis", *MODEL, "raw", "aim", "targets").mapInArrow(run, schema)
 
@@ -168,16 +252,50 @@ def with_observations(tuples: DataFrame, models: DataFrame, obs: DataFrame, targ
     return g.select("set_id", "hypothesis", "targets", *MODEL, F.col("held.raw").alias("raw"), F.col("held.aim").alias("aim"))
 
 
-def align(obs: DataFrame, targets: DataFrame, n_obs: int, samples: int = 1, steps: int = 200) -> DataFrame:
+def align(obs: DataFrame, targets: DataFrame, n_obs: int, samples: int = 1, steps: int = ADAGRAD_STEPS, errors: bool = False, refraction: bool = False) -> DataFrame:
     """The best model and assignment of each set of n_obs observations."""
     obs = obs.withColumn("n_obs", F.lit(n_obs))
     models = hypotheses(obs, targets, samples)
-    top = topk_targets(observed(models, obs), targets, TOP_K, ["set_id"], ["hypothesis", "obs_idx"], MAX_LOSS)
+    top = topk_targets(kept(observed(models, obs), "aimed"), targets, TOP_K, ["set_id"], ["hypothesis", "obs_idx"], MAX_LOSS)
     tuples = assignments(top.select("set_id", "hypothesis", "obs_idx", "target"), n_obs, ["set_id", "hypothesis"])
-    return best_models(refine(with_observations(tuples, models, obs, targets), steps))
+    return best_models(refine(with_observations(tuples, models, obs, targets), steps, errors, refraction))
+
+
+def free_models(sets: DataFrame, samples: int, tilt_deg: float = 2.0, seed: int = 7) -> DataFrame:
+    """Models of each set with offsets drawn from the whole circle, and a random tilt."""
+    h = sets.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    any_angle = lambda s: math.pi * (2 * seeded_uniform(seed + s, "set_id", "sample") - 1)
+    h = h.withColumns({"o0": any_angle(0), "o1": any_angle(1), "roll": math.radians(tilt_deg) * (2 * seeded_uniform(seed + 2, "set_id", "sample") - 1), "pitch": math.radians(tilt_deg) * seeded_normal(seed + 3, "set_id", "sample")})
+    zero = F.lit(0.0)
+    return h.select("set_id", F.xxhash64("set_id", "sample").alias("hypothesis"), "o0", "o1", "roll", "pitch", zero.alias("nonperp"), zero.alias("coll"), zero.alias("refraction"))
+
+
+def matched(models: DataFrame, obs: DataFrame, targets: DataFrame) -> DataFrame:
+    """The nearest target of each observation under each model (one tuple a model), and the mean squared loss."""
+    near = nearest_target(kept(observed(models, obs), "aimed"), targets, ["set_id"], ["hypothesis", "obs_idx"])
+    held = near.groupBy("set_id", "hypothesis").agg(F.array_sort(F.collect_list(F.struct("obs_idx", "target"))).alias("held"), F.avg(F.col("loss") * F.col("loss")).alias("loss"))
+    return held.select("set_id", "hypothesis", F.col("held.target").alias("targets"), "loss")
+
+
+def random_align(obs: DataFrame, targets: DataFrame, n_obs: int, batches: int = 1, rounds: int = 1, steps: int = 100, free: int = 0, errors: bool = False, refraction: bool = False, seed: int = 7) -> DataFrame:
+    """The best of many guesses: models that aim an observation at a target (``batches`` of each, with random tilt) or, with ``free``, so many models a set with offsets
+    from the whole circle. In each of ``rounds``, every observation takes its nearest target and the model is fitted to them; a last match then gives its targets and
+    loss. Rounds are written to the shared folder. ``errors`` and ``refraction`` free these parameters in fits."""
+    obs = obs.withColumn("n_obs", F.lit(n_obs))
+    models = free_models(obs.select("set_id").distinct(), free, seed=seed) if free else hypotheses(obs, targets, batches, seed=seed)
+    for _ in range(rounds):
+        tuples = matched(models, obs, targets).drop("loss")
+        models = kept(refine(with_observations(tuples, models, obs, targets), steps, errors, refraction).drop("targets", "loss"), "models")
+    return best_models(models.join(matched(models, obs, targets), ["set_id", "hypothesis"]))
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def beam_align(obs: DataFrame, targets: DataFrame, n_obs: int, width: int = TOP_K, steps: int = 100) -> DataFrame:
+def beam_align(obs: DataFrame, targets: DataFrame, n_obs: int, width: int = TOP_K, steps: int = 100, errors: bool = False, refraction: bool = False) -> DataFrame:
     """Beam search: pairs of targets for the first two observations, then one observation a step, each keeping the width best tuples of a set. Offsets start at the circular mean of those that the two observations imply."""
     zero = [F.lit(0.0).alias(m) for m in MODEL[2:]]
     raw = geo.mount_raw(geo.v3(), 0.0, 0.0, 0.0, 0.0)
@@ -190,7 +308,7 @@ def beam_align(obs: DataFrame, targets: DataFrame, n_obs: int, width: int = TOP_
         if i > 2:
             state = state.join(targets.select("set_id", "target"), "set_id").withColumn("targets", F.concat("targets", F.array("target")))
         state = state.withColumn("hypothesis", F.xxhash64("set_id", "targets")).select("set_id", "hypothesis", "targets", *MODEL)
-        fitted = refine(with_observations(state.select("set_id", "hypothesis", "targets"), state.drop("targets"), obs, targets), steps)
+        fitted = refine(with_observations(state.select("set_id", "hypothesis", "targets"), state.drop("targets"), obs, targets), steps, errors, refraction)
         state = fitted.withColumn("rank", rank).filter(F.col("rank") <= width).drop("rank")
-        state = state.checkpoint() if i < n_obs and state.sparkSession.sparkContext.getCheckpointDir() else state
+        state = kept(state, "beam") if i < n_obs else state
     return best_models(state)

@@ -220,20 +220,31 @@ def sets_of(dirs):
     return obs.join(whole, "set_id"), ranked.select("set_id", "target", "x", "y", "z")
 
 
-@query("refine_models", "v_dirs")
+#: The sets as SQL has them: the first three of every twelve directions of a class above the horizon are observed, and their targets are the truth.
+SETS = "r AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY id) - 1 AS p FROM v_dirs WHERE z > 0.1), s AS (SELECT CAST(cls AS BIGINT) * 1000000 + p // 12 AS set_id, id, p % 12 AS n FROM r), t AS (SELECT set_id, string_agg(id, ',' ORDER BY n) AS targets FROM s WHERE n < 3 GROUP BY set_id HAVING count(*) = 3)"
+OFFSETS = "3e-1 AS o0, 1e-1 AS o1"
+found = lambda m: m.select("set_id", F.array_join(F.transform("targets", lambda x: x.cast("string")), ",").alias("targets"), *[(F.round(o, 1) + 0.0).alias(o) for o in ("o0", "o1")])
+
+
+@query("refine_models", "v_dirs", sql=f"WITH {SETS} SELECT set_id, targets, 3e-1 AS o0, 1e-1 AS o1, 0e0 AS roll, 0e0 AS pitch, 0e0 AS loss FROM t")
 def refine_models(dirs):
+    """Models fitted to given tuples, from a start that is off by all of the offsets and a tilt: the parameters that made the observations come out."""
     obs, targets = sets_of(dirs)
-    return al.align(obs.drop("truth"), targets, 3, 1, 100)
+    tuples = obs.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("obs_idx", "truth"))).alias("held")).select("set_id", F.lit(0).cast("long").alias("hypothesis"), A("held.truth").alias("targets"))
+    start = {"o0": 0.2, "o1": 0.0, "roll": 0.02, "pitch": -0.02, "nonperp": 0.0, "coll": 0.0, "refraction": 0.0}
+    models = tuples.select("set_id", "hypothesis", *[F.lit(v).alias(c) for c, v in start.items()])
+    out = al.refine(al.with_observations(tuples, models, obs, targets), 4000)
+    return found(out).join(out.select("set_id", *[(F.round(c, 1) + 0.0).alias(c) for c in ("roll", "pitch")], (F.round("loss", 3) + 0.0).alias("loss")), "set_id")
 
 
-@query("beam_step", "v_dirs")
+@query("beam_step", "v_dirs", sql=f"WITH {SETS} SELECT set_id, targets, {OFFSETS} FROM t")
 def beam_step(dirs):
     obs, targets = sets_of(dirs)
-    return al.beam_align(obs.drop("truth"), targets, 3, 10, 60)
+    return found(al.beam_align(obs.drop("truth"), targets, 3, 20, 100))
 
 
-@query("random_search", "v_dirs")
+@query("random_search", "v_dirs", sql=f"WITH {SETS} SELECT set_id, targets, {OFFSETS} FROM t")
 def random_search(dirs):
-    """Several samples of each hypothesis, with the sample as a column."""
+    """Two batches of guesses, matched, fitted and matched again."""
     obs, targets = sets_of(dirs)
-    return al.align(obs.drop("truth"), targets, 3, 3, 60)
+    return found(al.random_align(obs.drop("truth"), targets, 3, batches=2, rounds=1, steps=100))
