@@ -126,15 +126,20 @@ def schedule(frames: DataFrame, speed: float, keys: list[str] = ["session"], t:
     return frames.withColumn("offset_s", (F.col(t) - first) / 1e6 / max(1e-6, speed))
 
 
-def ema_last(rows: DataFrame, keys: list[str], order: list[str], value: str, keep: float, seeded: bool = True) -> DataFrame:
+def ema_last(rows: DataFrame, keys: list[str], order: list[str], value: str, keep: float, seeded: bool = True, block: Column | None = None) -> DataFrame:
     """keys and ``state``: the last value of s = keep * s + (1 - keep) * value over each key's rows in order, as a weighted sum (no row holds a series). s starts
-    with the first value, or with 0 if not ``seeded``. Rows without a value take no part; a key without any has no row."""
-    age = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])) - 1
-    aged = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("ema_v"), age.alias("ema_age"))
-    state = F.sum((1 - keep) * F.pow(F.lit(keep), "ema_age") * F.col("ema_v"))
+    with the first value, or with 0 if not ``seeded``. Rows without a value take no part; a key without any has no row. ``block`` is a value that does not fall with
+    ``order`` (a stretch of time or of frames): rows are then counted within blocks and blocks within keys, so a long series is many tasks."""
+    rows = rows.withColumn("ema_block", F.lit(0) if block is None else block)
+    age = F.row_number().over(Window.partitionBy(*keys, "ema_block").orderBy(*[F.col(c).desc() for c in order])) - 1
+    aged = rows.filter(F.col(value).isNotNull()).select(*keys, "ema_block", F.col(value).cast("double").alias("ema_v"), age.alias("ema_age"))
+    parts = aged.groupBy(*keys, "ema_block").agg(F.sum((1 - keep) * F.pow(F.lit(keep), "ema_age") * F.col("ema_v")).alias("part"), F.count("*").alias("n"), F.max_by("ema_v", "ema_age").alias("first"))
+    later = Window.partitionBy(*keys).orderBy(F.desc("ema_block")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("after", F.coalesce(F.sum("n").over(later), F.lit(0)))
+    state = F.sum(F.col("part") * F.pow(F.lit(keep), "after"))
     if seeded:
-        state = state + F.pow(F.lit(keep), F.max("ema_age") + 1) * F.max_by("ema_v", "ema_age")
-    return aged.groupBy(*keys).agg(state.alias("state"))
+        state = state + F.pow(F.lit(keep), F.max(F.col("after") + F.col("n"))) * F.max_by("first", "after")
+    return parts.groupBy(*keys).agg(state.alias("state"))
 
 
 def background_diff(pixels: DataFrame, keys: list[str], pixel: str, order: str, value: str, rate: float) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators.timeseries import fold, lagged
+from ..operators.timeseries import lagged
 
 
 def predict(d: geo.V3, omega: geo.V3, dt) -> geo.V3:
@@ -52,12 +54,51 @@ def intercept(ticks: DataFrame, keys: list[str], most_rate: float, least_s: floa
     return b.select(*keys, (F.col("b.o.bad") == 0).alias("feasible"), F.col("b.dt").alias("dt"), F.col("b.pose").alias("pose"), clamp("b.raz").alias("rate_az"), clamp("b.ralt").alias("rate_alt"))
 
 
-def fit_clock(reads: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Sub-second phase of whole-second clocks. Each read has the monotonic time t_s and the shown second. The phase is carried on from the read before; within [-0.1, 1.1] its fraction is kept, else it is held to 0 or 1 second."""
+def clock_step(phase: float, q: float) -> float:
+    """The phase after a read whose shown second less its time is q: kept within [q - 0.1, q + 1.1], else held to q or q + 1."""
+    return q if phase - q < -0.1 else q + 1.0 if phase - q > 1.1 else phase
 
-    def step(s, r):
-        ahead = s + (r["t_s"] - 0.0)
-        part = ahead - r["shown"]
-        return F.when(s.isNull(), r["shown"] - r["t_s"]).otherwise(r["shown"] + F.when(part.between(-0.1, 1.1), part).when(part < -0.1, 0.0).otherwise(1.0) - r["t_s"])
 
-    return fold(reads, keys, order, ["t_s", "shown"], F.lit(None).cast("double"), step)
+def clock_records(q: np.ndarray) -> list[tuple[int, bool, float, float]]:
+    """What a block of reads does to any phase that comes in: (read, whether it is a lower bound, bound, the phase at the block's end). A phase is kept unless a read's
+    bound holds it; the first read to do so decides, and from there on the phase in no longer matters. Only reads whose bounds are tighter than all before can be first."""
+
+    def end(i: int, phase: float) -> float:
+        for x in q[i + 1 :]:
+            phase = clock_step(phase, x)
+        return phase
+
+    low, high = np.maximum.accumulate(q - 0.1), np.minimum.accumulate(q + 1.1)
+    lows, highs = np.flatnonzero(np.diff(low, prepend=-np.inf) > 0), np.flatnonzero(np.diff(high, prepend=np.inf) < 0)
+    return [(int(i), True, float(q[i]), end(i, q[i])) for i in lows] + [(int(i), False, float(q[i]), end(i, q[i] + 1.0)) for i in highs]
+
+
+def fit_clock(reads: DataFrame, keys: list[str], order: list[str], block: str) -> DataFrame:
+    """keys and ``state``: the sub-second phase of whole-second clocks after each key's reads. Each read has the monotonic time t_s and the shown second. The phase is that of
+    the first read, carried on; within [-0.1, 1.1] of a read it is kept, else it is held to 0 or 1 second. ``block`` is a column that does not fall with
+    ``order``: blocks are summed up apart, as maps of the phase, and the maps of a key are then applied one after the other, so no row and no task holds a series."""
+    kinds = {f.name: f.dataType.simpleString() for f in reads.schema if f.name in [*keys, block]}
+    names = ", ".join(f"{k} {kinds[k]}" for k in [*keys, block])
+
+    def summed(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        found = clock_records((rows["shown"] - rows["t_s"]).to_numpy(float))
+        return pd.DataFrame([[*(rows[k].iloc[0] for k in [*keys, block]), float(rows["shown"].iloc[0] - rows["t_s"].iloc[0]), *map(list, zip(*found))]], columns=[*keys, block, "first", "at", "is_low", "q", "ends"])
+
+    maps = reads.groupBy(*keys, block).applyInPandas(summed, f"{names}, first double, at array<long>, is_low array<boolean>, q array<double>, ends array<double>")
+
+    def applied(parts):
+        of, phase = None, None
+        for rows in parts:
+            out = []
+            for r in rows.itertuples(index=False):
+                key = tuple(r[: len(keys)])
+                phase = phase if key == of else r.first
+                of = key
+                held = [(i, e) for i, low, q, e in zip(r.at, r.is_low, r.q, r.ends) if (phase - q < -0.1 if low else phase - q > 1.1)]
+                phase = min(held)[1] if held else phase
+                out.append((*key, r[len(keys)], phase))
+            yield pd.DataFrame(out, columns=[*keys, block, "state"])
+
+    steps = maps.repartition(*keys).sortWithinPartitions(*keys, block).mapInPandas(applied, f"{names}, state double")
+    return steps.groupBy(*keys).agg(F.max_by("state", block).alias("state"))

@@ -136,7 +136,7 @@ ema("loop_time_ema", "alt", 0.9)
 def peak_ema(pixels):
     """EMA of each frame's maximum, from 0."""
     peaks = pixels.groupBy("role", "idx").agg(F.max("v").alias("peak"))
-    return ts.ema_last(peaks, ["role"], ["idx"], "peak", 0.97, False).select("role", r6("state").alias("ema"))
+    return ts.ema_last(peaks, ["role"], ["idx"], "peak", 0.97, False, F.floor(A("idx") / 20)).select("role", r6("state").alias("ema"))
 
 
 @query("ema_background_diff", "v_pixels", sql=f"""WITH RECURSIVE b AS (SELECT role, y, x, idx, v, CAST(v AS DOUBLE) AS bg, 0e0 AS d FROM v_pixels WHERE idx = 0

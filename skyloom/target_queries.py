@@ -195,7 +195,8 @@ def intercept_plan(dirs):
 e AS (SELECT session, list_reduce(l, lambda a, x: {{'t': x.t, 's': x.s, 'p': x.s + CASE WHEN a.p + x.t - x.s BETWEEN -0.1e0 AND 1.1e0 THEN a.p + x.t - x.s WHEN a.p + x.t - x.s < -0.1e0 THEN 0 ELSE 1 END - x.t}}) AS r FROM q) SELECT session, round(r.p, 3) + 0e0 AS phase FROM e""")
 def clock_fit(pose):
     reads = pose.withColumn("t_s", A("t_us") / 1e6).withColumn("shown", F.floor(A("t_s") + 0.3).cast("double"))
-    return tr.fit_clock(reads, ["session"], ["t_us", "seq"]).select("session", (F.round("state", 3) + 0.0).alias("phase"))
+    reads = reads.withColumn("stretch", F.floor(A("t_us") / 864_000_000_000))  # ten days
+    return tr.fit_clock(reads, ["session"], ["t_us", "seq"], "stretch").select("session", (F.round("state", 3) + 0.0).alias("phase"))
 
 
 @query("hypothesis_grid", "v_dirs", sql=f"""WITH d AS (SELECT *, cls * 1000000 + id // 100 AS set_id FROM v_dirs), h AS (SELECT o.set_id, {WR('o.x - atan2(t.y, t.x)')} AS o0, {WR('o.y - asin(greatest(-1, least(1, t.z)))')} AS o1 FROM d o JOIN d t ON o.set_id = t.set_id WHERE o.id % 2 = 0 AND t.id % 2 = 1)

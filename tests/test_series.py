@@ -12,8 +12,9 @@ from skyloom.plans import ephemeris, tracking
 from skyloom.sources import ser
 
 
+@pytest.mark.parametrize("block", [None, 1, 7, 400])
 @pytest.mark.parametrize("seeded", [True, False])
-def test_ema_last(spark, seeded):
+def test_ema_last(spark, seeded, block):
     rng = np.random.default_rng(3)
     rows = [(k, t, None if (k + t) % 7 == 0 else float(v)) for k, n in ((1, 1), (2, 40), (3, 2500)) for t, v in enumerate(rng.normal(5, 2, n))] + [(4, 0, None)]
     want = {}
@@ -21,7 +22,7 @@ def test_ema_last(spark, seeded):
         if v is not None:
             s = want.get(k, v if seeded else 0.0)
             want[k] = 0.9 * s + 0.1 * v
-    got = {r.k: r.state for r in ts.ema_last(spark.createDataFrame(rows, "k int, t long, v double").repartition(5), ["k"], ["t"], "v", 0.9, seeded).collect()}
+    got = {r.k: r.state for r in ts.ema_last(spark.createDataFrame(rows, "k int, t long, v double").repartition(5), ["k"], ["t"], "v", 0.9, seeded, block and F.floor(F.col("t") / block)).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in want)
 
 
@@ -82,3 +83,26 @@ def test_ser_files_appear_at_commit_only(spark, tmp_path):
     with pytest.raises(Exception, match="broken"):
         ser.write_ser(broken, bad)
     assert not os.path.isdir(bad) or not [f for f in os.listdir(bad) if f.endswith(".ser")]
+
+
+def test_clock_phase_is_that_of_one_read_after_the_other(spark):
+    """Blocks of any length give what a plain loop gives: steady clocks, drifting ones, jumps, and repeated times."""
+    rng, rows, want = np.random.default_rng(6), [], {}
+    for k, (n, drift, jump) in enumerate([(1, 0, 0), (40, 0, 0), (300, 0.02, 0), (300, -0.03, 0), (200, 0.001, 0.2), (500, 0, 0.05)]):
+        t = np.cumsum(rng.choice([0.0, 0.3, 1.7], n))
+        shown = np.floor(t * (1 + drift) + 0.4 + np.cumsum(rng.choice([0, 0, 3, -2], n) * (rng.random(n) < jump)))
+        for i, (a, b) in enumerate(zip(t, shown)):
+            want[k] = tracking.clock_step(want[k], b - a) if i else b - a
+            rows.append((k, i, float(a), float(b)))
+    reads = spark.createDataFrame(rows, "k long, i long, t_s double, shown double").repartition(4)
+    for size in (1, 13, 1000):
+        got = {r.k: r.state for r in tracking.fit_clock(reads.withColumn("part", F.floor(F.col("i") / size)), ["k"], ["i"], "part").collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want), size
+
+
+def test_parts_that_occur_in_names(spark):
+    """Short, long, repeated, empty and null parts, in any case, against a plain search."""
+    names = ["ISS (ZARYA)", "iss deb", "Tiangong", "a", "", None, "TIANGONG", "aaaa", "x" * 300 + "Ülm"]
+    parts = ["iss", "ISS (Z", "gong", "A", "aa", "", None, "nowhere", "ülm", "iss"]
+    got = ephemeris.occurring(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(p,) for p in parts], "part string")).collect()
+    assert sorted(map(tuple, got)) == sorted({(n, p) for n in names if n is not None for p in parts if p and p.upper() in n.upper()})
