@@ -53,13 +53,20 @@ def pose_asof(frames: DataFrame, anchors: DataFrame, cap_s: float, keys: list[st
     return j.select(*frames.columns, *[(F.col(f"prev.{a}") + F.col(f"prev.rate_{a}") * dt).alias(a) for a in ("az", "alt")])
 
 
-def effective_control(frames: DataFrame, control: DataFrame, settings: list[str], keys: list[str] = ["session"], t: str = "t_us") -> DataFrame:
-    """frames with each setting's last non-null value at or before t."""
-    out = frames
-    for name in settings:
-        j = asof(out, control.filter(F.col(name).isNotNull()), keys, t, [name])
-        out = j.select(*out.columns, F.col(f"prev.{name}").alias(name))
-    return out
+def effective_control(frames: DataFrame, control: DataFrame, settings: list[str], keys: list[str] = ["session"], t: str = "t_us", bucket_us: int = BUCKET_US) -> DataFrame:
+    """frames with each setting's last non-null value at or before t (of several at one time the greatest), all settings in one pass over time buckets."""
+    number = F.floor(F.col(t) / bucket_us)
+    held = [F.when(F.col(c).isNotNull(), F.struct(t, c)).alias(f"held_{c}") for c in settings]
+    s = control.select(*keys, F.col(t), *held).withColumn("asof_b", number)
+    e = frames.withColumn("asof_b", number)
+    per = s.groupBy(*keys, "asof_b").agg(*[F.max(f"held_{c}").alias(f"last_{c}") for c in settings])
+    order = Window.partitionBy(*keys).orderBy("asof_b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = e.select(*keys, "asof_b").distinct().join(per, [*keys, "asof_b"], "full")
+    carried = buckets.select(*keys, "asof_b", *[F.last(f"last_{c}", True).over(order).alias(f"carry_{c}") for c in settings])
+    rows = e.withColumn("asof_e", F.lit(1)).unionByName(s.withColumn("asof_e", F.lit(0)), allowMissingColumns=True)
+    inside = Window.partitionBy(*keys, "asof_b").orderBy(t, "asof_e").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select("*", *[F.max(f"held_{c}").over(inside).alias(f"own_{c}") for c in settings]).filter("asof_e = 1")
+    return rows.join(carried, [*keys, "asof_b"], "left").select(*[rows[c] for c in frames.columns], *[F.coalesce(f"own_{c}.{c}", f"carry_{c}.{c}").alias(c) for c in settings])
 
 
 def almanac_at(queries: DataFrame, fixes: DataFrame, keys: list[str], t: str) -> DataFrame:
@@ -142,6 +149,43 @@ def ema_last(rows: DataFrame, keys: list[str], order: list[str], value: str, kee
     return parts.groupBy(*keys).agg(state.alias("state"))
 
 
+def carried_in(parts: DataFrame, keys: list[str], block: str, keep: float, name: str) -> DataFrame:
+    """keys, block and ``name``: what comes into each block (0 into a key's first) where a block of n rows turns v into keep ** n * v + part. Blocks are read in order, one after the other."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema if f.name in [*keys, block])
+
+    def run(batches):
+        of, v = None, 0.0
+        for rows in batches:
+            key, out = list(zip(*[rows[k].tolist() for k in keys])), np.zeros(len(rows))
+            for i, (k, part, n) in enumerate(zip(key, rows["part"].to_numpy(), rows["n"].to_numpy())):
+                v = v if k == of else 0.0
+                of, out[i] = k, v
+                v = keep ** int(n) * v + part
+            yield rows[[*keys, block]].assign(**{name: out})
+
+    return parts.select(*keys, block, "n", "part").repartition(*keys).sortWithinPartitions(*keys, block).mapInPandas(run, f"{kinds}, {name} double")
+
+
+def ema_series(rows: DataFrame, keys: list[str], order: list[str], value: str, keep: float, block: Column) -> DataFrame:
+    """rows with ``mean`` and ``variance`` after each: mean = keep * mean + (1 - keep) * value and variance = keep * variance + (1 - keep) * (value - mean before) * (value - mean
+    after), both from 0. ``block`` is a value that does not fall with ``order``, of some thousand rows at most: within blocks the sums are windows from 0, and what
+    comes into a block is added with the weight that is left of it, so a long series is many tasks. Rows without a value take no part and have the means before."""
+    w = Window.partitionBy(*keys, "ema_block").orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    left = lambda n: F.pow(F.lit(keep), n)
+    has = F.col(value).isNotNull().cast("int")
+    r = rows.withColumn("ema_block", block).withColumn("ema_n", F.sum(has).over(upto))
+    total = lambda x: F.coalesce(left(F.col("ema_n")) * F.sum(x * left(-F.col("ema_n"))).over(upto), F.lit(0.0))
+    ends = lambda d, c: d.groupBy(*keys, "ema_block").agg(F.max("ema_n").alias("n"), F.max_by(c, F.struct("ema_n", *order)).alias("part"))
+    r = r.withColumn("ema_local", total((1 - keep) * F.col(value)))
+    r = r.join(carried_in(ends(r, "ema_local"), keys, "ema_block", keep, "ema_in"), [*keys, "ema_block"])
+    r = r.withColumn("mean", F.col("ema_local") + left(F.col("ema_n")) * F.col("ema_in"))
+    step = F.col(value) - F.coalesce(F.lag("mean").over(w), F.col("ema_in"))
+    r = r.withColumn("ema_step", step).withColumn("ema_spread", total(keep * (1 - keep) * F.col("ema_step") * F.col("ema_step")))
+    r = r.join(carried_in(ends(r, "ema_spread"), keys, "ema_block", keep, "ema_var"), [*keys, "ema_block"])
+    return r.select(*[F.col(c) for c in rows.columns], "mean", (F.col("ema_spread") + left(F.col("ema_n")) * F.col("ema_var")).alias("variance"))
+
+
 def background_diff(pixels: DataFrame, keys: list[str], pixel: str, order: str, value: str, rate: float) -> DataFrame:
     """pixels (keys, order, pixel, value) with ``diff``: the distance of each value from the pixel's exponentially averaged background, which then moves towards
     it by ``rate``; 0 for a pixel's first one. keys name a camera and a strip of its image, ``pixel`` counts from 0 within the strip. A task reads its strips frame by

@@ -63,14 +63,15 @@ LEN = f"greatest(sqrt({'+'.join(f'pow({LERP.format(a=a)},2)' for a in 'xyz')}),
 
 
 @query("almanac_lerp", "v_dirs", sql=f"""WITH s AS (SELECT *, lead(id) OVER w AS id1, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(z) OVER w AS z1, first_value(id) OVER w AS first_id, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy, first_value(z) OVER w AS fz FROM v_dirs WINDOW w AS (PARTITION BY cls ORDER BY id)),
-q AS (SELECT DISTINCT cls FROM v_dirs), t AS (SELECT cls, i * 7 AS t FROM q, range(0, 80) r(i)),
+q AS (SELECT DISTINCT cls FROM v_dirs), t AS (SELECT cls, unnest(range(0, (SELECT max(id) FROM v_dirs) + 57, 7)) AS t FROM q),
 j AS (SELECT t.cls, t.t, s.id, s.x AS x0, s.y AS y0, s.z AS z0, coalesce(s.x1, s.x) AS x1, coalesce(s.y1, s.y) AS y1, coalesce(s.z1, s.z) AS z1, CASE WHEN s.id1 IS NULL THEN 0e0 ELSE (t.t-s.id)/CAST(s.id1-s.id AS DOUBLE) END AS f FROM t ASOF JOIN s ON t.cls = s.cls AND t.t >= s.id),
 b AS (SELECT t.cls, t.t, x AS x0, y AS y0, z AS z0, x AS x1, y AS y1, z AS z1, 0e0 AS f FROM t JOIN s ON t.cls = s.cls AND s.id = s.first_id AND t.t < s.id),
 u AS (SELECT cls, t, x0, y0, z0, x1, y1, z1, f FROM j UNION ALL SELECT * FROM b)
 SELECT cls, t, {', '.join(s6(LERP.format(a=a) + '/' + LEN) + f' AS {a}' for a in 'xyz')} FROM u""")
 def almanac_lerp(dirs):
-    """Directions of every class as a target, its ids as times, at every seventh time."""
-    times = dirs.select("cls").distinct().withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(553), F.lit(7)))).withColumn("t", A("t").cast("long"))
+    """Directions of every class as a target, its ids as times, at every seventh time up to 56 after the last fix of all."""
+    last = dirs.agg(F.max("id")).first()[0] or 0
+    times = dirs.select("cls").distinct().withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last + 56).cast("long"), F.lit(7).cast("long"))))
     return rounded(ts.almanac_at(times, dirs.select("cls", A("id").alias("t"), "x", "y", "z"), ["cls"], "t"), "x", "y", "z", keep="cls, t")
 
 
@@ -132,11 +133,14 @@ def ema(name: str, column: str, keep: float):
 ema("loop_time_ema", "alt", 0.9)
 
 
-@query("peak_ema", "v_pixels", sql=f"WITH f AS (SELECT role, idx, max(v) AS peak FROM v_pixels GROUP BY role, idx), q AS (SELECT role, list(CAST(peak AS DOUBLE) ORDER BY idx) AS l FROM f GROUP BY role) SELECT role, {s6('list_reduce(l, lambda a, x: 0.97e0*a + 0.03e0*x, 0e0)')} AS ema FROM q")
+@query("peak_ema", "v_pixels", sql=f"""WITH RECURSIVE f AS (SELECT role, idx, CAST(max(v) AS DOUBLE)/65535 AS peak FROM v_pixels GROUP BY role, idx), e AS (SELECT role, idx, 0.03e0*peak AS m, 0.03e0*peak*0.97e0*peak AS s FROM f WHERE idx = 0
+UNION ALL SELECT f.role, f.idx, 0.97e0*m + 0.03e0*peak, 0.97e0*s + 0.03e0*(peak - m)*(peak - (0.97e0*m + 0.03e0*peak)) FROM e JOIN f ON f.role = e.role AND f.idx = e.idx + 1)
+SELECT role, idx, {s6('m')} AS ema, {s6('s')} AS variance FROM e""")
 def peak_ema(pixels):
-    """EMA of each frame's maximum, from 0."""
-    peaks = pixels.groupBy("role", "idx").agg(F.max("v").alias("peak"))
-    return ts.ema_last(peaks, ["role"], ["idx"], "peak", 0.97, False, F.floor(A("idx") / 20)).select("role", r6("state").alias("ema"))
+    """EMA of the frames' maxima and their variance, both from 0, after every frame."""
+    peaks = pixels.groupBy("role", "idx").agg((F.max("v") / 65535).alias("peak"))
+    out = ts.ema_series(peaks, ["role"], ["idx"], "peak", 0.97, F.floor(A("idx") / 20))
+    return out.select("role", "idx", r6("mean").alias("ema"), r6("variance").alias("variance"))
 
 
 @query("ema_background_diff", "v_pixels", sql=f"""WITH RECURSIVE b AS (SELECT role, y, x, idx, v, CAST(v AS DOUBLE) AS bg, 0e0 AS d FROM v_pixels WHERE idx = 0

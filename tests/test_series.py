@@ -106,3 +106,35 @@ def test_parts_that_occur_in_names(spark):
     parts = ["iss", "ISS (Z", "gong", "A", "aa", "", None, "nowhere", "ülm", "iss"]
     got = ephemeris.occurring(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(p,) for p in parts], "part string")).collect()
     assert sorted(map(tuple, got)) == sorted({(n, p) for n in names if n is not None for p in parts if p and p.upper() in n.upper()})
+
+
+def test_ema_series(spark):
+    """Mean and variance after every row equal a plain loop's, for any blocks; rows without a value keep what was there."""
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for k, n in ((1, 1), (2, 30), (3, 1500)):
+        m = s = 0.0
+        for t, v in enumerate(rng.normal(100, 5, n)):
+            v = None if (t + k) % 11 == 0 else float(v)
+            if v is not None:
+                before, m = m, 0.97 * m + 0.03 * v
+                s = 0.97 * s + 0.03 * (v - before) * (v - m)
+            rows.append((k, t, v))
+            want[k, t] = (m, s)
+    df = spark.createDataFrame(rows, "k int, t long, v double").repartition(5)
+    for size in (1, 40, 1000):
+        got = {(r.k, r.t): (r.mean, r.variance) for r in ts.ema_series(df, ["k"], ["t"], "v", 0.97, F.floor(F.col("t") / size)).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[x], want[x], rtol=1e-9) for x in want)
+
+
+def test_settings_in_force(spark):
+    """Each setting's last value at or before a frame, in one pass, against a plain search; several at one time, none before the first."""
+    r = np.random.default_rng(7)
+    control = [(int(r.integers(0, 3)), int(r.integers(0, 200)) * 3_600_000_000, *(None if r.random() < 0.5 else int(r.integers(0, 9)) for _ in range(2))) for _ in range(120)]
+    frames = [(int(r.integers(0, 4)), int(r.integers(0, 200)) * 3_600_000_000, i) for i in range(150)]
+    df = ts.effective_control(spark.createDataFrame(frames, "session long, t_us long, seq long"), spark.createDataFrame(control, "session long, t_us long, fps int, most int"), ["fps", "most"])
+    want = []
+    for s, t, i in frames:
+        held = [max(((ct, v) for cs, ct, *vs in control if cs == s and ct <= t and (v := vs[j]) is not None), default=(0, None))[1] for j in (0, 1)]
+        want.append((s, t, i, *held))
+    assert sorted(map(str, map(tuple, df.select("session", "t_us", "seq", "fps", "most").collect()))) == sorted(map(str, want))
