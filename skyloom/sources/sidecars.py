@@ -49,6 +49,23 @@ def committed_lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("file", (F.length("value") - F.length(F.replace("value", F.lit("\n"), F.lit("")))).cast("long").alias("n_lines"))
 
 
+def write_detections(frames: DataFrame, blobs: DataFrame, path: str) -> None:
+    """A line for every frame (file, index and perhaps t_us) with its blobs, strongest first, perhaps none; a folder ``recording=<name>`` for each file. Recordings are rolled, so
+    a file's lines are one task's."""
+    one = F.struct("id", F.array("px", "py").alias("px"), "score", "size_px", "pointlike", "roundness", "moving")
+    lists = blobs.groupBy("file", "index").agg(F.array_sort(F.collect_list(one)).alias("blobs"))
+    t = (F.col("t_us") * 1000 if "t_us" in frames.columns else F.lit(None)).cast("long")
+    rows = frames.select("file", "index", t.alias("t_mono_ns")).join(lists, ["file", "index"], "left")
+    rows = rows.select(F.regexp_extract("file", r"([^/]+?)(?:\.ser)?$", 1).alias("recording"), "index", "t_mono_ns", F.coalesce("blobs", F.array()).alias("blobs"))
+    rows.repartition("recording").sortWithinPartitions("recording", "index").write.partitionBy("recording").json(path)
+
+
+def read_detections(spark: SparkSession, path: str) -> DataFrame:
+    """recording, index and the columns of a blob, a row for each blob."""
+    rows = read_sidecar(spark, path, "detections").select(F.regexp_extract("file", "recording=([^/]+)/", 1).alias("recording"), "index", F.explode("blobs").alias("b"))
+    return rows.select("recording", "index", "b.id", F.col("b.px")[0].alias("px"), F.col("b.px")[1].alias("py"), *[f"b.{c}" for c in ("score", "size_px", "pointlike", "roundness", "moving")])
+
+
 def alignment_time(text: Column) -> Column:
     """UTC time from text with 'T' or a space, an hour of one or two digits and any number of fraction digits."""
     p = r"^(\d{4}-\d{2}-\d{2})[T ](\d{1,2}):(\d{2}):(\d{2})(?:\.(\d{1,6})\d*)?"
