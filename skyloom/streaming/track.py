@@ -64,7 +64,8 @@ class Optics:
 
 
 def wrap(a: float) -> float:
-    return (a + math.pi) % (2 * math.pi) - math.pi
+    up = a + math.pi
+    return up - 2 * math.pi * math.floor(up / (2 * math.pi)) - math.pi
 
 
 class Track:
