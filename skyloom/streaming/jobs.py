@@ -33,6 +33,18 @@ def stream_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
+#: The last second that a time stamp is written with four digits of the year for.
+END_US = 253_402_300_799_000_000
+
+
+def with_end(stream: DataFrame) -> DataFrame:
+    """The rows (with t_us) of a table that is read to its end, and a last one, null but for its time, that takes the watermark past all others: windows and sessions
+    that are still open then come out as well. The row itself stays behind the watermark's delay and never does. All of it is one micro-batch, so no row is late."""
+    spark, at = stream.sparkSession, fresh_path(stream.sparkSession, "end")
+    spark.createDataFrame([(END_US,)], "t_us long").write.parquet(at)
+    return stream.unionByName(spark.readStream.schema("t_us long").parquet(at), allowMissingColumns=True)
+
+
 def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Process all that is there, then read the result. Append goes to files; the other modes keep each batch's table and the last (complete) or all (update) are read."""
     spark = stream.sparkSession
