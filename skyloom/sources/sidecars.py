@@ -35,12 +35,14 @@ def with_session_columns(df: DataFrame) -> DataFrame:
     return df.withColumns(session_columns(F.col("file")))
 
 
-def index_frames(spark: SparkSession, path: str, kind: str = "frames") -> DataFrame:
-    """Rows with ``index``, their place among the non-blank lines of the file (files are rolled, so a file fits a row)."""
+def index_frames(spark: SparkSession, path: str, kind: str = "frames", of: str | None = None) -> DataFrame:
+    """Rows with ``index``, their place among the non-blank lines of the file (files are rolled, so a file fits a row). Where the lines of several sessions share a file, ``of``
+    names the number in a line that tells them apart, and the place is that among the session's own lines."""
     whole = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
     complete = F.regexp_extract("value", r"(?s)^(.*\n)", 1)  # up to the last line break
     lines = whole.select("file", F.posexplode(F.filter(F.split(complete, "\n"), lambda x: F.trim(x) != "")).alias("index", "line"))
-    return lines.select("file", F.col("index").cast("long").alias("index"), F.from_json("line", SCHEMAS[kind]).alias("r")).select("file", "index", "r.*")
+    rows = lines.select("file", F.col("index").cast("long").alias("index"), F.from_json("line", SCHEMAS[kind] + (f", {of} long" if of else "")).alias("r")).select("file", "index", "r.*")
+    return rows.withColumn("index", (F.row_number().over(Window.partitionBy("file", of).orderBy("index")) - 1).cast("long")) if of else rows
 
 
 def committed_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -73,18 +75,26 @@ def alignment_time(text: Column) -> Column:
     return F.try_to_timestamp(F.concat(part(1), F.lit(" "), F.lpad(part(2), 2, "0"), F.lit(":"), part(3), F.lit(":"), part(4), F.lit("."), F.rpad(part(5), 6, "0")), F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
-def read_alignments(spark: SparkSession, path: str) -> DataFrame:
-    """file, obs_idx, t, raw_axis_values of JSON arrays of observations."""
-    whole = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
-    rows = whole.select("file", F.posexplode(F.from_json("value", "array<struct<time: string, raw_axis_values: array<double>>>")).alias("obs_idx", "o"))
-    return rows.select("file", "obs_idx", alignment_time(F.col("o.time")).alias("t"), F.col("o.raw_axis_values").alias("raw_axis_values"))
+def read_alignments(spark: SparkSession, path: str, rolled: bool = False) -> DataFrame:
+    """file, obs_idx, t, raw_axis_values of JSON arrays of observations, one a file; if ``rolled``, a set a line, and set_id too."""
+    one = "array<struct<time: string, raw_axis_values: array<double>>>"
+    if rolled:
+        sets = spark.read.schema(f"set_id long, observations {one}").json(path).select(F.col("_metadata.file_path").alias("file"), "set_id", F.posexplode("observations").alias("obs_idx", "o"))
+    else:
+        whole = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
+        sets = whole.select("file", F.posexplode(F.from_json("value", one)).alias("obs_idx", "o"))
+    return sets.select("file", *(["set_id"] if rolled else []), "obs_idx", alignment_time(F.col("o.time")).alias("t"), F.col("o.raw_axis_values").alias("raw_axis_values"))
 
 
-def write_alignments(obs: DataFrame, path: str) -> None:
-    """One line, a JSON array, for each set's enabled observations, in files by set_id."""
+def write_alignments(obs: DataFrame, path: str, sets_a_file: int | None = None) -> None:
+    """A JSON array for each set's enabled observations, in files by set_id; with ``sets_a_file``, that many set numbers share a file, a line each with its set_id."""
     o = F.struct(F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("time"), "raw_axis_values")
     held = obs.filter("enabled").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("obs_idx", o.alias("o")))).alias("rows"))
-    held.select("set_id", F.to_json("rows.o").alias("value")).write.partitionBy("set_id").text(path)
+    if sets_a_file:
+        rows = held.select(F.floor(F.col("set_id") / sets_a_file).alias("roll"), F.to_json(F.struct("set_id", F.col("rows.o").alias("observations"))).alias("value"))
+        rows.repartition("roll").write.partitionBy("roll").text(path)
+    else:
+        held.select("set_id", F.to_json("rows.o").alias("value")).write.partitionBy("set_id").text(path)
 
 
 def read_optics(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
