@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import geo
 from ..operators.timeseries import lagged
@@ -59,33 +60,63 @@ def clock_step(phase: float, q: float) -> float:
     return q if phase - q < -0.1 else q + 1.0 if phase - q > 1.1 else phase
 
 
-def clock_records(q: np.ndarray) -> list[tuple[int, bool, float, float]]:
-    """What a block of reads does to any phase that comes in: (read, whether it is a lower bound, bound, the phase at the block's end). A phase is kept unless a read's
-    bound holds it; the first read to do so decides, and from there on the phase in no longer matters. Only reads whose bounds are tighter than all before can be first."""
+class ClockBlock:
+    """What a block of reads does to any phase that comes in: ``records`` of (read, whether it is a lower bound, bound, the phase at the block's end). A phase is kept unless a
+    read's bound holds it; the first read to do so decides, and from there on the phase in no longer matters. Only reads whose bounds are tighter than all
+    before can be first. Reads are taken one by one; the phases held so far are touched only where a read lies beyond the least or greatest of them."""
 
-    def end(i: int, phase: float) -> float:
-        for x in q[i + 1 :]:
-            phase = clock_step(phase, x)
-        return phase
+    def __init__(self, first: float) -> None:
+        self.first, self.n, self.low, self.high = first, 0, -math.inf, math.inf
+        self.records, self.ends, self.least, self.most = [], [], math.inf, -math.inf
 
-    low, high = np.maximum.accumulate(q - 0.1), np.minimum.accumulate(q + 1.1)
-    lows, highs = np.flatnonzero(np.diff(low, prepend=-np.inf) > 0), np.flatnonzero(np.diff(high, prepend=np.inf) < 0)
-    return [(int(i), True, float(q[i]), end(i, q[i])) for i in lows] + [(int(i), False, float(q[i]), end(i, q[i] + 1.0)) for i in highs]
+    def take(self, q: float) -> None:
+        if self.least - q < -0.1 or self.most - q > 1.1:
+            self.ends = [clock_step(e, q) for e in self.ends]
+            self.least, self.most = min(self.ends), max(self.ends)
+        for tighter, is_low, end in ((q - 0.1 > self.low, True, q), (q + 1.1 < self.high, False, q + 1.0)):
+            if tighter:
+                self.records.append((self.n, is_low, q))
+                self.ends.append(end)
+                self.least, self.most = min(self.least, end), max(self.most, end)
+        self.low, self.high, self.n = max(self.low, q - 0.1), min(self.high, q + 1.1), self.n + 1
+
+    def row(self) -> tuple:
+        return (self.first, *map(list, zip(*self.records)), self.ends)
 
 
 def fit_clock(reads: DataFrame, keys: list[str], order: list[str], block: str) -> DataFrame:
     """keys and ``state``: the sub-second phase of whole-second clocks after each key's reads. Each read has the monotonic time t_s and the shown second. The phase is that of
     the first read, carried on; within [-0.1, 1.1] of a read it is kept, else it is held to 0 or 1 second. ``block`` is a column that does not fall with
-    ``order``: blocks are summed up apart, as maps of the phase, and the maps of a key are then applied one after the other, so no row and no task holds a series."""
+    ``order``: blocks are summed up apart, as maps of the phase, and the maps of a key are then applied one after the other, so no row and no task holds a series.
+    Tasks read their blocks one after the other in Spark's order, since most blocks are too short for a call of their own."""
     kinds = {f.name: f.dataType.simpleString() for f in reads.schema if f.name in [*keys, block]}
     names = ", ".join(f"{k} {kinds[k]}" for k in [*keys, block])
+    columns = [*keys, block, "first", "at", "is_low", "q", "ends"]
 
-    def summed(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        found = clock_records((rows["shown"] - rows["t_s"]).to_numpy(float))
-        return pd.DataFrame([[*(rows[k].iloc[0] for k in [*keys, block]), float(rows["shown"].iloc[0] - rows["t_s"].iloc[0]), *map(list, zip(*found))]], columns=[*keys, block, "first", "at", "is_low", "q", "ends"])
-
-    maps = reads.groupBy(*keys, block).applyInPandas(summed, f"{names}, first double, at array<long>, is_low array<boolean>, q array<double>, ends array<double>")
+    def summed(batches):
+        of = held = None
+        for batch in batches:
+            out = []
+            for *of_read, q in zip(*(c.to_pylist() for c in batch.columns)):
+                if of_read != of:
+                    if held:
+                        out.append((*of, *held.row()))
+                    of, held = of_read, ClockBlock(q)
+                held.take(q)
+            yield table(out)
+        if held:
+            yield table([(*of, *held.row())])
+
+    maps_schema = f"{names}, first double, at array<long>, is_low array<boolean>, q array<double>, ends array<double>"
+    kept = reads.select(*keys, block, *order, (F.col("shown") - F.col("t_s")).cast("double").alias("clock_q"))
+    sorted_reads = kept.repartition(*keys, block).sortWithinPartitions(*keys, block, *order).select(*keys, block, "clock_q")
+    arrow = {"first": pa.float64(), "at": pa.list_(pa.int64()), "is_low": pa.list_(pa.bool_()), "q": pa.list_(pa.float64()), "ends": pa.list_(pa.float64())}
+    key_types = {f.name: to_arrow_type(f.dataType) for f in kept.schema if f.name in [*keys, block]}
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], key_types.get(c) or arrow[c]) for i, c in enumerate(columns)], names=columns)
+
+    maps = sorted_reads.mapInArrow(summed, maps_schema)
 
     def applied(parts):
         of, phase = None, None
