@@ -152,6 +152,11 @@ def listed(spark: SparkSession, path: str) -> DataFrame:
     return files.load(path).select(F.regexp_replace("path", "^file:(//)?", "").alias("file"))
 
 
+def tasks(spark: SparkSession) -> int:
+    """Names and ranges are few bytes that stand for many: a number of tasks that is named is kept, where Spark would else join them into one."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 HEADERS = "file string, color_id int, little_endian boolean, width int, height int, depth int, channels int, bytes_per_frame long, frames long, recording boolean, trailer boolean"
 
 
@@ -162,14 +167,14 @@ def ser_segments(spark: SparkSession, path: str) -> DataFrame:
         for p in parts:
             yield pd.DataFrame([read_header(f) for f in p["file"]], columns=[c.split()[0] for c in HEADERS.split(", ")])
 
-    return listed(spark, path).repartition("file").mapInPandas(read, HEADERS)
+    return listed(spark, path).repartition(tasks(spark), "file").mapInPandas(read, HEADERS)
 
 
 def read_ser(spark: SparkSession, path: str, halo: bool = False) -> DataFrame:
     """One row a frame; a range of FRAMES_A_PARTITION frames is the unit that is dealt to tasks. With ``halo``, each range but a file's first begins with the frame
     before it, marked in the column ``halo``: tasks that compare neighbours then need no others."""
     first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames") - 1, F.lit(FRAMES_A_PARTITION).cast("long")))
-    ranges = ser_segments(spark, path).filter("frames > 0").withColumn("first", first).repartition("file", "first").sortWithinPartitions("file", "first")
+    ranges = ser_segments(spark, path).filter("frames > 0").withColumn("first", first).repartition(tasks(spark), "file", "first").sortWithinPartitions("file", "first")
     schema = SCHEMA + (", halo boolean" if halo else "")
     kinds = pa.schema([("file", pa.string()), ("index", pa.int64()), *[(n, pa.int32()) for n in ("width", "height", "channels", "depth", "color_id")], ("t_us", pa.int64()), ("pixels", pa.binary()), *([("halo", pa.bool_())] if halo else [])])
 
