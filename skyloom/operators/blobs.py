@@ -111,9 +111,14 @@ def associate(blobs: DataFrame, predicted: DataFrame, gate_px: float = 80.0, key
 
 def pick(points: DataFrame, blobs: DataFrame, reach_px: float = 40.0, keys: list[str] = ["frame"]) -> DataFrame:
     """The blob nearest to each point within reach, else the point."""
+    return nearest_of(points.join(blobs, keys, "left"), points.columns, reach_px)
+
+
+def nearest_of(pairs: DataFrame, point: list[str], reach_px: float = 40.0) -> DataFrame:
+    """The same over rows that hold a point (its columns ``point``, with at_x and at_y) beside a blob: where each frame's blobs bear its point, no join is needed."""
     d = F.hypot(F.col("px") - F.col("at_x"), F.col("py") - F.col("at_y"))
-    near = points.join(blobs, keys, "left").withColumn("d", d).groupBy(*points.columns).agg(F.min(F.when(F.col("d") <= reach_px, F.struct("d", "px", "py"))).alias("b"))
-    return near.select(*points.columns, F.coalesce("b.px", "at_x").alias("x"), F.coalesce("b.py", "at_y").alias("y"))
+    near = pairs.withColumn("d", d).groupBy(*point).agg(F.min(F.when(F.col("d") <= reach_px, F.struct("d", "px", "py"))).alias("b"))
+    return near.select(*point, F.coalesce("b.px", "at_x").alias("x"), F.coalesce("b.py", "at_y").alias("y"))
 
 
 def match_world(blobs: DataFrame, projected: DataFrame, radius: float, keys: list[str] = ["frame"]) -> DataFrame:
