@@ -17,10 +17,11 @@ without a change of the rate; rows behind the watermark are dropped by Spark.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 ROW = "seq long, t_us long, kind string, az double, alt double, rate_az double, rate_alt double, px array<double>, py array<double>"
 FIELDS = [f.split()[0] for f in ROW.split(", ")]
 OUT = "session long, seq long, t_us long, status string, gated boolean, px double, py double, x double, y double, z double, wx double, wy double, wz double"
+SAMPLE = "t_us long, az double, alt double, rate_az double, rate_alt double"
 MODEL = "t_us long, x double, y double, z double, wx double, wy double, wz double, good_us long, since_us long, settled boolean"
 
 
@@ -48,83 +50,102 @@ class Optics:
     sign_alt: float = -1.0
 
     @staticmethod
-    def axes(az: float, alt: float) -> np.ndarray:
-        """Rows: forward, side (towards growing az), up (towards growing alt)."""
+    def axes(az: float, alt: float) -> tuple[tuple, tuple, tuple]:
+        """Forward, side (towards growing az), up (towards growing alt)."""
         sa, ca, se, ce = math.sin(az), math.cos(az), math.sin(alt), math.cos(alt)
-        return np.array([[ca * ce, sa * ce, se], [-sa, ca, 0.0], [-ca * se, -sa * se, ce]])
+        return (ca * ce, sa * ce, se), (-sa, ca, 0.0), (-ca * se, -sa * se, ce)
 
-    def direction(self, px: float, py: float, az: float, alt: float) -> np.ndarray:
-        d = np.array([1.0, (px - self.cx) * self.rad_per_px * self.sign_az, (py - self.cy) * self.rad_per_px * self.sign_alt]) @ self.axes(az, alt)
-        return d / np.linalg.norm(d)
+    def direction(self, px: float, py: float, az: float, alt: float) -> tuple:
+        ox, oy = (px - self.cx) * self.rad_per_px * self.sign_az, (py - self.cy) * self.rad_per_px * self.sign_alt
+        return unit([f + ox * s + oy * u for f, s, u in zip(*self.axes(az, alt))])
 
-    def pixel(self, d: np.ndarray, az: float, alt: float) -> tuple[float, float]:
-        ahead, side, up = self.axes(az, alt) @ d
+    def pixel(self, d: tuple, az: float, alt: float) -> tuple[float, float]:
+        ahead, side, up = (dot(axis, d) for axis in self.axes(az, alt))
         scale = 1.0 / ahead if ahead > 1e-6 else 1e6
         return self.cx + side * scale / (self.rad_per_px * self.sign_az), self.cy + up * scale / (self.rad_per_px * self.sign_alt)
 
 
+def dot(a, b) -> float:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def cross(a, b) -> tuple:
+    return a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]
+
+
+def unit(a) -> tuple:
+    n = math.sqrt(dot(a, a))
+    return a[0] / n, a[1] / n, a[2] / n
+
+
 def wrap(a: float) -> float:
     up = a + math.pi
     return up - 2 * math.pi * math.floor(up / (2 * math.pi)) - math.pi
 
 
 class Track:
-    """The model and lock of a session; mount samples are (t_us, az, alt, rate_az, rate_alt)."""
+    """The model and lock of a session; mount samples are (t_us, az, alt, rate_az, rate_alt). Three numbers are too few for numpy: a call costs more than the sum."""
 
     def __init__(self, optics: Optics, model: tuple | None, history: list[tuple]) -> None:
-        self.o, self.history = optics, history
-        self.t, self.d, self.w, self.good, self.since, self.settled = None, None, np.zeros(3), None, None, False
+        self.o, self.history, self.times, self.posed = optics, history, [s[0] for s in history], None
+        self.t, self.d, self.w, self.good, self.since, self.settled = None, None, (0.0, 0.0, 0.0), None, None, False
         if model is not None:
-            self.t, self.d, self.w = model[0], np.array(model[1:4]), np.array(model[4:7])
+            self.t, self.d, self.w = model[0], tuple(model[1:4]), tuple(model[4:7])
             self.good, self.since, self.settled = model[7:]
 
     def held(self) -> tuple:
-        return (self.t, *map(float, self.d), *map(float, self.w), self.good, self.since, self.settled)
+        return (self.t, *self.d, *self.w, self.good, self.since, self.settled)
 
     def sample(self, row: tuple) -> bool:
         """Take a mount sample; False if it is not newer than the last."""
-        if self.history and row[0] <= self.history[-1][0]:
+        if self.times and row[0] <= self.times[-1]:
             return False
         self.history.append(row)
+        self.times.append(row[0])
+        self.posed = None
         return True
 
     def forget(self, t: int) -> None:
         """Drop the samples that no time after ``t`` needs."""
-        at = np.searchsorted([s[0] for s in self.history], t, "right")
-        del self.history[: max(0, at - 1)]
+        gone = max(0, bisect_right(self.times, t) - 1)
+        del self.history[:gone], self.times[:gone]
+        self.posed = None
 
     def pose(self, t: int) -> tuple[float, float]:
         """Between samples along the shorter way, before them the first, after them at the last rates; without any, zero."""
-        times = [s[0] for s in self.history]
-        h = self.history[: np.searchsorted(times, t + self.o.hold_us, "right")]
-        if not h:
+        if self.posed is None or self.posed[0] != t:
+            self.posed = (t, self.pose_of(t))
+        return self.posed[1]
+
+    def pose_of(self, t: int) -> tuple[float, float]:
+        h, end, at = self.history, bisect_right(self.times, t + self.o.hold_us), bisect_right(self.times, t)
+        if not end:
             return 0.0, 0.0
-        at = np.searchsorted(times[: len(h)], t, "right")
-        if at == len(h):
-            dt = (t - h[-1][0]) / 1e6
-            return h[-1][1] + h[-1][3] * dt, h[-1][2] + h[-1][4] * dt
+        if at == end:
+            dt = (t - h[at - 1][0]) / 1e6
+            return h[at - 1][1] + h[at - 1][3] * dt, h[at - 1][2] + h[at - 1][4] * dt
         if at == 0:
             return h[0][1], h[0][2]
         a, b = h[at - 1], h[at]
         part = (t - a[0]) / (b[0] - a[0])
         return a[1] + wrap(b[1] - a[1]) * part, a[2] + wrap(b[2] - a[2]) * part
 
-    def predict(self, t: int) -> np.ndarray:
-        rate = np.linalg.norm(self.w)
+    def predict(self, t: int) -> tuple:
+        rate = math.sqrt(dot(self.w, self.w))
         if rate < 1e-12:
             return self.d
-        axis, angle = self.w / rate, rate * (t - self.t) / 1e6
-        d = self.d * math.cos(angle) + np.cross(axis, self.d) * math.sin(angle) + axis * (axis @ self.d) * (1 - math.cos(angle))
-        return d / np.linalg.norm(d)
+        axis, angle = [w / rate for w in self.w], rate * (t - self.t) / 1e6
+        c, s, along = math.cos(angle), math.sin(angle), dot(axis, self.d) * (1 - math.cos(angle))
+        return unit([d * c + n * s + a * along for d, n, a in zip(self.d, cross(axis, self.d), axis)])
 
-    def ingest(self, t: int, d: np.ndarray) -> None:
+    def ingest(self, t: int, d: tuple) -> None:
         if self.d is not None and t > self.t:
             dt = (t - self.t) / 1e6
-            turn = np.cross(self.d, d)
-            s = np.linalg.norm(turn)
-            now = turn / s * (math.atan2(s, self.d @ d) / dt) if s > 1e-9 else np.zeros(3)
+            turn = cross(self.d, d)
+            s = math.sqrt(dot(turn, turn))
+            rate = math.atan2(s, dot(self.d, d)) / dt / s if s > 1e-9 else 0.0
             weight = 1 - math.exp(-dt / self.o.smoothing_s)
-            self.w = self.w * (1 - weight) + now * weight
+            self.w = tuple(w * (1 - weight) + n * rate * weight for w, n in zip(self.w, turn))
         self.t, self.d = t, d
 
     def seed(self, t: int, px: float, py: float) -> None:
@@ -138,7 +159,7 @@ class Track:
         pose = self.pose(t)
         ex, ey = self.o.pixel(self.predict(t), *pose)
         far = [math.hypot(x - ex, y - ey) for x, y in zip(px, py)]
-        best = int(np.argmin(far))
+        best = far.index(min(far))
         if far[best] > self.o.gate_px:
             self.since, self.settled = None, False
             return False
@@ -152,51 +173,56 @@ class Track:
 
     def row(self, session: int, seq: int | None, t: int, gated: bool) -> tuple:
         px, py = self.o.pixel(self.predict(t), *self.pose(t)) if self.d is not None else (None, None)
-        return (session, seq, t, self.status(t), gated, px, py, *(map(float, self.d) if self.d is not None else [None] * 3), *map(float, self.w))
+        return (session, seq, t, self.status(t), gated, px, py, *(self.d or [None] * 3), *self.w)
 
 
 class Tracker(StatefulProcessor):
+    """Each access to the state is a message to Spark, which costs more than a row's work. So rows wait by columns, one entry a delivery; the model
+    with the lock is one value, the samples are another; and a timer is added where one may be needed, without a look at those that are set: one that finds nothing to do changes nothing."""
+
     def __init__(self, optics: Optics, idle_us: int) -> None:
         self.optics, self.idle_us = optics, idle_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", ROW)
-        self.history = handle.getListState("history", "t_us long, az double, alt double, rate_az double, rate_alt double")
-        self.model = handle.getValueState("model", MODEL)
-        self.due = handle.getValueState("due", "lost_us long, last_us long")
+        self.waiting = handle.getListState("waiting", ", ".join(f"{n} array<{k}>" for n, k in (f.split() for f in ROW.split(", "))))
+        self.held = handle.getValueState("held", f"{MODEL}, lost_us long, last_us long")
+        self.history = handle.getValueState("history", ", ".join(f"{n} array<{k}>" for n, k in (f.split() for f in SAMPLE.split(", "))))
         self.left_out = handle.getMapState("left_out", "reason string", "n long")
 
-    def wake(self, times: list[int]) -> None:
-        """One timer a session, at the first of these times."""
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if times:
-            self.handle.registerTimer(-(-min(times) // 1000))
+    def wake(self, time: int) -> None:
+        self.handle.registerTimer(-(-time // 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         """New rows wait; nothing comes out before the watermark has passed them."""
-        new = [tuple(r) for batch in rows for r in zip(*[batch[f].tolist() for f in FIELDS])]
-        new = [(int(s), int(t), k, *(None if v is None or v != v else float(v) for v in (a, e, ra, re)), *([] if v is None else [float(c) for c in v] for v in (x, y))) for s, t, k, a, e, ra, re, x, y in new]
-        self.waiting.appendList(new)
-        self.wake([*(t * 1000 for t in self.handle.listTimers()), *(r[1] + self.optics.hold_us for r in new)])
-        yield pd.DataFrame()
-
-    def count(self, reason: str) -> None:
+        number = lambda v: None if v is None or v != v else float(v)
+        parts = [[batch[f].tolist() for f in FIELDS] for batch in rows]
+        seq, t, kind, *poses, px, py = [list(chain.from_iterable(p[i] for p in parts)) for i in range(len(FIELDS))]
+        self.waiting.appendValue((list(map(int, seq)), list(map(int, t)), kind, *[list(map(number, p)) for p in poses], *[[[] if v is None else list(map(float, v)) for v in p] for p in (px, py)]))
+        self.wake(min(t) + self.optics.hold_us)
+        return iter(())
+
+    def count(self, reason: str, n: int) -> None:
         before = self.left_out.getValue((reason,))[0] if self.left_out.containsKey((reason,)) else 0
-        self.left_out.updateValue((reason,), (before + 1,))
+        self.left_out.updateValue((reason,), (before + n,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         session, mark, hold = int(key[0]), timerValues.getCurrentWatermarkInMs() * 1000, self.optics.hold_us
-        rows = sorted(((*r[:7], [float(v) for v in r[7]], [float(v) for v in r[8]]) for r in self.waiting.get()), key=lambda r: (r[1], r[0])) if self.waiting.exists() else []
-        lost, last = self.due.get() if self.due.exists() else (None, None)
-        track = Track(self.optics, tuple(self.model.get()) if self.model.exists() else None, [tuple(r) for r in self.history.get()] if self.history.exists() else [])
-        later, out = [], []
+        rows = sorted((r for part in self.waiting.get() for r in zip(*part)), key=lambda r: (r[1], r[0]))
+        held = self.held.get()
+        if not rows and held is None:
+            return
+        n = len(MODEL.split(", "))
+        lost, last = held[n:] if held is not None else (None, None)
+        track = Track(self.optics, tuple(held[:n]) if held is not None and held[0] is not None else None, list(zip(*self.history.get())) if held is not None else [])
+        later, out, older = [], [], 0
         for r in rows:
             if r[2] != "mount" or r[1] > mark:
                 later.append(r)
             elif not track.sample((r[1], *r[3:7])):
-                self.count("repeated or older sample")
+                older += 1
+        if older:
+            self.count("repeated or older sample", older)
         ready, later = [r for r in later if r[1] + hold <= mark and r[2] != "mount"], [r for r in later if r[1] + hold > mark or r[2] == "mount"]
         for r in ready:
             if lost is not None and lost < r[1]:
@@ -215,20 +241,20 @@ class Tracker(StatefulProcessor):
             lost = None
         last = max([r[1] for r in rows] + ([last] if last is not None else []), default=mark)
         if not later and last + self.idle_us <= mark:
-            for state in (self.waiting, self.history, self.model, self.due, self.left_out):
+            for state in (self.waiting, self.held, self.history, self.left_out):
                 state.clear()
-            self.wake([])
         else:
             track.forget(mark - hold)
-            self.waiting.put(later) if later else self.waiting.clear()
-            if track.history:
-                self.history.put(track.history)
-            if track.d is not None:
-                self.model.update(track.held())
-            self.due.update((lost, last))
-            self.wake([*(r[1] + hold for r in later), *([lost + hold] if lost is not None else []), last + self.idle_us])
-        frame = pd.DataFrame(out, columns=[f.split()[0] for f in OUT.split(", ")])
-        yield frame.astype({"seq": "Int64"}) if len(frame) else frame
+            if later:
+                self.waiting.put([tuple(map(list, zip(*later)))])
+            elif rows:
+                self.waiting.clear()
+            self.history.update(tuple(map(list, zip(*track.history))) or ([],) * len(SAMPLE.split(", ")))
+            self.held.update((*(track.held() if track.d is not None else [None] * n), lost, last))
+            self.wake(min([*(r[1] + hold for r in later), *([lost + hold] if lost is not None else []), last + self.idle_us]))
+        if out:
+            columns = dict(zip([f.split()[0] for f in OUT.split(", ")], map(list, zip(*out))))
+            yield pd.DataFrame(columns | {"seq": pd.array(columns["seq"], "Int64")})
 
     def close(self) -> None:
         pass
