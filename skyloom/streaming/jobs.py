@@ -3,6 +3,9 @@ job takes rows by event time, drops what is behind the watermark or its state, a
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -87,52 +90,59 @@ def lock_sessions(hits: DataFrame, gap: str, delay: str = "10 seconds", key: str
 
 
 class Bracket(StatefulProcessor):
-    """Rows of a key's time bucket wait until the watermark is ``hold_us`` past the queries; the whole bucket is forgotten after its last query's turn."""
+    """Rows of a key's time bucket wait until the watermark is ``hold_us`` past the queries; the whole bucket is forgotten after its last query's turn. Buckets are many and small:
+    rows are kept by columns, one entry a delivery, and timers are only added, since each access to the state costs more than a row's work."""
 
     def __init__(self, values: list[str], reach_us: int, hold_us: int, bucket_us: int) -> None:
         self.values, self.reach_us, self.hold_us, self.bucket_us = values, reach_us, hold_us, bucket_us
+        self.columns = ["id", "t_us", "is_query", *values]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "id long, t_us long, is_query boolean, " + ", ".join(f"{v} double" for v in self.values))
+        self.rows = handle.getListState("rows", "id array<long>, t_us array<long>, is_query array<boolean>, " + ", ".join(f"{v} array<double>" for v in self.values))
+
+    def wake(self, time: int) -> None:
+        self.handle.registerTimer(-(-time // 1000))
 
-    def wake(self, times: list[int]) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(-(-min(times) // 1000))
+    def end_of(self, key) -> int:
+        return (int(key[1]) + 1) * self.bucket_us + self.hold_us
 
     def handleInputRows(self, key, rows, timerValues):
-        new = [r for batch in rows for r in batch[["id", "t_us", "is_query", *self.values]].itertuples(index=False, name=None)]
-        self.rows.appendList(new)
-        self.wake([*(t * 1000 for t in self.handle.listTimers()), *(r[1] + self.hold_us for r in new if r[2]), (int(key[1]) + 1) * self.bucket_us + self.hold_us])
-        yield pd.DataFrame()
+        parts = [[batch[c].tolist() for c in self.columns] for batch in rows]
+        new = [list(chain.from_iterable(p[i] for p in parts)) for i in range(len(self.columns))]
+        self.rows.appendValue(tuple(new))
+        self.wake(min([t + self.hold_us for t, asked in zip(new[1], new[2]) if asked], default=self.end_of(key)))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        mark, end = timerValues.getCurrentWatermarkInMs() * 1000, (int(key[1]) + 1) * self.bucket_us + self.hold_us
-        held = pd.DataFrame([tuple(r) for r in self.rows.get()] if self.rows.exists() else [], columns=["id", "t_us", "is_query", *self.values])
-        asked = held["is_query"].astype(bool)
-        ready = held[asked & (held["t_us"] + self.hold_us <= mark)].sort_values(["t_us", "id"])
-        waiting = held[asked & (held["t_us"] + self.hold_us > mark)]
-        samples = held[~asked].sort_values(["t_us", "id"], kind="stable").drop_duplicates("t_us")
-        yield self.answered(int(key[0]), ready, samples)
-        if mark >= end:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted((r for part in self.rows.get() for r in zip(*part)), key=lambda r: (r[1], r[0]))
+        if not held:
+            return
+        asked = [r for r in held if r[2]]
+        ready, waiting = [r for r in asked if r[1] + self.hold_us <= mark], [r for r in asked if r[1] + self.hold_us > mark]
+        samples = list({r[1]: r for r in reversed(held) if not r[2]}.values())[::-1]  # of one time, the first
+        if ready:
+            yield self.answered(int(key[0]), ready, samples)
+        if mark >= self.end_of(key):
             self.rows.clear()
         else:
-            self.rows.put([*waiting.itertuples(index=False, name=None), *samples.itertuples(index=False, name=None)])
-            self.wake([*(waiting["t_us"] + self.hold_us).tolist(), end])
-
-    def answered(self, key: int, asked: pd.DataFrame, samples: pd.DataFrame) -> pd.DataFrame:
-        at, t = samples["t_us"].to_numpy(np.int64), asked["t_us"].to_numpy(np.int64)
-        later = np.searchsorted(at, t, "right")
-        out = pd.DataFrame({"owner": np.full(len(t), key), "id": asked["id"].to_numpy(np.int64), "t_us": t})
-        for side, place, most in (("p", later - 1, self.reach_us), ("n", later, self.hold_us)):
-            ok = (place >= 0) & (place < len(at))
-            times = at[np.where(ok, place, 0)] if len(at) else t
-            ok &= np.abs(times - t) <= most
-            out[f"{side}_t"] = pd.Series(times, dtype="Int64").where(ok)
-            for v in self.values:
-                out[f"{side}_{v}"] = np.where(ok, samples[v].to_numpy(float)[np.where(ok, place, 0)] if len(at) else np.nan, np.nan)
-        return out[["owner", "id", "t_us", "p_t", "n_t", *[f"{side}_{v}" for side in "pn" for v in self.values]]]
+            if waiting or samples:
+                self.rows.put([tuple(map(list, zip(*waiting, *samples)))])
+            else:
+                self.rows.clear()
+            self.wake(min([*(r[1] + self.hold_us for r in waiting), self.end_of(key)]))
+
+    def answered(self, key: int, asked: list[tuple], samples: list[tuple]) -> pd.DataFrame:
+        times, none = [s[1] for s in samples], (None,) * (3 + len(self.values))
+        before, after = [], []
+        for r in asked:
+            at = bisect_right(times, r[1])
+            before.append(samples[at - 1] if at and r[1] - times[at - 1] <= self.reach_us else none)
+            after.append(samples[at] if at < len(times) and times[at] - r[1] <= self.hold_us else none)
+        out = {"owner": [key] * len(asked), "id": [r[0] for r in asked], "t_us": [r[1] for r in asked]}
+        out |= {f"{side}_t": pd.array([s[1] for s in found], "Int64") for side, found in (("p", before), ("n", after))}
+        return pd.DataFrame(out | {f"{side}_{v}": np.array([s[3 + i] for s in found], float) for side, found in (("p", before), ("n", after)) for i, v in enumerate(self.values)})
 
     def close(self) -> None:
         pass
