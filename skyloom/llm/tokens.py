@@ -17,10 +17,12 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
+import string
 import struct
 import uuid
 import zlib
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,9 @@ COUNT_STEP, COUNT_LIMIT, REFRESH = 32, 1 << 22, 8
 CHUNK = 1 << 22
 #: White space but the space and line break, and places where these do not begin a word.
 OTHER_SPACE = r"[\x00\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-OTHER_PLACES = ("  ", " \n", "\n ", "\n\n")
+OTHER_PLACES = ("  ", " \n", "\n ", "\n\n", r"\A[ \n]", r"[ \n]\z")
+#: Words of letters with or without marks behind them: to GPT-2's rule of pieces, the letters with the space before them are one piece and the marks another.
+MARKS, LETTERS = string.punctuation, r"\A\n?[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+\z"
 NEW_LINE, NOTHING = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())
 HASH2, HASH1, SLOT_SHIFT = np.uint32(0x2545F491), np.uint32(0x9E3779B1), np.uint32(32 - 18)
 U = np.uint64
@@ -199,7 +203,8 @@ class Encoder:
     """Whole texts to ids, word by word from a cache of bounded size; Arrow splits texts and numbers their distinct words, Python sees each of
     these once a chunk. A space or line break between two other characters always begins a new piece of the tokenizer, so words can be
     encoded apart, each with what stands before it; texts with any other white space, or with a token that was added to
-    the vocabulary (such as one for a text's end), are encoded whole."""
+    the vocabulary (such as one for a text's end), are encoded whole. New words of plain letters are one piece (and their marks another), which
+    the tokenizer's model takes as it is; all others go through the whole tokenizer."""
 
     MOST = 1_000_000
 
@@ -207,7 +212,7 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer, self.of_words = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.of_words.encode_special_tokens = True  # words are joined for encoding; what arises where they meet is no special token
@@ -216,6 +221,13 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # a byte-level vocabulary writes each byte as one character
             self.bytes_of[i] = len(token)
+        bytes_as_written = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.written = {c: bytes_as_written(chr(c))[0][0] for c in (0x0A, 0x20, *range(0xC0, 0x100))}
+        self.other = "|".join([OTHER_SPACE, *OTHER_PLACES, *map(re.escape, self.added)])
+        cut, self.model = self.tokenizer.pre_tokenizer, self.of_words.model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # words come once
+        self.in_pieces = self.tokenizer.normalizer is None and isinstance(self.model, models.BPE) and isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex
         self.clear()
 
     def plain(self, texts: list[str]) -> list[list[int]]:
@@ -223,24 +235,21 @@ class Encoder:
 
     def odd(self, texts: pa.Array) -> np.ndarray:
         """Whether white space stands at an end, next to other white space, or is not a space or line break, or an added token occurs."""
-        found = pc.match_substring_regex(texts, OTHER_SPACE)
-        for part in (*OTHER_PLACES, *self.added):
-            found = pc.or_(found, pc.match_substring(texts, part))
-        for part in (" ", "\n"):
-            found = pc.or_(found, pc.or_(pc.starts_with(texts, part), pc.ends_with(texts, part)))
         if any(" " in t or "\n" in t for t in self.added):
-            found = pc.or_(found, pa.scalar(True))
-        return found.to_numpy(zero_copy_only=False)
+            return np.ones(len(texts), bool)
+        return pc.match_substring_regex(texts, self.other).to_numpy(zero_copy_only=False)
 
     def clear(self) -> None:
-        self.known = pa.array([], pa.large_string())
+        self.known: dict[str, int] = {}
         self.ids, self.starts, self.sizes, self.uses = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def shrink(self) -> None:
         """Forget words that were used once, and of the others the rarer ones beyond half the size."""
         keep = np.flatnonzero(self.uses >= 2)
         keep = keep[np.argsort(-self.uses[keep], kind="stable")[: self.MOST // 2]]
-        self.known = self.known.take(pa.array(keep))
+        place = np.full(len(self.uses), -1)
+        place[keep] = np.arange(len(keep))
+        self.known = {word: k for word, i in self.known.items() if (k := int(place[i])) >= 0}
         self.sizes, first = self.sizes[keep], self.starts[keep]
         self.starts = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
         self.ids = self.ids[np.repeat(first - self.starts, self.sizes) + np.arange(int(self.sizes.sum()))]
@@ -256,15 +265,67 @@ class Encoder:
         ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(size)) + 1
         return ids, np.diff(ends, prepend=0)
 
-    def learn(self, words: pa.Array) -> None:
-        """Encode words that are not known yet: after a space, or with the line break they begin with."""
-        lines = pc.starts_with(words, "\n")
-        for part, separator in ((words.filter(pc.invert(lines)), " "), (words.filter(lines), "")):
-            if len(part):
-                found, sizes = self.joined(part, separator)
-                self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)])
-                self.ids, self.sizes = np.concatenate([self.ids, found.astype(np.int32)]), np.concatenate([self.sizes, sizes.astype(np.int32)])
-                self.known, self.uses = pa.concat_arrays([self.known, part]), np.concatenate([self.uses, np.zeros(len(part), np.int32)])
+    def pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same as ``joined`` for words of letters, each after a space or with the line break it begins with: by the model alone."""
+        of = self.model.tokenize
+        space, line = self.written[0x20], [t.id for t in of(self.written[0x0A])]
+        ids: list[int] = []
+        ends: list[int] = []
+        for word in words.to_numpy(zero_copy_only=False):
+            w = word if word.isascii() else word.translate(self.written)
+            ids += [t.id for t in of(space + w)] if word[0] != "\n" else line + [t.id for t in of(w[1:])]
+            ends.append(len(ids))
+        return np.array(ids, np.int64), np.diff(np.array(ends, np.int64), prepend=0)
+
+    def add(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Keep words with their ids; their places."""
+        places = len(self.sizes) + np.arange(len(words))
+        self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)])
+        self.ids, self.sizes = np.concatenate([self.ids, ids.astype(np.int32)]), np.concatenate([self.sizes, sizes.astype(np.int32)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int32)])
+        self.known.update(zip(words.to_numpy(zero_copy_only=False), places.tolist()))
+        return places
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Places of words, -1 where not known."""
+        return np.fromiter(map(self.known.get, words.to_numpy(zero_copy_only=False), repeat(-1)), np.int64, len(words))
+
+    def with_marks(self, words: pa.Array, letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Keep words whose letters (at the given places, so many) are known and marks follow."""
+        marks = pa.array([w[n:] for w, n in zip(words.to_numpy(zero_copy_only=False), sizes.tolist())]).dictionary_encode()
+        each = [[t.id for t in self.model.tokenize(m)] for m in marks.dictionary.to_pylist()]
+        held, n_held = np.array(list(chain.from_iterable(each)), np.int64), np.array(list(map(len, each)), np.int64)
+        kind, n = marks.indices.to_numpy(), self.sizes[letters].astype(np.int64)
+        total = n + n_held[kind]
+        at = np.arange(int(total.sum())) - np.repeat(np.cumsum(total) - total, total)
+        inside = at < np.repeat(n, total)
+        ids = np.empty(len(at), np.int64)
+        ids[inside] = self.ids[(np.repeat(self.starts[letters], total) + at)[inside]]
+        ids[~inside] = held[(np.repeat((np.cumsum(n_held) - n_held)[kind] - n, total) + at)[~inside]]
+        return self.add(words, ids, total)
+
+    def learn(self, words: pa.Array) -> np.ndarray:
+        """Encode words that are not known yet, after a space or with the line break they begin with; their places."""
+        places = np.zeros(len(words), np.int64)
+        lines = pc.starts_with(words, "\n").to_numpy(zero_copy_only=False)
+        letters = pc.ascii_rtrim(words, MARKS)
+        plain = pc.match_substring_regex(letters, LETTERS).to_numpy(zero_copy_only=False) & self.in_pieces
+        for line in (False, True):
+            if len(at := np.flatnonzero(~plain & (lines == line))):
+                part = words.take(pa.array(at))
+                places[at] = self.add(part, *self.joined(part, "" if line else " "))
+        if len(at := np.flatnonzero(plain)):
+            held = letters.take(pa.array(at)).dictionary_encode()
+            place = self.find(held.dictionary)
+            if len(new := np.flatnonzero(place < 0)):
+                part = held.dictionary.take(pa.array(new))
+                place[new] = self.add(part, *self.pieces(part))
+            places[at] = place[held.indices.to_numpy()]
+            size = pc.utf8_length(letters).to_numpy()
+            marked = at[size[at] < pc.utf8_length(words).to_numpy()[at]]
+            if len(marked):
+                places[marked] = self.with_marks(words.take(pa.array(marked)), places[marked], size[marked])
+        return places
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text."""
@@ -282,11 +343,10 @@ class Encoder:
             lines = pc.replace_substring(texts.take(pa.array(at)), "\n", " \n")
             split = pc.split_pattern(pc.binary_join_element_wise(NEW_LINE, lines, NOTHING), " ")  # words after a space, and line breaks with their words
             words = split.flatten().dictionary_encode()
-            place = pc.index_in(words.dictionary, value_set=self.known)
-            if place.null_count:
-                self.learn(words.dictionary.filter(pc.is_null(place)))
-                place = pc.index_in(words.dictionary, value_set=self.known)
-            index = place.to_numpy()[words.indices.to_numpy()]
+            place = self.find(words.dictionary)
+            if len(new := np.flatnonzero(place < 0)):
+                place[new] = self.learn(words.dictionary.take(pa.array(new)))
+            index = place[words.indices.to_numpy()]
             self.uses += np.bincount(index, minlength=len(self.known)).astype(np.int32)
             sizes, first = self.sizes[index], self.starts[index]
             ends = np.cumsum(sizes, dtype=np.int64)

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -264,6 +265,29 @@ def test_coder_round_trip():
     assert len(tokens.encode_segment(np.tile(np.arange(50), 4000))) < 200000 / 4
 
 
+def test_words_of_letters_and_marks_are_encoded_by_pieces(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from skyloom.llm.queries import tokenizer_path
+
+    path = tokenizer_path()
+    whole, coder, r = Tokenizer.from_file(path), tokens.Encoder(path), random.Random(3)
+    monkeypatch.setattr(coder, "MOST", 300)
+    heads = ["the", "Été", "ñandú", "ciónmente", "Straße", "x", "élève", "It", "wordlike"]
+    tails = ["", "", ".", ",", "$$$", ",%%%", "'", "\"?!", "_", "~~", "<|"]
+    others = ["it's", "don't.", "a1", "42", "42,", "×2", "µm", "e\u0301t", "—", "word—", "日本語", "名,", "a'sb", "ça-va", "!", "x\u200b.", "ﬁne", "'re", "5'", "Ω.", "\u0000"]
+    made = lambda k: "".join(r.choice("aeésñtrñlmü") for _ in range(k))
+    for _ in range(6):
+        words = [h + t for h in heads + [made(r.randint(1, 9)) for _ in range(40)] for t in tails] + others
+        texts = ["".join(w + r.choice(" \n") for w in r.choices(words, k=r.randint(1, 60)))[:-1] for _ in range(60)] + [" ".join(others), "the  end", " the", "the\n", "the <|endoftext|> end", ""]
+        got = coder.encode(pa.array(texts, pa.large_string()))
+        assert [list(ids) for ids in got] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    fresh = tokens.Encoder(path)
+    monkeypatch.setattr(fresh, "joined", lambda *_: pytest.fail("words of letters went through the whole tokenizer"))
+    [ids] = fresh.encode(pa.array(["The naïve Été, naïve.\nThe end!"], pa.large_string()))
+    assert list(ids) == whole.encode("The naïve Été, naïve.\nThe end!", add_special_tokens=False).ids
+
+
 def test_tokens(docs, none):
     from skyloom.llm.queries import tokenizer_path
     from tokenizers import Tokenizer
