@@ -121,12 +121,22 @@ def nearest_of(pairs: DataFrame, point: list[str], reach_px: float = 40.0) -> Da
     return near.select(*point, F.coalesce("b.px", "at_x").alias("x"), F.coalesce("b.py", "at_y").alias("y"))
 
 
+#: Frames of so many blobs are compared whole, larger ones by cells.
+WHOLE = 1000
+
+
 def match_world(blobs: DataFrame, projected: DataFrame, radius: float, keys: list[str] = ["frame"]) -> DataFrame:
-    """Mutual nearest pairs of blobs and projected sources of a frame within a radius, found in pixel cells of that size and their neighbours."""
+    """Mutual nearest pairs of blobs and projected sources of a frame within a radius. Blobs of a frame meet its sources; where a frame has more than WHOLE blobs, they meet
+    those of their pixel cell of that size and its neighbours. Rows that are dealt by ``keys`` stay where they are for all but such frames."""
+    frame = Window.partitionBy(*keys)
+    held = blobs.withColumn("held", F.count("*").over(frame))
+    many = held.filter(F.col("held") > WHOLE).drop("held")
     cell = lambda df, x, y: df.withColumns({"cell_x": F.floor(F.col(x) / radius), "cell_y": F.floor(F.col(y) / radius)})
     around = lambda c: F.explode(F.array(*[F.col(c) + i for i in (-1, 0, 1)]))
-    b = cell(blobs, "px", "py").withColumn("cell_x", around("cell_x")).withColumn("cell_y", around("cell_y"))
-    d = F.hypot(F.col("px") - F.col("sx"), F.col("py") - F.col("sy"))
-    near = b.join(cell(projected, "sx", "sy"), [*keys, "cell_x", "cell_y"]).withColumn("distance", d).filter(F.col("distance") <= radius)
+    b = cell(many, "px", "py").withColumn("cell_x", around("cell_x")).withColumn("cell_y", around("cell_y"))
+    by_cell = b.join(cell(projected.join(many.select(*keys).distinct(), keys, "left_semi"), "sx", "sy"), [*keys, "cell_x", "cell_y"]).drop("cell_x", "cell_y")
+    pairs = held.filter(F.col("held") <= WHOLE).drop("held").join(projected, keys).unionByName(by_cell)
+    dx, dy = F.col("px") - F.col("sx"), F.col("py") - F.col("sy")
+    near = pairs.withColumn("distance", F.sqrt(dx * dx + dy * dy)).filter(F.col("distance") <= radius)
     rank = lambda one, other: F.row_number().over(Window.partitionBy(*keys, one).orderBy("distance", other))
     return near.withColumns({"by_blob": rank("blob", "source"), "by_source": rank("source", "blob")}).filter("by_blob = 1 and by_source = 1").select(*keys, "blob", "source", "distance")
