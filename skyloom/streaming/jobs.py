@@ -3,9 +3,6 @@ job takes rows by event time, drops what is behind the watermark or its state, a
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from itertools import chain
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -90,16 +87,17 @@ def lock_sessions(hits: DataFrame, gap: str, delay: str = "10 seconds", key: str
 
 
 class Bracket(StatefulProcessor):
-    """Rows of a key's time bucket wait until the watermark is ``hold_us`` past the queries; the whole bucket is forgotten after its last query's turn. Buckets are many and small:
-    rows are kept by columns, one entry a delivery, and timers are only added, since each access to the state costs more than a row's work."""
+    """Rows of a time bucket wait until the watermark is ``hold_us`` past the queries; the whole bucket is forgotten after its last query's turn. The state's key is an owner and a
+    bucket or, with ``by``, a slot and a bucket, where ``by`` is the column of the owners that share the slot. Each access to the state costs more than many rows' work: rows are
+    kept by columns as bytes, one entry a delivery, timers are only added, and all owners of a slot are answered at once."""
 
-    def __init__(self, values: list[str], reach_us: int, hold_us: int, bucket_us: int) -> None:
-        self.values, self.reach_us, self.hold_us, self.bucket_us = values, reach_us, hold_us, bucket_us
-        self.columns = ["id", "t_us", "is_query", *values]
+    def __init__(self, values: list[str], reach_us: int, hold_us: int, bucket_us: int, by: str | None = None) -> None:
+        self.values, self.reach_us, self.hold_us, self.bucket_us, self.by = values, reach_us, hold_us, bucket_us, by
+        self.kinds = ({by: np.int64} if by else {}) | {"id": np.int64, "t_us": np.int64, "is_query": np.bool_} | {v: np.float64 for v in values}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "id array<long>, t_us array<long>, is_query array<boolean>, " + ", ".join(f"{v} array<double>" for v in self.values))
+        self.rows = handle.getListState("rows", ", ".join(f"{c} binary" for c in self.kinds))
 
     def wake(self, time: int) -> None:
         self.handle.registerTimer(-(-time // 1000))
@@ -108,58 +106,73 @@ class Bracket(StatefulProcessor):
         return (int(key[1]) + 1) * self.bucket_us + self.hold_us
 
     def handleInputRows(self, key, rows, timerValues):
-        parts = [[batch[c].tolist() for c in self.columns] for batch in rows]
-        new = [list(chain.from_iterable(p[i] for p in parts)) for i in range(len(self.columns))]
-        self.rows.appendValue(tuple(new))
-        self.wake(min([t + self.hold_us for t, asked in zip(new[1], new[2]) if asked], default=self.end_of(key)))
+        parts = list(rows)
+        new = {c: np.concatenate([p[c].to_numpy(kind) for p in parts]) for c, kind in self.kinds.items()}
+        self.rows.appendValue(tuple(a.tobytes() for a in new.values()))
+        asked = new["t_us"][new["is_query"]]
+        self.wake(int(asked.min()) + self.hold_us if len(asked) else self.end_of(key))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted((r for part in self.rows.get() for r in zip(*part)), key=lambda r: (r[1], r[0]))
-        if not held:
+        parts = list(self.rows.get())
+        if not parts:
             return
-        asked = [r for r in held if r[2]]
-        ready, waiting = [r for r in asked if r[1] + self.hold_us <= mark], [r for r in asked if r[1] + self.hold_us > mark]
-        samples = list({r[1]: r for r in reversed(held) if not r[2]}.values())[::-1]  # of one time, the first
-        if ready:
-            yield self.answered(int(key[0]), ready, samples)
-        if mark >= self.end_of(key):
+        held = {c: np.concatenate([np.frombuffer(p[i], kind) for p in parts]) for i, (c, kind) in enumerate(self.kinds.items())}
+        owner = held[self.by] if self.by else np.full(len(held["id"]), int(key[0]))
+        order = np.lexsort((held["id"], held["t_us"], owner))
+        held, owner = {c: a[order] for c, a in held.items()}, owner[order]
+        t, asked = held["t_us"], held["is_query"]
+        ready = asked & (t + self.hold_us <= mark)
+        samples = np.flatnonzero(~asked)
+        again = np.append(False, (owner[samples[1:]] == owner[samples[:-1]]) & (t[samples[1:]] == t[samples[:-1]]))[: len(samples)]
+        samples = samples[~again]  # of one time, the first
+        if ready.any():
+            yield self.answered(held, owner, np.flatnonzero(ready), samples)
+        waiting = np.flatnonzero(asked & ~ready)
+        rest = np.concatenate([waiting, samples])
+        if mark >= self.end_of(key) or not len(rest):
             self.rows.clear()
         else:
-            if waiting or samples:
-                self.rows.put([tuple(map(list, zip(*waiting, *samples)))])
-            else:
-                self.rows.clear()
-            self.wake(min([*(r[1] + self.hold_us for r in waiting), self.end_of(key)]))
-
-    def answered(self, key: int, asked: list[tuple], samples: list[tuple]) -> pd.DataFrame:
-        times, none = [s[1] for s in samples], (None,) * (3 + len(self.values))
-        before, after = [], []
-        for r in asked:
-            at = bisect_right(times, r[1])
-            before.append(samples[at - 1] if at and r[1] - times[at - 1] <= self.reach_us else none)
-            after.append(samples[at] if at < len(times) and times[at] - r[1] <= self.hold_us else none)
-        out = {"owner": [key] * len(asked), "id": [r[0] for r in asked], "t_us": [r[1] for r in asked]}
-        out |= {f"{side}_t": pd.array([s[1] for s in found], "Int64") for side, found in (("p", before), ("n", after))}
-        return pd.DataFrame(out | {f"{side}_{v}": np.array([s[3 + i] for s in found], float) for side, found in (("p", before), ("n", after)) for i, v in enumerate(self.values)})
+            self.rows.put([tuple(a[rest].tobytes() for a in held.values())])
+        if mark < self.end_of(key):
+            self.wake(min(int(t[waiting].min()) + self.hold_us, self.end_of(key)) if len(waiting) else self.end_of(key))
+
+    def answered(self, held: dict[str, np.ndarray], owner: np.ndarray, asked: np.ndarray, samples: np.ndarray) -> pd.DataFrame:
+        t, (times, rank) = held["t_us"], np.unique(held["t_us"], return_inverse=True)
+        whose = np.unique(owner, return_inverse=True)[1]
+        at = whose * len(times) + rank
+        place = np.searchsorted(at[samples], at[asked], side="right")
+        out = {"owner": owner[asked], "id": held["id"][asked], "t_us": t[asked]}
+        found = {}
+        for side, i, most in (("p", place - 1, self.reach_us), ("n", place, self.hold_us)):
+            inside = (i >= 0) & (i < len(samples))
+            s = samples[np.where(inside, i, 0)] if len(samples) else np.zeros_like(asked)
+            found[side] = s, ~(inside & (whose[s] == whose[asked]) & (np.abs(t[s] - t[asked]) <= most))
+        out |= {f"{side}_t": pd.arrays.IntegerArray(t[s], no) for side, (s, no) in found.items()}
+        return pd.DataFrame(out | {f"{side}_{v}": np.where(no, np.nan, held[v][s]) for side, (s, no) in found.items() for v in self.values})
 
     def close(self) -> None:
         pass
 
 
+#: Owners share so many slots; a slot's rows of one bucket are the most that a task holds at once.
+SLOTS = 64
+
+
 def bracket(rows: DataFrame, key: str, values: list[str], reach_us: int, hold_us: int, bucket_us: int, delay: str = "10 seconds") -> DataFrame:
     """As-of join within one stream. rows: key, id, t_us, is_query and values. A query comes out when the watermark is ``hold_us`` past it, with the samples
     around it (p_t, p_*, n_t, n_*): the newest one at or before it, at most ``reach_us`` old, and the first one after it, at most ``hold_us`` later; null where there is none.
-    State is kept by key and time bucket, so a busy key is dealt out and nothing stays longer than its bucket; a sample goes to every bucket whose queries it can answer."""
+    State is kept by slot (of many keys) and time bucket, so the number of states does not grow with the keys, a busy key is dealt out and nothing stays longer than its bucket;
+    a sample goes to every bucket whose queries it can answer."""
     doubles = ", ".join(f"{side}_{v} double" for side in "pn" for v in values)
     schema = f"owner long, id long, t_us long, p_t long, n_t long, {doubles}"
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     place = lambda t: F.floor(t / bucket_us)
     t = F.col("t_us")
     buckets = F.when(F.col("is_query"), F.array(place(t))).otherwise(F.sequence(place(t - hold_us), place(t + reach_us)))
-    dealt = timed(rows.withColumnRenamed(key, "owner"), delay).withColumn("bucket", F.explode(buckets))
-    out = dealt.groupBy("owner", "bucket").transformWithStateInPandas(Bracket(values, reach_us, hold_us, bucket_us), schema, "append", "EventTime")
+    dealt = timed(rows.withColumnRenamed(key, "owner"), delay).withColumn("bucket", F.explode(buckets)).withColumn("slot", F.pmod(F.xxhash64("owner"), F.lit(SLOTS)))
+    out = dealt.groupBy("slot", "bucket").transformWithStateInPandas(Bracket(values, reach_us, hold_us, bucket_us, "owner"), schema, "append", "EventTime")
     return out.withColumnRenamed("owner", key)
 
 
